@@ -65,9 +65,8 @@ def to_time(c: Column) -> Column:
 
 
 def json_text(c: Column) -> Column:
-    """Compact text of a JSON value; text that is no JSON stays as it is."""
-    parsed = F.try_parse_json(c)
-    return F.coalesce(F.to_json(parsed), c)
+    """Compact text of a JSON object, plain text of a scalar; text that is no JSON stays."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", "string"), c)
 
 
 def is_json(c: Column) -> Column:

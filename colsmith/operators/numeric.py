@@ -153,23 +153,34 @@ def yeo_johnson_value(c: Column, lam: float) -> Column:
     return F.when(c >= 0, up).otherwise(down)
 
 
-def _grid(centre: float, step: float, arms: int = 10) -> list[float]:
-    return [round(centre + step * i, 10) for i in range(-arms, arms + 1)]
+# (number of points each side, spacing) of the three passes.
+_PASSES = ((10, 0.5), (4, 0.08), (2, 0.01))
+
+
+def _vertex(points: list[tuple[float, float]]) -> float:
+    """Maximum of the parabola through the best point and its neighbours."""
+    best = max(range(len(points)), key=lambda i: points[i][1])
+    if best in (0, len(points) - 1):
+        return points[best][0]
+    (x0, y0), (x1, y1), (_, y2) = points[best - 1: best + 2]
+    bend = y0 - 2 * y1 + y2
+    if not math.isfinite(bend) or bend == 0:
+        return x1
+    return x1 + (x1 - x0) * (y0 - y2) / (2 * bend)
 
 
 def fit_power(df: DataFrame, requests: dict[str, tuple[Column, str, float]]) -> dict[str, float]:
-    """Maximum-likelihood exponents of several columns in a few shared passes.
+    """Maximum-likelihood exponents of several columns in three shared passes.
 
     ``requests`` maps an alias to (shifted column, method, mean log for Box-Cox). Each pass
-    evaluates a grid of exponents as plain aggregates; the grid shrinks around the best one
-    until the step is below 5e-6.
+    evaluates a grid of exponents as plain aggregates; the likelihood is smooth, so a
+    parabola through the best points gives the centre of the next, finer grid.
     """
-    state = {a: (0.0, 0.5) for a in requests}
-    for _ in range(6):
+    centres = dict.fromkeys(requests, 0.0)
+    for arms, step in _PASSES:
         parts, grids = [], {}
         for alias, (c, method, mean_log) in requests.items():
-            centre, step = state[alias]
-            grids[alias] = _grid(centre, step)
+            grids[alias] = [centres[alias] + step * i for i in range(-arms, arms + 1)]
             for i, lam in enumerate(grids[alias]):
                 if method == "box_cox":
                     scaled = c / math.exp(mean_log)  # unit geometric mean: only the variance is left
@@ -181,17 +192,14 @@ def fit_power(df: DataFrame, requests: dict[str, tuple[Column, str, float]]) ->
                 parts.append(F.avg(F.signum(c) * F.log1p(F.abs(c))).alias(f"{alias}_jac"))
         row = df.agg(*parts).first()
         for alias, (_, method, _) in requests.items():
-            jacobian = 0.0 if method == "box_cox" else row[f"{alias}_jac"]
-
-            def score(i):
+            jacobian = 0.0 if method == "box_cox" else row[f"{alias}_jac"] or 0.0
+            points = []
+            for i, lam in enumerate(grids[alias]):
                 var = row[f"{alias}_{i}"]
-                if not var or math.isinf(var) or math.isnan(var):
-                    return -math.inf
-                return -0.5 * math.log(var) + (grids[alias][i] - 1) * (jacobian or 0.0)
-
-            best = max(range(len(grids[alias])), key=score)
-            state[alias] = (grids[alias][best], state[alias][1] / 8)
-    return {a: s[0] for a, s in state.items()}
+                if var and math.isfinite(var):
+                    points.append((lam, -0.5 * math.log(var) + (lam - 1) * jacobian))
+            centres[alias] = _vertex(points) if points else 1.0
+    return centres
 
 
 # Quantile transform -----------------------------------------------------------------------

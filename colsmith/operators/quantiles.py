@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 DIRECT_ROWS = 2_000_000
 ACCURACY = 10_000
+MANY = 16  # above this many quantiles of one long column, order its distinct values once
 
 
 @dataclass
@@ -72,6 +73,9 @@ def exact_quantiles(
     for c in wanted:
         if counts[c] <= direct_rows:
             continue
+        if len(wanted[c]) > MANY:
+            result[c] = _sorted_quantiles(numeric, c, wanted[c], counts[c], direct_rows)
+            continue
         for p in wanted[c]:
             position = (counts[c] - 1) * p
             low = int(math.floor(position))
@@ -150,6 +154,37 @@ def _order_statistics(df: DataFrame, brackets: list[_Bracket], direct_rows: int)
     return [found[i] for i in range(len(brackets))]
 
 
+def _sorted_quantiles(df: DataFrame, column: str, probs: list[float], n: int, segment_rows: int):
+    """Many quantiles of one long column from its value counts, ordered segment by segment."""
+    from colsmith.operators.ordering import SEGMENT, with_segments
+
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"))
+    cut, _ = with_segments(counted, ["value"], segment_rows)
+    totals = {r[SEGMENT]: r["t"] for r in cut.groupBy(SEGMENT).agg(F.sum("n").alias("t")).collect()}
+    ranks = set()
+    for p in probs:
+        low = int(math.floor((n - 1) * p))
+        ranks |= {low, min(low + 1, n - 1)}
+    wanted, start = [], 0
+    for segment in sorted(totals):
+        wanted += [(segment, r - start, r) for r in ranks if start <= r < start + totals[segment]]
+        start += totals[segment]
+    side = F.broadcast(df.sparkSession.createDataFrame(wanted, f"{SEGMENT} int, local bigint, rank bigint"))
+    frame = W.partitionBy(SEGMENT).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    upto = cut.withColumn("upto", F.sum("n").over(frame))
+    hits = upto.join(side, SEGMENT).where(
+        (F.col("upto") > F.col("local")) & (F.col("upto") - F.col("n") <= F.col("local")))
+    found = {r["rank"]: r["value"] for r in hits.select("rank", "value").collect()}
+    values = []
+    for p in probs:
+        position = (n - 1) * p
+        low = int(math.floor(position))
+        lo, hi = found[low], found[min(low + 1, n - 1)]
+        values.append(lo + (hi - lo) * (position - low))
+    return values
+
+
 def range_edges(df: DataFrame, key: Column, buckets: int) -> list[float]:
     """Interior cut points that split a numeric key into buckets of about equal size."""
     if buckets <= 1:

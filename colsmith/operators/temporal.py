@@ -32,10 +32,13 @@ def cycles(c: Column, prefix: str) -> list[Column]:
     ]
 
 
-def components(c: Column, prefix: str) -> list[Column]:
+PARTS = ("year", "month", "day", "dayofweek", "hour", "minute", "quarter")
+
+
+def components(c: Column, prefix: str, wanted: tuple[str, ...] = PARTS) -> list[Column]:
     """Calendar parts; Monday is day 0 of the week."""
     parts = {
         "year": F.year(c), "month": F.month(c), "day": F.day(c), "dayofweek": F.weekday(c),
         "hour": F.hour(c), "minute": F.minute(c), "quarter": F.quarter(c),
     }
-    return [value.alias(f"{prefix}_{name}") for name, value in parts.items()]
+    return [parts[name].alias(f"{prefix}_{name}") for name in wanted]

@@ -67,6 +67,7 @@ class Fitted:
     target: str | None = None
     order_by: list[str] | None = None
     partition_by: list[str] = field(default_factory=list)
+    refused: list[ColumnStep] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Project all simple steps at once, then run the joins and the drops."""
@@ -137,7 +138,7 @@ class Fitted:
         return df
 
     def report(self, spark) -> DataFrame:
-        rows = [(s.column, s.requested, s.action, CATEGORY_OF.get(s.action), s.status, s.note) for s in self.steps]
+        rows = [(s.column, s.requested, s.action, CATEGORY_OF.get(s.action), s.status, s.note) for s in [*self.steps, *self.refused]]
         return spark.createDataFrame(
             rows, "column string, requested string, applied string, category string, status string, note string"
         )
@@ -177,7 +178,7 @@ def fit(
     pending = list(fitted.steps)
     while pending:
         pending = _learn(df, fitted, pending)
-    fitted.steps = [s for s in steps if s.column in kinds]
+    fitted.refused = [s for s in steps if s.status == "error"]
     return fitted
 
 
@@ -294,7 +295,7 @@ def _decide_drop(df: DataFrame, step: ColumnStep) -> None:
 
 
 def _fit_powers(df: DataFrame, fitted: Fitted, steps: list[ColumnStep]) -> None:
-    requests = {}
+    requests, given = {}, {}
     shifted = df
     for i, step in enumerate(steps):
         s = step.statistics
@@ -302,6 +303,8 @@ def _fit_powers(df: DataFrame, fitted: Fitted, steps: list[ColumnStep]) -> None:
         if not s["n"] or s["min"] == s["max"]:
             s["lambda"] = None
             continue
+        if "lambda" in step.parameters:
+            given[i] = float(step.parameters["lambda"])
         box = step.action == "box_cox"
         if box and s["min"] <= 0:
             s["shift"] = abs(s["min"]) + 1
@@ -313,7 +316,9 @@ def _fit_powers(df: DataFrame, fitted: Fitted, steps: list[ColumnStep]) -> None:
     if not requests:
         return
     narrow = shifted.select(*requests)
-    found = numeric.fit_power(narrow, requests)
+    free = {a: r for a, r in requests.items() if int(a[1:]) not in given}
+    found = numeric.fit_power(narrow, free) if free else {}
+    found.update({f"w{i}": lam for i, lam in given.items()})
     moments = []
     for alias, lam in found.items():
         if requests[alias][1] == "yeo_johnson":

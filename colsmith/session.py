@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,20 +28,30 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder of the session.
 
-    The folder comes from ``spark.checkpoint.dir``; only when the session names none
-    (tests, notebooks) is a temporary one set.
+    It comes from ``spark.checkpoint.dir``; only when the session names none (tests,
+    notebooks) is a temporary one set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="colsmith-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the reliable checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for intermediate files inside the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
