@@ -22,7 +22,7 @@ CONTENT_PATTERNS = {
     "has_currency_symbols": r"[$£€¥]",
     "has_percentage_symbol": r"%",
     "has_extra_whitespace": r"\s{2,}",
-    "has_special_chars": r"[^\w\s]",
+    "has_special_chars": r"(?U)[^\w\s]",
 }
 
 DOMAIN_PATTERNS = {

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"\b\w\w+\b"
+# Runs of two or more word characters, in any script.
+TOKEN = r"[\p{L}\p{M}\p{N}_]{2,}"
 
 # English stop words left out of the vocabulary on request (fixed values).
 ENGLISH_STOP_WORDS = tuple(
@@ -37,7 +42,7 @@ ENGLISH_STOP_WORDS = tuple(
 
 def tokens(c: Column) -> Column:
     """Lower-cased word tokens of two or more word characters."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit(f"(?U)({TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.coalesce(c.cast("string"), F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 @dataclass
@@ -64,23 +69,35 @@ def fit_vocabulary(df: DataFrame, column: str, max_features: int = 100,
     frequency = df.select(F.explode(present).alias("term")).groupBy("term").count().collect()
     found = {r["term"]: r["count"] for r in frequency}
     rows = df.count()
-    import math
-
     idf = [math.log((1 + rows) / (1 + found.get(t, 0))) + 1 for t in terms]
     return Vocabulary(terms, idf)
 
 
 def tfidf_vector(c: Column, vocabulary: Vocabulary) -> Column:
-    """L2-normalised weights in vocabulary order, computed inside the row.
+    """L2-normalised weights in vocabulary order, per row and without a shuffle.
 
-    The counts come from one pass over the row's own tokens, so nothing is shuffled.
+    Arrow batches go through one vectorised function; use :func:`tfidf_weights` when the rows
+    have a key and the result is wanted in long form.
     """
-    terms = F.lit(vocabulary.terms)
-    known = F.filter(tokens(c), lambda t: F.array_contains(terms, t))
-    counts = F.transform(terms, lambda v: F.size(F.filter(known, lambda t: t == v)).cast("double"))
-    raw = F.zip_with(counts, F.lit(vocabulary.idf), lambda n, w: n * w)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    place = {t: i for i, t in enumerate(vocabulary.terms)}
+    idf = np.array(vocabulary.idf)
+    word = re.compile(r"\w\w+")
+
+    @F.pandas_udf("array<double>")
+    def weights(texts: pd.Series) -> pd.Series:
+        out = []
+        for value in texts:
+            row = np.zeros(len(idf))
+            for token in word.findall((value or "").lower()):
+                i = place.get(token)
+                if i is not None:
+                    row[i] += 1
+            row *= idf
+            norm = np.sqrt((row * row).sum())
+            out.append(row / norm if norm > 0 else row)
+        return pd.Series(out)
+
+    return weights(c.cast("string"))
 
 
 def tfidf_weights(df: DataFrame, key: str, column: str, vocabulary: Vocabulary) -> DataFrame:
