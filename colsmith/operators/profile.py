@@ -22,6 +22,8 @@ from colsmith.operators.quantiles import DIRECT_ROWS, exact_quantiles
 COLUMNS_PER_JOB = 40
 LONG_TEXT = 64
 ALL_PARTS = frozenset({"numbers", "text", "values", "quartiles"})
+WITH_SEMANTICS = ALL_PARTS | {"semantics"}
+FEW_VALUES = 1000
 
 _NUMBER_FIELDS = {
     "n": lambda x: F.count(x),
@@ -54,9 +56,17 @@ _TEXT_SCHEMA = (
 _VALUE_SCHEMA = [
     ("unique_count", "bigint"), ("top_count", "bigint"), ("sum_n_log", "double"), ("all_ordinal", "boolean"),
 ]
+_EXTRA_SCHEMA = (
+    [(f"sem_{n}", "double") for n in [*K.SEMANTIC_PATTERNS, "number", "email"]]
+    + [(f"alt_{n}", "double") for n in K.SECOND_PATTERNS] + [("alt_email", "double"), ("trimmed_length", "double")]
+    + [(f"looks_{n}", "double") for n in K.LOOKS_PATTERNS]
+    + [("embedded_nulls", "double"), ("mixed_case", "double"), ("word_count", "double"), ("json_depth", "double"),
+       ("null_indicators", "bigint"), ("in_boolean_set", "boolean"), ("in_binary_set", "boolean"),
+       ("boolean_words", "boolean"), ("ordinal_words", "boolean"), ("unique_lower", "int")]
+)
 _FENCE_SCHEMA = [("q25", "double"), ("median", "double"), ("q75", "double"),
                  ("outlier_count", "bigint"), ("far_outlier_count", "bigint")]
-RAW_SCHEMA = ", ".join(f"{n} {t}" for n, t in [*_BASE, *_NUMBER_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_FENCE_SCHEMA])
+RAW_SCHEMA = ", ".join(f"{n} {t}" for n, t in [*_BASE, *_NUMBER_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_EXTRA_SCHEMA, *_FENCE_SCHEMA])
 
 
 def simple_types(df: DataFrame) -> list[T.StructField]:
@@ -246,17 +256,90 @@ def _value_pass(df: DataFrame, fields: list[T.StructField], parts: frozenset, ra
             raw[f.name].update(unique_count=0, top_count=0, sum_n_log=0.0, all_ordinal=False)
 
 
-def _text_pass(df: DataFrame, fields: list[T.StructField], raw: dict[str, dict]) -> None:
+def json_depth(x: Column) -> Column:
+    """Nesting depth of a JSON object or array in text; null for anything else.
+
+    A container with content adds one level. Quoted text is removed first, so that only
+    structural brackets are counted.
+    """
+    compact = F.to_json(F.try_parse_json(F.when(F.trim(x).rlike(r"^[\{\[]"), x)))
+    bare = F.regexp_replace(F.regexp_replace(compact, r'"(?:[^"\\]|\\.)*"', "s"), r"\{\}|\[\]", "s")
+    steps = F.split(F.regexp_replace(bare, r"[^\{\}\[\]]", ""), "")
+    walk = F.aggregate(
+        steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
+        lambda s, ch: F.struct(
+            (s["now"] + F.when(ch.isin("{", "["), 1).when(ch.isin("}", "]"), -1).otherwise(0)).alias("now"),
+            F.greatest(s["top"], s["now"] + F.when(ch.isin("{", "["), 1).otherwise(0)).alias("top")),
+        lambda s: s["top"])
+    return F.when(compact.isNotNull(), walk.cast("double"))
+
+
+def extra_aggregates(x: Column, n: Column, few: list[int]) -> dict[str, Column]:
+    """Semantic patterns and "looks like" measures of text values that occur ``n`` times each."""
+    total = F.sum(n)
+    trimmed = F.trim(x)
+    low = F.lower(trimmed)
+
+    def part(condition: Column) -> Column:
+        return F.sum(F.when(condition, n).otherwise(F.lit(0))) / total
+
+    def only(words) -> Column:
+        return F.bool_and(low.isin(*words))
+
+    found = {f"sem_{k}": part((trimmed if k == "phone" else x).rlike(p)) for k, p in K.SEMANTIC_PATTERNS.items()}
+    found["sem_number"] = part(trimmed.try_cast("double").isNotNull())
+    found["sem_email"] = part(x.rlike(K.EMAIL))
+    found |= {f"alt_{k}": part(trimmed.rlike(p)) for k, p in K.SECOND_PATTERNS.items()}
+    found["alt_email"] = part(trimmed.rlike(K.EMAIL))
+    found["trimmed_length"] = F.sum(F.length(trimmed) * n) / total
+    found |= {f"looks_{k}": part(x.rlike(p)) for k, p in K.LOOKS_PATTERNS.items()}
+    hits = sum((x.rlike(f"(?i){p}").cast("int") for p in K.EMBEDDED_NULL_PATTERNS), F.lit(0))
+    found["embedded_nulls"] = F.least(F.lit(1.0), F.sum(hits * n) / total)
+    found["mixed_case"] = part(x.rlike("[A-Z]") & x.rlike("[a-z]"))
+    found["word_count"] = F.sum(F.size(F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0))) * n) / total
+    depth = json_depth(x)
+    found["json_depth"] = F.coalesce(F.sum(depth * n) / F.sum(F.when(depth.isNotNull(), n)), F.lit(0.0))
+    found["null_indicators"] = F.sum(F.when(low.isin(*K.NULL_INDICATORS), n).otherwise(F.lit(0)))
+    found["in_boolean_set"] = S.any_of([only(words) for words in K.BOOLEAN_SETS])
+    found["in_binary_set"] = S.any_of([F.bool_and(F.lower(x).isin(*words)) for words in K.BINARY_SETS])
+    found["boolean_words"] = F.bool_and(F.lower(x).isin(*K.BOOLEAN_WORDS))
+    found["ordinal_words"] = F.bool_or(F.lower(x).isin(*K.ORDINAL_WORDS))
+    found["unique_lower"] = F.size(F.collect_set(F.when(F.col("k").isin(*few), F.lower(x)))) if few else F.lit(0)
+    return found
+
+
+def weighted_texts(df: DataFrame, group: list[T.StructField], raw: dict[str, dict]) -> DataFrame:
+    """(k, x, n): every distinct short value with its count, every long value as it is."""
+    counted = value_counts(df, group).where(F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
+    long = [k for k, f in enumerate(group) if (raw[f.name]["max_length"] or 0) > LONG_TEXT]
+    if not long:
+        return counted
+    cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{group[k].name}`").alias("x"), F.lit(1).cast("bigint").alias("n")) for k in long]
+    return counted.unionByName(_stacked(df, cells).where(F.length("x") > LONG_TEXT))
+
+
+def _text_pass(df: DataFrame, fields: list[T.StructField], parts: frozenset, raw: dict[str, dict]) -> None:
     """Patterns are tried once per distinct short value and once per long value."""
     texts = [f for f in fields if S.is_text_type(_kind(f))]
     for group in _groups(texts):
-        counted = value_counts(df, group).where(F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
-        long = [k for k, f in enumerate(group) if (raw[f.name]["max_length"] or 0) > LONG_TEXT]
-        if long:
-            cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{group[k].name}`").alias("x"), F.lit(1).cast("bigint").alias("n")) for k in long]
-            counted = counted.unionByName(_stacked(df, cells).where(F.length("x") > LONG_TEXT))
-        made = text_aggregates(F.col("x"), F.col("n"))
-        for row in counted.groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
+        rows = weighted_texts(df, group, raw)
+        made = text_aggregates(F.col("x"), F.col("n")) if "text" in parts else {}
+        if "semantics" in parts:
+            few = [k for k, f in enumerate(group) if raw[f.name].get("unique_count", FEW_VALUES) < FEW_VALUES]
+            made |= extra_aggregates(F.col("x"), F.col("n"), few)
+        for row in rows.groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
+            raw[group[row["k"]].name].update({n: row[n] for n in made})
+
+
+def _digit_pass(df: DataFrame, fields: list[T.StructField], raw: dict[str, dict]) -> None:
+    """What whole numbers look like as text: their length, and whether they read as phone numbers."""
+    whole = [f for f in fields if _kind(f) in ("tinyint", "smallint", "int", "bigint")]
+    for group in _groups(whole):
+        cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{f.name}`").cast("bigint").cast("string").alias("x")) for k, f in enumerate(group)]
+        size = F.length("x")
+        made = {"avg_length": F.avg(size), "length_std": F.stddev_samp(size), "sem_phone": S.share(F.col("x").rlike(r"^\d{10,15}$")),
+                "sem_alnum": S.share(F.col("x").rlike(r"^\d+$"))}
+        for row in _stacked(df, cells).groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
             raw[group[row["k"]].name].update({n: row[n] for n in made})
 
 
@@ -286,6 +369,7 @@ def _fence_pass(df: DataFrame, fields: list[T.StructField], raw: dict[str, dict]
 
 def raw_profile(df: DataFrame, name: str, parts: frozenset | set = ALL_PARTS) -> list[tuple]:
     """One tuple per column in the order of ``RAW_SCHEMA``."""
+    parts = frozenset(parts)
     plain = standardise(df)
     fields = simple_types(plain)
     source_kind = {f.name: _kind(f) for f in df.schema.fields}
@@ -293,8 +377,10 @@ def raw_profile(df: DataFrame, name: str, parts: frozenset | set = ALL_PARTS) ->
     _wide_pass(plain, fields, frozenset(parts), raw)
     if "values" in parts:
         _value_pass(plain, fields, frozenset(parts), raw)
-    if "text" in parts:
-        _text_pass(plain, fields, raw)
+    if parts & {"text", "semantics"}:
+        _text_pass(plain, fields, frozenset(parts), raw)
+    if "semantics" in parts:
+        _digit_pass(plain, fields, raw)
     if "quartiles" in parts:
         _fence_pass(plain, fields, raw)
     rows = []
@@ -310,7 +396,7 @@ def raw_profile(df: DataFrame, name: str, parts: frozenset | set = ALL_PARTS) ->
 
 
 def _raw_names() -> list[str]:
-    return [n for n, _ in [*_BASE, *_NUMBER_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_FENCE_SCHEMA]]
+    return [n for n, _ in [*_BASE, *_NUMBER_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_EXTRA_SCHEMA, *_FENCE_SCHEMA]]
 
 
 def profile(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PARTS) -> DataFrame:
