@@ -76,38 +76,34 @@ def minimal_features(profile: DataFrame) -> DataFrame:
 
 def diversity(df: DataFrame, table_name: str) -> DataFrame:
     """Distinct characters, URL hosts and mail domains per text column."""
-    plain = P.standardise(df)
-    texts = [f for f in P.simple_types(plain) if S.is_text_type(f.dataType.simpleString())]
+    texts = [f for f in P.fields_of({table_name: df}) if f.is_text]
     spark = df.sparkSession
     schema = "table_name string, column_name string, chars bigint, hosts bigint, host_rows bigint, domains bigint, domain_rows bigint"
-    rows = []
-    for group in P._groups(texts):
-        cells = P._stacked(plain, [F.struct(F.lit(k).alias("k"), F.col(f"`{f.name}`").alias("x")) for k, f in enumerate(group)])
-        present = cells.where(F.col("x").isNotNull())
-        items = present.select("k", F.explode(F.concat(
+    found = {f.k: dict.fromkeys(("chars", "hosts", "host_rows", "domains", "domain_rows"), 0) for f in texts}
+    if texts:
+        cells = P.stacked(texts, lambda f: F.struct(F.lit(f.k).alias("k"), f.column.alias("x")))
+        items = cells.where(F.col("x").isNotNull()).select("k", F.explode(F.concat(
             F.transform(F.array_distinct(F.split("x", "")), lambda ch: F.struct(F.lit("chars").alias("kind"), ch.alias("item"))),
             F.array(
                 F.struct(F.lit("hosts").alias("kind"), F.regexp_extract("x", r"https?://([^/]+)", 1).alias("item")),
                 F.struct(F.lit("domains").alias("kind"), F.regexp_extract("x", r"@([a-zA-Z0-9.-]+\.[a-zA-Z]{2,})", 1).alias("item"))),
         )).alias("e")).select("k", "e.kind", "e.item").where(F.col("item") != "")
         counted = items.groupBy("k", "kind", "item").agg(F.count(F.lit(1)).alias("n"))
-        found = {k: dict.fromkeys(("chars", "hosts", "host_rows", "domains", "domain_rows"), 0) for k in range(len(group))}
         for r in counted.groupBy("k", "kind").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect():
             found[r["k"]][r["kind"]] = r["d"]
             if r["kind"] != "chars":
                 found[r["k"]][f"{r['kind'][:-1]}_rows"] = r["n"]
-        rows += [(table_name, group[k].name, f["chars"], f["hosts"], f["host_rows"], f["domains"], f["domain_rows"]) for k, f in found.items()]
+    rows = [(table_name, f.name, *found[f.k].values()) for f in texts]
     return spark.createDataFrame(rows, schema)
 
 
 def sequence_features(df: DataFrame, table_name: str, order_by: list[str],
                       chunk_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Lag correlations, direction counts and trend of every number column in a given order."""
-    plain = P.standardise(df)
-    numbers = [f for f in P.simple_types(plain) if S.is_number(f.dataType.simpleString())]
+    numbers = [f for f in P.fields_of({table_name: df}) if f.is_number]
     keys = [F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order_by)]
-    cells = [F.struct(F.lit(f.name).alias("column_name"), P._number(f).alias("x")) for f in numbers]
-    long = plain.select(*keys, F.inline(F.array(*cells))).where(F.col("x").isNotNull())
+    cells = [F.struct(F.lit(f.name).alias("column_name"), f.number.alias("x")) for f in numbers]
+    long = df.select(*keys, F.inline(F.array(*cells))).where(F.col("x").isNotNull())
     lagged = with_lags(long, "x", list(LAGS), [f"o{i}" for i in range(len(order_by))], ["column_name"],
                        chunk_rows, chunk_rows)
     step = F.col("x") - F.col("lag_1")

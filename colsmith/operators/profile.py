@@ -9,6 +9,9 @@ groups of columns so that generated code stays within limits.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,6 +27,7 @@ LONG_TEXT = 64
 ALL_PARTS = frozenset({"numbers", "text", "values", "quartiles"})
 WITH_SEMANTICS = ALL_PARTS | {"semantics"}
 FEW_VALUES = 1000
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 _NUMBER_FIELDS = {
     "n": lambda x: F.count(x),
@@ -69,6 +73,34 @@ _FENCE_SCHEMA = [("q25", "double"), ("median", "double"), ("q75", "double"),
 RAW_SCHEMA = ", ".join(f"{n} {t}" for n, t in [*_BASE, *_NUMBER_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_EXTRA_SCHEMA, *_FENCE_SCHEMA])
 
 
+@dataclass(frozen=True)
+class Field:
+    """One column of one of the profiled tables, with its number in the long form."""
+
+    k: int
+    table: str
+    name: str
+    kind: str
+    source_kind: str
+    frame: DataFrame
+
+    @property
+    def column(self) -> Column:
+        return F.col(f"`{self.name}`")
+
+    @property
+    def is_number(self) -> bool:
+        return S.is_number(self.kind)
+
+    @property
+    def is_text(self) -> bool:
+        return S.is_text_type(self.kind)
+
+    @property
+    def number(self) -> Column:
+        return S.as_double(self.column, self.kind)
+
+
 def simple_types(df: DataFrame) -> list[T.StructField]:
     """The columns a profile covers: numbers, text, dates and booleans."""
     kept = []
@@ -96,14 +128,6 @@ def _groups(items: list, size: int = COLUMNS_PER_JOB):
     return [items[i:i + size] for i in range(0, len(items), size)]
 
 
-def _number(f: T.StructField) -> Column:
-    return S.as_double(F.col(f"`{f.name}`"), f.dataType.simpleString())
-
-
-def _kind(f: T.StructField) -> str:
-    return f.dataType.simpleString()
-
-
 def text_aggregates(x: Column, n: Column) -> dict[str, Column]:
     """Pattern statistics of text values that occur ``n`` times each."""
     total = F.sum(n)
@@ -133,70 +157,68 @@ _LENGTHS = {
 }
 
 
-def _stacked(df: DataFrame, cells: list[Column]) -> DataFrame:
-    """One row per cell struct; the array is inlined, so nothing is shuffled."""
-    return df.select(F.inline(F.array(*cells)))
-
+def stacked(fields: list[Field], cell: Callable[[Field], Column]) -> DataFrame:
+    """One row per (row, column): the struct ``cell`` makes of each column.
 
-def _wide_pass(df: DataFrame, fields: list[T.StructField], parts: frozenset, raw: dict[str, dict]) -> None:
-    """Counts and text lengths of all columns, then the moments of the numbers in long form.
-
-    Long form keeps the generated code small whatever the number of columns.
+    Arrays of structs are inlined per table, so nothing is shuffled; tables are united, so one
+    job serves all of them and the generated code stays small whatever the number of columns.
     """
-    rows = None
-    for group in _groups(fields):
-        aggregates = [F.count(F.lit(1)).alias("rows")]
-        for i, f in enumerate(group):
-            aggregates.append(F.count(F.col(f"`{f.name}`")).alias(f"{i}|present"))
-            if S.is_text_type(_kind(f)) and parts & {"text", "values"}:
-                size = F.length(F.col(f"`{f.name}`"))
-                aggregates += [make(size).alias(f"{i}|{name}") for name, make in _LENGTHS.items()]
-        row = df.agg(*aggregates).first().asDict()
-        rows = row.pop("rows")
-        for key, value in row.items():
-            i, name = key.split("|")
-            raw[group[int(i)].name][name] = value
-    for f in fields:
-        raw[f.name]["row_count"] = rows
-    numbers = [f for f in fields if S.is_number(_kind(f))]
+    frames = []
+    for table in dict.fromkeys(f.table for f in fields):
+        own = [f for f in fields if f.table == table]
+        frames += [own[0].frame.select(F.inline(F.array(*[cell(f) for f in group]))) for group in _groups(own)]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _moment_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
+    """Row and value counts, moments of the numbers and lengths of the texts."""
+    nothing = F.lit(None).cast("double")
+    cells = stacked(fields, lambda f: F.struct(
+        F.lit(f.k).alias("k"), f.column.isNotNull().alias("has"), (f.number if f.is_number else nothing).alias("x"),
+        (F.length(f.column) if f.is_text else F.lit(None).cast("int")).alias("size")))
+    made = [F.count(F.lit(1)).alias("row_count"), F.count_if("has").alias("present")]
+    made += [make(F.col("size")).alias(name) for name, make in _LENGTHS.items()]
     if "numbers" in parts:
-        for group in _groups(numbers):
-            cells = _stacked(df, [F.struct(F.lit(k).alias("k"), _number(f).alias("x")) for k, f in enumerate(group)])
-            made = [make(F.col("x")).alias(name) for name, make in _NUMBER_FIELDS.items()]
-            for row in cells.groupBy("k").agg(*made).collect():
-                raw[group[row["k"]].name].update({n: row[n] for n in _NUMBER_FIELDS})
+        made += [make(F.col("x")).alias(name) for name, make in _NUMBER_FIELDS.items()]
+    for row in cells.groupBy("k").agg(*made).collect():
+        found = row.asDict()
+        raw[found.pop("k")].update(found)
+    for f in fields:
+        raw[f.k].setdefault("row_count", 0)
+        raw[f.k].setdefault("present", 0)
+        if not f.is_number:
+            raw[f.k].update(dict.fromkeys(_NUMBER_FIELDS))
 
 
-def value_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+def value_counts(fields: list[Field]) -> DataFrame:
     """(k, whole, real, word, digest, n): how often each value of column number ``k`` occurs.
 
     Values keep an exact key of their own type; text longer than 64 characters is keyed by its
     digest and length so that the shuffle stays small. Counting starts on the map side, which
     keeps a value held by a third of all rows harmless.
     """
-    cells = []
-    for k, f in enumerate(fields):
-        kind, c = _kind(f), F.col(f"`{f.name}`")
+    def cell(f: Field) -> Column:
+        c = f.column
         key = {"whole": F.lit(None).cast("bigint"), "real": F.lit(None).cast("double"),
                "word": F.lit(None).cast("string"), "digest": F.lit(None).cast("string")}
-        if kind == "boolean":
+        if f.kind == "boolean":
             key["whole"] = c.cast("int").cast("bigint")
-        elif kind in ("tinyint", "smallint", "int", "bigint"):
+        elif f.kind in WHOLE:
             key["whole"] = c.cast("bigint")
-        elif S.is_number(kind):
+        elif f.is_number:
             key["real"] = c.cast("double")
-        elif kind == "date":
+        elif f.kind == "date":
             key["whole"] = F.unix_date(c).cast("bigint")
-        elif S.is_time_type(kind):
+        elif S.is_time_type(f.kind):
             key["whole"] = F.unix_micros(c.cast("timestamp"))
         else:
             long = F.length(c) > LONG_TEXT
             key["word"] = F.when(~long, c)
             key["digest"] = F.when(long, F.concat_ws("#", F.md5(c), F.length(c).cast("string")))
-        cells.append(F.struct(F.lit(k).alias("k"), *[v.alias(name) for name, v in key.items()]))
-    rows = _stacked(df, cells).where(F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull()
-                                                | F.col("word").isNotNull() | F.col("digest").isNotNull(), F.lit(False)))
-    return rows.groupBy("k", "whole", "real", "word", "digest").agg(F.count(F.lit(1)).alias("n"))
+        return F.struct(F.lit(f.k).alias("k"), *[v.alias(name) for name, v in key.items()])
+
+    known = S.any_of([F.col(c).isNotNull() for c in ("whole", "real", "word", "digest")])
+    return stacked(fields, cell).where(known).groupBy("k", "whole", "real", "word", "digest").agg(F.count(F.lit(1)).alias("n"))
 
 
 def value_aggregates() -> list[Column]:
@@ -231,29 +253,28 @@ def _quartile_aggregates(counted: DataFrame, ranks: dict[int, int]) -> DataFrame
     return upto.groupBy("k").agg(*picked)
 
 
-def _value_pass(df: DataFrame, fields: list[T.StructField], parts: frozenset, raw: dict[str, dict]) -> None:
+def _value_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
     """Distinct values, entropy and top value of all columns, and quartiles of short ones.
 
     Both come from one shuffle of value counts, which the planner reuses.
     """
-    for group in _groups(fields):
-        counted = value_counts(df, group)
-        summary = counted.groupBy("k").agg(*value_aggregates())
-        ranks = {k: raw[f.name]["present"] for k, f in enumerate(group)
-                 if S.is_number(_kind(f)) and 0 < raw[f.name]["present"] <= DIRECT_ROWS and "quartiles" in parts}
-        if ranks:
-            summary = summary.join(F.broadcast(_quartile_aggregates(counted, ranks)), "k", "left")
-        for row in summary.collect():
-            found = raw[group[row["k"]].name]
-            found.update({n: row[n] for n, _ in _VALUE_SCHEMA})
-            if row["k"] in ranks:
-                for name, p in _PROBS.items():
-                    position = (ranks[row["k"]] - 1) * p
-                    lo, hi = row[f"{name}_lo"], row[f"{name}_hi"]
-                    found[name] = lo + (hi - lo) * (position - math.floor(position))
+    counted = value_counts(fields)
+    summary = counted.groupBy("k").agg(*value_aggregates())
+    ranks = {f.k: raw[f.k]["present"] for f in fields
+             if f.is_number and 0 < raw[f.k]["present"] <= DIRECT_ROWS and "quartiles" in parts}
+    if ranks:
+        summary = summary.join(F.broadcast(_quartile_aggregates(counted, ranks)), "k", "left")
+    for row in summary.collect():
+        found = raw[row["k"]]
+        found.update({n: row[n] for n, _ in _VALUE_SCHEMA})
+        if row["k"] in ranks:
+            for name, p in _PROBS.items():
+                position = (ranks[row["k"]] - 1) * p
+                lo, hi = row[f"{name}_lo"], row[f"{name}_hi"]
+                found[name] = lo + (hi - lo) * (position - math.floor(position))
     for f in fields:
-        if "unique_count" not in raw[f.name]:
-            raw[f.name].update(unique_count=0, top_count=0, sum_n_log=0.0, all_ordinal=False)
+        if "unique_count" not in raw[f.k]:
+            raw[f.k].update(unique_count=0, top_count=0, sum_n_log=0.0, all_ordinal=False)
 
 
 def json_depth(x: Column) -> Column:
@@ -308,90 +329,100 @@ def extra_aggregates(x: Column, n: Column, few: list[int]) -> dict[str, Column]:
     return found
 
 
-def weighted_texts(df: DataFrame, group: list[T.StructField], raw: dict[str, dict]) -> DataFrame:
+def weighted_texts(fields: list[Field], raw: list[dict]) -> DataFrame:
     """(k, x, n): every distinct short value with its count, every long value as it is."""
-    counted = value_counts(df, group).where(F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
-    long = [k for k, f in enumerate(group) if (raw[f.name]["max_length"] or 0) > LONG_TEXT]
+    counted = value_counts(fields).where(F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
+    long = [f for f in fields if (raw[f.k]["max_length"] or 0) > LONG_TEXT]
     if not long:
         return counted
-    cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{group[k].name}`").alias("x"), F.lit(1).cast("bigint").alias("n")) for k in long]
-    return counted.unionByName(_stacked(df, cells).where(F.length("x") > LONG_TEXT))
+    rows = stacked(long, lambda f: F.struct(F.lit(f.k).alias("k"), f.column.alias("x"), F.lit(1).cast("bigint").alias("n")))
+    return counted.unionByName(rows.where(F.length("x") > LONG_TEXT))
 
 
-def _text_pass(df: DataFrame, fields: list[T.StructField], parts: frozenset, raw: dict[str, dict]) -> None:
+def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
     """Patterns are tried once per distinct short value and once per long value."""
-    texts = [f for f in fields if S.is_text_type(_kind(f))]
-    for group in _groups(texts):
-        rows = weighted_texts(df, group, raw)
-        made = text_aggregates(F.col("x"), F.col("n")) if "text" in parts else {}
-        if "semantics" in parts:
-            few = [k for k, f in enumerate(group) if raw[f.name].get("unique_count", FEW_VALUES) < FEW_VALUES]
-            made |= extra_aggregates(F.col("x"), F.col("n"), few)
-        for row in rows.groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
-            raw[group[row["k"]].name].update({n: row[n] for n in made})
-
-
-def _digit_pass(df: DataFrame, fields: list[T.StructField], raw: dict[str, dict]) -> None:
+    texts = [f for f in fields if f.is_text]
+    if not texts:
+        return
+    made = text_aggregates(F.col("x"), F.col("n")) if "text" in parts else {}
+    if "semantics" in parts:
+        few = [f.k for f in texts if raw[f.k].get("unique_count", FEW_VALUES) < FEW_VALUES]
+        made |= extra_aggregates(F.col("x"), F.col("n"), few)
+    for row in weighted_texts(texts, raw).groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
+        raw[row["k"]].update({n: row[n] for n in made})
+
+
+def _digit_pass(fields: list[Field], raw: list[dict]) -> None:
     """What whole numbers look like as text: their length, and whether they read as phone numbers."""
-    whole = [f for f in fields if _kind(f) in ("tinyint", "smallint", "int", "bigint")]
-    for group in _groups(whole):
-        cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{f.name}`").cast("bigint").cast("string").alias("x")) for k, f in enumerate(group)]
-        size = F.length("x")
-        made = {"avg_length": F.avg(size), "length_std": F.stddev_samp(size), "sem_phone": S.share(F.col("x").rlike(r"^\d{10,15}$")),
-                "sem_alnum": S.share(F.col("x").rlike(r"^\d+$"))}
-        for row in _stacked(df, cells).groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
-            raw[group[row["k"]].name].update({n: row[n] for n in made})
-
-
-def _fence_pass(df: DataFrame, fields: list[T.StructField], raw: dict[str, dict]) -> None:
-    numbers = [f for f in fields if S.is_number(_kind(f))]
-    for group in _groups(numbers):
-        plain = df.select(*[_number(f).alias(f"c{i}") for i, f in enumerate(group)])
-        missing = {f"c{i}": raw[f.name]["present"] for i, f in enumerate(group) if "q25" not in raw[f.name]}
-        found = exact_quantiles(plain, {c: list(_PROBS.values()) for c in missing}, missing)
-        for c, values in found.items():
-            raw[group[int(c[1:])].name].update(dict(zip(_PROBS, values)))
-        tests = []
-        for i, f in enumerate(group):
-            known = raw[f.name]
-            known.update(outlier_count=0, far_outlier_count=0)
-            if known["q25"] is None:
-                continue
-            for name, width in (("outlier_count", 1.5), ("far_outlier_count", 3.0)):
-                spread = width * (known["q75"] - known["q25"])
-                outside = (F.col(f"c{i}") < known["q25"] - spread) | (F.col(f"c{i}") > known["q75"] + spread)
-                tests.append(F.count_if(outside).alias(f"{i}|{name}"))
-        if tests:
-            for key, value in plain.agg(*tests).first().asDict().items():
-                i, name = key.split("|")
-                raw[group[int(i)].name][name] = value
-
-
-def raw_profile(df: DataFrame, name: str, parts: frozenset | set = ALL_PARTS) -> list[tuple]:
+    whole = [f for f in fields if f.kind in WHOLE]
+    if not whole:
+        return
+    size = F.length("x")
+    made = {"avg_length": F.avg(size), "length_std": F.stddev_samp(size), "sem_phone": S.share(F.col("x").rlike(r"^\d{10,15}$")),
+            "sem_alnum": S.share(F.col("x").rlike(r"^\d+$"))}
+    cells = stacked(whole, lambda f: F.struct(F.lit(f.k).alias("k"), f.column.cast("bigint").cast("string").alias("x")))
+    for row in cells.groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
+        raw[row["k"]].update({n: row[n] for n in made})
+
+
+def _fence_pass(fields: list[Field], raw: list[dict]) -> None:
+    """Quartiles of the columns that still lack them, then the values outside the fences."""
+    numbers = [f for f in fields if f.is_number]
+    for table in dict.fromkeys(f.table for f in numbers):
+        missing = [f for f in numbers if f.table == table and "q25" not in raw[f.k] and raw[f.k]["present"]]
+        if missing:
+            plain = missing[0].frame.select(*[f.number.alias(f"c{f.k}") for f in missing])
+            found = exact_quantiles(plain, {f"c{f.k}": list(_PROBS.values()) for f in missing},
+                                    {f"c{f.k}": raw[f.k]["present"] for f in missing})
+            for f in missing:
+                raw[f.k].update(dict(zip(_PROBS, found[f"c{f.k}"])))
+    known = [f for f in numbers if raw[f.k].get("q25") is not None]
+    for f in numbers:
+        raw[f.k].update(outlier_count=0, far_outlier_count=0)
+    if not known:
+        return
+
+    def outside(f: Field, width: float) -> Column:
+        spread = width * (raw[f.k]["q75"] - raw[f.k]["q25"])
+        return (f.number < raw[f.k]["q25"] - spread) | (f.number > raw[f.k]["q75"] + spread)
+
+    cells = stacked(known, lambda f: F.struct(F.lit(f.k).alias("k"), outside(f, 1.5).alias("near"), outside(f, 3.0).alias("far")))
+    for row in cells.groupBy("k").agg(F.count_if("near").alias("a"), F.count_if("far").alias("b")).collect():
+        raw[row["k"]].update(outlier_count=row["a"], far_outlier_count=row["b"])
+
+
+def fields_of(tables: dict[str, DataFrame]) -> list[Field]:
+    found = []
+    for table, df in tables.items():
+        plain = standardise(df)
+        source = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        for f in simple_types(plain):
+            found.append(Field(len(found), table, f.name, f.dataType.simpleString(), source[f.name], plain))
+    return found
+
+
+def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PARTS) -> list[tuple]:
     """One tuple per column in the order of ``RAW_SCHEMA``."""
     parts = frozenset(parts)
-    plain = standardise(df)
-    fields = simple_types(plain)
-    source_kind = {f.name: _kind(f) for f in df.schema.fields}
-    raw = {f.name: {} for f in fields}
-    _wide_pass(plain, fields, frozenset(parts), raw)
+    fields = fields_of(tables)
+    raw: list[dict] = [{} for _ in fields]
+    _moment_pass(fields, parts, raw)
     if "values" in parts:
-        _value_pass(plain, fields, frozenset(parts), raw)
+        _value_pass(fields, parts, raw)
     if parts & {"text", "semantics"}:
-        _text_pass(plain, fields, frozenset(parts), raw)
+        _text_pass(fields, parts, raw)
     if "semantics" in parts:
-        _digit_pass(plain, fields, raw)
+        _digit_pass(fields, raw)
     if "quartiles" in parts:
-        _fence_pass(plain, fields, raw)
+        _fence_pass(fields, raw)
+    places: dict[str, int] = {}
     rows = []
-    for i, f in enumerate(fields):
-        kind = _kind(f)
-        raw[f.name].update(
-            table_name=name, column_name=f.name, position=i, type_name=source_kind[f.name], is_numeric=S.is_number(kind),
-            is_string=S.is_text_type(kind), is_temporal=S.is_time_type(kind),
-            is_integer=kind in ("tinyint", "smallint", "int", "bigint"),
-        )
-        rows.append(tuple(raw[f.name].get(n.split()[0]) for n in _raw_names()))
+    for f in fields:
+        places[f.table] = places.get(f.table, -1) + 1
+        raw[f.k].update(
+            table_name=f.table, column_name=f.name, position=places[f.table], type_name=f.source_kind, is_numeric=f.is_number,
+            is_string=f.is_text, is_temporal=S.is_time_type(f.kind), is_integer=f.kind in WHOLE)
+        rows.append(tuple(raw[f.k].get(n) for n in _raw_names()))
     return rows
 
 
@@ -402,8 +433,7 @@ def _raw_names() -> list[str]:
 def profile(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PARTS) -> DataFrame:
     """Profile table of all simple columns of the given tables."""
     spark = next(iter(tables.values())).sparkSession
-    rows = [row for name, df in tables.items() for row in raw_profile(df, name, parts)]
-    return derive(raw_table(spark, rows))
+    return derive(raw_table(spark, raw_profiles(tables, parts)))
 
 
 def raw_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
