@@ -23,6 +23,7 @@ CONTENT_PATTERNS = {
     "has_percentage_symbol": r"%",
     "has_extra_whitespace": r"\s{2,}",
     "has_special_chars": r"(?U)[^\w\s]",
+    "has_delimiters": r"[,;|/\t]",
 }
 
 DOMAIN_PATTERNS = {
