@@ -38,7 +38,7 @@ def _(load):
 _STATS = profile_sql("orders", text=False)
 
 
-@query("k5_budget", f"SELECT column_name, round(0.1 * row_number() OVER (ORDER BY column_name), 6) AS spent, row_number() OVER (ORDER BY column_name) <= 3 AS answered FROM {_STATS} p")
+@query("k5_budget", f"SELECT column_name, round(0.1::DOUBLE * row_number() OVER (ORDER BY column_name), 6) AS spent, row_number() OVER (ORDER BY column_name) <= 3 AS answered FROM {_STATS} p")
 def _(load):
     rows = profile({"orders": load("orders")}, {"numbers", "values"}).select("column_name", F.coalesce("mean", F.lit(0.0)).alias("value"))
     found = K.budgeted(rows, "column_name", 0.3, seed=7)

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 
 MANUAL_SECONDS = 60.0
 
+# Label spellings counted as the same action.
+LABEL_SYNONYMS = {
+    "keep_as_is": "keep_as_is", "retain_column": "keep_as_is", "drop_column": "drop_column",
+    "scale": "standard_scale", "scale_or_normalize": "standard_scale", "standard_scale": "standard_scale", "normalize": "standard_scale",
+    "log_transform": "log_transform", "log1p_transform": "log_transform",
+    "encode_categorical": "encode_categorical", "label_encode": "encode_categorical", "ordinal_encode": "encode_categorical",
+    "frequency_encode": "frequency_encode", "onehot_encode": "onehot_encode",
+    "parse_datetime": "parse_datetime", "parse_boolean": "parse_boolean",
+}
+
 
 def confusion(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     return rows.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
@@ -31,11 +41,11 @@ def accuracy_by(rows: DataFrame, dataset: str, truth: str = "truth", predicted:
     return rows.rollup(F.col(dataset).alias("dataset")).agg(right.alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-def map_labels(c: Column, names: dict[str, str]) -> Column:
-    """Replace labels by their mapped names; labels without one stay."""
-    clean = F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
-    mapped = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[clean]
-    return F.coalesce(mapped, clean)
+def map_labels(c: Column, names: dict[str, str] | None = None) -> Column:
+    """One spelling per action: given names first, then the known synonyms; others stay."""
+    clean = F.regexp_replace(F.lower(F.trim(c)), "[ -]", "_")
+    known = {**LABEL_SYNONYMS, **(names or {})}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[clean], clean)
 
 
 def variant_summary(scores: DataFrame) -> DataFrame:
