@@ -62,19 +62,20 @@ def composite_keys(df: DataFrame, table_name: str, max_size: int = 3, include_su
 def correlations(df: DataFrame, table_name: str, floor: float = STRONG_CORRELATION) -> DataFrame:
     """Pearson correlations of all pairs of number columns, both ways, strongest first per column.
 
-    All pairs are aggregates of one pass (in groups for wide tables).
+    Pairs are put in long form inside each task and aggregated on the map side, so one pass
+    serves them all and the generated code does not grow with the number of columns.
     """
     fields = [f for f in P.fields_of({table_name: df}) if f.is_number]
-    pairs = list(combinations(range(len(fields)), 2))
+    pairs = list(combinations(fields, 2))
     rows = []
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         group = pairs[start:start + PAIRS_PER_JOB]
-        plain = fields[0].frame.select(*[f.number.alias(f"c{i}") for i, f in enumerate(fields)])
-        values = plain.agg(*[F.corr(f"c{a}", f"c{b}").alias(f"p{i}") for i, (a, b) in enumerate(group)]).first()
-        for i, (a, b) in enumerate(group):
-            v = values[f"p{i}"]
+        cells = [F.struct(F.lit(i).alias("k"), a.number.alias("x"), b.number.alias("y")) for i, (a, b) in enumerate(group)]
+        found = fields[0].frame.select(F.inline(F.array(*cells))).groupBy("k").agg(F.corr("x", "y").alias("v"))
+        for r in found.collect():
+            v, (a, b) = r["v"], group[r["k"]]
             if v is not None and v == v and abs(v) >= floor:
-                rows += [(table_name, fields[a].name, fields[b].name, v), (table_name, fields[b].name, fields[a].name, v)]
+                rows += [(table_name, a.name, b.name, v), (table_name, b.name, a.name, v)]
     rows.sort(key=lambda r: (r[1], -abs(r[3]), r[2]))
     return df.sparkSession.createDataFrame(rows, "table_name string, column_name string, other string, correlation double")
 

@@ -34,9 +34,6 @@ _NUMBER_FIELDS = {
     "min_value": F.min,
     "max_value": F.max,
     "mean": F.avg,
-    "std": F.stddev_samp,
-    "skew_pop": F.skewness,
-    "kurt_pop": F.kurtosis,
     "zeros": lambda x: F.count_if(x == 0),
     "positives": lambda x: F.count_if(x > 0),
     "negatives": lambda x: F.count_if(x < 0),
@@ -51,6 +48,7 @@ _BASE = [
 ]
 _NUMBER_SCHEMA = [(f, "bigint" if f in ("n", "zeros", "positives", "negatives", "decimals", "encoded_nulls") else "double")
                   for f in _NUMBER_FIELDS]
+_CENTRED_SCHEMA = [("std", "double"), ("skew_pop", "double"), ("kurt_pop", "double")]
 _TEXT_SCHEMA = (
     [("avg_length", "double"), ("min_length", "bigint"), ("max_length", "bigint"), ("length_std", "double")]
     + [(f, "double") for f in K.VALUE_PATTERNS] + [("matches_json", "double")]
@@ -70,7 +68,7 @@ _EXTRA_SCHEMA = (
 )
 _FENCE_SCHEMA = [("q25", "double"), ("median", "double"), ("q75", "double"),
                  ("outlier_count", "bigint"), ("far_outlier_count", "bigint")]
-RAW_SCHEMA = ", ".join(f"{n} {t}" for n, t in [*_BASE, *_NUMBER_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_EXTRA_SCHEMA, *_FENCE_SCHEMA])
+RAW_SCHEMA = ", ".join(f"{n} {t}" for n, t in [*_BASE, *_NUMBER_SCHEMA, *_CENTRED_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_EXTRA_SCHEMA, *_FENCE_SCHEMA])
 
 
 @dataclass(frozen=True)
@@ -365,30 +363,55 @@ def _digit_pass(fields: list[Field], raw: list[dict]) -> None:
         raw[row["k"]].update({n: row[n] for n in made})
 
 
-def _fence_pass(fields: list[Field], raw: list[dict]) -> None:
-    """Quartiles of the columns that still lack them, then the values outside the fences."""
-    numbers = [f for f in fields if f.is_number]
-    for table in dict.fromkeys(f.table for f in numbers):
-        missing = [f for f in numbers if f.table == table and "q25" not in raw[f.k] and raw[f.k]["present"]]
+def _missing_quartiles(fields: list[Field], raw: list[dict]) -> None:
+    """Quartiles of the columns too long for the value counts."""
+    for table in dict.fromkeys(f.table for f in fields):
+        missing = [f for f in fields if f.table == table and "q25" not in raw[f.k] and raw[f.k]["present"]]
         if missing:
             plain = missing[0].frame.select(*[f.number.alias(f"c{f.k}") for f in missing])
             found = exact_quantiles(plain, {f"c{f.k}": list(_PROBS.values()) for f in missing},
                                     {f"c{f.k}": raw[f.k]["present"] for f in missing})
             for f in missing:
                 raw[f.k].update(dict(zip(_PROBS, found[f"c{f.k}"])))
-    known = [f for f in numbers if raw[f.k].get("q25") is not None]
-    for f in numbers:
-        raw[f.k].update(outlier_count=0, far_outlier_count=0)
+
+
+def _centred_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
+    """Moments around the mean and values outside the quartile fences, in one pass.
+
+    With the mean known, three plain sums give deviation, skewness and kurtosis.
+    """
+    numbers = [f for f in fields if f.is_number]
+    if "quartiles" in parts:
+        _missing_quartiles(numbers, raw)
+        for f in numbers:
+            raw[f.k].update(outlier_count=0, far_outlier_count=0)
+    known = [f for f in numbers if raw[f.k]["present"]]
     if not known:
         return
 
     def outside(f: Field, width: float) -> Column:
+        if raw[f.k].get("q25") is None:
+            return F.lit(False)
         spread = width * (raw[f.k]["q75"] - raw[f.k]["q25"])
         return (f.number < raw[f.k]["q25"] - spread) | (f.number > raw[f.k]["q75"] + spread)
 
-    cells = stacked(known, lambda f: F.struct(F.lit(f.k).alias("k"), outside(f, 1.5).alias("near"), outside(f, 3.0).alias("far")))
-    for row in cells.groupBy("k").agg(F.count_if("near").alias("a"), F.count_if("far").alias("b")).collect():
-        raw[row["k"]].update(outlier_count=row["a"], far_outlier_count=row["b"])
+    def cell(f: Field) -> Column:
+        mean = raw[f.k].get("mean")
+        gap = f.number - mean if mean is not None else F.lit(None).cast("double")
+        return F.struct(F.lit(f.k).alias("k"), gap.alias("g"), outside(f, 1.5).alias("near"), outside(f, 3.0).alias("far"))
+
+    g = F.col("g")
+    made = [F.count_if("near").alias("near"), F.count_if("far").alias("far"), F.sum(g * g).alias("s2"), F.sum(g * g * g).alias("s3"),
+            F.sum(g * g * g * g).alias("s4")]
+    for row in stacked(known, cell).groupBy("k").agg(*made).collect():
+        found, n = raw[row["k"]], raw[row["k"]]["present"]
+        if "quartiles" in parts:
+            found.update(outlier_count=row["near"], far_outlier_count=row["far"])
+        s2 = row["s2"]
+        if s2 is not None:
+            found["std"] = math.sqrt(s2 / (n - 1)) if n > 1 else None
+            if s2 > 0:
+                found.update(skew_pop=math.sqrt(n) * row["s3"] / s2 ** 1.5, kurt_pop=n * row["s4"] / (s2 * s2) - 3)
 
 
 def fields_of(tables: dict[str, DataFrame]) -> list[Field]:
@@ -413,8 +436,8 @@ def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PART
         _text_pass(fields, parts, raw)
     if "semantics" in parts:
         _digit_pass(fields, raw)
-    if "quartiles" in parts:
-        _fence_pass(fields, raw)
+    if parts & {"quartiles", "numbers"}:
+        _centred_pass(fields, parts, raw)
     places: dict[str, int] = {}
     rows = []
     for f in fields:
@@ -427,7 +450,7 @@ def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PART
 
 
 def _raw_names() -> list[str]:
-    return [n for n, _ in [*_BASE, *_NUMBER_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_EXTRA_SCHEMA, *_FENCE_SCHEMA]]
+    return [n for n, _ in [*_BASE, *_NUMBER_SCHEMA, *_CENTRED_SCHEMA, *_TEXT_SCHEMA, *_VALUE_SCHEMA, *_EXTRA_SCHEMA, *_FENCE_SCHEMA]]
 
 
 def profile(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PARTS) -> DataFrame:
