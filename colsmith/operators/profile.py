@@ -330,7 +330,7 @@ def extra_aggregates(x: Column, n: Column, few: list[int]) -> dict[str, Column]:
 def weighted_texts(fields: list[Field], raw: list[dict]) -> DataFrame:
     """(k, x, n): every distinct short value with its count, every long value as it is."""
     counted = value_counts(fields).where(F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
-    long = [f for f in fields if (raw[f.k]["max_length"] or 0) > LONG_TEXT]
+    long = [f for f in fields if (raw[f.k].get("max_length") or 0) > LONG_TEXT]
     if not long:
         return counted
     rows = stacked(long, lambda f: F.struct(F.lit(f.k).alias("k"), f.column.alias("x"), F.lit(1).cast("bigint").alias("n")))

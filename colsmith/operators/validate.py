@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colsmith.operators import profile as P
 from colsmith.operators.features import named
@@ -20,7 +21,7 @@ RANGE_GROWTH = 0.20
 PASS_SHARE = 0.60
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _log_normal_tail(z: pd.Series) -> pd.Series:
     """Log of the standard normal distribution function; there is no error function in Spark SQL."""
     return z.map(lambda v: math.log(max(0.5 * math.erfc(-v / math.sqrt(2)), 1e-300)))
