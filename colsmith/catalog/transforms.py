@@ -254,13 +254,19 @@ def _(load):
 
 def _text_query(name, action, made, sql_made, sql_value, table="orders", key="o_orderkey", digits=None, kind=None):
     """A text transform over a column made by ``made`` (Spark SQL) and ``sql_made``."""
-    value = f"round({sql_value}, {digits})" if digits is not None else sql_value
+    sql = f"round({sql_value}, {digits})" if digits is not None else sql_value
 
-    @query(name, f"SELECT {key}, {value} AS value FROM (SELECT {key}, {sql_made} AS x FROM {table}) t")
+    def value(done):
+        if digits is not None:
+            return r("x", digits)
+        is_time = done.schema["x"].dataType.simpleString() == "timestamp"
+        return F.col("x").cast("timestamp_ntz") if is_time else F.col("x")
+
+    @query(name, f"SELECT {key}, {sql} AS value FROM (SELECT {key}, {sql_made} AS x FROM {table}) t")
     def run(load):
         df = load(table).select(key, F.expr(made).alias("x"))
         done = fit(df, {"x": action}).transform(df)
-        return done.select(key, (r("x", digits) if digits is not None else F.col("x")).alias("value"))
+        return done.select(key, value(done).alias("value"))
 
 
 _PRICE_TEXT = ("CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'about ten' WHEN 2 THEN concat('$ ', CAST(o_orderkey AS STRING), ',000') "

@@ -26,6 +26,8 @@ COLUMNS_PER_JOB = 40
 LONG_TEXT = 64
 ALL_PARTS = frozenset({"numbers", "text", "values", "quartiles"})
 WITH_SEMANTICS = ALL_PARTS | {"semantics"}
+# Distinct counts within about one percent and without a shuffle of values; no entropy or top value.
+APPROXIMATE = frozenset({"numbers", "quartiles", "approximate"})
 FEW_VALUES = 1000
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
@@ -173,11 +175,14 @@ def _moment_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None
     nothing = F.lit(None).cast("double")
     cells = stacked(fields, lambda f: F.struct(
         F.lit(f.k).alias("k"), f.column.isNotNull().alias("has"), (f.number if f.is_number else nothing).alias("x"),
-        (F.length(f.column) if f.is_text else F.lit(None).cast("int")).alias("size")))
+        (F.length(f.column) if f.is_text else F.lit(None).cast("int")).alias("size"),
+        *([F.when(f.column.isNotNull(), F.xxhash64(f.column)).alias("h")] if "approximate" in parts else [])))
     made = [F.count(F.lit(1)).alias("row_count"), F.count_if("has").alias("present")]
     made += [make(F.col("size")).alias(name) for name, make in _LENGTHS.items()]
     if "numbers" in parts:
         made += [make(F.col("x")).alias(name) for name, make in _NUMBER_FIELDS.items()]
+    if "approximate" in parts:
+        made.append(F.least(F.approx_count_distinct("h", 0.01), F.count_if("has")).alias("unique_count"))
     for row in cells.groupBy("k").agg(*made).collect():
         found = row.asDict()
         raw[found.pop("k")].update(found)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colsmith.operators import cross, health, semantic
-from colsmith.operators.profile import WITH_SEMANTICS, json_depth, profile
+from colsmith.operators.profile import APPROXIMATE, WITH_SEMANTICS, json_depth, profile
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +58,14 @@ def test_health(people):
     assert found["sparse"]["severity"] == "critical" and found["amount"]["data_type"] == "numeric"
 
 
+def test_approximate_counts_need_no_value_counts(people):
+    exact, rough = rows_of(people[0]), rows_of(profile({"people": people[1]}, APPROXIMATE))
+    for name, r in rough.items():
+        assert r["unique_count"] == pytest.approx(exact[name]["unique_count"], rel=0.04)
+        assert r["unique_count"] == 1 or r["entropy"] is None
+    assert rough["amount"]["median"] == exact["amount"]["median"]
+
+
 def test_empty_and_all_null_tables(spark):
     empty = spark.createDataFrame([], "a double, b string")
     assert rows_of(profile({"t": empty}, WITH_SEMANTICS))["a"]["row_count"] == 0
