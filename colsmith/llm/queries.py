@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsmith.llm import contamination, language, mixing, pii, quality, secrets, tokens, urls
+from colsmith.llm import contamination, language, mixing, neardup, pii, quality, secrets, tokens, urls
 from colsmith.session import scratch_path, table
 
 # Production parameters of the queries.
@@ -74,6 +74,11 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "text", *[F.col("pii_counts")[k].alias(f"n_{k}") for k in pii.KINDS])
 
 
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of every document by two-word shingles."""
+    return neardup.groups(table(spark, folder, "documents"), words=2)
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every text, learned from the rows that are not held out."""
     docs = table(spark, folder, "documents")
@@ -83,5 +88,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_mixing, op4_url_filters, op5_secret_scans, op6_quality_rules, op7_token_ids, op8_pii, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_mixing, op4_url_filters, op5_secret_scans, op6_quality_rules, op7_token_ids, op8_pii,
+                                 op9_minhash_near_dedup, op10_language_id)}
 SQL: dict[str, str] = {}
