@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsmith.llm import contamination, language, mixing, neardup, pii, quality, secrets, tokens, urls
+from colsmith.llm import contamination, language, mixing, neardup, pii, quality, secrets, suffixes, tokens, urls
 from colsmith.session import scratch_path, table
 
 # Production parameters of the queries.
@@ -18,6 +18,12 @@ BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every text loses to strings of 100 bytes that also start earlier."""
+    found = suffixes.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items that documents contain."""
     return contamination.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -88,6 +94,6 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_mixing, op4_url_filters, op5_secret_scans, op6_quality_rules, op7_token_ids, op8_pii,
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_mixing, op4_url_filters, op5_secret_scans, op6_quality_rules, op7_token_ids, op8_pii,
                                  op9_minhash_near_dedup, op10_language_id)}
 SQL: dict[str, str] = {}
