@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsmith.llm import contamination, language, mixing, neardup, pii, quality, secrets, suffixes, tokens, urls
+from colsmith.llm import contamination, language, mixing, neardup, pii, quality, secrets, sql, suffixes, tokens, urls
 from colsmith.session import scratch_path, table
 
 # Production parameters of the queries.
@@ -96,4 +96,9 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_mixing, op4_url_filters, op5_secret_scans, op6_quality_rules, op7_token_ids, op8_pii,
                                  op9_minhash_near_dedup, op10_language_id)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_decontamination": sql.contamination(),
+    "op3_mixing": sql.mixing(MIX_TEMPERATURE, mixing.LARGEST_RATE),
+    "op6_quality_rules": sql.quality(),
+    "op9_minhash_near_dedup": sql.near_duplicates(2),
+}
