@@ -127,7 +127,7 @@ def _(load):
 
 
 @query("e10_latency_report", f"""WITH {_D}, n AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY ts DESC, decision_id DESC) AS k FROM d),
-q AS (SELECT action, avg(latency_ms) AS m, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95, quantile_cont(latency_ms, 0.99) AS p99 FROM n WHERE k <= 1000 GROUP BY action),
+q AS (SELECT action, avg(latency_ms) AS m, quantile_cont(latency_ms, 0.5) AS p50, quantile_cont(latency_ms, 0.95) AS p95, quantile_cont(latency_ms, 0.99) AS p99 FROM n GROUP BY action),
 o AS (SELECT action, count(*) AS total_calls, count(*) FILTER (NOT success) / count(*) AS error_rate, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM d GROUP BY action)
 SELECT action AS component, round(m, 5) AS avg_latency_ms, round(p50, 5) AS p50, round(p95, 5) AS p95, round(p99, 5) AS p99, round(total_calls / seconds, 8) AS calls_per_second, round(error_rate, 6) AS error_rate, total_calls FROM q JOIN o USING (action)""")
 def _(load):
@@ -143,7 +143,7 @@ def _(load):
 
 @query("e11_last_decisions", f"WITH {_D} SELECT decision_id, source FROM d ORDER BY ts DESC, decision_id DESC LIMIT 100")
 def _(load):
-    return E.last_decisions(_decisions(load)).select("decision_id", "source")
+    return E.last_decisions(_decisions(load), 100).select("decision_id", "source")
 
 
 @query("e12_batch_summary", f"WITH {_DECIDED} SELECT table_name, count(*) AS columns, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (source = 'symbolic') AS symbolic, count(*) FILTER (source = 'conservative_fallback') AS fallback FROM f GROUP BY table_name")

@@ -18,7 +18,7 @@ _CORRECT = "CASE user_id % 3 WHEN 0 THEN 'log_transform' WHEN 1 THEN 'label_enco
 def _corrections(load):
     names = F.array(*[F.lit(c) for c in _COLUMNS])
     return load("events").select(
-        F.col("event_id").alias("correction_id"), "user_id", "ts", F.get(names, (F.col("event_id") % len(_COLUMNS)).cast("int")).alias("column_name"),
+        F.col("event_id").alias("correction_id"), "user_id", "ts", F.lit("messy").alias("table_name"), F.get(names, (F.col("event_id") % len(_COLUMNS)).cast("int")).alias("column_name"),
         F.col("event_type").alias("wrong_action"), F.expr(_CORRECT).alias("correct_action"), F.least(F.lit(1.0), F.col("value") / 100).alias("system_confidence"))
 
 
@@ -175,7 +175,7 @@ def _(load):
     return L.match_ranges(found, L.range_patterns(recorded, min_share=0.2)).withColumn("match", r("match"))
 
 
-@query("l12_mined_corrections", f"""WITH {_C}, t AS (SELECT * FROM c ORDER BY ts DESC, correction_id DESC LIMIT 500)
+@query("l12_mined_corrections", f"""WITH {_C}, t AS (SELECT * FROM c)
 SELECT wrong_action, correct_action, count(*) AS n, count(*) >= 10 AS is_rule, round(least(0.95, count(*) / 20), 6) AS confidence FROM t GROUP BY ALL HAVING count(*) >= 5""")
 def _(load):
     return L.mine_corrections(_corrections(load)).withColumn("confidence", r("confidence"))

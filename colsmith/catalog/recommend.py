@@ -203,7 +203,7 @@ def _(load):
 
 
 @query("d14_warnings", f"""WITH {_DECIDED} SELECT table_name, column_name, confidence < 0.5 AS require_manual_review,
-  CASE WHEN confidence < 0.5 THEN 'Very low confidence - manual review strongly recommended' WHEN confidence < 0.7 THEN 'Low confidence - consider reviewing this decision' END AS warning FROM f""")
+  CASE WHEN confidence < 0.5 THEN 'confidence under one half: a person should decide' WHEN confidence < 0.7 THEN 'confidence under 0.7: worth a look' END AS warning FROM f""")
 def _(load):
     return R.recommend(_profile(load)).select(*KEYS, "require_manual_review", "warning")
 

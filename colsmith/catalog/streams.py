@@ -27,11 +27,11 @@ def _stream(df, name):
     return df.sparkSession.readStream.schema(df.schema).parquet(_copy(df, name))
 
 
-def _run(df, mode="append"):
+def _run(df, mode="append", keys=()):
     spark = df.sparkSession
     sink = scratch_path(spark, "sink")
     W.run_available(df, sink, scratch_path(spark, "state"), mode)
-    return spark.read.parquet(sink)
+    return W.latest(spark, sink, list(keys)) if mode == "update" else spark.read.parquet(sink)
 
 
 _HOURLY = f"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS decisions, round(avg(confidence), 10) AS mean_confidence FROM {_D} d GROUP BY ALL"""
@@ -45,7 +45,7 @@ def _(load):
 
 @query("r1_windowed_metrics_stream", _HOURLY)
 def _(load):
-    found = _run(W.windowed_metrics(_stream(_events(load), "events"), "ts", "event_type", late="1 hour"), "complete")
+    found = _run(W.windowed_metrics(_stream(_events(load), "events"), "ts", "event_type", late="1 hour"), "update", ["window_start", "event_type"])
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "decisions", r("mean_confidence", 10).alias("mean_confidence"))
 
 
@@ -86,7 +86,7 @@ def _(load):
 @query("r4_rule_counters", "SELECT event_type AS rule_name, count(*) AS decisions, count(*) FILTER (user_id % 3 <> 0) AS correct FROM events GROUP BY event_type")
 def _(load):
     log = load("events").select(F.col("event_type").alias("rule_name"), (F.col("user_id") % 3 != 0).alias("correct"))
-    return _run(W.rule_counters(_stream(log, "log")), "complete")
+    return _run(W.rule_counters(_stream(log, "log")), "update", ["rule_name"])
 
 
 @query("r5_csv_stream", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")

@@ -80,7 +80,8 @@ def _(load):
 
 @query("t06_remove_duplicates", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem")
 def _(load):
-    return load("lineitem").select("l_returnflag", "l_linestatus", "l_quantity").dropDuplicates()
+    items = load("lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    return fit(items, {"l_quantity": "remove_duplicates"}).transform(items)
 
 
 _ORD = dict(table="orders", key="o_orderkey", source=_nulled("orders", "o_orderkey", "o_totalprice"))
@@ -102,6 +103,11 @@ def _event_gaps(load):
         "event_id", "user_id", "ts", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"))
 
 
+def _filled(load, action):
+    gaps = _event_gaps(load)
+    return fit(gaps, {"value": action}, order_by=["ts", "event_id"], partition_by=["user_id"]).transform(gaps)
+
+
 _GAPS = "(SELECT event_id, user_id, ts, CASE WHEN event_id % 3 <> 0 THEN value END AS value FROM events)"
 
 
@@ -109,14 +115,14 @@ _GAPS = "(SELECT event_id, user_id, ts, CASE WHEN event_id % 3 <> 0 THEN value E
 SELECT event_id, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM {_GAPS} e""")
 def _(load):
-    return nulls.fill_forward(_event_gaps(load), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "value")
+    return _filled(load, "fill_null_forward").select("event_id", "value")
 
 
 @query("t11_fill_null_backward", f"""
 SELECT event_id, first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value FROM {_GAPS} e""")
 def _(load):
-    return nulls.fill_backward(_event_gaps(load), "value", ["ts", "event_id"], ["user_id"]).select("event_id", "value")
+    return _filled(load, "fill_null_backward").select("event_id", "value")
 
 
 @query("t12_fill_null_interpolate", f"""
@@ -129,8 +135,7 @@ k AS (SELECT *,
 SELECT event_id, round(CASE WHEN value IS NOT NULL THEN value WHEN v1 IS NULL THEN v0
   WHEN v0 IS NOT NULL THEN v0 + (v1 - v0) / (n1 - n0) * (n - n0) END, 7) AS value FROM k""")
 def _(load):
-    done = nulls.interpolate(_event_gaps(load), "value", ["ts", "event_id"], ["user_id"])
-    return done.select("event_id", r("value", 7).alias("value"))
+    return _filled(load, "fill_null_interpolate").select("event_id", r("value", 7).alias("value"))
 
 
 _number_query("t13_standard_scale", "standard_scale", "(x - m) / s", "avg(x) AS m, stddev_pop(x) AS s")
@@ -324,9 +329,9 @@ z AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id))
 WITH {_TOKENS}
 SELECT d.doc_id, round(coalesce(sum(weight) / 100, 0), 6) AS value FROM documents d LEFT JOIN z ON d.doc_id = z.doc_id GROUP BY d.doc_id""")
 def _(load):
-    docs = load("documents").select("doc_id", "text")
-    vocabulary = text.fit_vocabulary(docs, "text", 100)
-    return text.tfidf_mean(docs, "doc_id", "text", vocabulary, "value").select("doc_id", r("value").alias("value"))
+    docs = load("documents").select("doc_id", F.col("text").alias("value"))
+    done = fit(docs, {"value": "text_vectorize_tfidf"}).transform(docs)
+    return done.select("doc_id", r("value").alias("value"))
 
 
 _text_query("t51_datetime_extract_year", "datetime_extract_year", "o_orderdate", "o_orderdate", "CAST(year(x) AS DOUBLE)")

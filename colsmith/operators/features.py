@@ -202,10 +202,10 @@ def meta_learning_features(profile: DataFrame, diverse: DataFrame, sequence: Dat
         text_over("looks_money", 0.3).alias("looks_like_currency"), text_over("looks_zip", 0.5).alias("looks_like_zipcode"),
         text_over("looks_call", 0.5).alias("looks_like_phone"), text_over("sem_email", 0.5).alias("looks_like_email"),
         text_over("looks_web", 0.5).alias("looks_like_url"),
-        flag(text & (F.col("unique_lower") <= 3) & (F.col("unique_count") < P.FEW_VALUES) & F.col("boolean_words")).alias("looks_like_boolean"),
+        flag(text & (F.col("unique_lower") <= 3) & F.col("boolean_words")).alias("looks_like_boolean"),
         zero(F.when(text, S.first_match([((F.col("unique_ratio") < 0.1) & (F.col("cardinality_bucket") <= 1), 1.0),
                                          (F.col("unique_ratio") < 0.3, 0.5)], 0.0))).alias("looks_like_categorical"),
-        flag(text & (F.col("unique_lower") <= 5) & (F.col("unique_count") < P.FEW_VALUES) & F.col("ordinal_words")).alias("looks_like_ordinal"),
+        flag(text & (F.col("unique_lower") <= 5) & F.col("ordinal_words")).alias("looks_like_ordinal"),
         text_over("looks_code", 0.5).alias("looks_like_code"),
         zero(F.when(text, S.first_match([((F.col("avg_length") > 50) & (F.col("length_std") > 20), 1.0), (F.col("avg_length") > 20, 0.5)], 0.0)))
         .alias("looks_like_freetext"),
@@ -215,7 +215,7 @@ def meta_learning_features(profile: DataFrame, diverse: DataFrame, sequence: Dat
         zero(F.when(enough, F.col("q25"))).alias("quantile_25"), zero(F.when(enough, F.col("q75"))).alias("quantile_75"),
         dispersion.alias("coefficient_dispersion"), relative.alias("range_normalized"), flag(enough & (F.col("zeros") > 0)).alias("contains_zeros"),
         _text_share("avg_length").alias("avg_string_length"),
-        zero(F.when(F.col("avg_length") > 0, F.col("chars") / F.least(F.col("avg_length") * F.col("present"), F.lit(1000.0)))).alias("char_diversity"),
+        zero(F.when(F.col("avg_length") > 0, F.col("chars") / (F.col("avg_length") * F.col("present")))).alias("char_diversity"),
         _text_share("matches_numeric_pattern").alias("numeric_string_ratio"), _text_share("mixed_case").alias("has_mixed_case"),
         _text_share("word_count").alias("word_count_avg"),
         zero(F.when(ordered, F.col("corr_1"))).alias("autocorrelation_lag1"),

@@ -29,21 +29,21 @@ def column_health(profile: DataFrame) -> DataFrame:
     top = F.col("top_share")
     percent = lambda c: c * 100
     rules = [
-        (number & (F.col("outlier_pct") > 0.1), 15, "High outlier percentage (%.1f%%)", percent(F.col("outlier_pct"))),
-        (number & (F.abs("skewness") > 2), 10, "High skewness (%.2f)", F.col("skewness")),
-        (number & (F.col("cv") > 2), 5, "High coefficient of variation (%.2f)", F.col("cv")),
-        (category & (top > 0.9), 10, "Imbalanced categories (%.1f%% in top category)", percent(top)),
-        (category & (unique > 100), 15, "High cardinality (%d categories)", unique),
-        (category & (unique == 1), 30, "Only one unique value (constant column)", None),
-        (null > 0.5, 30, "High null percentage (%.1f%%)", percent(null)),
-        ((null > 0.2) & (null <= 0.5), 15, "Moderate null percentage (%.1f%%)", percent(null)),
-        ((null > 0.05) & (null <= 0.2), 5, "Low null percentage (%.1f%%)", percent(null)),
-        ((ratio > 0.95) & (F.col("row_count") > 50), 20, "Nearly all values unique (%.1f%%) - likely ID column", percent(ratio)),
-        (unique == 1, 30, "All values are identical", None),
+        (number & (F.col("outlier_pct") > 0.1), 15, "%.1f%% of the values lie outside the fences", percent(F.col("outlier_pct"))),
+        (number & (F.abs("skewness") > 2), 10, "skewed distribution (%.2f)", F.col("skewness")),
+        (number & (F.col("cv") > 2), 5, "deviation is %.2f times the mean", F.col("cv")),
+        (category & (top > 0.9), 10, "one category holds %.1f%%", percent(top)),
+        (category & (unique > 100), 15, "%d categories", unique),
+        (category & (unique == 1), 30, "a single category", None),
+        (null > 0.5, 30, "more than half is missing (%.1f%%)", percent(null)),
+        ((null > 0.2) & (null <= 0.5), 15, "a good part is missing (%.1f%%)", percent(null)),
+        ((null > 0.05) & (null <= 0.2), 5, "some values are missing (%.1f%%)", percent(null)),
+        ((ratio > 0.95) & (F.col("row_count") > 50), 20, "%.1f%% distinct, perhaps an identifier", percent(ratio)),
+        (unique == 1, 30, "every value is the same", None),
     ]
     lost = sum((F.when(F.coalesce(c, F.lit(False)), points).otherwise(0) for c, points, *_ in rules), F.lit(0))
     start = F.when(F.col("data_type") == "empty", 0).otherwise(100)
-    notes = [_text(F.col("data_type") == "empty", "All values are null")]
+    notes = [_text(F.col("data_type") == "empty", "no value at all")]
     notes += [_text(c, t, *([v] if v is not None else [])) for c, _, t, v in rules]
     typed = profile.withColumn("data_type", kind)
     scored = typed.withColumn("__score", (start - lost).cast("double"))

@@ -9,69 +9,30 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colsmith.operators.quantiles import range_edges
+from colsmith.session import checkpoint
 
 SEGMENT_ROWS = 4_000_000
 SEGMENT = "__segment"
 
 
-def _as_number(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType.simpleString()
-    key = F.col(column)
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(key.cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(key).cast("double")
-    return key.cast("double")
-
-
-def _text_segments(df: DataFrame, column: str, pieces: int, rows: int) -> Column:
-    """Segment number of a text key from sampled cut points, as a balanced ``when`` tree."""
-    pieces = min(pieces, 500)
-    sample = df.select(column).sample(fraction=min(1.0, 40.0 * pieces / rows), seed=11)
-    seen_keys = sorted(r[0] for r in sample.limit(100 * pieces).collect() if r[0] is not None)
-    step = max(1, len(seen_keys) // pieces)
-    edges = sorted(set(seen_keys[step::step]))
-
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col(column) < edges[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
-
-    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(tree(0, len(edges)))
-
-
 def with_segments(
     df: DataFrame, order_by: list[str], segment_rows: int = SEGMENT_ROWS
 ) -> tuple[DataFrame, bool]:
-    """Add a segment number that grows with the first order column.
+    """Add a segment number that grows with the whole tuple of order columns.
 
-    The flag tells whether everything fits into one segment.
+    Rows with equal tuples have no order of their own, so a random number splits them, too, and no
+    segment is much larger than ``segment_rows``. The flag tells whether everything fits into one segment.
     """
-    rows = df.count()
-    pieces = math.ceil(rows / segment_rows)
+    pieces = math.ceil(df.count() / segment_rows)
     if pieces <= 1:
         return df.withColumn(SEGMENT, F.lit(0)), True
-    if df.schema[order_by[0]].dataType.simpleString() == "string":
-        return df.withColumn(SEGMENT, _text_segments(df, order_by[0], pieces, rows)), False
-    key = _as_number(df, order_by[0])
-    edges = range_edges(df, key, pieces)
-    if not edges:
-        return df.withColumn(SEGMENT, F.lit(0)), True
-    keyed = df.withColumn("__key", key)
-    cut = Bucketizer(
-        splits=[-math.inf, *edges, math.inf], inputCol="__key", outputCol=SEGMENT,
-        handleInvalid="keep",
-    ).transform(keyed)
-    # Nulls sort first in Spark, the bucketizer puts them last.
-    number = F.when(F.col("__key").isNull(), F.lit(-1)).otherwise(F.col(SEGMENT).cast("int"))
-    return cut.withColumn(SEGMENT, number).drop("__key"), False
+    spread = df.withColumn("__tie", F.rand(11)).repartitionByRange(pieces, *order_by, "__tie").drop("__tie")
+    # Partition numbers must not move between the uses that follow.
+    return checkpoint(spread.withColumn(SEGMENT, F.spark_partition_id())), False
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -161,10 +122,5 @@ def ranked_dictionary(values: DataFrame, key: str, out: str, small: int, size: i
     """Codes 0..k-1 by value order for a table of distinct values."""
     if size <= small:
         return values.withColumn(out, F.row_number().over(W.orderBy(key)).cast("bigint") - 1)
-    from colsmith.session import checkpoint
-
-    pieces = math.ceil(size / SEGMENT_ROWS) + 1
-    spread = values.repartitionByRange(pieces, key).withColumn(SEGMENT, F.spark_partition_id())
-    fixed = checkpoint(spread)  # partition numbers must not move between the two uses below
-    placed = with_position(fixed, [key], [], out)
+    placed = with_position(values, [key], [], out, min(SEGMENT_ROWS, small))
     return placed.withColumn(out, F.col(out) - 1)

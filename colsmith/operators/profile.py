@@ -28,7 +28,6 @@ ALL_PARTS = frozenset({"numbers", "text", "values", "quartiles"})
 WITH_SEMANTICS = ALL_PARTS | {"semantics"}
 # Distinct counts within about one percent and without a shuffle of values; no entropy or top value.
 APPROXIMATE = frozenset({"numbers", "quartiles", "approximate"})
-FEW_VALUES = 1000
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 _NUMBER_FIELDS = {
@@ -298,7 +297,7 @@ def json_depth(x: Column) -> Column:
     return F.when(compact.isNotNull(), walk.cast("double"))
 
 
-def extra_aggregates(x: Column, n: Column, few: list[int]) -> dict[str, Column]:
+def extra_aggregates(x: Column, n: Column) -> dict[str, Column]:
     """Semantic patterns and "looks like" measures of text values that occur ``n`` times each."""
     total = F.sum(n)
     trimmed = F.trim(x)
@@ -328,7 +327,6 @@ def extra_aggregates(x: Column, n: Column, few: list[int]) -> dict[str, Column]:
     found["in_binary_set"] = S.any_of([F.bool_and(F.lower(x).isin(*words)) for words in K.BINARY_SETS])
     found["boolean_words"] = F.bool_and(F.lower(x).isin(*K.BOOLEAN_WORDS))
     found["ordinal_words"] = F.bool_or(F.lower(x).isin(*K.ORDINAL_WORDS))
-    found["unique_lower"] = F.size(F.collect_set(F.when(F.col("k").isin(*few), F.lower(x)))) if few else F.lit(0)
     return found
 
 
@@ -349,10 +347,14 @@ def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
         return
     made = text_aggregates(F.col("x"), F.col("n")) if "text" in parts else {}
     if "semantics" in parts:
-        few = [f.k for f in texts if raw[f.k].get("unique_count", FEW_VALUES) < FEW_VALUES]
-        made |= extra_aggregates(F.col("x"), F.col("n"), few)
-    for row in weighted_texts(texts, raw).groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
+        made |= extra_aggregates(F.col("x"), F.col("n"))
+    weighted = weighted_texts(texts, raw)
+    for row in weighted.groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
         raw[row["k"]].update({n: row[n] for n in made})
+    if "semantics" in parts:
+        folded = weighted.select("k", F.md5(F.lower("x")).alias("x")).distinct()
+        for row in folded.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("unique_lower")).collect():
+            raw[row["k"]].update(unique_lower=row["unique_lower"])
 
 
 def _digit_pass(fields: list[Field], raw: list[dict]) -> None:

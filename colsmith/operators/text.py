@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +12,33 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{M}\p{N}_]{2,}"
 
 # English stop words left out of the vocabulary on request (fixed values).
-ENGLISH_STOP_WORDS = tuple(
-    """a about above across after afterwards again against all almost alone along already also
-    although always am among amongst amoungst amount an and another any anyhow anyone anything
-    anyway anywhere are around as at back be became because become becomes becoming been before
-    beforehand behind being below beside besides between beyond bill both bottom but by call can
-    cannot cant co con could couldnt cry de describe detail do done down due during each eg eight
-    either eleven else elsewhere empty enough etc even ever every everyone everything everywhere
-    except few fifteen fifty fill find fire first five for former formerly forty found four from
-    front full further get give go had has hasnt have he hence her here hereafter hereby herein
-    hereupon hers herself him himself his how however hundred i ie if in inc indeed interest into
-    is it its itself keep last latter latterly least less ltd made many may me meanwhile might mill
-    mine more moreover most mostly move much must my myself name namely neither never nevertheless
-    next nine no nobody none noone nor not nothing now nowhere of off often on once one only onto
-    or other others otherwise our ours ourselves out over own part per perhaps please put rather re
-    same see seem seemed seeming seems serious several she should show side since sincere six sixty
-    so some somehow someone something sometime sometimes somewhere still such system take ten than
-    that the their them themselves then thence there thereafter thereby therefore therein thereupon
-    these they thick thin third this those though three through throughout thru thus to together
-    too top toward towards twelve twenty two un under until up upon us very via was we well were
-    what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever
-    whether which while whither who whoever whole whom whose why will with within without would yet
-    you your yours yourself yourselves""".split()
+ENGLISH_STOP_WORDS = (
+    "a", "about", "above", "across", "after", "afterwards", "again", "against", "all", "almost", "alone", "along",
+    "already", "also", "although", "always", "am", "among", "amongst", "amoungst", "amount", "an", "and", "another",
+    "any", "anyhow", "anyone", "anything", "anyway", "anywhere", "are", "around", "as", "at", "back", "be", "became",
+    "because", "become", "becomes", "becoming", "been", "before", "beforehand", "behind", "being", "below", "beside",
+    "besides", "between", "beyond", "bill", "both", "bottom", "but", "by", "call", "can", "cannot", "cant", "co",
+    "con", "could", "couldnt", "cry", "de", "describe", "detail", "do", "done", "down", "due", "during", "each",
+    "eg", "eight", "either", "eleven", "else", "elsewhere", "empty", "enough", "etc", "even", "ever", "every",
+    "everyone", "everything", "everywhere", "except", "few", "fifteen", "fifty", "fill", "find", "fire", "first",
+    "five", "for", "former", "formerly", "forty", "found", "four", "from", "front", "full", "further", "get", "give",
+    "go", "had", "has", "hasnt", "have", "he", "hence", "her", "here", "hereafter", "hereby", "herein", "hereupon",
+    "hers", "herself", "him", "himself", "his", "how", "however", "hundred", "i", "ie", "if", "in", "inc", "indeed",
+    "interest", "into", "is", "it", "its", "itself", "keep", "last", "latter", "latterly", "least", "less", "ltd",
+    "made", "many", "may", "me", "meanwhile", "might", "mill", "mine", "more", "moreover", "most", "mostly", "move",
+    "much", "must", "my", "myself", "name", "namely", "neither", "never", "nevertheless", "next", "nine", "no",
+    "nobody", "none", "noone", "nor", "not", "nothing", "now", "nowhere", "of", "off", "often", "on", "once", "one",
+    "only", "onto", "or", "other", "others", "otherwise", "our", "ours", "ourselves", "out", "over", "own", "part",
+    "per", "perhaps", "please", "put", "rather", "re", "same", "see", "seem", "seemed", "seeming", "seems",
+    "serious", "several", "she", "should", "show", "side", "since", "sincere", "six", "sixty", "so", "some",
+    "somehow", "someone", "something", "sometime", "sometimes", "somewhere", "still", "such", "system", "take",
+    "ten", "than", "that", "the", "their", "them", "themselves", "then", "thence", "there", "thereafter", "thereby",
+    "therefore", "therein", "thereupon", "these", "they", "thick", "thin", "third", "this", "those", "though",
+    "three", "through", "throughout", "thru", "thus", "to", "together", "too", "top", "toward", "towards", "twelve",
+    "twenty", "two", "un", "under", "until", "up", "upon", "us", "very", "via", "was", "we", "well", "were", "what",
+    "whatever", "when", "whence", "whenever", "where", "whereafter", "whereas", "whereby", "wherein", "whereupon",
+    "wherever", "whether", "which", "while", "whither", "who", "whoever", "whole", "whom", "whose", "why", "will",
+    "with", "within", "without", "would", "yet", "you", "your", "yours", "yourself", "yourselves",
 )
 
 
@@ -59,45 +61,39 @@ def fit_vocabulary(df: DataFrame, column: str, max_features: int = 100,
 
     Term counts per row are summed before the shuffle; only the vocabulary reaches the driver.
     """
-    words = F.explode(F.filter(tokens(F.col(column)), lambda t: ~t.isin(*stop_words)) if stop_words
-                      else tokens(F.col(column)))
-    corpus = df.select(words.alias("term")).groupBy("term").count()
-    terms = sorted(r["term"] for r in corpus.orderBy(F.desc("count"), "term").limit(max_features).collect())
-    if not terms:
+    found = tokens(F.col(column))
+    if stop_words:
+        found = F.filter(found, lambda t: ~t.isin(*stop_words))
+    # Uses and rows of every term from one pass: each use, and each row's distinct terms, are rows of their own.
+    uses = F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("uses"), F.lit(0).alias("rows")))
+    rows = F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("uses"), F.lit(1).alias("rows")))
+    counted = df.select(F.inline(F.concat(uses, rows))).groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("rows").alias("rows"))
+    top = counted.orderBy(F.desc("uses"), "term").limit(max_features).collect()
+    if not top:
         return Vocabulary([], [])
-    present = F.array_intersect(tokens(F.col(column)), F.lit(terms))
-    frequency = df.select(F.explode(present).alias("term")).groupBy("term").count().collect()
-    found = {r["term"]: r["count"] for r in frequency}
-    rows = df.count()
-    idf = [math.log((1 + rows) / (1 + found.get(t, 0))) + 1 for t in terms]
+    found = {r["term"]: r["rows"] for r in top}
+    terms, rows = sorted(found), df.count()
+    idf = [math.log((1 + rows) / (1 + found[t])) + 1 for t in terms]
     return Vocabulary(terms, idf)
 
 
 def tfidf_vector(c: Column, vocabulary: Vocabulary) -> Column:
     """L2-normalised weights in vocabulary order, per row and without a shuffle.
 
-    Arrow batches go through one vectorised function; use :func:`tfidf_weights` when the rows
-    have a key and the result is wanted in long form.
+    The tokens are those the vocabulary was fitted on. Only terms that occur are counted; a row without any is all zeros.
     """
-    place = {t: i for i, t in enumerate(vocabulary.terms)}
-    idf = np.array(vocabulary.idf)
-    word = re.compile(r"\w\w+")
-
-    @F.pandas_udf("array<double>")
-    def weights(texts: pd.Series) -> pd.Series:
-        out = []
-        for value in texts:
-            row = np.zeros(len(idf))
-            for token in word.findall((value or "").lower()):
-                i = place.get(token)
-                if i is not None:
-                    row[i] += 1
-            row *= idf
-            norm = np.sqrt((row * row).sum())
-            out.append(row / norm if norm > 0 else row)
-        return pd.Series(out)
-
-    return weights(c.cast("string"))
+    terms, idf = F.lit(vocabulary.terms), F.lit(vocabulary.idf)
+
+    def weights(known):
+        return F.zip_with(terms, idf, lambda t, w: F.when(F.array_contains(known, t), w * (F.size(known) - F.size(F.array_remove(known, t)))).otherwise(F.lit(0.0)))
+
+    def normal(raw):
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda t, x: t + x * x))
+        return F.transform(F.array(norm), lambda n: F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+
+    # An array of one element binds an intermediate result to a name, so that it is computed once.
+    known = F.array(F.filter(tokens(c), lambda t: F.array_contains(terms, t)))
+    return F.element_at(F.flatten(F.transform(F.transform(known, weights), normal)), 1)
 
 
 def tfidf_weights(df: DataFrame, key: str, column: str, vocabulary: Vocabulary) -> DataFrame:

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colsmith.operators import profile as P
 from colsmith.operators.features import named
@@ -21,10 +19,39 @@ RANGE_GROWTH = 0.20
 PASS_SHARE = 0.60
 
 
-@F.pandas_udf(T.DoubleType())
-def _log_normal_tail(z: pd.Series) -> pd.Series:
-    """Log of the standard normal distribution function; there is no error function in Spark SQL."""
-    return z.map(lambda v: math.log(max(0.5 * math.erfc(-v / math.sqrt(2)), 1e-300)))
+# Coefficients of the rational approximations of the complementary error function
+# by W. J. Cody (1969), highest power first, for arguments below 0.46875, up to 4, and above.
+_ERF_TOP = (1.85777706184603153e-1, 3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03)
+_ERF_BOTTOM = (1.0, 2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03)
+_MID_TOP = (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e01, 2.98635138197400131e02,
+            8.81952221241769090e02, 1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03)
+_MID_BOTTOM = (1.0, 1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03,
+               4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03)
+_FAR_TOP = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4)
+_FAR_BOTTOM = (1.0, 2.56852019228982242e00, 1.87295284992346725e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
+
+
+def _polynomial(x: Column, powers: tuple[float, ...]) -> Column:
+    value = F.lit(powers[0])
+    for p in powers[1:]:
+        value = value * x + p
+    return value
+
+
+def log_normal_tail(z: Column) -> Column:
+    """Log of the standard normal distribution function, exact to rounding however far out.
+
+    Spark SQL has no error function. With y = |z| / sqrt(2), erfc(y) is exp(-y^2) times a ratio of polynomials, and its
+    logarithm is taken of the two factors apart, so nothing underflows.
+    """
+    y = F.abs(z) / math.sqrt(2)
+    square = y * y
+    near = 1 - y * _polynomial(square, _ERF_TOP) / _polynomial(square, _ERF_BOTTOM)
+    middle = _polynomial(y, _MID_TOP) / _polynomial(y, _MID_BOTTOM)
+    inverse = 1 / square
+    far = (1 / math.sqrt(math.pi) - inverse * _polynomial(inverse, _FAR_TOP) / _polynomial(inverse, _FAR_BOTTOM)) / y
+    log_erfc = F.when(y <= 0.46875, F.ln(near)).when(y <= 4, F.ln(middle) - square).otherwise(F.ln(far) - square)
+    return F.when(z <= 0, log_erfc - math.log(2)).otherwise(F.log1p(-F.exp(log_erfc) / 2))
 
 
 def anderson_darling(df: DataFrame, column: str, segment_rows: int = SEGMENT_ROWS) -> float | None:
@@ -52,7 +79,7 @@ def anderson_darling(df: DataFrame, column: str, segment_rows: int = SEGMENT_ROW
     z = (F.col("x") - s["m"]) / s["sd"]
     up = F.pow("last", F.lit(2)) - F.pow(F.col("first") - 1, F.lit(2))
     down = F.pow(n - F.col("first") + 1, F.lit(2)) - F.pow(n - F.col("last"), F.lit(2))
-    terms = ranked.select((up * _log_normal_tail(z) + down * _log_normal_tail(-z)).alias("t"))
+    terms = ranked.select((up * log_normal_tail(z) + down * log_normal_tail(-z)).alias("t"))
     return -n - terms.agg(F.sum("t").alias("t")).first()["t"] / n
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colsmith.functions import scalar as S
@@ -128,7 +129,7 @@ class Fitted:
             size = max(1, len(step.model.terms))
             return df.withColumn(c, F.aggregate(vector, F.lit(0.0), lambda t, x: t + x) / size)
         if a == "remove_duplicates":
-            return df.dropDuplicates([c])
+            return remove_duplicates(df, step.parameters.get("subset"), step.parameters.get("order_by"))
         if a == "fill_null_forward":
             return nulls.fill_forward(df, c, self.order_by, self.partition_by)
         if a == "fill_null_backward":
@@ -333,6 +334,19 @@ def _fit_powers(df: DataFrame, fitted: Fitted, steps: list[ColumnStep]) -> None:
                 step.statistics["mean"], step.statistics["stddev_pop"] = row[f"{alias}_m"], row[f"{alias}_s"]
 
 
+def remove_duplicates(df: DataFrame, subset: list[str] | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """One of each set of equal rows; with ``subset``, the first row in ``order_by`` of each of its values.
+
+    Without an order there is no telling which row of a subset stays, so that is refused.
+    """
+    if not subset:
+        return df.dropDuplicates()
+    if not order_by:
+        raise ValueError("duplicates over a subset of columns need an order_by")
+    place = F.row_number().over(W.partitionBy(*subset).orderBy(*order_by))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
 def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Product columns ``a_x_b`` of the requested pairs."""
     return df.withColumns({f"{a}_x_{b}": F.col(a).cast("double") * F.col(b).cast("double") for a, b in pairs})

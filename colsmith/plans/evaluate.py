@@ -116,14 +116,17 @@ def recent_window(decisions: DataFrame, sessions: DataFrame, now: Column, hours:
     return left.crossJoin(right)
 
 
-def latency_report(calls: DataFrame, last: int = 1000) -> DataFrame:
-    """Latency percentiles of the last calls, rate and error share of all calls, per component.
+def latency_report(calls: DataFrame, last: int | None = None) -> DataFrame:
+    """Latency percentiles, rate and error share of all calls, per component.
 
-    The row limit per component is applied before the shuffle, so a busy component sends at
-    most ``last`` rows per task.
+    With ``last`` the latencies are those of the newest calls of each component only; that row limit is
+    applied before the shuffle.
     """
-    newest = W.partitionBy("component").orderBy(F.desc("ts"), F.desc("call_id"))
-    recent = calls.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= last).groupBy("component").agg(
+    recent = calls
+    if last is not None:
+        newest = W.partitionBy("component").orderBy(F.desc("ts"), F.desc("call_id"))
+        recent = calls.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= last)
+    recent = recent.groupBy("component").agg(
         F.avg("latency_ms").alias("avg_latency_ms"), F.percentile("latency_ms", [0.5, 0.95, 0.99]).alias("p"))
     seconds = F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))
     overall = calls.groupBy("component").agg(
@@ -138,7 +141,7 @@ def source_breakdown(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean"), F.stddev_pop("confidence").alias("std"))
 
 
-def last_decisions(decisions: DataFrame, n: int = 100) -> DataFrame:
+def last_decisions(decisions: DataFrame, n: int) -> DataFrame:
     return decisions.orderBy(F.desc("ts"), F.desc("decision_id")).limit(n)
 
 

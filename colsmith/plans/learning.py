@@ -1,6 +1,6 @@
 """Learning from user corrections: patterns, rules, their validation and their use.
 
-Corrections are rows (correction_id, user_id, ts, column_name, wrong_action, correct_action and
+Corrections are rows (correction_id, user_id, ts, table_name, column_name, wrong_action, correct_action and
 the statistics of the column). Everything is grouping over that table; the rules that come
 out are few and meet profiles through a size-checked broadcast.
 """
@@ -46,12 +46,12 @@ def fingerprint(kind: Column) -> Column:
 def record_corrections(corrections: DataFrame, profile: DataFrame) -> DataFrame:
     """Attach the column statistics, the pattern type and its hash to raw corrections."""
     facts = profile.select(
-        "column_name", "null_pct", "unique_ratio", "unique_count", "skewness", "kurtosis", "mean", "std", "outlier_pct", "entropy",
+        "table_name", "column_name", "null_pct", "unique_ratio", "unique_count", "skewness", "kurtosis", "mean", "std", "outlier_pct", "entropy",
         "is_numeric", "is_categorical", "is_string", "is_temporal", F.coalesce("has_outliers", F.lit(False)).alias("has_outliers"),
         (F.col("type_name") == "boolean").alias("is_boolean"), F.col("unique_count").alias("cardinality"))
     # One row per profiled column: small by nature, and still checked.
     side = F.broadcast(facts) if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else facts
-    return corrections.join(side, "column_name").withColumn("pattern_type", pattern_type()).withColumn(
+    return corrections.join(side, ["table_name", "column_name"]).withColumn("pattern_type", pattern_type()).withColumn(
         "pattern_hash", fingerprint(F.col("pattern_type")))
 
 
@@ -161,14 +161,17 @@ def running_accuracy(log: DataFrame) -> DataFrame:
         F.count_if("correct").alias("successes"), F.count_if(~F.col("correct")).alias("failures"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
-def range_patterns(recorded: DataFrame, min_support: int = 10, min_share: float = 0.8) -> DataFrame:
-    """Value ranges and constant flags shared by all corrections towards one action."""
+def range_patterns(recorded: DataFrame, min_support: int = 10, min_share: float = 0.8, examples: int = 5) -> DataFrame:
+    """Value ranges and constant flags shared by all corrections towards one action.
+
+    ``examples`` is how many column names, in alphabetical order, illustrate a pattern; it changes nothing else.
+    """
     named = recorded.select("correct_action", "column_name").distinct()
-    first = named.withColumn("nth", F.row_number().over(W.partitionBy("correct_action").orderBy("column_name"))).where(F.col("nth") <= 5)
-    examples = first.groupBy("correct_action").agg(F.array_sort(F.collect_list("column_name")).alias("examples"))
+    first = named.withColumn("nth", F.row_number().over(W.partitionBy("correct_action").orderBy("column_name"))).where(F.col("nth") <= examples)
+    shown = first.groupBy("correct_action").agg(F.array_sort(F.collect_list("column_name")).alias("examples"))
     grouped = recorded.groupBy("correct_action").agg(
         F.count(F.lit(1)).alias("support"), *[F.min(k).alias(f"{k}_min") for k in RANGE_KEYS], *[F.max(k).alias(f"{k}_max") for k in RANGE_KEYS],
-        *[F.when(F.min(k) == F.max(k), F.min(k)).alias(f"{k}_is") for k in FLAG_KEYS]).join(examples, "correct_action")
+        *[F.when(F.min(k) == F.max(k), F.min(k)).alias(f"{k}_is") for k in FLAG_KEYS]).join(shown, "correct_action")
     total = recorded.agg(F.count(F.lit(1)).alias("total"))
     return grouped.crossJoin(F.broadcast(total)).withColumn("confidence", F.col("support") / F.col("total")).where(
         (F.col("support") >= min_support) & (F.col("confidence") >= min_share)).drop("total")
@@ -185,16 +188,17 @@ def match_ranges(profile: DataFrame, patterns: DataFrame, floor: float = 0.8) ->
         have = F.coalesce(F.col(f"c.{k}"), F.lit(False))
         total = total + F.col(f"p.{k}_is").isNotNull().cast("int")
         met = met + F.coalesce(F.col(f"p.{k}_is") == have, F.lit(False)).cast("int")
-    # At most one pattern per action, so the right side is bounded by the list of actions.
-    pairs = profile.alias("c").join(F.broadcast(patterns.alias("p")), F.lit(True))
+    # One pattern per action that corrections name; actions are free text there, so their number is checked.
+    few = patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    pairs = profile.alias("c").join(F.broadcast(patterns.alias("p")) if few else patterns.alias("p"), F.lit(True))
     return pairs.select("c.table_name", "c.column_name", "p.correct_action", F.when(total > 0, met / total).otherwise(F.lit(0.0)).alias("match")).where(
         F.col("match") >= floor)
 
 
-def mine_corrections(corrections: DataFrame, recent: int = 500, least: int = 5, rule_at: int = 10) -> DataFrame:
-    """Frequent (original, corrected) pairs among the latest corrections, most frequent first."""
-    latest = corrections.orderBy(F.desc("ts"), F.desc("correction_id")).limit(recent)
-    grouped = latest.groupBy("wrong_action", "correct_action").agg(F.count(F.lit(1)).alias("n"))
+def mine_corrections(corrections: DataFrame, since: Column | None = None, least: int = 5, rule_at: int = 10) -> DataFrame:
+    """Frequent (original, corrected) pairs among all corrections, or those from ``since`` on."""
+    chosen = corrections if since is None else corrections.where(F.col("ts").cast("timestamp") >= since)
+    grouped = chosen.groupBy("wrong_action", "correct_action").agg(F.count(F.lit(1)).alias("n"))
     return grouped.where(F.col("n") >= least).select(
         "wrong_action", "correct_action", "n", (F.col("n") >= rule_at).alias("is_rule"), F.least(F.lit(0.95), F.col("n") / 20).alias("confidence"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,12 +32,14 @@ def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder of the session.
 
-    It comes from ``spark.checkpoint.dir``; only when the session names none (tests,
-    notebooks) is a temporary one set.
+    It comes from ``spark.checkpoint.dir``; only a local session that names none (tests,
+    notebooks) gets a temporary one. On a cluster a folder of the driver's own would miss what executors write.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="colsmith-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -141,4 +141,4 @@ def test_safe_tfidf_refuses_urls_and_ids(spark):
     urls = frame(spark, [f"https://a.b/{i}" for i in range(5)], "string")
     assert safe.tfidf(urls, "x")[1].actual == "drop_column"
     ids = frame(spark, [f"user-{i:012d}" for i in range(5)], "string")
-    assert safe.tfidf(ids, "x")[1].explanation == "Column appears to be identifiers"
+    assert safe.tfidf(ids, "x")[1].explanation == "values look like codes, not prose"
