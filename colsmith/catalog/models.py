@@ -12,6 +12,7 @@ from colsmith.operators.profile import WITH_SEMANTICS
 from colsmith.plans import models as M
 from colsmith.plans.recommend import recommend
 
+COLUMN_FEATURES = ["missing_ratio", "unique_ratio", "is_numeric", "skewness", "kurtosis", "outlier_ratio", "avg_length", "entropy"]
 FEATURES = ["n_chars", "words", "mean_word", "digits", "blanks", "lines"]
 
 
@@ -105,18 +106,25 @@ def _(load):
     return M.compare(model.score(rows.where("test")), narrow.score(rows.where("test")), "doc_id")
 
 
+_LEARNED, _SCORED = ("messy", "lineitem", "part", "supplier"), ("customer", "orders", "events", "nation", "region")
+
+
+def _column_model(load):
+    """Learned from the columns of some tables, to be applied to columns of others."""
+    found = _profile(load, names=_LEARNED)
+    labels = recommend(found).select("table_name", "column_name", F.col("action").alias("label"))
+    return M.train(meta_features(found).join(labels, ["table_name", "column_name"]), COLUMN_FEATURES)
+
+
 @query("m_predictions_for_recommendation")
 def _(load):
-    found = _profile(load)
-    decisions = recommend(found)
+    found = _profile(load, names=_SCORED)
     keys = ["table_name", "column_name"]
-    names = ["missing_ratio", "unique_ratio", "is_numeric", "skewness", "kurtosis", "outlier_ratio", "avg_length", "entropy"]
-    rows = meta_features(found).join(decisions.select(*keys, F.col("action").alias("label")), keys)
-    predictions = M.train(rows, names).score(rows.drop("label")).select(*keys, "model_action", "model_confidence")
+    predictions = _column_model(load).score(meta_features(found)).select(*keys, "model_action", "model_confidence")
     return recommend(found, predictions=predictions).select(*keys, "action", "confidence", "source")
 
 
 @query("e5_ablation")
 def _(load):
     orders = load("orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("finished"))
-    return M.ablation(orders, ["o_totalprice", "o_orderpriority", "o_custkey"], "finished", "o_orderkey")
+    return M.ablation(orders, ["o_totalprice", "o_orderpriority", "o_custkey"], "finished", "o_orderkey", _column_model(load))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colsmith.catalog.registry import query, r
 from colsmith.catalog.shared import profile_sql
+from colsmith.operators import cross
 from colsmith.operators import validate as V
 from colsmith.operators.profile import profile
 from colsmith.plans.apply import fit
@@ -88,16 +89,22 @@ def _(load):
     return V.semantic_issues(proposed, found).drop("issues")
 
 
-@query("v8_consistency", f"WITH {_VALUES} SELECT unnest(['clipped', 'logged']) AS column_name, TRUE AS consistent FROM (SELECT count(*) AS n FROM v) x WHERE n > 0")
+@query("v8_consistency", f"""WITH {_LIMITS[1:-1].join(['l AS (', ')'])}, w AS (SELECT value AS b, user_id AS u, greatest(least(value, hi), lo) AS clipped, ln(1 + value) AS logged FROM events, l),
+f AS (SELECT 'clipped' AS column_name, (max(clipped) - min(clipped)) / (max(b) - min(b)) <= 1.2 AS in_range, TRUE AS sensible, abs(corr(clipped, u) - corr(b, u)) <= 0.15 AS related FROM w
+  UNION ALL SELECT 'logged', (max(logged) - min(logged)) / (max(b) - min(b)) <= 1.2, NOT min(b) <= 0, abs(corr(logged, u) - corr(b, u)) <= 0.15 FROM w)
+SELECT column_name, in_range AND sensible AND related AS consistent FROM f""")
 def _(load):
     before, after, fitted = _clipped(load)
+    events = load("events").withColumns({"clipped": F.col("value"), "logged": F.col("value")})
+    moved = fitted.transform(events)
+    kept = [cross.correlation_change(moved, "value", c, ["user_id"]) for c in ("clipped", "logged")]
     found = profile({"events": before.select("clipped", "logged")}, {"numbers", "values"})
     chosen = fitted.report(before.sparkSession).select(F.lit("events").alias("table_name"), F.col("column").alias("column_name"), F.col("applied").alias("action"))
     issues = V.semantic_issues(chosen.where(F.col("column_name") != "event_type"), found)
-    return V.consistency_verdict(V.range_check(before, after, ["clipped", "logged"]), issues)
+    return V.consistency_verdict(V.range_check(before, after, ["clipped", "logged"]), issues, *kept)
 
 
-@query("v9_report", _metric_sql() + "SELECT 3::BIGINT AS total, 3::BIGINT AS processed, 3::BIGINT AS validated, count(*) FILTER (s >= 0.6) AS passed FROM (SELECT avg(passed::INT) AS s FROM m GROUP BY column_name) x")
+@query("v9_report", _metric_sql() + "SELECT count(*) AS total, count(*) AS processed, count(s) AS validated, count(*) FILTER (s >= 0.6) AS passed FROM (SELECT avg(passed::INT) AS s FROM m GROUP BY column_name) x")
 def _(load):
     before, after, fitted = _clipped(load)
     verdicts = V.statistical_verdict(V.statistical_metrics(before, after, ["clipped", "logged", "event_type"], normality=False))

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsmith.functions import scalar as S
 from colsmith.operators import profile as P
 from colsmith.operators.features import named
+from colsmith.session import checkpoint
 
 KEY_SHARE = 0.995
 STRONG_CORRELATION = 0.7
 STRONG_ASSOCIATION = 0.5
 PAIRS_PER_JOB = 60
+SKETCH_ERROR = 0.02  # relative standard error of distinct-count sketches
 
 
 def primary_keys(profile: DataFrame) -> DataFrame:
@@ -49,6 +53,11 @@ def composite_keys(df: DataFrame, table_name: str, max_size: int = 3, include_su
                 candidates.append(names)
         for start in range(0, len(candidates), PAIRS_PER_JOB):
             group = candidates[start:start + PAIRS_PER_JOB]
+            # A sketch of every candidate in one pass; only those near the bar are counted exactly.
+            sketches = plain.agg(*[F.approx_count_distinct(F.xxhash64(*[F.col(f"`{c}`") for c in names]), SKETCH_ERROR).alias(f"s{i}") for i, names in enumerate(group)]).first()
+            group = [names for i, names in enumerate(group) if sketches[f"s{i}"] >= (KEY_SHARE - 6 * SKETCH_ERROR) * n]
+            if not group:
+                continue
             cells = [F.struct(F.lit(i).alias("k"), F.md5(F.concat_ws("\u0001", *[F.col(f"`{c}`").cast("string") for c in names])).alias("v"))
                      for i, names in enumerate(group)]
             counted = plain.select(F.inline(F.array(*cells))).groupBy("k", "v").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count("one").alias("d"))
@@ -62,12 +71,24 @@ def composite_keys(df: DataFrame, table_name: str, max_size: int = 3, include_su
 def correlations(df: DataFrame, table_name: str, floor: float = STRONG_CORRELATION) -> DataFrame:
     """Pearson correlations of all pairs of number columns, both ways, strongest first per column.
 
-    Pairs are put in long form inside each task and aggregated on the map side, so one pass
-    serves them all and the generated code does not grow with the number of columns.
+    Columns without nulls go through one pass that sums the products of all their pairs as a matrix. A pair with
+    nulls counts the rows that have both values; those pairs are put in long form inside each task and aggregated on the map side.
     """
     fields = [f for f in P.fields_of({table_name: df}) if f.is_number]
-    pairs = list(combinations(fields, 2))
-    rows = []
+    rows, full = [], []
+    if len(fields) > 1:
+        plain = fields[0].frame
+        facts = plain.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.nanvl(f.number, F.lit(None).cast("double"))).alias(f"c{i}") for i, f in enumerate(fields)]).first()
+        full = [f for i, f in enumerate(fields) if facts["n"] > 1 and facts[f"c{i}"] == facts["n"]]
+    if len(full) > 1:
+        vectors = VectorAssembler(inputCols=[f"c{i}" for i in range(len(full))], outputCol="v").transform(plain.select(*[f.number.alias(f"c{i}") for i, f in enumerate(full)]))
+        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+        for (i, a), (j, b) in combinations(enumerate(full), 2):
+            v = float(matrix[i, j])
+            if v == v and abs(v) >= floor:
+                rows += [(table_name, a.name, b.name, v), (table_name, b.name, a.name, v)]
+    done = {id(f) for f in full} if len(full) > 1 else set()
+    pairs = [(a, b) for a, b in combinations(fields, 2) if not (id(a) in done and id(b) in done)]
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         group = pairs[start:start + PAIRS_PER_JOB]
         cells = [F.struct(F.lit(i).alias("k"), a.number.alias("x"), b.number.alias("y")) for i, (a, b) in enumerate(group)]
@@ -142,8 +163,8 @@ def schema_types(profile: DataFrame) -> DataFrame:
 def foreign_keys(tables: dict[str, DataFrame], floor: float = 0.8, by_name: bool = True) -> DataFrame:
     """Columns whose distinct values mostly occur in a key column of the same or another table.
 
-    Name stems must contain each other unless ``by_name`` is off. Only distinct values are
-    compared, by a semi join that adaptive execution may turn into a broadcast.
+    Name stems must contain each other unless ``by_name`` is off. All pairs are compared in one job: the distinct values of the
+    columns in question meet by value, and each pair counts what they share. A reference needs an overlap above ``floor``.
     """
     spark = next(iter(tables.values())).sparkSession
     rows = P.profile(tables, {"values"}).select("table_name", "column_name", "unique_ratio", "null_count", "unique_count").collect()
@@ -154,7 +175,7 @@ def foreign_keys(tables: dict[str, DataFrame], floor: float = 0.8, by_name: bool
             bare = bare.replace(part, "")
         return bare.split("_", 1)[-1].removesuffix("key")
 
-    out = []
+    asked = []
     for child in rows:
         name = child["column_name"].lower()
         if by_name and not any(p in name for p in ("_id", "ref_", "fk_", "key")):
@@ -169,11 +190,26 @@ def foreign_keys(tables: dict[str, DataFrame], floor: float = 0.8, by_name: bool
             a, b = stem(child["column_name"]), stem(parent["column_name"])
             if by_name and not (a in b or b in a):
                 continue
-            left = tables[child["table_name"]].select(F.col(child["column_name"]).cast("string").alias("v")).where("v IS NOT NULL").distinct()
-            right = tables[parent["table_name"]].select(F.col(parent["column_name"]).cast("string").alias("v"))
-            met = left.join(right, "v", "left_semi").count()
-            if met / child["unique_count"] > floor:
-                out.append((child["table_name"], child["column_name"], parent["table_name"], parent["column_name"], met / child["unique_count"]))
+            asked.append((child, parent))
+    out = []
+    if asked:
+        of = lambda r: (r["table_name"], r["column_name"])
+        number = {c: i for i, c in enumerate(dict.fromkeys(of(r) for pair in asked for r in pair))}
+        values = None
+        for table, df in tables.items():
+            cells = [F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for (t, c), i in number.items() if t == table]
+            if cells:
+                part = df.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+                values = part if values is None else values.unionByName(part)
+        values = checkpoint(values.distinct())
+        wanted = spark.createDataFrame([(number[of(c)], number[of(p)]) for c, p in asked], "child int, parent int")
+        left = values.withColumnRenamed("k", "child").join(F.broadcast(wanted), "child")
+        met = left.join(values.withColumnRenamed("k", "parent"), ["parent", "v"]).groupBy("child", "parent").count().collect()
+        shared = {(r["child"], r["parent"]): r["count"] for r in met}
+        for child, parent in asked:
+            overlap = shared.get((number[of(child)], number[of(parent)]), 0) / child["unique_count"]
+            if overlap > floor:
+                out.append((*of(child), *of(parent), overlap))
     return spark.createDataFrame(out, "table_name string, column_name string, other_table string, other string, overlap double")
 
 

@@ -57,6 +57,32 @@ def count_dictionary(df: DataFrame, column: str, limit: int = BROADCAST_ROWS) ->
     return Dictionary(coded, base.size, base.small)
 
 
+class Counted:
+    """Value counts of several columns from one job; dictionaries are made from them on demand."""
+
+    def __init__(self, df: DataFrame, columns: list[str], limit: int = BROADCAST_ROWS):
+        cells = [F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)]
+        long = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+        self._counts = checkpoint(long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n")))
+        self._place, self._limit = {c: i for i, c in enumerate(columns)}, limit
+        self._facts = {r["k"]: r for r in self._counts.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).collect()}
+
+    def size(self, column: str) -> int:
+        """Distinct non-null values."""
+        found = self._facts.get(self._place[column])
+        return found["size"] if found else 0
+
+    def dictionary(self, column: str) -> Dictionary:
+        k, size = self._place[column], self.size(column)
+        total = float(self._facts[k]["total"]) if size else 1.0
+        own = self._counts.where(F.col("k") == k).select("value", "n", (F.col("n") / F.lit(total)).alias("share"))
+        if size > self._limit:
+            return Dictionary(ranked_dictionary(own, "value", "code", self._limit, size), size, False)
+        rows = sorted(own.collect(), key=lambda r: r["value"])
+        table = own.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], "value string, n long, share double, code long")
+        return Dictionary(table, size, True)
+
+
 def target_dictionary(df: DataFrame, column: str, target: str, limit: int = BROADCAST_ROWS) -> Dictionary:
     value = F.col(column).cast("string").alias("value")
     means = df.where(F.col(column).isNotNull()).groupBy(value).agg(F.avg(target).alias("mean"))

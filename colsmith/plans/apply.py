@@ -1,8 +1,8 @@
 """Fitted transforms of many columns: one statistics job, then projections and lookups.
 
-``fit`` gathers what every requested action needs in one aggregation (plus one small job per
-dictionary). ``Fitted.transform`` is lazy and works on batch and streaming frames alike, apart
-from the order-dependent fills, which need the whole table.
+``fit`` gathers what every requested action needs in one aggregation, and all dictionaries and distinct counts in
+another. ``Fitted.transform`` is lazy and works on batch and streaming frames alike, apart
+from the order-dependent fills, which need the whole table and place its rows when they are applied.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colsmith.functions import scalar as S
-from colsmith.operators import cluster, encode, nulls, numeric, temporal, text
+from colsmith.operators import cluster, encode, nulls, numeric, temporal, text, validate
 from colsmith.operators.quantiles import exact_quantiles
 from colsmith.plans.actions import CATEGORY_OF, FALLBACKS
 
@@ -115,6 +115,8 @@ class Fitted:
             return encode.ordinal_encode(df, c, step.parameters.get("order"), step.dictionary)
         if a == "frequency_encode":
             return encode.frequency_encode(df, c, step.dictionary)
+        if a == "target_encode" and step.parameters.get("folds"):
+            return encode.target_encode_folds(df, c, self.target, F.col(step.parameters["key"]), step.parameters["folds"])
         if a == "target_encode":
             return encode.target_encode(df, c, self.target, step.dictionary, step.statistics["overall"])
         if a == "onehot_encode":
@@ -138,6 +140,22 @@ class Fitted:
             return nulls.interpolate(df, c, self.order_by, self.partition_by)
         return df
 
+    def checked(self, before: DataFrame, after: DataFrame) -> DataFrame:
+        """The report with the outcome of the checks: ``validated``, ``score`` (share of metrics passed), ``in_range`` and ``passed``.
+
+        Columns that both frames have are profiled in shared jobs; dropped and expanded columns are not validated.
+        """
+        both = [s.column for s in self.steps if s.status == "success" and s.column in after.columns and s.action != "keep_as_is"]
+        report = self.report(before.sparkSession)
+        if not both:
+            return report.withColumns({"validated": F.lit(False), "score": F.lit(None).cast("double"), "in_range": F.lit(None).cast("boolean"), "passed": F.lit(None).cast("boolean")})
+        verdict = validate.statistical_verdict(validate.statistical_metrics(before, after, both)).select(F.col("column_name").alias("column"), "score", F.col("passed").alias("__sound"))
+        numbers = [c for c in both if S.is_number(self.kinds[c]) and S.is_number(after.schema[c].dataType.simpleString())]
+        ranged = (validate.range_check(before, after, numbers).select(F.col("column_name").alias("column"), F.col("passed").alias("in_range"))
+                  if numbers else verdict.select("column", F.lit(None).cast("boolean").alias("in_range")).limit(0))
+        joined = report.join(verdict, "column", "left").join(ranged, "column", "left")
+        return joined.withColumns({"validated": F.col("score").isNotNull(), "passed": F.col("__sound") & F.coalesce("in_range", F.lit(True))}).drop("__sound")
+
     def report(self, spark) -> DataFrame:
         rows = [(s.column, s.requested, s.action, CATEGORY_OF.get(s.action), s.status, s.note) for s in [*self.steps, *self.refused]]
         return spark.createDataFrame(
@@ -160,16 +178,20 @@ def fit(
     target: str | None = None,
     order_by: list[str] | None = None,
     partition_by: list[str] = (),
+    accepted: dict[str, bool] | None = None,
 ) -> Fitted:
     """Learn the parameters of one action per column.
 
-    ``decisions`` maps a column to an action name or to (action, parameters).
+    ``decisions`` maps a column to an action name or to (action, parameters). A column that ``accepted`` maps to
+    False stays as it is. ``target_encode`` with the parameters ``folds`` and ``key`` is out of fold: no row sees its own target.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     steps = []
     for column, choice in decisions.items():
         action, parameters = choice if isinstance(choice, tuple) else (choice, {})
-        if column not in kinds:
+        if accepted is not None and not accepted.get(column, True):
+            steps.append(ColumnStep(column, action, "keep_as_is", status="skipped", note="not accepted"))
+        elif column not in kinds:
             steps.append(ColumnStep(column, action, "keep_as_is", status="error", note="no such column"))
         elif action not in CATEGORY_OF:
             steps.append(ColumnStep(column, action, "keep_as_is", status="error", note="no such action"))
@@ -197,13 +219,15 @@ def _learn(df: DataFrame, fitted: Fitted, steps: list[ColumnStep]) -> list[Colum
         if step.action == "target_encode" and fitted.target:
             requests[f"{i}|overall"] = F.avg(fitted.target)
     row = df.agg(*[v.alias(k) for k, v in requests.items()]).first().asDict()
+    wanted = [s.column for s in steps if (s.action in DICTIONARY and not s.parameters.get("order")) or s.action in ("drop_if_constant", "drop_if_all_unique")]
+    counted = encode.Counted(df, list(dict.fromkeys(wanted))) if wanted else None
     retry = []
     quantiles: dict[int, tuple[float, ...]] = {}
     for i, step in enumerate(steps):
         step.statistics = {k.split("|")[1]: v for k, v in row.items() if k.startswith(f"{i}|")}
         step.statistics["rows"] = row["rows"]
         try:
-            probs = _check(df, fitted, step)
+            probs = _check(df, fitted, step, counted)
             if probs:
                 quantiles[i] = probs
         except UnfitForAction as reason:
@@ -235,7 +259,7 @@ def _needs_number(action: str) -> bool:
         "parse_numeric", "fill_null_mean", "fill_null_median", "quantile_transform", "geo_cluster_kmeans")
 
 
-def _check(df: DataFrame, fitted: Fitted, step: ColumnStep) -> tuple[float, ...]:
+def _check(df: DataFrame, fitted: Fitted, step: ColumnStep, counted: encode.Counted | None) -> tuple[float, ...]:
     """Fill in dictionaries and models; say which quantiles are still wanted."""
     a, c, s, p = step.action, step.column, step.statistics, step.parameters
     kind = fitted.kinds[c]
@@ -258,18 +282,18 @@ def _check(df: DataFrame, fitted: Fitted, step: ColumnStep) -> tuple[float, ...]
         levels = max(2, min(s["n"] // 2, p.get("n_quantiles", 1000)))
         return tuple(i / (levels - 1) for i in range(levels))
     elif a in DICTIONARY and not p.get("order"):
-        step.dictionary = encode.count_dictionary(df, c)
+        limit = p.get("max_categories", encode.ONE_HOT_LIMIT)
+        if a == "onehot_encode" and counted.size(c) > limit:
+            raise UnfitForAction(f"more than {limit} values")
+        step.dictionary = counted.dictionary(c)
         if a == "onehot_encode":
-            limit = p.get("max_categories", encode.ONE_HOT_LIMIT)
-            if step.dictionary.size > limit:
-                raise UnfitForAction(f"more than {limit} values")
             s["values"] = step.dictionary.values()
     elif a == "target_encode":
         if not fitted.target:
             raise UnfitForAction("no target column")
         step.dictionary = encode.target_dictionary(df, c, fitted.target)
     elif a in CONDITIONAL_DROP:
-        _decide_drop(df, step)
+        _decide_drop(step, counted)
     elif a in ORDERED and not fitted.order_by:
         raise UnfitForAction("needs an order_by")
     elif a == "geo_cluster_kmeans":
@@ -283,12 +307,12 @@ def _check(df: DataFrame, fitted: Fitted, step: ColumnStep) -> tuple[float, ...]
     return ()
 
 
-def _decide_drop(df: DataFrame, step: ColumnStep) -> None:
+def _decide_drop(step: ColumnStep, counted: encode.Counted | None) -> None:
     s, c = step.statistics, step.column
     if step.action == "drop_if_mostly_null":
         drop = s["rows"] > 0 and 1 - s["present"] / s["rows"] > step.parameters.get("threshold", 0.6)
     else:
-        distinct = df.where(F.col(c).isNotNull()).select(c).distinct().count()
+        distinct = counted.size(c)
         s["distinct"] = distinct
         drop = distinct == 1 if step.action == "drop_if_constant" else distinct == s["rows"]
     step.note = "dropped" if drop else "kept"
@@ -296,7 +320,7 @@ def _decide_drop(df: DataFrame, step: ColumnStep) -> None:
 
 
 def _fit_powers(df: DataFrame, fitted: Fitted, steps: list[ColumnStep]) -> None:
-    requests, given = {}, {}
+    requests, given, moved = {}, {}, {}
     shifted = df
     for i, step in enumerate(steps):
         s = step.statistics
@@ -309,13 +333,16 @@ def _fit_powers(df: DataFrame, fitted: Fitted, steps: list[ColumnStep]) -> None:
         box = step.action == "box_cox"
         if box and s["min"] <= 0:
             s["shift"] = abs(s["min"]) + 1
-            value = fitted.number(step.column) + s["shift"]
-            s["mean_log"] = df.agg(F.avg(F.ln(value)).alias("m")).first()["m"]
+            moved[i] = F.avg(F.ln(fitted.number(step.column) + s["shift"]))
         alias = f"w{i}"
         requests[alias] = (F.col(alias), "box_cox" if box else "yeo_johnson", s["mean_log"] or 0.0)
         shifted = shifted.withColumn(alias, fitted.number(step.column) + s["shift"])
     if not requests:
         return
+    if moved:  # means of the logarithms of all shifted columns
+        for key, mean in df.agg(*[m.alias(f"w{i}") for i, m in moved.items()]).first().asDict().items():
+            requests[key] = (*requests[key][:2], mean or 0.0)
+            steps[int(key[1:])].statistics["mean_log"] = mean
     narrow = shifted.select(*requests)
     free = {a: r for a, r in requests.items() if int(a[1:]) not in given}
     found = numeric.fit_power(narrow, free) if free else {}

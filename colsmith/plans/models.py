@@ -169,16 +169,32 @@ def cross_validated(df: DataFrame, features: list[str], target: str, key: str, f
     return sum(scores) / folds
 
 
+def _fold_score(df: DataFrame, actions: dict[str, str], features, target: str, key: str, folds: int, estimator) -> tuple[float, int]:
+    """Mean score over folds; what the actions learn comes from the other folds only, like the model. ``features`` picks from the columns."""
+    tagged = df.withColumn("__fold", fold_column(F.col(key), folds))
+    model = estimator.copy({estimator.labelCol: "__y", estimator.featuresCol: "__x"})
+    judge = MulticlassClassificationEvaluator(labelCol="__y", metricName="accuracy")
+    scores, width = [], 0
+    for f in range(folds):
+        train, test = tagged.where(F.col("__fold") != f), tagged.where(F.col("__fold") == f)
+        fitted = apply.fit(train, actions, target=target)
+        sides = [fitted.transform(side) for side in (train, test)]
+        names = features(sides[0])
+        width = max(width, len(names))
+        if not names:
+            scores.append(0.0)
+            continue
+        made = [VectorAssembler(inputCols=names, outputCol="__x").transform(_numbers(s, names).withColumn("__y", F.col(target).cast("double"))).select("__x", "__y") for s in sides]
+        scores.append(judge.evaluate(model.fit(made[0]).transform(made[1])))
+    return sum(scores) / folds, width
+
+
 def best_action(df: DataFrame, column: str, target: str, key: str, actions: tuple[str, ...], others: list[str] = (), folds: int = 3) -> DataFrame:
     """Cross-validated score of each candidate action for a column; the gap to the second gives the confidence."""
     scores = []
     for action in actions:
-        if action == "drop_column":
-            kept, features = df, list(others)
-        else:
-            kept = apply.fit(df, {column: action}, target=target).transform(df)
-            features = [c for c in kept.columns if c == column or c.startswith(f"{column}_")] + list(others)
-        scores.append((action, cross_validated(kept, features, target, key, folds) if features else 0.0))
+        own = lambda d: [c for c in d.columns if c == column or c.startswith(f"{column}_")] + list(others)
+        scores.append((action, _fold_score(df, {column: action}, own, target, key, folds, LogisticRegression(maxIter=20))[0]))
     ranked = sorted(scores, key=lambda r: -r[1])
     confidence = min(1.0, 0.5 + 5 * (ranked[0][1] - ranked[1][1])) if len(ranked) > 1 else 0.6
     return df.sparkSession.createDataFrame(
@@ -206,11 +222,12 @@ def ablation(df: DataFrame, columns: list[str], target: str, key: str, model: Ac
         # Dropping every column would leave nothing to learn from, so drops are treated as keeps.
         actions = {c: plan.get(c, "keep_as_is") for c in columns}
         actions = {c: "keep_as_is" if a in ("drop_column", "remove_duplicates") else a for c, a in actions.items()}
-        done = apply.fit(df, actions, target=target).transform(df)
-        features = [c for c in done.columns if c not in (target, key)]
-        features = [c for c in features if any(c == k or c.startswith(f"{k}_") for k in columns)]
-        timed = [c for c in features if S.is_time_type(done.schema[c].dataType.simpleString())]
-        rows.append((name, cross_validated(done, [c for c in features if c not in timed], target, key, folds, forest), len(features)))
+
+        def chosen(d):
+            names = [c for c in d.columns if c not in (target, key) and any(c == k or c.startswith(f"{k}_") for k in columns)]
+            return [c for c in names if not S.is_time_type(d.schema[c].dataType.simpleString())]
+
+        rows.append((name, *_fold_score(df, actions, chosen, target, key, folds, forest)))
     return df.sparkSession.createDataFrame(rows, "variant string, score double, features int")
 
 
