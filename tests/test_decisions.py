@@ -69,7 +69,7 @@ def test_whole_word_names():
 
 
 def test_similarity_of_a_column_with_itself(mixed):
-    corrections = mixed.select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("correction_id"), "column_name").where("column_name = 'normal'").withColumns({
+    corrections = mixed.select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("correction_id"), "table_name", "column_name").where("column_name = 'normal'").withColumns({
         "correct_action": F.lit("robust_scale"), "system_confidence": F.lit(0.5)})
     rules = L.learned_rules(L.record_corrections(corrections, mixed))
     near = {r["column_name"]: r["similarity"] for r in L.rule_similarities(mixed, rules).collect()}
@@ -124,3 +124,24 @@ def test_append_mode_drops_late_rows(spark):
     push([("2024-01-01 00:02:00", "a", 1.0), ("2024-01-01 05:00:00", "a", 1.0)])
     found = {str(r["window_start"]): r["decisions"] for r in spark.read.parquet(sink).collect()}
     assert found["2024-01-01 00:00:00"] == 2
+
+
+def test_corrections_belong_to_their_table(spark):
+    """Two tables with a column of one name: a correction counts for its own table only."""
+    from colsmith.operators.profile import profile
+
+    df = spark.createDataFrame([(float(i),) for i in range(30)], "x double")
+    found = profile({"a": df, "b": df})
+    one = spark.createDataFrame([(1, "a", "x", "keep_as_is", "drop_column", 0.5)], "correction_id int, table_name string, column_name string, wrong_action string, correct_action string, system_confidence double")
+    assert [r["table_name"] for r in L.record_corrections(one, found).collect()] == ["a"]
+
+
+def test_scale_free_rules_spare_bounded_columns(spark):
+    """A column of a few balanced values stays, however long the table is."""
+    from colsmith.operators.profile import profile
+
+    df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("l_quantity"))
+    found = profile({"t": df})
+    plain = R.rule_decisions(found).first()["action"]
+    free = R.rule_decisions(found, rules=catalogue(scale_free=True)).first()["action"]
+    assert plain == "drop_column" and free != "drop_column"

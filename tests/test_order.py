@@ -88,3 +88,26 @@ def test_normality_statistic_against_ranks(skewed):
     expected = -n - np.sum((2 * i - 1) * (log_cdf + log_sf[::-1])) / n
     assert anderson_darling(skewed, "x") == pytest.approx(expected, rel=1e-9)
     assert anderson_darling(skewed, "x", segment_rows=300) == pytest.approx(expected, rel=1e-9)
+
+
+def test_segments_split_a_key_that_half_of_the_rows_hold(spark):
+    from colsmith.operators.ordering import SEGMENT, with_segments
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id")).alias("k"), F.lit("same").alias("t"))
+    for order in (["k"], ["t"]):
+        cut, single = with_segments(df, order, 1000)
+        assert not single and max(r["count"] for r in cut.groupBy(SEGMENT).count().collect()) <= 2000
+    placed = with_position(df, ["k"], [], "n", segment_rows=1000)
+    assert placed.select("n").distinct().count() == 20_000
+
+
+def test_normal_tail_far_out(spark):
+    import math
+
+    from colsmith.operators.validate import log_normal_tail
+
+    points = [-40.0, -30.0, -12.0, -6.0, -3.0, -1.0, -0.3, 0.0, 0.3, 1.0, 3.0, 6.0]
+    found = [r["v"] for r in spark.createDataFrame([(z,) for z in points], "z double").select(log_normal_tail(F.col("z")).alias("v"), "z").orderBy("z").collect()]
+    for z, v in zip(points, found):
+        exact = math.log(0.5 * math.erfc(-z / math.sqrt(2))) if z > -37 else -z * z / 2 - math.log(-z) - 0.5 * math.log(2 * math.pi) + math.log1p(-1 / z**2 + 3 / z**4)
+        assert v == pytest.approx(exact, rel=1e-9)

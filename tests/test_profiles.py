@@ -54,7 +54,7 @@ def test_targets(people):
 
 def test_health(people):
     found = rows_of(health.column_health(people[0]))
-    assert found["constant"]["health_score"] == 70 and "All values are identical" in found["constant"]["anomalies"]
+    assert found["constant"]["health_score"] == 70 and "every value is the same" in found["constant"]["anomalies"]
     assert found["sparse"]["severity"] == "critical" and found["amount"]["data_type"] == "numeric"
 
 

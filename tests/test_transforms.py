@@ -142,3 +142,34 @@ def test_safe_tfidf_refuses_urls_and_ids(spark):
     assert safe.tfidf(urls, "x")[1].actual == "drop_column"
     ids = frame(spark, [f"user-{i:012d}" for i in range(5)], "string")
     assert safe.tfidf(ids, "x")[1].explanation == "values look like codes, not prose"
+
+
+def test_terms_with_combining_marks_are_found_in_transform(spark):
+    df = spark.createDataFrame([("हिन्दी पाठ हिन्दी",), ("पाठ और",)], "t string")
+    done = [r["t"] for r in fit(df, {"t": "text_vectorize_tfidf"}).transform(df).collect()]
+    assert all(v > 0.3 for v in done)
+
+
+def test_duplicates_are_whole_rows_unless_a_subset_is_ordered(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, "b")], "i int, x string")
+    assert fit(df, {"x": "remove_duplicates"}).transform(df).count() == 3
+    first = fit(df, {"x": ("remove_duplicates", {"subset": ["x"], "order_by": ["i"]})}).transform(df)
+    assert sorted(tuple(r) for r in first.collect()) == [(1, "a"), (3, "b")]
+    with pytest.raises(ValueError):
+        fit(df, {"x": ("remove_duplicates", {"subset": ["x"]})}).transform(df)
+
+
+def test_decisions_that_are_not_accepted_and_checked_report(spark):
+    df = spark.createDataFrame([(float(i % 17) ** 3, float(i), "ab"[i % 2]) for i in range(200)], "x double, y double, c string")
+    fitted = fit(df, {"x": "log1p_transform", "y": "standard_scale", "c": "label_encode"}, accepted={"y": False})
+    done = fitted.transform(df)
+    report = {r["column"]: r for r in fitted.checked(df, done).collect()}
+    assert report["y"]["status"] == "skipped" and report["y"]["note"] == "not accepted" and not report["y"]["validated"]
+    assert report["x"]["validated"] and report["x"]["in_range"] and report["x"]["passed"] is not None
+    assert done.select("y").exceptAll(df.select("y")).count() == 0
+
+
+def test_target_encoding_out_of_fold(spark):
+    df = spark.createDataFrame([(i, f"k{i}", float(i)) for i in range(50)], "i int, k string, target double")
+    done = fit(df, {"k": ("target_encode", {"folds": 5, "key": "i"})}, target="target").transform(df)
+    assert done.select("k").distinct().count() == 1  # a category that occurs once never sees its own target
