@@ -10,8 +10,10 @@ for each shingle.
 2. Bands of ``ROWS`` registers are keys. All members of a key are paired with its smallest id.
 3. Pairs whose sizes allow the similarity are estimated jointly from their registers by maximum likelihood; those that are well below the
    threshold (``MARGIN``) go, the others are verified on their full sets. Verified pairs are links.
-4. Members that landed in another component than their key's smallest id are paired with the rest of the key and
-   go through 3 as well. So each pair of a key is either verified or already connected, without all pairs being made.
+4. A member that is still in another component than its key's smallest id could be linked to some other member. Those
+   members are looked up exactly, by the rarest shingles of the sets (prefix filter with the sizes of both sets), among all documents with
+   such a key; what is found goes through 3 as well. A pair of a key is so either verified, connected anyway, or shown to be
+   below the threshold, and the pairs within a large group are never all made.
 5. Components over all links give the groups.
 
 With 40 bands of 5 registers a pair at the threshold of 0.8 shares no key with a chance of about 1e-7.
@@ -38,6 +40,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 MARGIN = 0.15  # five standard errors of the estimate at the threshold
 STRETCH = 2 << 20
+CELLS = 1 << 20  # hashed counters that tell rare shingles from frequent ones
+STEP = 1.05  # ratio of neighbouring size classes in the prefix filter
 
 
 def registers(values: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
@@ -147,17 +151,82 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
     return rows.mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    return checkpoint(shingle_sets(docs.join(ids, "id", "left_semi").select("id", "text"), words))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose full sets are as similar as the threshold."""
-    pairs = checkpoint(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = checkpoint(shingle_sets(docs.join(ids, "id", "left_semi").select("id", "text"), words))
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     percent = round(threshold * 100)
     return checkpoint(rows.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct())
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles fall into each cell; at most CELLS rows reach the driver."""
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (CELLS - 1), minlength=CELLS)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def _needed(a, b, percent: int):
+    """Least number of common shingles of sets of these sizes."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _by_prefix(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of an outside document and another one, of different components, that may reach the threshold.
+
+    In any fixed order of shingles, the first common one of such a pair stands before place n - needed + 1 in both sets.
+    Rare shingles come first in the order, so what a whole group shares comes too late to pair its members.
+    """
+    percent = round(threshold * 100)
+    shared = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, made = batch.slice(at, 256), []
+                for i, component, outside, shingles in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+                    values = shingles.values.to_numpy()
+                    n, order = len(values), np.lexsort((values, counts[values & (CELLS - 1)]))
+                    least, most = -(-percent * n // 100), 100 * n // percent
+                    own = int(np.log(n) / np.log(STEP) + 1e-9)
+                    roles = [(False, own, n - _needed(n, least, percent) + 1)]
+                    if outside:
+                        first, last = (int(np.log(x) / np.log(STEP) + 1e-9) for x in (least, most))
+                        roles += [(True, c, n - _needed(n, max(least, int(np.ceil(STEP**c - 1e-6))), percent) + 1) for c in range(first, last + 1)]
+                    for role, c, length in roles:
+                        if length > 0:
+                            k = min(length, n)
+                            made.append((values[order[:k]], np.arange(k), c, role, i, n, component))
+                if made:
+                    sizes = [len(m[0]) for m in made]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([m[0] for m in made])), pa.array(np.concatenate([m[1] for m in made]).astype(np.int32)),
+                         *(pa.array(np.repeat([m[j] for m in made], sizes), kind) for j, kind in ((2, pa.int32()), (3, pa.bool_()), (4, pa.int64()), (5, pa.int64()), (6, pa.int64())))],
+                        ["token", "place", "class", "outside", "id", "n", "component"])
+
+    rows = checkpoint(sets.select("id", "component", "outside", "shingles").mapInArrow(run, "token long, place int, class int, outside boolean, id long, n long, component long"))
+    left = rows.where("outside").select("token", "class", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"), F.col("component").alias("c_a"))
+    right = rows.where("not outside").select("token", "class", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"), F.col("component").alias("c_b"))
+    needed = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    fits = (F.col("c_a") != F.col("c_b")) & (F.col("p_a") <= F.col("n_a") - needed) & (F.col("p_b") <= F.col("n_b") - needed)
+    return left.join(right, ["token", "class"]).where(fits).select("a", "n_a", "b", "n_b")
+
+
 def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs with a < b whose sizes allow the similarity."""
     ordered = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
@@ -175,24 +244,26 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words
     reps = checkpoint(reps.select("id", "n", "sketch", "keys"))
 
     banded = reps.select("id", "n", F.explode("keys").alias("key"))
-    firsts = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("many")).where("many > 1").select("key", "first")
-    members = checkpoint(banded.join(firsts, "key").select("key", "id", "n", "first"))
+    firsts = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
+    members = checkpoint(banded.join(firsts, "key").select("key", "id", "n", "first", "many"))
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
 
     stars = _pairs(members.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("first.id").alias("b"), F.col("first.n").alias("n_b")), threshold)
-    links = _verified(_likely(stars, reps, threshold), own, words, threshold)
+    stars = checkpoint(_likely(stars, reps, threshold))
+    ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
+    links = _verified(stars, _sets_of(own, ids, words), threshold)
     labels = graph.components(links)
 
     of = labels.select("id", "component")
-    placed = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first_of = of.select(F.col("id").alias("first_id"), F.col("component").alias("first_component"))
-    placed = placed.withColumn("first_id", F.col("first.id")).join(first_of, "first_id", "left").withColumn("first_component", F.coalesce("first_component", "first_id"))
-    placed = checkpoint(placed.select("key", "id", "n", "component", "first_id", (F.col("component") != F.col("first_component")).alias("outside")))
-    outside = placed.where("outside").select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    others = placed.where("id != first_id").select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    allowed = (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= round(threshold * 100) * F.greatest("n_a", "n_b"))
-    rest = _pairs(outside.join(others, "key").where(allowed), threshold)
-    more = _verified(_likely(rest, reps, threshold), own, words, threshold)
+    placed = members.where("many > 2").select("key", "id", F.col("first.id").alias("first_id")).join(of, "id", "left").join(first_of, "first_id", "left")
+    placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"), (F.coalesce("component", "id") != F.coalesce("first_component", "first_id")).alias("outside"))
+    placed = checkpoint(placed)
+    open_keys = placed.where("outside").select("key").distinct()
+    involved = checkpoint(placed.join(open_keys, "key", "left_semi").groupBy("id").agg(F.first("component").alias("component"), F.max("outside").alias("outside")))
+    sets = checkpoint(_sets_of(own, involved.select("id"), words).join(involved, "id"))
+    rest = checkpoint(_likely(_pairs(_by_prefix(sets, threshold), threshold), reps, threshold))
+    more = _verified(rest, sets, threshold)
     if more.limit(1).count():
         labels = graph.components(links.unionByName(more).unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
