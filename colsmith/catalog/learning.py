@@ -142,7 +142,7 @@ def _(load):
     return L.rule_status(rules, L.ab_outcomes(_ab_log(load, rules), validated)).select("rule_name", "stage", "is_active")
 
 
-@query("l8_traffic_split")
+@query("l8_traffic_split", "SELECT event_id AS correction_id, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0 AS in_test FROM events")
 def _(load):
     return L.traffic_split(_corrections(load).select("correction_id"), "correction_id")
 

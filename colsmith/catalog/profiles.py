@@ -93,7 +93,18 @@ def _(load):
     return _health(load).select(*KEYS, "data_type", "health_score", "severity", "null_count", "unique_count")
 
 
-@query("p14_anomalies")
+_NOTES = (
+    ("data_type = 'empty'", "'no value at all'"), ("is_numeric AND outlier_pct > 0.1", "printf('%.1f%% of the values lie outside the fences', outlier_pct * 100)"),
+    ("is_numeric AND abs(skewness) > 2", "printf('skewed distribution (%.2f)', skewness)"), ("is_numeric AND cv > 2", "printf('deviation is %.2f times the mean', cv)"),
+    ("data_type = 'categorical' AND top_share > 0.9", "printf('one category holds %.1f%%', top_share * 100)"),
+    ("data_type = 'categorical' AND unique_count > 100", "printf('%d categories', unique_count)"), ("data_type = 'categorical' AND unique_count = 1", "'a single category'"),
+    ("null_pct > 0.5", "printf('more than half is missing (%.1f%%)', null_pct * 100)"), ("null_pct > 0.2 AND null_pct <= 0.5", "printf('a good part is missing (%.1f%%)', null_pct * 100)"),
+    ("null_pct > 0.05 AND null_pct <= 0.2", "printf('some values are missing (%.1f%%)', null_pct * 100)"),
+    ("unique_ratio > 0.95 AND row_count > 50", "printf('%.1f%% distinct, perhaps an identifier', unique_ratio * 100)"), ("unique_count = 1", "'every value is the same'"),
+)
+
+
+@query("p14_anomalies", f"WITH {_HEALTH} SELECT table_name, column_name, concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in _NOTES) + ") AS anomalies FROM h")
 def _(load):
     return _health(load).select(*KEYS, F.concat_ws("; ", "anomalies").alias("anomalies"))
 

@@ -69,7 +69,7 @@ def _(load):
     return found.select("column_name", "other", r("cramers_v").alias("cramers_v"))
 
 
-@query("x4_associations")
+@query("x4_associations", _cramer_sql("orders", "o_orderstatus", "o_orderpriority"))
 def _(load):
     return cross.associations(load("orders"), "orders", 0.0).withColumn("cramers_v", r("cramers_v"))
 

@@ -251,7 +251,11 @@ LEFT JOIN (SELECT x AS v, avg(p_retailprice) AS m FROM {_TARGET} u GROUP BY x) g
          number="double", digits=6, target="p_retailprice")
 
 
-@query("t36_target_encode_folds")
+@query("t36_target_encode_folds", """
+WITH t AS (SELECT *, CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS f FROM part),
+c AS (SELECT p_brand, f, sum(p_retailprice) AS s, count(p_retailprice) AS n FROM t GROUP BY p_brand, f),
+a AS (SELECT p_brand, sum(s) AS s, sum(n) AS n FROM c GROUP BY p_brand)
+SELECT p_partkey, round(coalesce((a.s - c.s) / nullif(a.n - c.n, 0), (SELECT avg(p_retailprice) FROM part)), 6) AS value FROM t JOIN c USING (p_brand, f) JOIN a USING (p_brand)""")
 def _(load):
     done = encode.target_encode_folds(load("part"), "p_brand", "p_retailprice", F.col("p_partkey"), out="value")
     return done.select("p_partkey", r("value").alias("value"))

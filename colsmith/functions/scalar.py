@@ -118,6 +118,11 @@ def sample_kurtosis(population: Column, n: Column) -> Column:
     return F.when(n >= 4, F.coalesce(adjusted, F.lit(0.0)))
 
 
+def stable_bucket(key: Column, buckets: int) -> Column:
+    """A bucket from 0 that depends on the text of the key alone (first 32 bits of its MD5)."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % buckets
+
+
 def safe_ratio(top: Column, bottom: Column, default: float = 0.0) -> Column:
     return F.when(bottom != 0, top / bottom).otherwise(F.lit(default))
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colsmith.functions import scalar as S
 from colsmith.operators.ordering import ranked_dictionary
 from colsmith.session import BROADCAST_ROWS, checkpoint
 
@@ -141,7 +142,7 @@ def target_encode_folds(df: DataFrame, column: str, target: str, key: Column, fo
     ``folds`` rows per category.
     """
     out = out or column
-    tagged = df.withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    tagged = df.withColumn("__fold", S.stable_bucket(key, folds))
     value = F.col(column).cast("string")
     cells = tagged.groupBy(value.alias("__value"), F.col("__fold").alias("__f")).agg(
         F.sum(target).alias("__s"), F.count(target).alias("__c")

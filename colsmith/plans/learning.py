@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colsmith.functions import scalar as S
 from colsmith.operators.features import zero
 from colsmith.session import BROADCAST_ROWS
 
@@ -152,7 +153,7 @@ def rule_status(rules: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def traffic_split(decisions: DataFrame, key: str) -> DataFrame:
     """Half of the decisions see the rules under test, by a stable hash."""
-    return decisions.withColumn("in_test", F.pmod(F.xxhash64(F.col(key)), F.lit(2)) == 0)
+    return decisions.withColumn("in_test", S.stable_bucket(F.col(key), 2) == 0)
 
 
 def running_accuracy(log: DataFrame) -> DataFrame:

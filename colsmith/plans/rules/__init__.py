@@ -26,14 +26,14 @@ class Rule:
     family: str = "user"
 
 
-def name_contains(words: str) -> str:
-    """The column name contains one of the slash-separated words anywhere."""
-    return "(" + " OR ".join(f"contains(name, '{w}')" for w in words.split("/")) + ")"
+def name_contains(*words: str) -> str:
+    """The column name contains one of the words anywhere."""
+    return "(" + " OR ".join(f"contains(name, '{w}')" for w in words) + ")"
 
 
-def name_has_word(words: str) -> str:
+def name_has_word(*words: str) -> str:
     """One of the words stands between underscores or at an end of the column name."""
-    return "(" + " OR ".join(f"contains(concat('_', name, '_'), '_{w.strip('_')}_')" for w in words.split("/")) + ")"
+    return "(" + " OR ".join(f"contains(concat('_', name, '_'), '_{w.strip('_')}_')" for w in words) + ")"
 
 
 def _default(column: str, value: float) -> str:

@@ -21,7 +21,7 @@ def leakage(n, d):
         ("LEAKAGE_PERFECT_CORRELATION", "drop_column", 99, "0.98", "target_available AND abs(correlation_with_target) > 0.99"),
         ("LEAKAGE_CONSTANT_COLUMN", "drop_column", 99, "0.99", "unique_count = 1"),
         ("LEAKAGE_NEAR_CONSTANT", "drop_column", 98, "0.95", "unique_count > 1 AND unique_ratio < 0.01"),
-        ("LEAKAGE_UNIQUE_ID", "drop_column", 97, "0.96", f"unique_ratio > 0.98 AND row_count > 100 AND (is_primary_key OR {n('id/key/uuid/guid')})"),
+        ("LEAKAGE_UNIQUE_ID", "drop_column", 97, "0.96", f"unique_ratio > 0.98 AND row_count > 100 AND (is_primary_key OR {n('id', 'key', 'uuid', 'guid')})"),
         ("LEAKAGE_DUPLICATE_COLUMN", "drop_column", 96, "0.92", "duplicate_ratio > 0.95 AND row_count > 50"),
     ]
 
@@ -48,9 +48,9 @@ def time_series(n, d):
         ("TS_UNIX_TIMESTAMP", "cyclic_time_encode", 85, "0.89", "is_numeric AND min_value > 1000000000 AND max_value < 2000000000"),
         ("TS_ISO_DATETIME", "cyclic_time_encode", 88, "0.95", "matches_iso_datetime > date_share_floor"),
         ("TS_SEQUENTIAL_INDEX", "keep_as_is", 80, "0.84", "is_numeric AND is_smooth AND unique_ratio > 0.95"),
-        ("TS_CYCLIC_COMPONENT", "cyclic_time_encode", 89, "0.92", f"is_numeric AND {n('month/day/hour/minute/weekday')} AND min_value >= 0 AND {d('max_value', 100)} <= 60"),
+        ("TS_CYCLIC_COMPONENT", "cyclic_time_encode", 89, "0.92", f"is_numeric AND {n('month', 'day', 'hour', 'minute', 'weekday')} AND min_value >= 0 AND {d('max_value', 100)} <= 60"),
         ("TS_YEAR_COLUMN", "standard_scale", 84, "0.9", f"is_numeric AND {n('year')} AND min_value > 1900 AND {d('max_value', 3000)} < 2100"),
-        ("TS_DURATION", "log_transform", 82, "0.87", f"is_numeric AND {n('duration/elapsed/time_diff')} AND skewness > 2.0"),
+        ("TS_DURATION", "log_transform", 82, "0.87", f"is_numeric AND {n('duration', 'elapsed', 'time_diff')} AND skewness > 2.0"),
     ]
 
 
@@ -123,7 +123,7 @@ def dimensions(n, d):
         ("DIMRED_SPARSE_FEATURES", "keep_as_is", 76, "0.81", "is_numeric AND has_zeros AND unique_ratio < 0.3"),
         ("DIMRED_MULTICOLLINEAR", "standard_scale", 81, "0.84", "is_numeric AND duplicate_ratio > 0.85"),
         ("DIMRED_IMAGE_LIKE", "keep_as_is", 75, "0.78", f"is_numeric AND {d('min_value', -1)} >= 0 AND {d('max_value', 300)} <= 255 AND unique_count > 50"),
-        ("DIMRED_MANY_LAGS", "standard_scale", 77, "0.8", f"is_numeric AND is_smooth AND {n('lag/rolling/window')}"),
+        ("DIMRED_MANY_LAGS", "standard_scale", 77, "0.8", f"is_numeric AND is_smooth AND {n('lag', 'rolling', 'window')}"),
         ("DIMRED_ONEHOT_EXPLOSION", "hash_encode", 83, "0.86", "is_categorical AND cardinality > 50 AND cardinality < 500"),
         ("DIMRED_READY_FOR_PCA", "standard_scale", 79, "0.88", f"is_numeric AND is_already_scaled AND abs({d('mean', 100)}) < 1.0 AND abs(std - 1.0) < 0.2"),
     ]
