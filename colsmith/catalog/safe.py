@@ -75,11 +75,17 @@ def _(load):
     return safe.clean_text(load("conversations").select("conv_id", "turn", "text"), "text")[0]
 
 
-@query("f_safe_outcomes", """
-SELECT * FROM (VALUES ('constant', 'standard_scale', 'keep_as_is', 'skipped'), ('c_acctbal', 'log_transform', 'log1p_transform', 'success'),
- ('c_name', 'onehot_encode', 'frequency_encode', 'fallback'), ('c_mktsegment', 'onehot_encode', 'onehot_encode', 'success'),
- ('c_name', 'text_vectorize', 'drop_column', 'skipped'), ('constant', 'robust_scale', 'keep_as_is', 'skipped'),
- ('constant', 'minmax_scale', 'keep_as_is', 'skipped'), ('c_name', 'datetime_extract', 'keep_as_is', 'skipped')) v(column_name, requested, actual, status)""")
+@query("f_safe_outcomes", r"""
+WITH f AS (SELECT count(DISTINCT k) AS constants, min(c_acctbal) AS low, count(DISTINCT c_name) AS names, count(DISTINCT c_mktsegment) AS segments, count(c_name) AS n, avg(length(c_name)) AS size,
+  avg(regexp_matches(c_name, '\s')::INT) AS blanks, avg((TRY_CAST(c_name AS TIMESTAMP) IS NOT NULL)::INT) AS dates FROM (SELECT *, 5.0 AS k FROM customer) c),
+o AS (SELECT unnest(['standard_scale', 'robust_scale', 'minmax_scale']) AS requested, constants > 1 AS good FROM f)
+SELECT 'constant' AS column_name, requested, CASE WHEN good THEN requested ELSE 'keep_as_is' END AS actual, CASE WHEN good THEN 'success' ELSE 'skipped' END AS status FROM o
+UNION ALL SELECT 'c_acctbal', 'log_transform', CASE WHEN low <= 0 THEN 'log1p_transform' ELSE 'log_transform' END, 'success' FROM f
+UNION ALL SELECT 'c_name', 'onehot_encode', CASE WHEN names > 50 THEN 'frequency_encode' ELSE 'onehot_encode' END, CASE WHEN names > 50 THEN 'fallback' ELSE 'success' END FROM f
+UNION ALL SELECT 'c_mktsegment', 'onehot_encode', CASE WHEN segments > 50 THEN 'frequency_encode' ELSE 'onehot_encode' END, CASE WHEN segments > 50 THEN 'fallback' ELSE 'success' END FROM f
+UNION ALL SELECT 'c_name', 'text_vectorize', CASE WHEN names / n > 0.95 AND size > 10 AND blanks < 0.3 THEN 'drop_column' ELSE 'text_vectorize' END,
+  CASE WHEN names / n > 0.95 AND size > 10 AND blanks < 0.3 THEN 'skipped' ELSE 'success' END FROM f
+UNION ALL SELECT 'c_name', 'datetime_extract', CASE WHEN dates < 0.9 THEN 'keep_as_is' ELSE 'datetime_extract' END, CASE WHEN dates < 0.9 THEN 'skipped' ELSE 'success' END FROM f""")
 def _(load):
     df = load("customer").withColumn("constant", F.lit(5.0))
     outcomes = [safe.standard_scale(df, "constant")[1], safe.log_transform(df, "c_acctbal")[1], safe.one_hot(df, "c_name")[1],

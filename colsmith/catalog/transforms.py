@@ -407,12 +407,14 @@ def _(load):
                        r("l_extendedprice").alias("l_extendedprice"), "l_returnflag", "l_discount")
 
 
-@query("t60_batch_report", """
-SELECT * FROM (VALUES ('o_totalprice', 'standard_scale', 'standard_scale', 'scaling', 'success'),
- ('o_orderpriority', 'onehot_encode', 'onehot_encode', 'encoding', 'success'),
- ('o_orderstatus', 'standard_scale', 'keep_as_is', 'data_quality', 'skipped'),
- ('o_custkey', 'onehot_encode', 'label_encode', 'encoding', 'fallback'),
- ('o_clerk', 'drop_column', 'keep_as_is', 'data_quality', 'error')) v(column_name, requested, applied, category, status)""")
+@query("t60_batch_report", r"""
+WITH f AS (SELECT count(DISTINCT o_orderpriority) AS kinds, count(DISTINCT o_custkey) AS keys, avg((TRY_CAST(o_orderstatus AS DOUBLE) IS NOT NULL)::INT) AS numbers, count(o_totalprice) AS prices FROM orders),
+c AS (SELECT 'o_totalprice' AS column_name, 'standard_scale' AS requested, CASE WHEN prices > 0 THEN 'standard_scale' END AS applied, 'success' AS status FROM f
+  UNION ALL SELECT 'o_orderpriority', 'onehot_encode', CASE WHEN kinds <= 50 THEN 'onehot_encode' ELSE 'label_encode' END, CASE WHEN kinds <= 50 THEN 'success' ELSE 'fallback' END FROM f
+  UNION ALL SELECT 'o_orderstatus', 'standard_scale', CASE WHEN numbers > 0.5 THEN 'standard_scale' ELSE 'keep_as_is' END, CASE WHEN numbers > 0.5 THEN 'success' ELSE 'skipped' END FROM f
+  UNION ALL SELECT 'o_custkey', 'onehot_encode', CASE WHEN keys <= 50 THEN 'onehot_encode' ELSE 'label_encode' END, CASE WHEN keys <= 50 THEN 'success' ELSE 'fallback' END FROM f
+  UNION ALL SELECT 'o_clerk', 'drop_column', 'keep_as_is', CASE WHEN list_contains((SELECT list(column_name) FROM (DESCRIBE orders)), 'o_clerk') THEN 'success' ELSE 'error' END FROM f)
+SELECT column_name, requested, applied, CASE WHEN contains(applied, 'scale') THEN 'scaling' WHEN contains(applied, 'encode') THEN 'encoding' ELSE 'data_quality' END AS category, status FROM c""")
 def _(load):
     orders = load("orders")
     fitted = fit(orders, {"o_totalprice": "standard_scale", "o_orderpriority": "onehot_encode", "o_orderstatus": "standard_scale",
