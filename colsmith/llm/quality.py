@@ -83,6 +83,13 @@ class Texts:
     def n_dup_lines(self) -> np.ndarray:
         return self._lines[1]
 
+    @cached_property
+    def n_stutters(self) -> np.ndarray:
+        """Words equal to the one before."""
+        hashes, _, _, rows = self._words
+        same = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
+        return np.bincount(rows[1:][same], minlength=len(self.offsets) - 1)
+
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
         hashes, _, _, rows = self._words
@@ -107,7 +114,8 @@ RULES: dict[str, Rule] = {
     "few_words": lambda t: t.n_words < 20,
     "repeated_windows": lambda t: 100 * t.n_repeat_words > 30 * t.n_words,
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
-    "repeated_lines": lambda t: 10 * t.n_dup_lines > 3 * t.n_lines,
+    "stutters": lambda t: 10 * t.n_stutters > 3 * t.n_words,
+    "repeated_lines": lambda t: 2 * t.n_dup_lines > t.n_lines,
     "word_length": lambda t: (t.word_chars < 2 * t.n_words) | (t.word_chars > 15 * t.n_words),
     "capitals": lambda t: 10 * t.capitals > 4 * t.letters,
 }

@@ -67,7 +67,7 @@ def test_suffixes_of_few_letters(spark):
 def test_loser_tree_merges_in_order():
     pick = random.Random(3)
     strings = [bytes(pick.choice(b"ab") for _ in range(pick.randrange(0, 12))) for _ in range(500)]
-    runs = [sorted((s, i, 0, 0, 0, 0, 0) for i, s in enumerate(strings) if i % 7 == k) for k in range(7)]
+    runs = [sorted((s, i, 0, 0, 0, 0) for i, s in enumerate(strings) if i % 7 == k) for k in range(7)]
     merged = list(suffixes.merge([suffixes.Run(suffixes._run(0, r)) for r in runs]))
     assert [(s, e[0]) for _, s, e in merged] == sorted((s, i) for i, s in enumerate(strings))
     assert all(k == suffixes._common(a[1], b[1]) for a, b, k in zip(merged, merged[1:], [m[0] for m in merged[1:]]))
@@ -129,6 +129,11 @@ def test_quality_measures(docs, texts):
             len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), repeats, len(covered))
 
 
+def test_stutters_are_rejected(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{i // 6} " for i in range(120))), (2, " ".join(f"word{i}" for i in range(120)))], "doc_id long, text string")
+    assert {r["doc_id"]: r["rejected_by"] for r in quality.judge(docs).collect()} == {1: "stutters", 2: None}
+
+
 def test_cascade_keeps_the_same_in_any_order(docs):
     kept = [{r["doc_id"] for r in quality.keep_good(docs, order=o).collect()} for o in (list(quality.RULES), list(quality.RULES)[::-1])]
     assert kept[0] == kept[1]
