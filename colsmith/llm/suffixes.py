@@ -27,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsmith.llm import words as W
-from colsmith.session import checkpoint
+from colsmith.session import scratch_path
 
 LENGTH = 100  # bytes of a repeated string
 GRAM = 24  # bytes of an anchor
@@ -40,7 +42,7 @@ MANY = 50_000  # different segments around an anchor that one task compares
 SLICE = 1 << 19  # bytes looked at together
 
 _LAST = (1 << 63) - 1  # order of a null id
-RUN = "part int, lcp array<int>, size array<int>, rest binary, doc array<long>, ord array<int>, pos array<int>, block array<int>, gram array<long>, place array<int>"
+RUN = "part int, lcp array<int>, size array<int>, rest binary, doc array<long>, ord array<int>, pos array<int>, block array<int>, place array<int>"
 CUT = "block int, doc array<long>, ord array<int>, start array<int>, stop array<int>"
 FLAG = "owner int, gram array<long>, many array<boolean>"
 
@@ -93,6 +95,11 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 # Sorted runs --------------------------------------------------------------------------------------------------------------------------
 
+def _gram(string: bytes, place: int) -> int:
+    """A number for the anchor of a segment."""
+    return int.from_bytes(hashlib.blake2b(string[place : place + GRAM], digest_size=8).digest(), "little", signed=True)
+
+
 def _common(a: bytes, b: bytes, start: int = 0) -> int:
     """Length of the common prefix, known to be ``start`` at least."""
     n = min(len(a), len(b))
@@ -111,12 +118,12 @@ def _prefixes(strings: list[bytes]) -> list[int]:
 
 
 def _run(part: int, entries: list[tuple]) -> dict:
-    """A front-coded row of sorted entries (string, doc, ord, pos, block, gram, place)."""
+    """A front-coded row of sorted entries (string, doc, ord, pos, block, place)."""
     strings = [e[0] for e in entries]
     lcp = _prefixes(strings)
     columns = list(zip(*[e[1:] for e in entries]))
-    return {"part": part, "lcp": lcp, "size": [len(s) for s in strings], "rest": b"".join(s[k:] for s, k in zip(strings, lcp)),
-            **dict(zip(("doc", "ord", "pos", "block", "gram", "place"), map(list, columns)))}
+    return {"part": part, "lcp": lcp, "size": [len(s) for s in strings], "rest": zstandard.ZstdCompressor(1).compress(b"".join(s[k:] for s, k in zip(strings, lcp))),
+            **dict(zip(("doc", "ord", "pos", "block", "place"), map(list, columns)))}
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -148,8 +155,8 @@ class Run:
     __slots__ = ("string", "lcp", "entry", "_rest", "_lcps", "_sizes", "_fields", "_at", "_i")
 
     def __init__(self, row: dict):
-        self._rest, self._lcps, self._sizes = row["rest"], row["lcp"], row["size"]
-        self._fields = list(zip(row["doc"], row["ord"], row["pos"], row["block"], row["gram"], row["place"]))
+        self._rest, self._lcps, self._sizes = zstandard.ZstdDecompressor().decompress(row["rest"]), row["lcp"], row["size"]
+        self._fields = list(zip(row["doc"], row["ord"], row["pos"], row["block"], row["place"]))
         self._at = self._i = 0
         self.string = b""
         self.advance()
@@ -240,8 +247,9 @@ class _Cuts:
 BOTH = RUN + ", doc_block int, start array<int>, stop array<int>"  # a run, or (with doc_block) stretches to remove
 
 
-def _both(runs: list[dict], cuts: _Cuts) -> pa.Table:
-    rows = [*runs, *({"doc_block": c.pop("block"), **c} for c in cuts.rows_of())]
+def _both(runs: list[dict], cuts: _Cuts, parts: int = 1) -> pa.Table:
+    """Stretches are given a part as well, so that they can go with the runs through an exchange."""
+    rows = [*runs, *({"doc_block": c["block"], "part": c.pop("block") % parts, **c} for c in cuts.rows_of())]
     return pa.Table.from_pylist(rows, schema=_schema(BOTH))
 
 
@@ -321,14 +329,41 @@ def _repeated_anchors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(run, "owner int, gram array<long>")
 
 
-def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """A block's rows by id and text: bytes, offsets, ids and ordinals of rows with equal ids."""
-    table = table.sort_by([("id", "ascending"), ("text", "ascending")])
-    data, offsets = W.text_buffer(table.column("text"))
-    ids = table.column("id").fill_null(_LAST).to_numpy()
+def _packed(docs: DataFrame) -> DataFrame:
+    """Documents of a task and block in one compressed row, which moves half as much as row by row."""
+    schema = pa.schema([("block", pa.int32()), ("id", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("text", pa.binary())])
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(1).compress
+        for batch in batches:
+            blocks = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(blocks, kind="stable")
+            batch, blocks = batch.take(pa.array(order)), blocks[order]
+            data, offsets = W.text_buffer(batch.column(2))
+            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])).tolist() if len(blocks) else []
+            rows = [{"block": blocks[a], "id": batch.column(1).slice(a, b - a).to_pylist(), "size": np.diff(offsets[a : b + 1]), "text": pack(data[offsets[a] : offsets[b]].tobytes())}
+                    for a, b in zip(cuts, [*cuts[1:], len(blocks)])]
+            if rows:
+                yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
+
+    return docs.select("block", "id", "text").mapInArrow(run, "block int, id array<long>, size array<long>, text binary")
+
+
+def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """A block's rows by id (nulls last) and text: bytes, offsets, ids (nulls as _LAST), ordinals of rows with equal ids, ids as they are."""
+    rows = []
+    for packed in table.to_pylist():
+        data, at = zstandard.ZstdDecompressor().decompress(packed["text"]), 0
+        for i, size in zip(packed["id"], packed["size"]):
+            rows.append((i is None, _LAST if i is None else i, data[at : at + size]))
+            at += size
+    rows.sort()
+    data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    offsets, ids = np.append(0, np.cumsum([len(r[2]) for r in rows], dtype=np.int64)), np.array([r[1] for r in rows], np.int64)
     same = np.append(False, ids[1:] == ids[:-1]) if len(ids) else np.zeros(0, bool)
     place = np.arange(len(ids))
-    return data, offsets, ids, place - np.maximum.accumulate(np.where(same, 0, place)), table
+    first = np.maximum.accumulate(np.where(same, 0, place)) if len(ids) else place
+    return data, offsets, ids, place - first, [None if r[0] else r[1] for r in rows]
 
 
 def _flagged(table: pa.Table, name: str = "gram") -> np.ndarray:
@@ -357,22 +392,24 @@ def _block_runs(parts: int):
         known = _flagged(flags)
         at = np.minimum(np.searchsorted(known, grams.view(np.int64)), len(known) - 1)
         hit = known[at] == grams.view(np.int64)
-        row, start, stop, anchor, grams = row[hit], start[hit], stop[hit], anchor[hit], grams[hit].view(np.int64)
+        row, start, stop, anchor = row[hit], start[hit], stop[hit], anchor[hit]
         raw, cuts = data.tobytes(), _Cuts()
         entries = zip([raw[a:b] for a, b in zip(start.tolist(), stop.tolist())], ids[row].tolist(), ords[row].tolist(), (start - offsets[row]).tolist(),
-                      [block] * len(row), grams.tolist(), (anchor - start).tolist())
-        return _both(list(split_runs(_first_of_equal(entries, cuts), parts)), cuts)
+                      [block] * len(row), (anchor - start).tolist())
+        return _both(list(split_runs(_first_of_equal(entries, cuts), parts)), cuts, parts)
 
     return run
 
 
 def _merge_part(keep: bool):
-    """Merge the runs of a part: later copies are removed, and with ``keep`` the first of each string goes on."""
+    """Merge the runs of a part: later copies are removed, and with ``keep`` the first of each string goes on. Stretches pass through."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cuts, first = _Cuts(), []
         last = None
-        for prefix, string, entry in merge([Run(r) for r in table.to_pylist()]):
+        passed = table.filter(pc.is_valid(table.column("doc_block")))
+        runs = [Run(r) for r in table.filter(pc.is_null(table.column("doc_block"))).to_pylist()]
+        for prefix, string, entry in merge(runs):
             if last is not None and prefix == len(string) == len(last):
                 doc, order, pos, block = entry[:4]
                 cuts.add(block, doc, order, pos, pos + len(string))
@@ -380,7 +417,8 @@ def _merge_part(keep: bool):
                 last = string
                 if keep:
                     first.append((string, *entry))
-        return _both([_run(key[0].as_py(), first)] if first else [], cuts)
+        made = _both([_run(key[0].as_py(), first)] if first else [], cuts)
+        return pa.concat_tables([passed.cast(made.schema), made])
 
     return run
 
@@ -391,14 +429,18 @@ def _segments_by_anchor(runs: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for owner, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values, counts = np.unique(grams.values.to_numpy(), return_counts=True)
+            for row in batch.to_pylist():
+                reader, found = Run(row), []
+                while reader.string is not None:
+                    found.append(_gram(reader.string, reader.entry[4]))
+                    reader.advance()
+                values, counts = np.unique(np.array(found, np.int64), return_counts=True)
                 part = values.view(np.uint64) % np.uint64(parts)
-                rows += [(int(p), owner, values[part == p], counts[part == p]) for p in np.unique(part)]
+                rows += [(int(p), row["part"], values[part == p], counts[part == p]) for p in np.unique(part)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
                                               pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["part", "owner", "gram", "n"])
 
-    return runs.select("part", "gram").mapInArrow(run, "part int, owner int, gram array<long>, n array<long>")
+    return runs.select(*[x.split(" ")[0] for x in RUN.split(", ")]).mapInArrow(run, "part int, owner int, gram array<long>, n array<long>")
 
 
 def _shared_anchors(rows: DataFrame, many: int) -> DataFrame:
@@ -429,16 +471,17 @@ def _spread(parts: int, windows: bool):
             reader = Run(row)
             while reader.string is not None:
                 string, entry = reader.string, reader.entry
-                if entry[4] in chosen:
+                gram = _gram(string, entry[4])
+                if gram in chosen:
                     if windows:
                         doc, order, pos, block = entry[:4]
-                        pieces += [(string[i : i + LENGTH], doc, order, pos + i, block, 0, 0) for i in range(len(string) - LENGTH + 1)]
+                        pieces += [(string[i : i + LENGTH], doc, order, pos + i, block, 0) for i in range(len(string) - LENGTH + 1)]
                     else:
-                        dealt.setdefault(entry[4] % parts, []).append((string, *entry))
+                        dealt.setdefault(gram % parts, []).append((string, *entry))
                 reader.advance()
         if windows:
             pieces.sort(key=lambda e: e[1:])
-            return _both(list(split_runs(_first_of_equal(pieces, cuts), parts)), cuts)
+            return _both(list(split_runs(_first_of_equal(pieces, cuts), parts)), cuts, parts)
         return _both([_run(p, own) for p, own in dealt.items()], cuts)
 
     return run
@@ -450,8 +493,8 @@ def _compare_around_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.T
     for row in table.to_pylist():
         reader = Run(row)
         while reader.string is not None:
-            doc, order, pos, block, gram, place = reader.entry
-            by_gram.setdefault(gram, []).append((doc, order, pos + place, pos, block, place, reader.string))
+            doc, order, pos, block, place = reader.entry
+            by_gram.setdefault(reader.string[place : place + GRAM], []).append((doc, order, pos + place, pos, block, place, reader.string))
             reader.advance()
     cuts = _Cuts()
     for own in by_gram.values():
@@ -468,12 +511,19 @@ def _compare_around_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.T
     return _both([], cuts)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The table written in the shared folder and read again: it cuts the lineage as a checkpoint does, in compressed form."""
+    path = scratch_path(df.sparkSession, "suffixes")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _stretches(cuts: DataFrame) -> DataFrame:
     return cuts.where("doc_block is not null").select(F.col("doc_block").alias("block"), "doc", "ord", "start", "stop")
 
 
 def _apply(key: tuple[pa.Scalar, ...], docs: pa.Table, cuts: pa.Table) -> pa.Table:
-    data, offsets, ids, ords, table = _ordered(docs)
+    data, offsets, ids, ords, names = _ordered(docs)
     change = np.zeros(len(data) + 1, np.int32)
     if cuts.num_rows:
         first = {(i, o): k for k, (i, o) in enumerate(zip(ids.tolist(), ords.tolist()))}
@@ -486,7 +536,7 @@ def _apply(key: tuple[pa.Scalar, ...], docs: pa.Table, cuts: pa.Table) -> pa.Tab
     at = offsets[:-1][offsets[:-1] < len(data)]
     head[at] = gone[at]
     left = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets, offsets[1:])]
-    return pa.table({"id": table.column("id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(W.per_row(gone, offsets)), "n_spans": pa.array(W.per_row(head, offsets)),
+    return pa.table({"id": pa.array(names, pa.int64()), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(W.per_row(gone, offsets)), "n_spans": pa.array(W.per_row(head, offsets)),
                      "kept": pa.array(left, pa.binary())})
 
 
@@ -497,19 +547,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    blocks = rows.groupBy("block")
+    blocks = _packed(rows).groupBy("block")
 
-    flags = checkpoint(_repeated_anchors(_anchor_rows(rows, parts)))
-    local = checkpoint(blocks.cogroup(flags.groupBy("owner")).applyInArrow(_block_runs(parts), BOTH))
-    merged = checkpoint(local.where("part is not null").groupBy("part").applyInArrow(_merge_part(True), BOTH))
-    first = merged.where("part is not null")
-    shared = checkpoint(_shared_anchors(_segments_by_anchor(first, parts), many))
+    flags = _repeated_anchors(_anchor_rows(rows, parts))
+    local = blocks.cogroup(flags.groupBy("owner")).applyInArrow(_block_runs(parts), BOTH)
+    merged = _stored(local.groupBy("part").applyInArrow(_merge_part(True), BOTH))
+    first = merged.where("doc_block is null")
+    shared = _stored(_shared_anchors(_segments_by_anchor(first, parts), many))
     spread = first.groupBy("part").cogroup(shared.groupBy("owner"))
-    around = spread.applyInArrow(_spread(parts, False), BOTH).where("part is not null").groupBy("part").applyInArrow(_compare_around_anchors, BOTH)
-    cuts = _stretches(local).unionByName(_stretches(merged)).unionByName(_stretches(around))
+    around = spread.applyInArrow(_spread(parts, False), BOTH).groupBy("part").applyInArrow(_compare_around_anchors, BOTH)
+    cuts = _stretches(merged).unionByName(_stretches(around))
     if shared.where(F.exists("many", lambda m: m)).limit(1).count():
-        windows = checkpoint(spread.applyInArrow(_spread(parts, True), BOTH))
-        equal = windows.where("part is not null").groupBy("part").applyInArrow(_merge_part(False), BOTH)
-        cuts = cuts.unionByName(_stretches(windows)).unionByName(_stretches(equal))
+        windows = spread.applyInArrow(_spread(parts, True), BOTH)
+        cuts = cuts.unionByName(_stretches(windows.groupBy("part").applyInArrow(_merge_part(False), BOTH)))
     found = blocks.cogroup(cuts.groupBy("block")).applyInArrow(_apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return found.withColumnRenamed("id", id_column)
