@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,36 +66,29 @@ def fit_vocabulary(df: DataFrame, column: str, max_features: int = 100,
     found = tokens(F.col(column))
     if stop_words:
         found = F.filter(found, lambda t: ~t.isin(*stop_words))
-    # Uses and rows of every term from one pass: each use, and each row's distinct terms, are rows of their own.
-    uses = F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(1).alias("uses"), F.lit(0).alias("rows")))
-    rows = F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).alias("uses"), F.lit(1).alias("rows")))
-    counted = df.select(F.inline(F.concat(uses, rows))).groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("rows").alias("rows"))
-    top = counted.orderBy(F.desc("uses"), "term").limit(max_features).collect()
-    if not top:
+    uses = df.select(F.explode(found).alias("term")).groupBy("term").count()
+    terms = sorted(r["term"] for r in uses.orderBy(F.desc("count"), "term").limit(max_features).collect())
+    if not terms:
         return Vocabulary([], [])
-    found = {r["term"]: r["rows"] for r in top}
-    terms, rows = sorted(found), df.count()
+    # An empty term stands for the row itself, so that rows are counted in the same pass.
+    present = F.concat(F.array(F.lit("")), F.array_intersect(found, F.lit(terms)))
+    found = {r["term"]: r["count"] for r in df.select(F.explode(present).alias("term")).groupBy("term").count().collect()}
+    rows = found[""]
     idf = [math.log((1 + rows) / (1 + found[t])) + 1 for t in terms]
     return Vocabulary(terms, idf)
 
 
-def tfidf_vector(c: Column, vocabulary: Vocabulary) -> Column:
-    """L2-normalised weights in vocabulary order, per row and without a shuffle.
+def with_tfidf(df: DataFrame, column: str, vocabulary: Vocabulary, out: str) -> DataFrame:
+    """Adds L2-normalised weights in vocabulary order, per row and without a shuffle.
 
-    The tokens are those the vocabulary was fitted on. Only terms that occur are counted; a row without any is all zeros.
+    The tokens are those the vocabulary was fitted on, counted by a hash lookup; a row without any known term is all zeros.
     """
-    terms, idf = F.lit(vocabulary.terms), F.lit(vocabulary.idf)
-
-    def weights(known):
-        return F.zip_with(terms, idf, lambda t, w: F.when(F.array_contains(known, t), w * (F.size(known) - F.size(F.array_remove(known, t)))).otherwise(F.lit(0.0)))
-
-    def normal(raw):
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda t, x: t + x * x))
-        return F.transform(F.array(norm), lambda n: F.transform(raw, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
-
-    # An array of one element binds an intermediate result to a name, so that it is computed once.
-    known = F.array(F.filter(tokens(c), lambda t: F.array_contains(terms, t)))
-    return F.element_at(F.flatten(F.transform(F.transform(known, weights), normal)), 1)
+    model = CountVectorizerModel.from_vocabulary(vocabulary.terms, inputCol="__tokens", outputCol="__counts")
+    counted = model.transform(df.withColumn("__tokens", tokens(F.col(column))))
+    raw = counted.withColumn("__raw", F.zip_with(vector_to_array("__counts"), F.lit(vocabulary.idf), lambda n, w: n * w))
+    norm = raw.withColumn("__norm", F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda t, x: t + x * x)))
+    weights = F.transform("__raw", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm")).otherwise(F.lit(0.0)))
+    return norm.withColumn(out, weights).drop("__tokens", "__counts", "__raw", "__norm")
 
 
 def tfidf_weights(df: DataFrame, key: str, column: str, vocabulary: Vocabulary) -> DataFrame:

@@ -127,9 +127,9 @@ class Fitted:
         if a == "geo_cluster_kmeans":
             return step.model.transform(df, c)
         if a == "text_vectorize_tfidf":
-            vector = text.tfidf_vector(F.col(c), step.model)
+            weighted = text.with_tfidf(df, c, step.model, "__vector")
             size = max(1, len(step.model.terms))
-            return df.withColumn(c, F.aggregate(vector, F.lit(0.0), lambda t, x: t + x) / size)
+            return weighted.withColumn(c, F.aggregate("__vector", F.lit(0.0), lambda t, x: t + x) / size).drop("__vector")
         if a == "remove_duplicates":
             return remove_duplicates(df, step.parameters.get("subset"), step.parameters.get("order_by"))
         if a == "fill_null_forward":

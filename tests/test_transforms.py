@@ -119,7 +119,7 @@ def test_tfidf_both_ways_agree(spark):
     df = spark.createDataFrame([(0, "red fish blue fish"), (1, "one fish two fish"), (2, None), (3, "green eggs")], "k int, t string")
     vocabulary = text.fit_vocabulary(df, "t", 4)
     assert vocabulary.terms == ["blue", "eggs", "fish", "green"]
-    wide = {r["k"]: r["v"] for r in df.select("k", text.tfidf_vector(F.col("t"), vocabulary).alias("v")).collect()}
+    wide = {r["k"]: r["v"] for r in text.with_tfidf(df, "t", vocabulary, "v").collect()}
     long = {(r["k"], r["term"]): r["weight"] for r in text.tfidf_weights(df, "k", "t", vocabulary).collect()}
     for k, vector in wide.items():
         for term, weight in zip(vocabulary.terms, vector):
