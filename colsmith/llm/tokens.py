@@ -12,8 +12,8 @@ first. An empty table gives no shard. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import zlib
 
@@ -25,18 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END_ID = 2
-SHARD_TOKENS = 1 << 20
-CACHED_PIECES = 300_000  # pieces of text whose ids a worker remembers
+SHARD_TOKENS = 1 << 19
+CACHED_PIECES = 1_000_000  # pieces of text whose ids a worker remembers
+MARKS = ".,"  # units of their own after a letter and before a space or the end
 BLOCK = 512  # bits between two entries of a rank directory
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_SPACES = re.compile(r"\s\s|^\s|\s$")
 
 
 class Encoder:
     """Ids of texts from a tokenizers file.
 
-    A single space between two other characters always begins a new unit of the byte-level split, so texts are
-    cut there and each piece is encoded once. Texts with other white space next to white space are encoded whole.
+    A single space between two other characters always begins a new unit of the byte-level split, and so do a full stop or comma
+    after a letter at a piece's end and a line feed between other characters. Texts are cut there and each piece is encoded once; those with a cut next to other white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,49 +49,88 @@ class Encoder:
         self.size = max(vocabulary.values(), default=0) + 1
         self.spaced = np.zeros(self.size, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        self.by_piece = bool(self.spaced.any())
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and made["normalizer"] is None
+        self.known: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes | None] = {}
+        self.marks = dict(zip([*MARKS, "\n"], self._whole([*MARKS, "\n"])))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """All new pieces are encoded as one text; a piece begins where a token begins with a space."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        first = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
-        if len(first) != len(pieces) + 1:
-            raise ValueError("pieces and tokens do not match")
-        raw, ends = ids.tobytes(), (first * 4).tolist()
-        self.known.update((p, raw[a:b]) for p, a, b in zip(pieces, ends, ends[1:]))
+    def _learn_heads(self, pieces: set[str]) -> None:
+        """Ids of new pieces without a space before them."""
+        heads = self.heads
+        bare = {h[:-1] if h[-1:] in MARKS and h[-2:-1].isalpha() else h for h in pieces}
+        bare = [h for h in bare if h not in heads]
+        heads.update((h, None if not h or h[-1].isspace() else ids) for h, ids in zip(bare, self._whole(bare) if bare else []))
+        for h in pieces:
+            if h not in heads:
+                heads[h] = heads[h[:-1]] + self.marks[h[-1]]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces with the space before them; None for pieces that cannot stand alone."""
+        known, bare, marked, lined = self.known, set(), set(), []
+
+        def need(p):
+            if p[-1] in MARKS and p[-2:-1].isalpha():
+                marked.add(p)
+                p = p[:-1]
+            if p not in known:
+                bare.add(p)
+
+        for p in pieces:
+            if not p or p[0].isspace() or p[-1].isspace():
+                known[p] = None
+                continue
+            left, line, right = p.partition("\n")
+            if line and not left[-1].isspace() and not right[0].isspace():  # one line feed between other characters is a unit
+                lined.append((p, left, right))
+                if left not in known:
+                    need(left)
+            else:
+                need(p)
+        if bare:  # all as one text: a piece begins where a token begins with a space
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(bare)], add_special_tokens=False)[0].ids, np.uint32)
+            first = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+            if len(first) != len(bare) + 1:
+                raise ValueError("pieces and tokens do not match")
+            raw, ends = ids.tobytes(), (first * 4).tolist()
+            known.update((p, raw[a:b]) for p, a, b in zip(bare, ends, ends[1:]))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+        self._learn_heads({right for _, _, right in lined if right not in self.heads})
+        for p, left, right in lined:
+            known[p] = known[left] + self.marks["\n"] + self.heads[right]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        whole, cut = [], []
-        for i, t in enumerate(texts):
-            if self.by_piece and t and not _SPACES.search(t):
-                cut.append((i, t.split(" ")))
-            else:
-                whole.append(i)
+        cut = [t.split(" ") for t in texts] if self.by_piece else []
+        first = [p.pop(0) for p in cut]
         if len(self.known) > CACHED_PIECES:
             self.known = {}
         if len(self.heads) > CACHED_PIECES:
             self.heads = {}
-        heads = list({p[0] for _, p in cut} - self.heads.keys())
-        if heads:
-            self.heads.update(zip(heads, self._whole(heads)))
+        self._learn_heads({h for h in set(first) if h not in self.heads})
         new = set()
-        for _, p in cut:
-            new.update(p[1:])
-        new -= self.known.keys()
-        if new:
-            self._learn(list(new))
+        for p in cut:
+            new.update(p)
         known = self.known
-        for i, p in cut:
-            out[i] = self.heads[p[0]] + b"".join([known[x] for x in p[1:]])
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else []):
-            out[i] = ids
+        new = {x for x in new if x not in known}
+        if new:
+            self._learn(new)
+        for i, p in enumerate(cut):
+            head = self.heads[first[i]]
+            try:
+                out[i] = head + b"".join([known[x] for x in p])
+            except TypeError:  # a piece that cannot stand alone
+                pass
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        if whole:
+            for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
+                out[i] = ids
         return out
 
 
@@ -107,9 +146,13 @@ class WaveletMatrix:
     def of(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
         planes, current = [], values.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
-            ones = ((current >> b) & 1).astype(bool)
+            ones = (current & current.dtype.type(1 << b)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            current = np.concatenate([current[~ones], current[ones]])
+            following = np.empty_like(current)
+            zeros = len(current) - int(np.count_nonzero(ones))
+            np.compress(~ones, current, out=following[:zeros])
+            np.compress(ones, current, out=following[zeros:])
+            current = following
         return cls(len(values), planes)
 
     def _bits(self, level: int) -> np.ndarray:
