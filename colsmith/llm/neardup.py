@@ -101,7 +101,7 @@ def _sets(data, offsets, k):
 
 
 def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
-    """id, n (shingles), a digest of the set in two numbers, sketch and band keys."""
+    """id, n (shingles), a digest of the set in two numbers, and sketch."""
 
     def run(batches):
         for batch in batches:
@@ -111,14 +111,27 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFr
                 sketches = registers(values, rows, m)
                 heads = np.searchsorted(rows, np.arange(m))
                 sums = [np.diff(np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))[np.append(heads, len(rows))]).view(np.int64) for x in (W.mix(values), W.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
-                flat = pa.array(band_keys(sketches).reshape(-1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, m), pa.array(np.bincount(rows, minlength=m).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
-                     pa.array([s.tobytes() for s in sketches], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * BANDS), flat)],
-                    ["id", "n", "d1", "d2", "sketch", "keys"])
+                     pa.array([s.tobytes() for s in sketches], pa.binary())],
+                    ["id", "n", "d1", "d2", "sketch"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string"))
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
+    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, sketch binary")
+
+
+def bands(sketches: DataFrame) -> DataFrame:
+    """(key, id, n) for every band of (id, n, sketch)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                keys = band_keys(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)).reshape(-1)
+                ids, sizes = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), BANDS) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(sizes)], ["key", "id", "n"])
+
+    return sketches.select("id", "n", "sketch").mapInArrow(run, "key long, id long, n long")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -241,9 +254,9 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words
     some = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = checkpoint(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
     reps = some.join(classes, (some["id"] == classes["rep"]) & (some["d1"] == classes["d1"]) & (some["d2"] == classes["d2"]) & (some["n"] == classes["n"]), "left_semi")
-    reps = checkpoint(reps.select("id", "n", "sketch", "keys"))
+    reps = checkpoint(reps.select("id", "n", "sketch"))
 
-    banded = reps.select("id", "n", F.explode("keys").alias("key"))
+    banded = bands(reps)
     firsts = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
     members = checkpoint(banded.join(firsts, "key").select("key", "id", "n", "first", "many"))
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -261,7 +274,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words
     placed = checkpoint(placed)
     open_keys = placed.where("outside").select("key").distinct()
     involved = checkpoint(placed.join(open_keys, "key", "left_semi").groupBy("id").agg(F.first("component").alias("component"), F.max("outside").alias("outside")))
-    sets = checkpoint(_sets_of(own, involved.select("id"), words).join(involved, "id"))
+    sets = checkpoint(shingle_sets(own.join(involved, "id", "left_semi").select("id", "text"), words).join(involved, "id"))
     rest = checkpoint(_likely(_pairs(_by_prefix(sets, threshold), threshold), reps, threshold))
     more = _verified(rest, sets, threshold)
     if more.limit(1).count():
