@@ -11,6 +11,8 @@ found by one pattern, validated (Luhn sum, octets, calendar), and replaced by a
 
 The permutation depends on the key, the kind and the format alone, so equal values get equal pseudonyms in all documents, and
 different values of one format get different ones. ``reveal=True`` runs the rounds backwards. Values that fail validation stay.
+A phone number has 15 digits at most and ends where another format begins. After +1 it has ten more digits; the length of other countries' numbers
+isn't known here, so a plain number of two digits or more behind one is read as its last group as long as both have 15 digits at most.
 Null texts stay null, empty ones empty. Rows are independent and all other columns pass through; existing columns ``pii_counts`` are replaced.
 """
 
@@ -28,8 +30,28 @@ IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
 NATIONAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-PHONE = (r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}"
-         r"|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])")
+DASHED = r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+OTHER = "|".join((EMAIL, IP, DATE, CARD + "(?![ -][0-9]{4}(?![0-9]))", NATIONAL, DASHED + "(?![0-9A-Za-z])"))  # of five groups of four, the last four are a card
+
+
+def _international() -> str:
+    """Numbers with a country code: complete shapes first, then any groups of two digits or more, 7 to 15 digits in all.
+
+    From the seventh digit on, a group is not taken where another format begins. Only shapes and country codes decide,
+    which pseudonyms keep, so a pseudonym is matched like its value.
+    """
+    whole = (r"\+(?:1(?:[ .-]?\([0-9]{3}\)[ .-]?|[ .-][0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}|[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}"
+             r"|[0-9]{11,15})(?![.-][0-9])")
+    digit, late = r"(?:[ .-](?=[0-9]{2}))?[0-9]", rf"(?:[ .-](?!{OTHER})(?=[0-9]{{2}}))?[0-9]"
+    shapes = [whole, rf"\+[0-9](?:{digit}){{6}}(?:{late}){{0,8}}"]
+    for n in range(2, 8):  # digits of country and area code together
+        heads = "|".join(rf"[0-9]{{{n - a}}}[ .-]?\([0-9]{{{a}}}\)" for a in range(1, 5) if 1 <= n - a <= 3)
+        least = max(7 - n, 4)
+        shapes.append(rf"\+(?:{heads})[ .-]?(?=[0-9]{{2}})[0-9](?:{digit}){{{least - 1}}}(?:{late}){{0,{15 - n - least}}}")
+    return "|".join(shapes)
+
+
+PHONE = rf"(?<![0-9A-Za-z])(?:{_international()}|\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[ .-][0-9]{{4}}|{DASHED})(?![0-9A-Za-z])"
 PATTERN = "|".join((EMAIL, IP, DATE, CARD, NATIONAL, PHONE))
 
 

@@ -191,6 +191,24 @@ def test_pseudonyms_keep_formats_and_can_be_revealed(spark):
     assert pii.pseudonymise(days, "k").distinct().count() == 3000
 
 
+def test_pseudonyms_of_values_next_to_each_other(spark):
+    """A value gets the pseudonym that it has alone, whatever stands before or after it, and the inverse finds it again."""
+    values = ["+1 (826) 555-4081", "+1 826 555 4081", "+18265554081", "+44 (20) 7946 0958", "+44 20 7946 0958", "(826) 555-4081", "826-555-4081", "190.137.223.204", "7.8.9.10", "2021-03-04",
+              "25/12/1990", "4111 1111 1111 1111", "4111111111111111", "3782 822463 10005", "123-45-6789", "12.ab@example.com", "jo@example.com"]
+    rows = [(v, "", "") for v in values] + [(a, sep, b) for a in values for b in values for sep in (" ", ", ", "\n")]
+    rows += [(v, sep, b) for v in values if not v.startswith("+44") for sep in (" ", ", ") for b in ("190 units", "19 of 2000", "7")]
+    docs = spark.createDataFrame(rows, "a string, sep string, b string").withColumn("text", F.concat("a", "sep", "b")).coalesce(1).cache()
+    new = pii.pseudonymise(docs, "k").cache()
+    found = {tuple(r)[:3]: (r["text"], sum(r["pii_counts"])) for r in new.collect()}
+    alone = {v: found[v, "", ""][0] for v in values}
+    assert all(alone[v] != v for v in values)
+    assert found == {r: (alone[r[0]] + r[1] + alone.get(r[2], r[2]), 1 + (r[2] in alone)) for r in rows}
+    assert pii.pseudonymise(new, "k", reveal=True).exceptAll(new.select("a", "sep", "b", F.concat("a", "sep", "b").alias("text"), "pii_counts")).count() == 0
+    long = "+1 (826) 555-40812345678"
+    many = spark.createDataFrame([("+44 20 7946 0958 1234 5678",), ("+123456789012345",), (long,)], "text string")
+    assert [sum(r["pii_counts"]) for r in pii.pseudonymise(many, "k").collect()] == [1, 1, 0]  # 15 digits at most
+
+
 def naive_groups(texts, k):
     sets = {}
     for i, t in texts.items():
