@@ -2,7 +2,8 @@
 
 Each source has a target share of the mix, measured in characters. Its mean repetition rate is target characters
 over own characters. Each document draws how often it appears from a Poisson distribution with that mean,
-by inverting the distribution at a uniform number that a keyed hash of its id gives. Copies are exploded and dealt out by a hash,
+by inverting the distribution at a uniform number that a keyed hash of its id gives. A mean above ``LARGEST_RATE`` is drawn as the sum of
+equal parts below it, each with a hash of its own, so no rate is cut. Copies are exploded (an array of 4 bytes a copy) and dealt out by a hash,
 which shuffles them globally; the draw of one document never depends on other rows' order.
 
 A null source is a source of its own. Null texts count no characters; a source without characters has rate 1.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from colsmith.session import BROADCAST_ROWS, checkpoint
 
-LARGEST_RATE = 50.0  # mean copies of a document; a larger rate is set to it
+LARGEST_RATE = 50.0  # mean of one draw; a larger rate is the sum of several draws
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -39,7 +40,7 @@ def poisson_steps(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, source: str = "source", text: str = "text", temperature: float = 0.5) -> DataFrame:
-    """Rate and cumulative probabilities of every source.
+    """Rate of every source, the number of equal parts that it is drawn in, and cumulative probabilities of a part.
 
     Without ``targets`` a source's target is its share of characters to the power ``temperature``, scaled to sum 1.
     """
@@ -53,19 +54,25 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, source: str
         size = size.withColumn("weight", chosen)
     total = size.agg(F.coalesce(F.sum("chars"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()  # one row
     rate = F.col("weight") / F.lit(total[1]) * F.lit(total[0]) / F.col("chars")
-    rate = F.when(F.col("chars") == 0, 1.0).otherwise(F.least(F.coalesce(rate, F.lit(0.0)), F.lit(LARGEST_RATE)))
-    return size.select("mix_source", rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
+    rate = F.when(F.col("chars") == 0, 1.0).otherwise(F.coalesce(rate, F.lit(0.0)))
+    found = size.select("mix_source", rate.alias("rate")).withColumn("parts", F.greatest(F.ceil(F.col("rate") / LARGEST_RATE), F.lit(1)).cast("int"))
+    return found.withColumn("steps", poisson_steps(F.col("rate") / F.col("parts")))
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, seed: str = "mix", id_column: str = "doc_id", source: str = "source",
         text: str = "text", temperature: float = 0.5) -> DataFrame:
     """Documents with ``copy`` (from 0) and ``mix_order`` (0 to 1, the place in the global shuffle)."""
     docs = docs.drop("copy", "mix_order")
-    found = rates(docs, targets, source, text, temperature).select("mix_source", "steps")
+    found = rates(docs, targets, source, text, temperature).select("mix_source", "parts", "steps")
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # beyond it a join by key, whose hot keys adaptive execution splits
         found = F.broadcast(found)
     rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("key"), uniform(F.lit(seed), id_column).alias("u"))
-    many = F.size(F.filter("steps", lambda c: c <= F.col("u")))
+
+    def draw(u: Column) -> Column:
+        return F.size(F.filter("steps", lambda c: c <= u))
+
+    further = F.aggregate(F.sequence(F.lit(1), F.col("parts") - 1), F.lit(0), lambda n, i: n + draw(uniform(F.lit(seed), F.lit("part"), F.col("row")[id_column], i)))
+    many = draw(F.col("u")) + F.when(F.col("parts") > 1, further).otherwise(0)
     drawn = rows.join(found, F.col("key").eqNullSafe(F.col("mix_source"))).select("row", many.alias("n")).where("n > 0")
     copies = drawn.select("row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
     copies = copies.withColumn("mix_order", uniform(F.lit(seed), F.lit("order"), F.col("row")[id_column], "copy"))

@@ -94,6 +94,20 @@ def test_mix_reaches_its_targets(docs):
     assert shares[0] > shares[1] > 0
 
 
+def test_mix_reaches_targets_that_need_many_copies(spark):
+    rows = [(i, "big", "x" * 100) for i in range(4000)] + [(10_000 + i, "small", "x" * 100) for i in range(20)] + [(20_000, "one", "x" * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mix(docs, {"big": 0.25, "small": 0.25, "one": 0.5}).select("source", "doc_id", "copy").cache()
+    n = {r[0]: r[1] for r in mixed.groupBy("source").count().collect()}
+    for name, goal in (("big", 4021 / 4), ("small", 4021 / 4), ("one", 4021 / 2)):  # rates of 0.25, 50.3 and 2010.5
+        assert abs(n[name] - goal) < 5 * goal**0.5
+    per = mixed.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("d"), F.max("copy").alias("m")).collect()
+    assert all(r["n"] == r["d"] == r["m"] + 1 for r in per)
+    much = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit("xx").alias("text")).union(spark.sql("SELECT -id, 'b', 'x' FROM range(1, 600001)"))
+    copies = [r["n"] for r in mixing.mix(much, {"a": 1.0}).groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    assert len(copies) == 3000 and abs(np.mean(copies) - 101) < 1 and 85 < np.var(copies) < 117  # Poisson: the variance is the mean
+
+
 def test_url_models_learn_hosts(spark):
     rows = [(f"http://{w}{i}.example.com/en/{i}", w == "garden") for w in ("garden", "casino") for i in range(300)]
     labelled = spark.createDataFrame(rows, "url string, ok boolean").withColumn("url", F.concat(urls.host(F.col("url")), urls.path(F.col("url"))))
