@@ -132,8 +132,9 @@ class Model:
         order = np.argsort(-lengths, kind="stable")
         heads, lengths = heads[order], lengths[order]
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # how many texts have a word t
-        back = np.zeros(emission.shape, np.int8)
-        own = np.arange(emission.shape[1], dtype=np.int8)
+        number = np.min_scalar_type(-max(emission.shape[1], 1))  # int8 holds up to 128 languages
+        back = np.zeros(emission.shape, number)
+        own = np.arange(emission.shape[1], dtype=number)
         score = emission[heads].astype(np.float64)
         labels = np.empty(len(rows), np.int64)
         for t in range(1, lengths[0]):
@@ -146,7 +147,7 @@ class Model:
             switched = score[np.arange(n), best][:, None] - SWITCH
             stay = score >= switched
             at = heads[:n] + t
-            back[at] = np.where(stay, own, best[:, None].astype(np.int8))
+            back[at] = np.where(stay, own, best[:, None].astype(number))
             score = np.where(stay, score, switched) + emission[at]
         labels[heads[: len(score)] + lengths[: len(score)] - 1] = score.argmax(1)
         for t in range(lengths[0] - 1, 0, -1):

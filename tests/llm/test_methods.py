@@ -285,6 +285,15 @@ def test_language_of_held_out_texts_and_spans(docs):
     assert [s["lang"] for s in spans] == ["en", "es"] and abs(spans[1]["start"] - 301) < 30
 
 
+@pytest.mark.parametrize("k", [4, 128, 129, 200, 40_000])
+def test_language_numbers_do_not_wrap(k):
+    """Two texts of k made-up languages: one language throughout, and a change in the middle."""
+    true = np.array([k - 1] * 6 + [k - 2] * 5 + [k // 2] * 5)
+    emission = np.zeros((len(true), k), np.float32)
+    emission[np.arange(len(true)), true] = 5
+    assert (language.Model._viterbi(emission, np.array([0] * 6 + [1] * 10)) == true).all()
+
+
 def test_script_narrows(spark):
     rows = [(1, "привет мир как дела", "ru"), (2, "hello world how are you", "en"), (3, "γειά σου κόσμε", "el")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
