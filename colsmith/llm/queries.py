@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsmith.llm import contamination, language, mixing, neardup, pii, quality, secrets, sql, suffixes, tokens, urls
+from colsmith.llm import contamination, language, mixing, neardup, negatives, pii, quality, secrets, sql, suffixes, tokens, urls
 from colsmith.session import scratch_path, table
 
 # Production parameters of the queries.
@@ -94,11 +94,19 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of other labels just below each anchor's first rows of its own label."""
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_mixing, op4_url_filters, op5_secret_scans, op6_quality_rules, op7_token_ids, op8_pii,
-                                 op9_minhash_near_dedup, op10_language_id)}
+                                 op9_minhash_near_dedup, op10_language_id, op12_hard_negatives)}
 SQL: dict[str, str] = {
     "op2_decontamination": sql.contamination(),
     "op3_mixing": sql.mixing(MIX_TEMPERATURE, mixing.LARGEST_RATE),
     "op6_quality_rules": sql.quality(),
+    "op12_hard_negatives": sql.hard_negatives(),
     "op9_minhash_near_dedup": sql.near_duplicates(2),
 }

