@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsmith.llm import contamination, language, mixing, neardup, negatives, pii, quality, secrets, sql, suffixes, tokens, urls
+from colsmith.llm import contamination, conversations, language, mixing, neardup, negatives, pii, quality, secrets, sql, suffixes, tokens, urls
 from colsmith.session import scratch_path, table
 
 # Production parameters of the queries.
@@ -94,6 +94,21 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and digest of every conversation after a keyed damage of its turns."""
+    turns = table(spark, folder, "conversations")
+
+    def space(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    harm = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    role = F.when(F.col("harm") == 4, "user").otherwise(space("role"))
+    damaged = turns.select("conv_id", "turn", "role", "text", harm.alias("harm")).select("conv_id", "turn", role.alias("role"), text.alias("text"), "harm")
+    damaged = damaged.withColumn("again", F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return conversations.summaries(damaged, dropped=F.col("harm") == 0)
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of other labels just below each anchor's first rows of its own label."""
     rows = table(spark, folder, "embeddings")
@@ -102,7 +117,7 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_mixing, op4_url_filters, op5_secret_scans, op6_quality_rules, op7_token_ids, op8_pii,
-                                 op9_minhash_near_dedup, op10_language_id, op12_hard_negatives)}
+                                 op9_minhash_near_dedup, op10_language_id, op11_conversation_repair, op12_hard_negatives)}
 SQL: dict[str, str] = {
     "op2_decontamination": sql.contamination(),
     "op3_mixing": sql.mixing(MIX_TEMPERATURE, mixing.LARGEST_RATE),
