@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsmith.llm import contamination, conversations, language, mixing, neardup, negatives, pii, quality, secrets, sql, suffixes, tokens, urls
+from colsmith.llm import contamination, conversations, language, mixing, neardup, negatives, pii, quality, secrets, sharding, sql, suffixes, tokens, urls
 from colsmith.session import scratch_path, table
 
 # Production parameters of the queries.
@@ -14,6 +14,7 @@ URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 REJECTED_HOST_WORDS = ("adult", "ads-", "bets", "casino", "pills", "spam")  # weak labels of the url model
 PII_KEY = "corpus-key-1"
 MIX_TEMPERATURE = 0.5
+OLD_SHARDS, NEW_SHARDS = 32, 40
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
 
@@ -116,8 +117,18 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in 32 shards by a hash of their id, moved to 40 shards of equal bytes and read back."""
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS))
+    old = sharding.store(table(spark, folder, "documents"), scratch_path(spark, "shards"), shard, shards=OLD_SHARDS)
+    found = sharding.reshard(old, scratch_path(spark, "reshards"), NEW_SHARDS).read()
+    text = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
+    return found.select(F.col("row")["doc_id"].alias("doc_id"), "size", F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_mixing, op4_url_filters, op5_secret_scans, op6_quality_rules, op7_token_ids, op8_pii,
-                                 op9_minhash_near_dedup, op10_language_id, op11_conversation_repair, op12_hard_negatives)}
+                                 op9_minhash_near_dedup, op10_language_id, op11_conversation_repair, op12_hard_negatives, op13_sharding)}
 SQL: dict[str, str] = {
     "op2_decontamination": sql.contamination(),
     "op3_mixing": sql.mixing(MIX_TEMPERATURE, mixing.LARGEST_RATE),
