@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colsmith.catalog.registry import query, r
-from colsmith.catalog.shared import frames, messy, profile_sql
+from colsmith.catalog.shared import frames, messy, profile_sql, quoted
 from colsmith.functions import constants as K
 from colsmith.operators import features, health, semantic
 from colsmith.operators.profile import WITH_SEMANTICS, profile
@@ -156,9 +156,8 @@ def _feature_inputs(load):
     return found, features.diversity(df, "events"), features.sequence_features(df, "events", ["ts", "event_id"])
 
 
-@query("p18_thirty_features")
-def _(load):
-    return features.enhanced_features(*_feature_inputs(load))
+def _any(words):
+    return "(" + " OR ".join(f"contains(lower(column_name), '{w}')" for w in words) + ")::INT::DOUBLE"
 
 
 def _sequence_sql():
@@ -171,26 +170,130 @@ def _sequence_sql():
     return " UNION ALL ".join(parts)
 
 
+def _words(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_BARE_JSON = r"""regexp_replace(regexp_replace(regexp_replace(to_json(x::JSON)::VARCHAR, '"(?:[^"\\]|\\.)*"', 's', 'g'), '\{\}|\[\]', 's', 'g'), '[^\{\}\[\]]', '', 'g')"""
+
+
+def _looks_sql(table, texts):
+    """Measures of text columns beyond the profile: looks, words, JSON depth, distinct characters, hosts and mail domains."""
+    parts = []
+    for c in texts:
+        looks = ", ".join(f"avg(regexp_matches(x, {quoted(p)})::INT) AS looks_{k}" for k, p in K.LOOKS_PATTERNS.items())
+        hits = " + ".join(f"regexp_matches(x, {quoted('(?i)' + p)})::INT" for p in K.EMBEDDED_NULL_PATTERNS)
+        parts.append(f"""SELECT '{c}' AS column_name, {looks}, least(1.0, avg({hits})) AS embedded_nulls, avg((regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]'))::INT) AS mixed_case,
+          avg(len(regexp_extract_all(x, '\\S+'))) AS word_count, coalesce(avg(depth), 0) AS json_depth, count(DISTINCT lower(x)) AS unique_lower,
+          bool_and(lower(x) IN {_words(K.BOOLEAN_WORDS)}) AS boolean_words, bool_or(lower(x) IN {_words(K.ORDINAL_WORDS)}) AS ordinal_words,
+          (SELECT count(DISTINCT ch) FROM (SELECT unnest(string_split({c}, '')) AS ch FROM {table}) u WHERE ch <> '') AS chars,
+          count(DISTINCT host) FILTER (host <> '') AS hosts, count(*) FILTER (host <> '') AS host_rows, count(DISTINCT mail) FILTER (mail <> '') AS domains, count(*) FILTER (mail <> '') AS domain_rows
+          FROM (SELECT *, CASE WHEN regexp_matches(trim(x), '^[\\{{\\[]') AND json_valid(x) THEN
+                  coalesce(list_max(list_transform(generate_series(1, length(bare)), lambda i: length(replace(replace(bare[1:i], '}}', ''), ']', '')) * 2 - i)), 0) END AS depth
+                FROM (SELECT {c} AS x, regexp_extract({c}, 'https?://([^/]+)', 1) AS host, regexp_extract({c}, '@([a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}})', 1) AS mail,
+                  CASE WHEN json_valid({c}) THEN {_BARE_JSON.replace("x::JSON", f"{c}::JSON")} END AS bare FROM {table}) a WHERE x IS NOT NULL) b""")
+    return " UNION ALL ".join(parts)
+
+
+def _position(groups):
+    return "CASE " + " ".join(f"WHEN {_any(words)} > 0 THEN {i}" for i, words in enumerate(groups)) + " ELSE 5 END"
+
+
+def _vector_source():
+    """One row per column of events with the profile, the looks of texts and the measures of sequences."""
+    return f"""(SELECT p.* EXCLUDE (unique_ratio, entropy, skewness), skewness AS p_skew, l.* EXCLUDE (column_name), s.n AS n_seq, s.* EXCLUDE (column_name, n), column_name IN ('event_id', 'user_id') AS is_integer,
+      coalesce(CASE WHEN is_string THEN chars / nullif(avg_length * present, 0) END, 0) AS variety, {_TEN_SQL}
+      FROM {profile_sql("events", semantics=True)} p LEFT JOIN ({_looks_sql("events", ("event_type", "props"))}) l USING (column_name) LEFT JOIN ({_sequence_sql()}) s USING (column_name))"""
+
+
+_THIRTY_REAL = {
+    "quantile_25": "coalesce(q25, 0)", "quantile_75": "coalesce(q75, 0)", "mode_frequency_": "CASE WHEN is_numeric THEN top_share ELSE mode_frequency END",
+    "has_value_gaps": "CASE WHEN is_integer AND unique_count > 1 THEN 1 - unique_count / (max_value - min_value + 1) ELSE 0 END",
+    "coefficient_dispersion": "coalesce(abs(iqr / nullif(median, 0)), 0)", "avg_string_length": "CASE WHEN is_string THEN avg_length ELSE 0 END",
+    "char_diversity": "variety", "numeric_string_ratio": "CASE WHEN is_string THEN matches_numeric_pattern ELSE 0 END",
+    "semantic_type": _position(K.SEMANTIC_KEYWORDS), "domain_category": _position(K.BUSINESS_KEYWORDS),
+    "naming_quality_score": "CASE WHEN contains(column_name, '_') OR regexp_matches(column_name, '^[a-z]') THEN 0.3 ELSE 0 END + CASE WHEN length(column_name) > 3 THEN 0.2 ELSE 0 END"
+                            " + CASE WHEN regexp_matches(column_name, '^[a-zA-Z_][a-zA-Z0-9_]*$') THEN 0.3 ELSE 0 END + CASE WHEN length(column_name) < 30 THEN 0.2 ELSE 0 END",
+    "is_foreign_key_candidate": f"CASE WHEN unique_count / row_count > 0.1 AND unique_count / row_count < 0.95 AND {_any(('_id', 'fk_', 'ref_'))} > 0 THEN 0.8 ELSE 0 END",
+    "is_primary_key_candidate": f"CASE WHEN unique_count / row_count > 0.95 AND null_pct < 0.01 THEN CASE WHEN {_any(('id', 'key', 'pk'))} > 0 THEN 1 ELSE 0.5 END ELSE 0 END",
+    "autocorrelation_lag1": "CASE WHEN n_seq > 10 THEN corr_1 ELSE 0 END", "is_monotonic_score": "CASE WHEN n_seq > 10 THEN greatest(up, down) / n_seq ELSE 0 END",
+    "has_embedded_nulls": "coalesce(embedded_nulls, 0)", "url_host_diversity": "coalesce(hosts / nullif(host_rows, 0), 0)", "email_domain_diversity": "coalesce(domains / nullif(domain_rows, 0), 0)",
+    "json_complexity": "coalesce(json_depth, 0)", "delimited_pattern_score": "coalesce(looks_delimited, 0)",
+}
+_WHOLE = ("cardinality_bucket", "detected_dtype")
+
+
+def _vector_sql(real, whole=""):
+    made = ", ".join(f"round(({e})::DOUBLE, 6) + 0.0::DOUBLE AS {c.rstrip('_')}" for c, e in real.items())
+    return f"SELECT table_name, column_name, {', '.join(_WHOLE)}, {', '.join(_TEN)}, {made}{whole} FROM {_vector_source()} v"
+
+
+def _vector(found, real):
+    return _rounded(found, _WHOLE, (*_TEN, *[c.rstrip("_") for c in real]))
+
+
+@query("p18_thirty_features", _vector_sql(_THIRTY_REAL))
+def _(load):
+    return _vector(features.enhanced_features(*_feature_inputs(load)), _THIRTY_REAL)
+
+
 @query("p18_sequence_measures", _sequence_sql())
 def _(load):
     found = features.sequence_features(load("events"), "events", ["ts", "event_id"])
     return found.select("column_name", "n", "up", "down", r("trend").alias("trend"), *[r(f"corr_{k}").alias(f"corr_{k}") for k in features.LAGS])
 
 
-@query("p18_diversity", r"""
-SELECT 'url' AS column_name, (SELECT count(DISTINCT c) FROM (SELECT unnest(string_split(url, '')) AS c FROM pages) x WHERE c <> '') AS chars,
-  count(DISTINCT h) FILTER (h <> '') AS hosts, count(*) FILTER (h <> '') AS host_rows FROM (SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS h FROM pages) p""")
-def _(load):
-    return features.diversity(load("pages").select("url"), "pages").select("column_name", "chars", "hosts", "host_rows")
+def _diversity_sql(table, texts):
+    return " UNION ALL ".join(f"""SELECT '{c}' AS column_name, (SELECT count(DISTINCT ch) FROM (SELECT unnest(list_distinct(string_split({c}, ''))) AS ch FROM {table}) x WHERE ch <> '') AS chars,
+      count(DISTINCT h) FILTER (h <> '') AS hosts, count(*) FILTER (h <> '') AS host_rows, count(DISTINCT m) FILTER (m <> '') AS domains, count(*) FILTER (m <> '') AS domain_rows
+      FROM (SELECT regexp_extract({c}, 'https?://([^/]+)', 1) AS h, regexp_extract({c}, '@([a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}})', 1) AS m FROM {table}) p""" for c in texts)
 
 
-@query("p19_sixty_two_features")
+@query("p18_diversity", _diversity_sql("pages", ("url", "html")))
 def _(load):
-    return features.meta_learning_features(*_feature_inputs(load))
-
-
-def _any(words):
-    return "(" + " OR ".join(f"contains(lower(column_name), '{w}')" for w in words) + ")::INT::DOUBLE"
+    return features.diversity(load("pages"), "pages").drop("table_name")
+
+
+_NUM = "is_numeric AND present > 0"
+_TXT = "detected_dtype IN (1, 2) AND present > 0"
+_MANY = "is_numeric AND present >= 10"
+_ORD = "is_numeric AND n_seq >= 20"
+_REL = f"coalesce(CASE WHEN {_MANY} THEN range_size / nullif(abs(mean), 0) END, 0)"
+_DISP = f"coalesce(CASE WHEN {_MANY} THEN abs(iqr / nullif(mean, 0)) END, 0)"
+
+
+def _is(condition):
+    return f"coalesce(({condition})::INT, 0)"
+
+
+_SIXTY_REAL = {
+    **{f"name_contains_{g}": _any(w) for g, w in K.NAME_GROUPS.items()}, "name_is_short": "(length(column_name) <= 3)::INT", "name_is_long": "(length(column_name) >= 20)::INT",
+    "looks_like_year": _is(f"{_NUM} AND min_value >= 1900 AND max_value <= 2100 AND mean > 1950"),
+    "looks_like_age": f"CASE WHEN {_NUM} AND min_value >= 0 AND max_value <= 120 AND mean > 0 THEN CASE WHEN max_value < 100 THEN 0.8 ELSE 0.5 END ELSE 0 END",
+    "looks_like_rating": f"CASE WHEN {_NUM} AND min_value >= 0 AND max_value <= 10 THEN CASE WHEN max_value <= 5 THEN 1 ELSE 0.8 END ELSE 0 END",
+    "looks_like_percentage": f"CASE WHEN {_NUM} AND min_value >= 0 AND max_value <= 100 THEN 0.7 ELSE 0 END",
+    **{f"looks_like_{k}": _is(f"{_TXT} AND {c} > {b}") for k, c, b in (("currency", "looks_money", 0.3), ("zipcode", "looks_zip", 0.5), ("phone", "looks_call", 0.5), ("email", "sem_email", 0.5),
+                                                                     ("url", "looks_web", 0.5), ("code", "looks_code", 0.5))},
+    "looks_like_boolean": _is(f"{_TXT} AND unique_lower <= 3 AND boolean_words"),
+    "looks_like_categorical": f"CASE WHEN {_TXT} THEN CASE WHEN unique_count / row_count < 0.1 AND cardinality_bucket <= 1 THEN 1 WHEN unique_count / row_count < 0.3 THEN 0.5 ELSE 0 END ELSE 0 END",
+    "looks_like_ordinal": _is(f"{_TXT} AND unique_lower <= 5 AND ordinal_words"),
+    "looks_like_freetext": f"CASE WHEN {_TXT} THEN CASE WHEN avg_length > 50 AND length_std > 20 THEN 1 WHEN avg_length > 20 THEN 0.5 ELSE 0 END ELSE 0 END",
+    "has_special_characters": _is(f"{_TXT} AND looks_special > 0.1"),
+    "distribution_type": f"CASE WHEN {_MANY} AND std > 0 AND present >= 30 THEN CASE WHEN {_REL} > 0 AND {_DISP} < 0.3 THEN 2 WHEN multimodality_score > 0.555 THEN 4 "
+                         f"WHEN {_SKEW_POP.replace('skewness', 'p_skew')} BETWEEN -0.5 AND 0.5 THEN 1 WHEN {_SKEW_POP.replace('skewness', 'p_skew')} > 1.5 THEN 3 ELSE 0 END ELSE 0 END",
+    "mode_spike_ratio": f"CASE WHEN {_MANY} THEN top_share ELSE 0 END", "has_outlying_values": _is(f"{_MANY} AND outlier_count > 0"),
+    "quantile_25": f"CASE WHEN {_MANY} THEN q25 ELSE 0 END", "quantile_75": f"CASE WHEN {_MANY} THEN q75 ELSE 0 END", "coefficient_dispersion": _DISP, "range_normalized": _REL,
+    "contains_zeros": _is(f"{_MANY} AND zeros > 0"), "avg_string_length": _THIRTY_REAL["avg_string_length"], "char_diversity": "variety",
+    "numeric_string_ratio": _THIRTY_REAL["numeric_string_ratio"], "has_mixed_case": "coalesce(mixed_case, 0)", "word_count_avg": "coalesce(word_count, 0)",
+    "autocorrelation_lag1": f"CASE WHEN {_ORD} THEN corr_1 ELSE 0 END", "is_monotonic_score": f"CASE WHEN {_ORD} THEN greatest(up, down) / (n_seq - 1) ELSE 0 END",
+    "seasonality_score": f"CASE WHEN {_ORD} AND n_seq >= 50 THEN greatest({', '.join(f'CASE WHEN n_seq / 2 > {k} AND abs(corr_{k}) > 0.3 THEN abs(corr_{k}) ELSE 0 END' for k in features.LAGS if k > 1)}) ELSE 0 END",
+    "trend_strength": f"CASE WHEN {_ORD} THEN abs(trend) ELSE 0 END",
+}
+
+
+@query("p19_sixty_two_features", _vector_sql(_SIXTY_REAL))
+def _(load):
+    return _vector(features.meta_learning_features(*_feature_inputs(load)), _SIXTY_REAL)
 
 
 @query("p19_name_features", "SELECT table_name, column_name, " + ", ".join(f"{_any(w)} AS name_contains_{g}" for g, w in K.NAME_GROUPS.items())

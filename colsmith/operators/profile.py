@@ -141,12 +141,12 @@ def text_aggregates(x: Column, n: Column) -> dict[str, Column]:
         "encoded_nulls": words + F.sum(dates * n),
         "domain_pattern_matches": F.create_map(*[
             e for name, p in K.DOMAIN_PATTERNS.items() for e in (F.lit(name), part(S.starts_with_pattern(x, p)))]),
-        "complexity_hits": sum((F.max(x.rlike(p).cast("int")) for p in K.COMPLEXITY_PATTERNS), F.lit(0)),
+        "complexity_hits": sum((F.max(S.has_pattern(x, p).cast("int")) for p in K.COMPLEXITY_PATTERNS), F.lit(0)),
     }
     for name, pattern in K.VALUE_PATTERNS.items():
         found[name] = part(S.starts_with_pattern(x, pattern))
     for name, pattern in K.CONTENT_PATTERNS.items():
-        found[name] = F.max(x.rlike(pattern))
+        found[name] = F.max(S.has_pattern(x, pattern))
     return found
 
 
@@ -282,11 +282,12 @@ def _value_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
 def json_depth(x: Column) -> Column:
     """Nesting depth of a JSON object or array in text; null for anything else.
 
-    A container with content adds one level. Quoted text is removed first, so that only
-    structural brackets are counted.
+    A container with content adds one level. Escaped characters and then quoted text are removed first, each by a pattern
+    without a repeated group, so that only structural brackets are counted and a value of any length is walked without recursion.
     """
     compact = F.to_json(F.try_parse_json(F.when(F.trim(x).rlike(r"^[\{\[]"), x)))
-    bare = F.regexp_replace(F.regexp_replace(compact, r'"(?:[^"\\]|\\.)*"', "s"), r"\{\}|\[\]", "s")
+    quoted = F.regexp_replace(F.regexp_replace(compact, r"\\.", ""), '"[^"]*+"', "s")
+    bare = F.regexp_replace(quoted, r"\{\}|\[\]", "s")
     steps = F.split(F.regexp_replace(bare, r"[^\{\}\[\]]", ""), "")
     walk = F.aggregate(
         steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
@@ -309,13 +310,13 @@ def extra_aggregates(x: Column, n: Column) -> dict[str, Column]:
     def only(words) -> Column:
         return F.bool_and(low.isin(*words))
 
-    found = {f"sem_{k}": part((trimmed if k == "phone" else x).rlike(p)) for k, p in K.SEMANTIC_PATTERNS.items()}
+    found = {f"sem_{k}": part(S.has_pattern(trimmed if k == "phone" else x, p)) for k, p in K.SEMANTIC_PATTERNS.items()}
     found["sem_number"] = part(trimmed.try_cast("double").isNotNull())
-    found["sem_email"] = part(x.rlike(K.EMAIL))
-    found |= {f"alt_{k}": part(trimmed.rlike(p)) for k, p in K.SECOND_PATTERNS.items()}
-    found["alt_email"] = part(trimmed.rlike(K.EMAIL))
+    found["sem_email"] = part(S.has_pattern(x, K.EMAIL))
+    found |= {f"alt_{k}": part(S.has_pattern(trimmed, p)) for k, p in K.SECOND_PATTERNS.items()}
+    found["alt_email"] = part(S.has_pattern(trimmed, K.EMAIL))
     found["trimmed_length"] = F.sum(F.length(trimmed) * n) / total
-    found |= {f"looks_{k}": part(x.rlike(p)) for k, p in K.LOOKS_PATTERNS.items()}
+    found |= {f"looks_{k}": part(S.has_pattern(x, p)) for k, p in K.LOOKS_PATTERNS.items()}
     hits = sum((x.rlike(f"(?i){p}").cast("int") for p in K.EMBEDDED_NULL_PATTERNS), F.lit(0))
     found["embedded_nulls"] = F.least(F.lit(1.0), F.sum(hits * n) / total)
     found["mixed_case"] = part(x.rlike("[A-Z]") & x.rlike("[a-z]"))

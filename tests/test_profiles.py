@@ -2,8 +2,13 @@
 
 import numpy as np
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from colsmith.functions import constants
+from colsmith.functions.scalar import once
 from colsmith.operators import cross, health, semantic
 from colsmith.operators.profile import APPROXIMATE, WITH_SEMANTICS, json_depth, profile
 
@@ -79,6 +84,32 @@ def test_json_depth(spark):
     assert [r[0] for r in df.select(json_depth(F.col("x"))).collect()] == [1.0, 3.0, 0.0, 1.0, None]
 
 
+@pytest.mark.parametrize("value, depth", [
+    ('{"k": "' + "x" * 1_000_000 + '"}', 1.0), ('["' + '\\\\\\"[{' * 200_000 + '", [1]]', 2.0), ("[" + "1," * 400_000 + "[[2]]]", 3.0), ("[" * 1_000_000, None), ('{"' * 300_000, None)])
+def test_json_depth_of_long_values(spark, value, depth):
+    df = spark.createDataFrame([(value,)], "x string")
+    assert df.select(json_depth(F.col("x"))).first()[0] == depth
+
+
+LONG = ("1", "a", "0a", "b.", "a@", ",000", " ", "-", "A", "/a", '"\\', "1,", "$1", "é", "[{")
+
+
+def test_profiles_of_very_long_texts(spark):
+    rows = [(part * (1_000_000 // len(part)), i % 2) for i, part in enumerate(LONG)] + [("$1" + ",000" * 200_000, 0), ("a@" + "b." * 500_000, 0), ("1" * 1_000_000 + "x", 1), ("1." * 500_000, 1)]
+    found = rows_of(profile({"t": spark.createDataFrame(rows, "x string, n int")}, WITH_SEMANTICS))
+    assert found["x"]["row_count"] == len(rows) and found["x"]["max_length"] == 1_000_002
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text("019.,$%-a@b_ x€", max_size=14))
+def test_patterns_that_try_once_find_the_same(text):
+    tables = (constants.VALUE_PATTERNS, constants.CONTENT_PATTERNS, constants.DOMAIN_PATTERNS, constants.SEMANTIC_PATTERNS, constants.SECOND_PATTERNS, constants.LOOKS_PATTERNS)
+    for p in [*constants.COMPLEXITY_PATTERNS, constants.EMAIL, *(p for t in tables for p in t.values())]:
+        if once(p) != p:
+            assert bool(regex.search(p, text)) == bool(regex.search(once(p), text)), p
+            assert bool(regex.match(f"(?:{p})", text)) == bool(regex.match(f"(?:{once(p)})", text)) or p in constants.COMPLEXITY_PATTERNS, p
+
+
 def test_cramers_v_against_the_full_grid(spark):
     rng = np.random.default_rng(7)
     a, b = rng.integers(0, 3, 300), rng.integers(0, 4, 300)
