@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colsmith.catalog.registry import query, r
 from colsmith.catalog.shared import frames, messy, profile_sql, quoted
 from colsmith.functions import constants as K
-from colsmith.operators import features, health, semantic
+from colsmith.operators import features, health, semantic, states
 from colsmith.operators.profile import WITH_SEMANTICS, profile
 
 KEYS = ["table_name", "column_name"]
@@ -104,6 +104,28 @@ _NOTES = (
 )
 
 
+_MERGED = ("lineitem", "customer")
+_MERGED_EXACT = ("row_count", "present", "min_value", "max_value", "zeros", "positives", "negatives", "decimals", "min_length", "max_length")
+_MERGED_REAL = ("mean", "std", "skewness", "kurtosis", "avg_length", "length_std", "matches_iso_datetime", "matches_numeric_pattern", "matches_email_pattern")
+_FEW = f"unique_count <= {states.EXACT_VALUES}"
+
+
+@query("p1_merged_states", f"""
+SELECT table_name, column_name, {", ".join(_MERGED_EXACT)}, {", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in _MERGED_REAL)}, CASE WHEN {_FEW} THEN unique_count END AS unique_count,
+  CASE WHEN {_FEW} THEN top_count END AS top_count, CASE WHEN {_FEW} THEN round(entropy, 6) + 0.0::DOUBLE END AS entropy FROM {profile_sql(*_MERGED)} p""")
+def _(load):
+    """Each table as four loads whose states are merged; what value counts give is compared where a column has few values."""
+    def part(name, i):
+        df = load(name)
+        return df.where(F.pmod(F.col(df.columns[0]), F.lit(4)) == i)
+
+    loads = [states.state({name: part(name, i) for name in _MERGED}) for i in range(4)]
+    found = states.profile(states.merge(loads))
+    few = F.col("unique_count") <= states.EXACT_VALUES
+    return found.select(*KEYS, *_MERGED_EXACT, *[r(c).alias(c) for c in _MERGED_REAL], F.when(few, F.col("unique_count")).alias("unique_count"),
+                        F.when(few, F.col("top_count")).alias("top_count"), F.when(few, r("entropy")).alias("entropy"))
+
+
 @query("p14_anomalies", f"WITH {_HEALTH} SELECT table_name, column_name, concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in _NOTES) + ") AS anomalies FROM h")
 def _(load):
     return _health(load).select(*KEYS, F.concat_ws("; ", "anomalies").alias("anomalies"))
