@@ -67,9 +67,10 @@ def _(load):
     return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "decisions", "overrides", r("duration_seconds", 6).alias("duration_seconds"))
 
 
-@query("r2_sessions_stream", _SESSIONS)
+@query("r2_sessions_stream", f"{_SESSIONS} HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def _(load):
-    found = _run(W.user_sessions(_stream(_events(load), "events"), "ts", "user_id", F.col("event_type") == "error"), "complete")
+    """Sessions that the watermark has closed, in append mode."""
+    found = _run(W.user_sessions(_stream(_events(load), "events"), "ts", "user_id", F.col("event_type") == "error"))
     return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "decisions", "overrides", r("duration_seconds", 6).alias("duration_seconds"))
 
 

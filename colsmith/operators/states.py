@@ -149,7 +149,7 @@ def profile(found: State) -> DataFrame:
         "length_std": F.when(F.col("texts") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("chars_squared") - F.col("chars") * mean_length) / (F.col("texts") - 1))),
         "encoded_nulls": F.when(texts.isNotNull(), F.col("word_nulls")).when(F.col("is_numeric"), F.col("encoded_nulls")), "complexity_hits": F.when(texts.isNotNull(), bits),
         "unique_count": F.when(counted, F.col("unique_count")).otherwise(estimate),
-        **{k: F.when(counted, F.col(k)) for k in ("top_count", "sum_n_log", "all_ordinal")}, "outlier_count": outside(1.5), "far_outlier_count": outside(3.0),
+        **{k: F.when(F.col("present") == 0, zero).when(counted, F.col(k)) for k, zero in (("top_count", 0), ("sum_n_log", 0.0), ("all_ordinal", False))}, "outlier_count": outside(1.5), "far_outlier_count": outside(3.0),
         **{k: F.when(F.col("is_numeric"), F.col(k)) for k in _COUNTED if k != "encoded_nulls"},
         **{k: F.when(texts.isNotNull(), F.col(k)) for k in [*_SHARES, *K.CONTENT_PATTERNS, "domain_pattern_matches"]},
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -54,33 +55,42 @@ def log_normal_tail(z: Column) -> Column:
     return F.when(z <= 0, log_erfc - math.log(2)).otherwise(F.log1p(-F.exp(log_erfc) / 2))
 
 
-def anderson_darling(df: DataFrame, column: str, segment_rows: int = SEGMENT_ROWS) -> float | None:
-    """Anderson-Darling statistic for normality; None below eight values.
+def anderson_darlings(columns: dict[str, tuple[DataFrame, str]], segment_rows: int = SEGMENT_ROWS) -> dict[str, float | None]:
+    """Anderson-Darling statistics for normality of any number of columns; None below eight values or without spread.
 
-    Works on value counts: equal values share their run of ranks in closed form, so neither
-    ties nor length put everything into one task.
+    Columns of one frame are put in long form in one scan, and all columns share the same few jobs: moments, value counts cut by range of (column, value), sums of the
+    segments, and the terms. A segment is a partition of that order, so it may hold many short columns or a stretch of a long one, and every column's ranks go on
+    from the segments before. Equal values share their run of ranks in closed form, so neither ties nor length put everything into one task.
     """
-    x = F.col(column).cast("double")
-    s = df.agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd")).first()
-    n = s["n"]
-    if n < 8 or not s["sd"]:
-        return None
-    counted = df.select(x.alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    cut, _ = with_segments(counted, ["x"], segment_rows)
-    totals = {r[SEGMENT]: r["t"] for r in cut.groupBy(SEGMENT).agg(F.sum("c").alias("t")).collect()}
-    starts, seen = {}, 0
-    for segment in sorted(totals):
-        starts[segment] = seen
-        seen += totals[segment]
-    offset = F.create_map(*[F.lit(v) for pair in starts.items() for v in pair])[F.col(SEGMENT)]
-    inside = F.sum("c").over(W.partitionBy(SEGMENT).orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    last = (offset + inside).cast("double")
-    ranked = cut.withColumn("last", last).withColumn("first", F.col("last") - F.col("c") + 1)
-    z = (F.col("x") - s["m"]) / s["sd"]
+    if not columns:
+        return {}
+    names, by_frame = list(columns), {}
+    for k, (df, c) in enumerate(columns.values()):
+        by_frame.setdefault(id(df), (df, []))[1].append(F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("double").alias("x")))
+    cells = reduce(DataFrame.unionByName, [df.select(F.inline(F.array(*own))) for df, own in by_frame.values()]).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    moments = {r["k"]: r for r in cells.groupBy("k").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("sd")).collect()}
+    known = {k: r for k, r in moments.items() if r["n"] >= 8 and r["sd"]}
+    if not known:
+        return dict.fromkeys(names)
+    counted = cells.where(F.col("k").isin(*known)).groupBy("k", "x").agg(F.count(F.lit(1)).alias("c"))
+    cut, _ = with_segments(counted, ["k", "x"], segment_rows)
+    sums = cut.groupBy("k", SEGMENT).agg(F.sum("c").alias("t"))  # one row a column and segment it reaches into
+    before = F.coalesce(F.sum("t").over(W.partitionBy("k").orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sums.select("k", SEGMENT, before.alias("offset")))
+    inside = F.sum("c").over(W.partitionBy("k", SEGMENT).orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    of = F.broadcast(cells.sparkSession.createDataFrame([(k, r["n"], r["m"], r["sd"]) for k, r in known.items()], "k int, n bigint, m double, sd double"))
+    ranked = cut.withColumn("inside", inside).join(starts, ["k", SEGMENT]).join(of, "k").withColumn("last", (F.col("offset") + F.col("inside")).cast("double"))
+    ranked = ranked.withColumn("first", F.col("last") - F.col("c") + 1).withColumn("z", (F.col("x") - F.col("m")) / F.col("sd"))
     up = F.pow("last", F.lit(2)) - F.pow(F.col("first") - 1, F.lit(2))
-    down = F.pow(n - F.col("first") + 1, F.lit(2)) - F.pow(n - F.col("last"), F.lit(2))
-    terms = ranked.select((up * log_normal_tail(z) + down * log_normal_tail(-z)).alias("t"))
-    return -n - terms.agg(F.sum("t").alias("t")).first()["t"] / n
+    down = F.pow(F.col("n") - F.col("first") + 1, F.lit(2)) - F.pow(F.col("n") - F.col("last"), F.lit(2))
+    terms = ranked.groupBy("k").agg(F.sum(up * log_normal_tail(F.col("z")) + down * log_normal_tail(-F.col("z"))).alias("t"))
+    found = {r["k"]: -known[r["k"]]["n"] - r["t"] / known[r["k"]]["n"] for r in terms.collect()}
+    return {name: found.get(k) for k, name in enumerate(names)}
+
+
+def anderson_darling(df: DataFrame, column: str, segment_rows: int = SEGMENT_ROWS) -> float | None:
+    """The statistic of one column."""
+    return anderson_darlings({column: (df, column)}, segment_rows)[column]
 
 
 def _row(column, metric, before, after, gain, passed):
@@ -93,17 +103,19 @@ SCHEMA = "column_name string, metric string, before double, after double, improv
 def statistical_metrics(before: DataFrame, after: DataFrame, columns: list[str], normality: bool = True) -> DataFrame:
     """Normality, variance, outliers and information of each column; text only gets the last.
 
-    Both frames are profiled in shared jobs.
+    Both frames are profiled in shared jobs, and the normality statistics of all columns before and after are computed together.
     """
     pair = {"before": before.select(*columns), "after": after.select(*columns)}
     rows = P.profile(pair).select("table_name", "column_name", "is_numeric", "present", "mean", "std", "outlier_pct", "entropy_bits").collect()
     found = {(r["table_name"], r["column_name"]): r for r in rows}
     out = []
+    numbers = [c for c in columns if all(found[t, c]["is_numeric"] and found[t, c]["present"] >= 8 for t in pair)] if normality else []
+    normal = anderson_darlings({(t, c): (df, c) for t, df in pair.items() for c in numbers})
     for c in columns:
         b, a = found["before", c], found["after", c]
         if b["is_numeric"] and a["is_numeric"]:
-            if normality and b["present"] >= 8 and a["present"] >= 8:
-                x, y = anderson_darling(before, c), anderson_darling(after, c)
+            if c in numbers:
+                x, y = normal["before", c], normal["after", c]
                 if x is not None and y is not None:
                     out.append(_row(c, "normality", x, y, x - y, y < x))
             cv = [abs(r["std"] / r["mean"]) if r["std"] is not None and abs(r["mean"]) >= 1e-10 else 0.0 for r in (b, a)]

@@ -29,7 +29,11 @@ def windowed_metrics(decisions: DataFrame, ts: str, key: str, width: str = "1 ho
 
 
 def user_sessions(decisions: DataFrame, ts: str, user: str, overridden: Column, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
-    """Sessions that end after ``gap`` without a decision: decisions, overrides and duration."""
+    """Sessions that end after ``gap`` without a decision: decisions, overrides and duration.
+
+    On a stream, run it in append mode: a session is written once, when the watermark (the latest event less ``late``) has passed its end, and then leaves the state; rows that
+    come later than that are dropped. Only sessions that are still open are held. On a batch frame all sessions are there.
+    """
     return _timed(decisions, ts, late).groupBy(F.session_window(ts, gap).alias("s"), user).agg(
         F.count(F.lit(1)).alias("decisions"), F.sum(overridden.cast("int")).alias("overrides"), F.max(ts).alias("last")).select(
         user, F.col("s.start").alias("session_start"), "decisions", "overrides",

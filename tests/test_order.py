@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colsmith.operators import encode, nulls
 from colsmith.operators.ordering import ranked_dictionary, with_lags, with_position
 from colsmith.operators.quantiles import exact_quantiles
-from colsmith.operators.validate import anderson_darling
+from colsmith.operators.validate import anderson_darling, anderson_darlings
 
 
 @pytest.fixture(scope="module")
@@ -111,3 +111,16 @@ def test_normal_tail_far_out(spark):
     for z, v in zip(points, found):
         exact = math.log(0.5 * math.erfc(-z / math.sqrt(2))) if z > -37 else -z * z / 2 - math.log(-z) - 0.5 * math.log(2 * math.pi) + math.log1p(-1 / z**2 + 3 / z**4)
         assert v == pytest.approx(exact, rel=1e-9)
+
+
+def test_normality_of_many_columns_in_shared_jobs(spark):
+    rng = np.random.default_rng(4)
+    data = np.round(rng.gamma(2, 2, (400, 50)) ** rng.uniform(0.5, 2, 50), 2)
+    df = spark.createDataFrame([(*map(float, row), None, 1.0) for row in data], ", ".join(f"c{i} double" for i in range(50)) + ", nothing double, constant double")
+    spark.sparkContext.setJobGroup("normality", "normality")
+    found = anderson_darlings({c: (df, c) for c in df.columns}, segment_rows=3_000)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("normality"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert found["nothing"] is None and found["constant"] is None and jobs < 25
+    for i in (0, 17, 49):
+        assert found[f"c{i}"] == pytest.approx(anderson_darling(df, f"c{i}"), rel=1e-9)
