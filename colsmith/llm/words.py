@@ -105,7 +105,11 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
 def row_order(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The order by row that brings equal values of a row together."""
     if len(rows) and rows[-1] < 1 << 16:  # rows come in order: sort on the row and the upper bits of the value
-        return np.argsort((rows.astype(np.uint64) << np.uint64(48)) | (values >> np.uint64(16)))
+        key = (rows.astype(np.uint64) << np.uint64(48)) | (values >> np.uint64(16))
+        order = np.argsort(key)
+        key, found = key[order], values[order]
+        if not ((key[1:] == key[:-1]) & (found[1:] != found[:-1])).any():
+            return order  # no two values share the upper bits
     return np.lexsort((values, rows))
 
 
