@@ -23,7 +23,8 @@ from colsmith.llm import words as W
 BUCKETS = 1 << 16
 SWITCH = 6.0  # penalty of a change of language, in nats
 RARE = 0.01  # share of a language's letters below which a script isn't its own
-STRETCH = 4 << 20  # bytes of text labelled at a time
+STRETCH = 4 << 20  # bytes of text labelled at a time, fewer with many languages
+CELLS = 1 << 26  # bytes times languages of a stretch
 
 # Fixed ranges of code points: (script, first, last). Latin includes ASCII letters.
 SCRIPTS = (
@@ -33,7 +34,8 @@ SCRIPTS = (
     ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
-NAMES = tuple(dict.fromkeys(n for n, _, _ in SCRIPTS))
+OTHER = "other"  # letters outside the ranges share one script, so trigrams alone decide between their languages
+NAMES = (OTHER, *dict.fromkeys(n for n, _, _ in SCRIPTS))
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -44,7 +46,8 @@ def _script_table() -> np.ndarray:
     number = {n: i + 1 for i, n in enumerate(NAMES)}
 
     def of(first, last):
-        return next((number[n] for n, a, b in SCRIPTS if first <= b and last >= a), 0)
+        listed = next((number[n] for n, a, b in SCRIPTS if first <= b and last >= a), 0)
+        return listed or number[OTHER] * any(chr(p).isalpha() for p in range(first, last + 1))
 
     for lead in range(128):
         table[lead, :] = of(lead, lead)
@@ -55,6 +58,9 @@ def _script_table() -> np.ndarray:
         for lead in range(0xE0, 0xF0):
             point = (lead & 15) << 12 | (second & 63) << 6
             table[lead, second] = of(point, point + 63)
+        for lead in range(0xF0, 0xF4):
+            point = (lead & 7) << 18 | (second & 63) << 12
+            table[lead, second] = of(point, point + 4095) if point >= 0x10000 else 0
     return table.reshape(-1)
 
 
@@ -206,14 +212,16 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
         model = shared.value
         names, k = model.languages, len(model.languages)
         for batch in batches:
-            for first, end, data, offsets in W.chunks(batch.column(1), STRETCH):
+            for first, end, data, offsets in W.chunks(batch.column(1), min(STRETCH, CELLS // max(k, 1))):
                 n = end - first
                 letters = _has_letter(data, offsets) & (k > 0)
                 winner, score, found = np.zeros(n, np.int64), np.zeros(n), [[]] * n
                 if k:
                     w, labels = model.label(data, offsets)
                     weight = np.zeros((n, k))
-                    heard = w.scripts > 0 if (w.scripts > 0).any() else np.ones(len(labels), bool)
+                    scripted = np.zeros(n, bool)
+                    scripted[w.rows[w.scripts > 0]] = True
+                    heard = (w.scripts > 0) | ~scripted[w.rows]  # each text for itself
                     np.add.at(weight, (w.rows[heard], labels[heard]), w.lengths[heard])
                     winner, total = weight.argmax(1), weight.sum(1)
                     score = np.where(total > 0, weight.max(1) / np.maximum(total, 1), 1.0 / k)
