@@ -39,11 +39,11 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every url; the models learn from hosts with and without tell-tale words."""
     pages = table(spark, folder, "pages")
-    host, path = urls.host(F.col("url")), urls.path(F.col("url"))
+    host = urls.host(F.col("url"))
     bad = F.lit(False)
     for word in REJECTED_HOST_WORDS:
         bad = bad | host.contains(word)
-    labelled = pages.where(host != "").select(F.concat(host, path).alias("url"), (~bad).alias("accepted"))
+    labelled = pages.where(host != "").select("url", (~bad).alias("accepted"))
     return urls.judge(pages, urls.fit(labelled, "url", "accepted"), URL_RULES, keep=["page_id"])
 
 

@@ -1,4 +1,4 @@
-"""URL filters: host and path rules, then a ratio of character language models.
+"""URL filters: host and path rules, then a ratio of character language models over the whole url.
 
 Two variable-order Markov models over a small alphabet, one of accepted and one of rejected urls, give
 each character a probability that interpolates orders 0 to 3 (Witten-Bell weights). A url's score is
@@ -45,6 +45,11 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def address(url: Column) -> Column:
+    """The url without its scheme: all after the first ://, or all of it. This is what the models learn from and score, query and fragment included."""
+    return F.regexp_replace(url.cast("string"), r"(?s)^.*?://", "")
+
+
 def matching_rule(host_column: Column, path_column: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """(rule, verdict) of the longest rule that fits, else null. Rules are (verdict, "host/path")."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -120,7 +125,9 @@ def fit(urls: DataFrame, text: str, label: str, lost: float = 0.01) -> Model:
     The threshold is the one with the fewest errors (each label weighing the same) among those that lose
     at most a share ``lost`` of accepted urls.
     """
-    odd = F.crc32(F.col(text).cast("string").cast("binary")) % 2 == 1
+    urls = urls.select(address(F.col(text)).alias("address"), F.col(label).cast("boolean").alias("label"))
+    text, label = "address", "label"
+    odd = F.crc32(F.col(text).cast("binary")) % 2 == 1
     counts = {y: np.zeros(SYMBOLS ** (ORDER + 1), np.int64) for y in (True, False)}
     for r in gram_counts(urls.where(~odd), text, label).collect():  # at most 2 * SYMBOLS ** 4 rows
         counts[r["label"]][r["gram"]] = r["n"]
@@ -143,7 +150,7 @@ def fit(urls: DataFrame, text: str, label: str, lost: float = 0.01) -> Model:
 def judge(urls: DataFrame, model: Model, rules: Sequence[tuple[str, str]], url: str = "url", keep: Sequence[str] = ()) -> DataFrame:
     """The kept columns, host, path, rule and verdict: the rule's, else allow from the model's threshold on."""
     u = F.col(url).cast("string")
-    found = urls.select(*keep, host(u).alias("_h"), path(u).alias("_p")).withColumn("_s", model.score(F.concat("_h", "_p"), urls.sparkSession))
+    found = urls.select(*keep, host(u).alias("_h"), path(u).alias("_p"), model.score(address(u), urls.sparkSession).alias("_s"))
     rule = matching_rule(F.col("_h"), F.col("_p"), rules)
     method = F.when(F.col("_s") >= model.threshold, "allow").otherwise("block")
     return found.select(*keep, F.col("_h").alias("host"), F.col("_p").alias("path"), rule["rule"].alias("rule"),
