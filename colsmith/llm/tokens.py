@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 END_ID = 2
 SHARD_TOKENS = 1 << 19
-CACHED_PIECES = 1_000_000  # pieces of text whose ids a worker remembers
+CACHED_PIECES = 300_000  # pieces of text whose ids a worker remembers
 MARKS = ".,"  # units of their own after a letter and before a space or the end
 BLOCK = 512  # bits between two entries of a rank directory
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -37,14 +37,15 @@ class Encoder:
 
     A single space between two other characters always begins a new unit of the byte-level split, and so do a full stop or comma
     after a letter at a piece's end and a line feed between other characters. Texts are cut there and each piece is encoded once; those with a cut next to other white space are encoded whole.
+    With ``special_strings`` the strings of special tokens in a text are ordinary text; else they become those tokens, as in the library's own ``encode``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_strings: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_strings
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values(), default=0) + 1
         self.spaced = np.zeros(self.size, bool)
@@ -134,6 +135,17 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_of(path: str, special_strings: bool = False) -> Encoder:
+    """One encoder a worker process, with the pieces it has learned in earlier tasks."""
+    key = path, special_strings
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, special_strings)
+    return _ENCODERS[key]
+
+
 class WaveletMatrix:
     """Bit-planes of a sequence, highest bit first; each plane is in the order that the planes above sort the sequence into."""
 
@@ -255,12 +267,13 @@ class Shard:
         return cls(parts[0].view("<u4"), WaveletMatrix(n, parts[1:]))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS,
+          special_strings: bool = False) -> None:
     """Encode, sort and write all documents as shards."""
     fields = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("shard", pa.binary())])
 
     def run(batches):
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer, special_strings), np.array([end_id], "<u4").tobytes()
         bits = max(1, int(max(encoder.size - 1, end_id)).bit_length())
         part, seq, before, held, names, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 

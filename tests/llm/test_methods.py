@@ -158,7 +158,6 @@ def test_token_shards(spark, docs, texts, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(BPE)
-    plain.encode_special_tokens = True
     tokens.write(docs, str(tmp_path / "t"), BPE, shard_tokens=20_000)
     found, start = {r["doc_id"]: r for r in tokens.read(spark, str(tmp_path / "t")).collect()}, 0
     for i in sorted(texts):
