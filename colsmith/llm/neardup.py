@@ -103,6 +103,7 @@ def _sets(data, offsets, k):
 def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFrame:
     """id, n (shingles), a digest of the set in two numbers, and sketch."""
 
+    @W.lean
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in W.chunks(batch.column(1), STRETCH):
@@ -123,6 +124,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int) -> DataFr
 def bands(sketches: DataFrame) -> DataFrame:
     """(key, id, n) for every band of (id, n, sketch)."""
 
+    @W.lean
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -137,6 +139,7 @@ def bands(sketches: DataFrame) -> DataFrame:
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(id, shingles) of (id, text)."""
 
+    @W.lean
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in W.chunks(batch.column(1)):
@@ -150,6 +153,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sizes and registers allow the similarity."""
 
+    @W.lean
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -179,6 +183,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _frequencies(sets: DataFrame) -> np.ndarray:
     """How many shingles fall into each cell; at most CELLS rows reach the driver."""
 
+    @W.lean
     def run(batches):
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
@@ -207,6 +212,7 @@ def _by_prefix(sets: DataFrame, threshold: float) -> DataFrame:
     percent = round(threshold * 100)
     shared = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
 
+    @W.lean
     def run(batches):
         counts = shared.value
         for batch in batches:

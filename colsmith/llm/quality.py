@@ -168,6 +168,7 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rules:
     """Id, the rule that rejected each row (null: kept) and the measures asked for, which cover rejected rows too."""
     order = list(order or plan(docs, rules, text))
 
+    @W.lean
     def run(batches):
         for batch in batches:
             names, found = [], {m: [] for m in measures}
@@ -189,6 +190,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULE
     """The rows that no rule rejects, with all their columns."""
     order, place = list(order or plan(docs, rules, text)), docs.columns.index(text)
 
+    @W.lean
     def run(batches):
         for batch in batches:
             keep = [_cascade(Texts(d, o), rules, order) < 0 for _, _, d, o in W.chunks(batch.column(place))]

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colsmith.llm import words as W
+
 END_ID = 2
 SHARD_TOKENS = 1 << 19
 CACHED_PIECES = 300_000  # pieces of text whose ids a worker remembers
@@ -272,6 +274,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id",
     """Encode, sort and write all documents as shards."""
     fields = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("shard", pa.binary())])
 
+    @W.lean
     def run(batches):
         encoder, end = encoder_of(tokenizer, special_strings), np.array([end_id], "<u4").tobytes()
         bits = max(1, int(max(encoder.size - 1, end_id)).bit_length())
@@ -308,6 +311,7 @@ def read(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame
     starts_of = dict(zip([r["part"] for r in sizes], np.append(0, np.cumsum([r["n"] for r in sizes])).tolist()))
     shared = spark.sparkContext.broadcast(starts_of)
 
+    @W.lean
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):

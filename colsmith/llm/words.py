@@ -6,6 +6,8 @@ code points are looked at. Words and shingles are 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,21 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
 
+def lean(run):
+    """A function of batches whose worker holds no freed memory: Arrow allocates from the system, and the rest goes back when the partition ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit (a finaliser of xor-shifts and products)."""
     h = h.astype(np.uint64, copy=True)
