@@ -31,11 +31,13 @@ GROUP BY grams.id, b.id HAVING 10 * count(*) >= 8 * any_value(n_item)"""
 def mixing(temperature: float, largest: float, seed: str = "mix") -> str:
     return f"""WITH size AS (SELECT source AS s, CAST(coalesce(sum(length(text)), 0) AS DOUBLE) AS chars FROM documents GROUP BY source),
 total AS (SELECT sum(chars) AS all_chars, sum(pow(chars, {temperature})) AS all_weight FROM size),
-rate AS (SELECT s, CASE WHEN chars = 0 THEN 1.0 ELSE least(pow(chars, {temperature}) / all_weight * all_chars / chars, {largest}) END AS rate FROM size, total),
+whole AS (SELECT s, CASE WHEN chars = 0 THEN 1.0 ELSE pow(chars, {temperature}) / all_weight * all_chars / chars END AS rate FROM size, total),
+rate AS (SELECT s, CAST(greatest(ceil(rate / {largest}), 1) AS BIGINT) AS parts, rate / greatest(ceil(rate / {largest}), 1) AS rate FROM whole),
 k AS (SELECT s, rate, unnest(range(0, CAST(ceil(rate + 9 * sqrt(rate) + 20) AS BIGINT) + 1)) AS k FROM rate),
 steps AS (SELECT s, k, sum(exp(-rate + k * ln(greatest(rate, 1e-300)) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS c FROM k),
-drawn AS (SELECT doc_id, source, text, CAST('0x' || substr(sha256('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM documents),
-many AS (SELECT doc_id, source, text, count(*) AS n FROM drawn JOIN steps ON source IS NOT DISTINCT FROM s AND c <= u GROUP BY ALL)
+part AS (SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), '') AS name, unnest(range(0, parts)) AS i FROM documents JOIN rate ON source IS NOT DISTINCT FROM s),
+drawn AS (SELECT *, CAST('0x' || substr(sha256('{seed}|' || CASE WHEN i > 0 THEN 'part|' || name || '|' || i ELSE name END), 1, 13) AS BIGINT) / pow(2, 52) AS u FROM part),
+many AS (SELECT doc_id, source, text, count(*) AS n FROM drawn JOIN steps ON source IS NOT DISTINCT FROM s AND c <= u GROUP BY doc_id, source, text)
 SELECT doc_id, CAST(unnest(range(0, n)) AS INTEGER) AS copy, source, text FROM many"""
 
 

@@ -4,12 +4,13 @@ import hashlib
 import re
 import time
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from colsmith.llm import language, pii, queries, secrets, tokens, urls
+from colsmith.llm import language, mixing, pii, queries, secrets, sql, tokens, urls
 from colsmith.llm import words as W
 from colsmith.session import table
 
@@ -36,6 +37,15 @@ def test_pseudonyms_of_very_long_texts(spark):
         assert found[k]["pii_counts"]["email"] >= 1, k
 
 
+def test_mixing_sql_draws_large_rates_in_parts(spark, folder, monkeypatch):
+    monkeypatch.setattr(mixing, "LARGEST_RATE", 0.4)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    expected = sorted(con.execute(sql.mixing(queries.MIX_TEMPERATURE, 0.4)).fetchall(), key=repr)
+    found = mixing.mix(table(spark, folder, "documents"), temperature=queries.MIX_TEMPERATURE).select("doc_id", "copy", "source", "text").collect()
+    assert sorted(map(tuple, found), key=repr) == expected
+
+
 def naive_spans(text):
     found = []
     for kind, pattern, group, least in (("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
