@@ -268,7 +268,7 @@ def _(load):
 def _diversity_sql(table, texts):
     return " UNION ALL ".join(f"""SELECT '{c}' AS column_name, (SELECT count(DISTINCT ch) FROM (SELECT unnest(list_distinct(string_split({c}, ''))) AS ch FROM {table}) x WHERE ch <> '') AS chars,
       count(DISTINCT h) FILTER (h <> '') AS hosts, count(*) FILTER (h <> '') AS host_rows, count(DISTINCT m) FILTER (m <> '') AS domains, count(*) FILTER (m <> '') AS domain_rows
-      FROM (SELECT regexp_extract({c}, 'https?://([^/]+)', 1) AS h, regexp_extract({c}, '@([a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}})', 1) AS m FROM {table}) p""" for c in texts)
+      FROM (SELECT regexp_extract({c}, 'https?://([^/]+)', 1) AS h, regexp_extract({c}, '@([a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}})', 1) AS m FROM {table}) p""" for c in texts)
 
 
 @query("p18_diversity", _diversity_sql("pages", ("url", "html")))
