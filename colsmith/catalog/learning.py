@@ -91,7 +91,7 @@ def _(load):
   round(least(base_confidence * (0.9 + 0.1 * (similarity - 0.85) / 0.15), 0.95), 5) AS confidence FROM s WHERE similarity >= 0.85""")
 def _(load):
     recorded, found = _recorded(load)
-    done = L.learned_decisions(L.rule_similarities(found, L.learned_rules(recorded)))
+    done = L.learned_decisions(L.similar_rules(found, L.learned_rules(recorded)))
     return done.select("column_name", "action", "rule", r("confidence", 5).alias("confidence"))
 
 
@@ -99,7 +99,7 @@ def _(load):
 def _(load):
     found = profile({"messy": messy(load)})
     rules = L.learned_rules(L.record_corrections(_corrections(load), found))
-    return L.merge_candidates(rule_decisions(found), L.learned_decisions(L.rule_similarities(found, rules)))
+    return L.merge_candidates(rule_decisions(found), L.learned_decisions(L.similar_rules(found, rules)))
 
 
 _HELD = "(correction_id % 5 = 0)"

@@ -10,29 +10,40 @@ from colsmith.operators.profile import profile
 from colsmith.plans import privacy as K
 
 
-@query("k1_laplace_noise")
+def _uniform_sql(*keys: str) -> str:
+    parts = "".join(f" || '|' || coalesce('=' || {k}, 'null')" for k in keys)
+    return f"((CAST('0x' || substr(sha256('7'{parts}), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {1 << 52}::DOUBLE)"
+
+
+def _laplace_sql(scale: float, *keys: str) -> str:
+    u = f"({_uniform_sql(*keys)} - 0.5)"
+    return f"(-{scale}::DOUBLE * sign({u}) * ln(1 - 2 * abs({u})))"
+
+
+@query("k1_laplace_noise", f"SELECT o_orderstatus, round(count(*) + {_laplace_sql(1, 'o_orderstatus')}, 6) AS noisy FROM orders GROUP BY o_orderstatus")
 def _(load):
-    return load("orders").groupBy("o_orderstatus").count().select("o_orderstatus", (F.col("count") + K.laplace(1.0, 1.0, 7)).alias("noisy"))
+    return load("orders").groupBy("o_orderstatus").count().select("o_orderstatus", r(F.col("count") + K.laplace(1.0, 1.0, 7, F.col("o_orderstatus"))).alias("noisy"))
 
 
-@query("k2_gaussian_noise")
+@query("k2_gaussian_noise", f"""SELECT o_orderstatus, round(count(*) + sqrt(-2 * ln({_uniform_sql("'radius'", "o_orderstatus")})) * cos(2 * pi() * {_uniform_sql("'angle'", "o_orderstatus")})
+  * sqrt(2 * ln(1.25 / 1e-5)), 6) AS noisy FROM orders GROUP BY o_orderstatus""")
 def _(load):
-    return load("orders").groupBy("o_orderstatus").count().select("o_orderstatus", (F.col("count") + K.gaussian(1.0, seed=7)).alias("noisy"))
+    return load("orders").groupBy("o_orderstatus").count().select("o_orderstatus", r(F.col("count") + K.gaussian(1.0, 1e-5, 1.0, 7, F.col("o_orderstatus"))).alias("noisy"))
 
 
-@query("k3_private_histogram")
+@query("k3_private_histogram", f"""SELECT event_type AS value, greatest(round(count(*) + {_laplace_sql(1, "'event_type'", 'event_type')}), 0)::BIGINT AS n FROM events GROUP BY event_type""")
 def _(load):
     return K.private_histogram(load("events"), "event_type", 1.0, 7)
 
 
-@query("k3_private_count")
+@query("k3_private_count", f"""SELECT greatest(round(count(*) + {_laplace_sql(1, "'count'")}), 0)::BIGINT AS n FROM orders""")
 def _(load):
     return K.private_count(load("orders"), 1.0, 7)
 
 
-@query("k4_private_mean")
+@query("k4_private_mean", f"""SELECT round(avg(greatest(least(value, 200), 0)) + {_laplace_sql(1, "'mean'", "'value'")} * 200 / count(value), 6) AS mean FROM events""")
 def _(load):
-    return K.private_mean(load("events"), "value", 0.0, 200.0, 1.0, 7)
+    return K.private_mean(load("events"), "value", 0.0, 200.0, 1.0, 7).select(r("mean").alias("mean"))
 
 
 _STATS = profile_sql("orders", text=False)
@@ -87,6 +98,15 @@ def _(load):
                         (F.col("skewness_anonymous") + F.lit(0.0)).alias("skewness_anonymous"))
 
 
-@query("k12_noisy_fingerprint")
+def _noisy_sql(c: str) -> str:
+    return f"""round_even({c} + {_laplace_sql(2, f"'{c}'", "table_name", "column_name")}, 1) + 0.0::DOUBLE AS {c}_anonymous"""
+
+
+_MOMENTS = ("mean", "median", "std", "skewness", "kurtosis")
+
+
+@query("k12_noisy_fingerprint", f"""SELECT {", ".join(_noisy_sql(c) for c in _MOMENTS)}, least(2, floor(null_pct * 3))::BIGINT AS null_pct_bucket, least(2, floor(unique_ratio * 3))::BIGINT AS unique_ratio_bucket,
+  substr(sha256(column_name), 1, 16) AS column_name_hash, substr(sha256(table_name), 1, 16) AS table_name_hash, is_numeric, is_categorical, is_temporal FROM {_STATS} p""")
 def _(load):
-    return K.private_fingerprint(profile({"orders": load("orders")}), "high", seed=7)
+    found = K.private_fingerprint(profile({"orders": load("orders")}), "high", seed=7)
+    return found.withColumns({f"{c}_anonymous": F.col(f"{c}_anonymous") + F.lit(0.0) for c in _MOMENTS})

@@ -1,8 +1,8 @@
 """Learning from user corrections: patterns, rules, their validation and their use.
 
 Corrections are rows (correction_id, user_id, ts, table_name, column_name, wrong_action, correct_action and
-the statistics of the column). Everything is grouping over that table; the rules that come
-out are few and meet profiles through a size-checked broadcast.
+the statistics of the column). Everything is grouping over that table. Rules meet profiles by keys that like columns must
+share; only reports of every column against every rule read the rules in broadcast blocks of a fixed size.
 """
 
 from __future__ import annotations
@@ -96,18 +96,71 @@ def similarity(template: Column, of: dict[str, Column]) -> Column:
     return F.when(total > 0, score / total).otherwise(0.0)
 
 
+def _against_all(columns: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Every row of ``columns`` beside every row of ``few``, which is broadcast in blocks of at most about ``BROADCAST_ROWS`` rows."""
+    blocks = -(-few.count() // BROADCAST_ROWS) or 1
+    found = None
+    for b in range(blocks):
+        part = few if blocks == 1 else few.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        pairs = columns.join(F.broadcast(part), F.lit(True))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def _statistics() -> dict[str, Column]:
+    of = {n: F.col(n) for n in WEIGHTS if n not in ("is_boolean", "cardinality")}
+    return of | {"is_boolean": F.col("type_name") == "boolean", "cardinality": F.col("unique_count")}
+
+
+_RULE = ("rule_name", "recommended_action", "base_confidence", "support_count", "template")
+_PAIR = ("table_name", "column_name", "rule_name", "recommended_action", "base_confidence", "support_count")
+
+
 def rule_similarities(profile: DataFrame, rules: DataFrame) -> DataFrame:
-    """Likeness of every profiled column to every learned rule.
+    """Likeness of every profiled column to every learned rule: a report as large as its definition says.
+
+    Decisions need the like pairs only and take them from ``similar_rules``.
+    """
+    pairs = _against_all(profile, rules.select(*_RULE), "rule_name")
+    return pairs.select(*_PAIR, similarity(F.col("template"), _statistics()).alias("similarity"))
+
+
+def similar_rules(profile: DataFrame, rules: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """The pairs of ``rule_similarities`` from ``threshold`` on, found by an equi-join instead of by trying all pairs.
 
-    Rules are one per pattern type and action, so the right side is bounded by those two lists.
+    A column that is like enough loses at most 1 - threshold of the weights. A statistic whose own loss would be larger is a
+    condition, so it becomes a key: a flag that weighs more must agree, and a share must lie within the allowed gap, that is in
+    the same or a neighbouring band of that width. Each rule is written once for every band it can meet. Statistics a template lacks
+    are no condition, so such a rule meets every band; thresholds that leave no condition compare everything.
     """
-    of = {n: F.col(n) for n in WEIGHTS if n not in ("is_boolean", "is_temporal", "cardinality")}
-    of |= {"is_boolean": F.col("type_name") == "boolean", "is_temporal": F.col("is_temporal"), "cardinality": F.col("unique_count")}
-    few = rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = rules.select("rule_name", "recommended_action", "base_confidence", "support_count", "template")
-    pairs = profile.join(F.broadcast(side) if few else side, F.lit(True))
-    return pairs.select("table_name", "column_name", "rule_name", "recommended_action", "base_confidence", "support_count",
-                        similarity(F.col("template"), of).alias("similarity"))
+    lost = 1 - threshold + 1e-9
+    flags = [n for n in WEIGHTS if n.startswith("is_") and WEIGHTS[n] + WEIGHTS["entropy"] > lost]
+    shares = [n for n in ("null_pct", "unique_ratio") if WEIGHTS[n] + WEIGHTS["entropy"] > lost]
+    if not flags and not shares:
+        return rule_similarities(profile, rules).where(F.col("similarity") >= threshold)
+    of, t = _statistics(), F.col("template")
+    width = 0.15
+    bands = int(1 / width) + 1
+    side, columns, keys = rules.select(*_RULE), profile, []
+    for n in flags:
+        # Entropy never agrees, so a template that has it has lost its weight already; one without it may spend that elsewhere.
+        free = t[n].isNull() | t["entropy"].isNull()
+        side = side.withColumn(f"__{n}", F.explode(F.when(free, F.array(F.lit(True), F.lit(False), F.lit(None))).otherwise(F.array(t[n]))))
+        columns = columns.withColumn(f"__{n}", of[n])
+        keys.append(f"__{n}")
+    band = lambda c: F.greatest(F.lit(0), F.least(F.lit(bands - 1), F.floor(c / width).cast("int")))
+    for n in shares:
+        near = F.sequence(F.greatest(F.lit(0), band(t[n]) - 1), F.least(F.lit(bands - 1), band(t[n]) + 1))
+        every = F.concat(F.sequence(F.lit(0), F.lit(bands - 1)), F.array(F.lit(None).cast("int")))
+        side = side.withColumn(f"__{n}", F.explode(F.when(t[n].isNull() | t["entropy"].isNull(), every).otherwise(near)))
+        columns = columns.withColumn(f"__{n}", band(of[n]))
+        keys.append(f"__{n}")
+    c, r = columns.alias("c"), side.alias("r")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}"))
+    pairs = c.join(r, same).select("c.*", *[F.col(f"r.{x}") for x in _RULE])
+    return pairs.select(*_PAIR, similarity(F.col("template"), of).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def learned_decisions(similarities: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -189,9 +242,9 @@ def match_ranges(profile: DataFrame, patterns: DataFrame, floor: float = 0.8) ->
         have = F.coalesce(F.col(f"c.{k}"), F.lit(False))
         total = total + F.col(f"p.{k}_is").isNotNull().cast("int")
         met = met + F.coalesce(F.col(f"p.{k}_is") == have, F.lit(False)).cast("int")
-    # One pattern per action that corrections name; actions are free text there, so their number is checked.
-    few = patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pairs = profile.alias("c").join(F.broadcast(patterns.alias("p")) if few else patterns.alias("p"), F.lit(True))
+    # Patterns that hold for a share s of all corrections are 1 / s at most, whatever actions corrections name; others come in blocks.
+    pairs = _against_all(profile.select(F.struct("table_name", "column_name", *RANGE_KEYS, *FLAG_KEYS).alias("c")),
+                         patterns.select(F.struct(*patterns.columns).alias("p"), F.col("correct_action").alias("__key")), "__key")
     return pairs.select("c.table_name", "c.column_name", "p.correct_action", F.when(total > 0, met / total).otherwise(F.lit(0.0)).alias("match")).where(
         F.col("match") >= floor)
 

@@ -18,26 +18,47 @@ LEVELS = {"low": (2.0, 3, 10), "medium": (1.0, 2, 5), "high": (0.5, 1, 3)}
 IDENTIFIERS = ("id", "user_id", "email", "name", "username", "phone", "ssn", "address", "ip_address")
 
 
-def laplace(epsilon: float, sensitivity: float = 1.0, seed: int | None = None) -> Column:
-    """One draw of Laplace noise per row."""
-    u = (F.rand(seed) if seed is not None else F.rand()) - 0.5
-    return -F.lit(sensitivity / epsilon) * F.signum(u) * F.log1p(-2 * F.least(F.abs(u), F.lit(0.5 - 1e-16)))
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number strictly between 0 and 1 from a digest of the seed and the keys; nulls among the keys are a value of their own.
+
+    It depends on nothing else, so a retried task, another partitioning or the same question asked again give the same
+    number, and no mean over repeated answers wears the noise off. The seed has to be kept secret,
+    and data that changed need a new one: the difference of two answers with equal noise is exact.
+    """
+    parts = [F.coalesce(F.concat(F.lit("="), k.cast("string")), F.lit("null")) for k in keys]
+    head = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256), 1, 13)
+    return (F.conv(head, 16, 10).cast("bigint").cast("double") + 0.5) / float(1 << 52)
+
+
+def laplace(epsilon: float, sensitivity: float = 1.0, seed: int | None = None, *keys: Column) -> Column:
+    """Laplace noise: a fresh draw per row, or with a seed the draw that belongs to the keys of the row."""
+    if seed is not None and not keys:
+        raise ValueError("seeded noise needs the keys that tell one statistic from another")
+    u = (F.rand() if seed is None else uniform(seed, *keys)) - 0.5
+    return -F.lit(sensitivity / epsilon) * F.signum(u) * F.log(F.greatest(1 - 2 * F.abs(u), F.lit(2.0 ** -53)))
 
 
-def gaussian(epsilon: float, delta: float = 1e-5, sensitivity: float = 1.0, seed: int | None = None) -> Column:
+def gaussian(epsilon: float, delta: float = 1e-5, sensitivity: float = 1.0, seed: int | None = None, *keys: Column) -> Column:
+    """Gaussian noise, fresh or seeded like ``laplace``; seeded draws turn two numbers into a normal one."""
     sigma = sensitivity * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
-    return (F.randn(seed) if seed is not None else F.randn()) * sigma
+    if seed is None:
+        return F.randn() * sigma
+    if not keys:
+        raise ValueError("seeded noise needs the keys that tell one statistic from another")
+    radius = F.sqrt(-2 * F.log(uniform(seed, F.lit("radius"), *keys)))
+    return radius * F.cos(2 * math.pi * uniform(seed, F.lit("angle"), *keys)) * sigma
 
 
 def private_histogram(df: DataFrame, column: str, epsilon: float, seed: int | None = None) -> DataFrame:
     """Noisy counts per value, rounded and never negative."""
     counts = df.groupBy(F.col(column).cast("string").alias("value")).count()
-    return counts.select("value", F.greatest(F.round(F.col("count") + laplace(epsilon, 1.0, seed)), F.lit(0.0)).cast("bigint").alias("n"))
+    noisy = F.col("count") + laplace(epsilon, 1.0, seed, F.lit(column), F.col("value"))
+    return counts.select("value", F.greatest(F.round(noisy), F.lit(0.0)).cast("bigint").alias("n"))
 
 
 def private_count(df: DataFrame, epsilon: float, seed: int | None = None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n")).select(
-        F.greatest(F.round(F.col("n") + laplace(epsilon, 1.0, seed)), F.lit(0.0)).cast("bigint").alias("n"))
+        F.greatest(F.round(F.col("n") + laplace(epsilon, 1.0, seed, F.lit("count"))), F.lit(0.0)).cast("bigint").alias("n"))
 
 
 def private_mean(df: DataFrame, column: str, low: float, high: float, epsilon: float, seed: int | None = None) -> DataFrame:
@@ -45,7 +66,7 @@ def private_mean(df: DataFrame, column: str, low: float, high: float, epsilon: f
     clipped = F.greatest(F.least(F.col(column).cast("double"), F.lit(high)), F.lit(low))
     base = df.agg(F.avg(F.when(F.col(column).isNotNull(), clipped)).alias("m"), F.count(column).alias("n"))
     scale = F.lit((high - low) / epsilon) / F.col("n")
-    return base.select((F.col("m") + laplace(1.0, 1.0, seed) * scale).alias("mean"))
+    return base.select((F.col("m") + laplace(1.0, 1.0, seed, F.lit("mean"), F.lit(column)) * scale).alias("mean"))
 
 
 def budgeted(statistics: DataFrame, order_by: str, epsilon: float, per_query: float = 0.1, sensitivity: float = 1.0,
@@ -56,7 +77,7 @@ def budgeted(statistics: DataFrame, order_by: str, epsilon: float, per_query: fl
     """
     frame = W.partitionBy(*partition_by).orderBy(order_by).rowsBetween(W.unboundedPreceding, 0)
     spent = F.count(F.lit(1)).over(frame) * per_query
-    noisy = F.col("value") + laplace(per_query, sensitivity, seed)
+    noisy = F.col("value") + laplace(per_query, sensitivity, seed, *[F.col(c) for c in (*partition_by, order_by)])
     return statistics.withColumn("spent", F.round(spent, 10)).withColumn(
         "private_value", F.when(F.col("spent") <= epsilon + 1e-9, noisy))
 
@@ -109,9 +130,9 @@ def without_identifiers(df: DataFrame, words: tuple[str, ...] = IDENTIFIERS) ->
 def private_fingerprint(profile: DataFrame, level: str = "medium", seed: int | None = None, noise: bool = True) -> DataFrame:
     """Profile rows fit for sharing: noisy rounded moments, coarse shares, hashed names, plain flags."""
     epsilon, decimals, bins = LEVELS[level]
-    shift = (lambda i: laplace(epsilon, 1.0, None if seed is None else seed + i)) if noise else (lambda i: F.lit(0.0))
-    moments = [F.when(F.col(c).isNotNull(), generalise(F.col(c) + shift(i), decimals)).alias(f"{c}_anonymous")
-               for i, c in enumerate(("mean", "median", "std", "skewness", "kurtosis"))]
+    shift = (lambda c: laplace(epsilon, 1.0, seed, F.lit(c), F.col("table_name"), F.col("column_name"))) if noise else (lambda c: F.lit(0.0))
+    moments = [F.when(F.col(c).isNotNull(), generalise(F.col(c) + shift(c), decimals)).alias(f"{c}_anonymous")
+               for c in ("mean", "median", "std", "skewness", "kurtosis")]
     return profile.select(
         *moments, *[discretise(F.col(c), bins, 0.0, 1.0).alias(f"{c}_bucket") for c in ("null_pct", "unique_ratio")],
         *[F.substring(salted_hash(F.col(c)), 1, 16).alias(f"{c}_hash") for c in ("column_name", "table_name")],

@@ -78,6 +78,45 @@ def test_similarity_of_a_column_with_itself(mixed):
     assert actions(L.learned_decisions(L.rule_similarities(mixed, rules)))["normal"] == "robust_scale"
 
 
+def _random_rules_and_columns(spark, rng, n_rules=60, n_columns=80):
+    pick = lambda *c: c[rng.integers(len(c))]
+    numbers = lambda: [pick(None, 0.0, 0.15, 0.3, 1.0, float(rng.random())), pick(None, 0.0, 1.0, float(rng.random())), pick(None, 0.0, 2.0), pick(None, 0.0, -3.0),
+                       pick(None, 0.0, 0.1), pick(None, 1.5)]
+    flags = lambda: [pick(True, False, None), pick(True, False), pick(False, None), pick(False, True)]
+    rows = []
+    for i in range(n_rules):
+        rows.append((f"r{i}", "a", 0.9, 20, (*numbers(), pick(None, 1.0, 10.0, 100.0), *flags())))
+    template = "struct<null_pct:double,unique_ratio:double,skewness:double,kurtosis:double,outlier_pct:double,entropy:double,cardinality:double,is_numeric:boolean,is_categorical:boolean,is_temporal:boolean,is_boolean:boolean>"
+    rules = spark.createDataFrame(rows, f"rule_name string, recommended_action string, base_confidence double, support_count bigint, template {template}")
+    columns = []
+    for i in range(n_columns):
+        # Half of the columns are close to some rule, so that pairs near the threshold occur.
+        t = list(rows[i % n_rules][4]) if i % 2 else [*numbers(), pick(None, 10.0), *flags()]
+        if i % 4 == 1 and t[0] is not None:
+            t[0] = max(0.0, t[0] + float(rng.normal(0, 0.05)))
+        columns.append(("t", f"c{i}", *t[:6], None if t[6] is None else int(t[6]), *t[7:10], "boolean" if t[10] else "double"))
+    profile = spark.createDataFrame(columns, "table_name string, column_name string, null_pct double, unique_ratio double, skewness double, kurtosis double, outlier_pct double, "
+                                             "entropy double, unique_count bigint, is_numeric boolean, is_categorical boolean, is_temporal boolean, type_name string")
+    return profile, rules
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.85, 0.9, 0.97])
+def test_like_rules_by_keys_are_those_of_all_pairs(spark, threshold):
+    profile, rules = _random_rules_and_columns(spark, np.random.default_rng(int(threshold * 100)))
+    want = {(r["column_name"], r["rule_name"], round(r["similarity"], 9)) for r in L.rule_similarities(profile, rules).where(F.col("similarity") >= threshold).collect()}
+    found = L.similar_rules(profile, rules, threshold)
+    got = [(r["column_name"], r["rule_name"], round(r["similarity"], 9)) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (want or threshold > 0.9)
+
+
+def test_rules_in_blocks(spark, monkeypatch):
+    profile, rules = _random_rules_and_columns(spark, np.random.default_rng(5), 30, 20)
+    whole = {tuple(r) for r in L.rule_similarities(profile, rules).collect()}
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 7)
+    again = [tuple(r) for r in L.rule_similarities(profile, rules).collect()]
+    assert len(again) == 600 and set(again) == whole
+
+
 def test_ab_outcomes(spark):
     log = spark.createDataFrame([("good", i % 10 != 0) for i in range(120)] + [("bad", i % 2 == 0) for i in range(120)] + [("new", True)] * 5, "rule_name string, correct boolean")
     valid = spark.createDataFrame([("good", True), ("bad", True), ("new", True)], "rule_name string, validated boolean")
@@ -85,12 +124,24 @@ def test_ab_outcomes(spark):
 
 
 def test_noise_has_the_right_spread(spark):
-    df = spark.range(20000).select(K.laplace(0.5, 1.0, 3).alias("l"), K.gaussian(1.0, 1e-5, 1.0, 3).alias("g"))
+    df = spark.range(20000).select(K.laplace(0.5, 1.0, 3, F.col("id")).alias("l"), K.gaussian(1.0, 1e-5, 1.0, 3, F.col("id")).alias("g"))
     row = df.agg(F.avg("l"), F.stddev_pop("l"), F.avg("g"), F.stddev_pop("g")).first()
     assert abs(row[0]) < 0.1 and row[1] == pytest.approx(2 * 2 ** 0.5, rel=0.05)
     assert abs(row[2]) < 0.15 and row[3] == pytest.approx((2 * np.log(1.25e5)) ** 0.5, rel=0.05)
 
 
+def test_seeded_noise_belongs_to_its_key(spark):
+    noisy = lambda df, seed=3: {r["k"]: r["l"] for r in df.select("k", K.laplace(1.0, 1.0, seed, F.col("k")).alias("l")).collect()}
+    df = spark.createDataFrame([("a",), ("b",), ("",), (None,), ("null",)], "k string")
+    first = noisy(df)
+    assert first == noisy(df.repartition(5)) and len(set(first.values())) == 5
+    assert first != noisy(df, 4)
+    with pytest.raises(ValueError):
+        K.laplace(1.0, 1.0, 3)
+    one = spark.range(50).select(F.lit("x").alias("c"))
+    assert K.private_histogram(one, "c", 1.0, 5).collect() == K.private_histogram(one.repartition(7), "c", 1.0, 5).collect()
+
+
 def test_exhausted_budget_gives_null(spark):
     rows = spark.createDataFrame([(i, 10.0) for i in range(5)], "i int, value double")
     found = [r["private_value"] for r in K.budgeted(rows, "i", 0.3, 0.1).orderBy("i").collect()]
