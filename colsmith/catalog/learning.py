@@ -194,7 +194,11 @@ def _(load):
     return L.top_rules(rules, validated).withColumn("accuracy", r("accuracy"))
 
 
-@query("l14_readable_rules")
+@query("l14_readable_rules", f"""WITH {_VALID}, {_LOG}, o AS (SELECT rule_name, CASE WHEN count(*) < 100 THEN 'testing' WHEN avg(correct::INT) >= 0.8 AND any_value(n >= 20 AND accuracy >= 0.3) THEN 'production' ELSE 'rejected' END AS stage
+  FROM g LEFT JOIN w USING (rule_name) GROUP BY rule_name), m AS (SELECT pattern_type, correct_action AS recommended_action, avg(is_numeric::INT) >= 0.5 AS number, avg(null_pct) AS nulls, avg(unique_ratio) AS ratio
+  FROM r WHERE NOT {_HELD} GROUP BY pattern_type, correct_action)
+SELECT rule_name, 'When ' || CASE WHEN number THEN 'numeric' ELSE 'not numeric' END || ', nulls about ' || printf('%.0f', nulls * 100) || '%, unique ratio about ' || printf('%.2f', ratio) || ', apply ' || recommended_action AS description,
+  support_count, coalesce(stage, 'testing') AS stage FROM u JOIN m USING (pattern_type, recommended_action) LEFT JOIN o USING (rule_name)""")
 def _(load):
     rules, validated = _heldout(load)
     return L.readable_rules(L.rule_status(rules, L.ab_outcomes(_ab_log(load, rules), validated)))

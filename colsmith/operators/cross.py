@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsmith.functions import scalar as S
@@ -18,6 +18,8 @@ KEY_SHARE = 0.995
 STRONG_CORRELATION = 0.7
 STRONG_ASSOCIATION = 0.5
 PAIRS_PER_JOB = 60
+# Values of more characters are counted by digest.
+DIGEST_OVER = 64
 SKETCH_ERROR = 0.02  # relative standard error of distinct-count sketches
 
 
@@ -101,18 +103,25 @@ def correlations(df: DataFrame, table_name: str, floor: float = STRONG_CORRELATI
     return df.sparkSession.createDataFrame(rows, "table_name string, column_name string, other string, correlation double")
 
 
+def _short(value: Column) -> Column:
+    """The value itself, or a digest of a longer one under a mark that a short value cannot have at that length."""
+    return F.when(F.length(value) <= DIGEST_OVER, value).otherwise(F.concat(F.lit("#"), F.sha2(value, 256)))
+
+
 def cramers_v(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Cramér's V of pairs of columns.
 
     The full grid of cells is not needed: the statistic is n * (sum O^2 / (R * C) - 1) over the
     cells that occur. Tables of two by two get the continuity correction, which only needs the
     marginals and the deviation of any one cell. Both marginals are sums of the cell counts,
-    so the data is shuffled once, after a map-side count.
+    so the data is shuffled once, after a map-side count. Values longer than a digest are keyed by their digest.
     """
-    cells = [F.struct(F.lit(i).alias("pair"), F.col(f"`{a}`").cast("string").alias("x"), F.col(f"`{b}`").cast("string").alias("y"))
+    used = list(dict.fromkeys(c for pair in pairs for c in pair))
+    keyed = df.select(*[_short(F.col(f"`{c}`").cast("string")).alias(f"v{i}") for i, c in enumerate(used)])
+    cells = [F.struct(F.lit(i).alias("pair"), F.col(f"v{used.index(a)}").alias("x"), F.col(f"v{used.index(b)}").alias("y"))
              for i, (a, b) in enumerate(pairs)]
     rows = df.count()
-    counted = df.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("pair", "x", "y").agg(
+    counted = keyed.select(F.inline(F.array(*cells))).where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("pair", "x", "y").agg(
         F.count(F.lit(1)).cast("double").alias("o"))
     by_x = counted.groupBy("pair", "x").agg(F.sum("o").alias("r"))
     by_y = counted.groupBy("pair", "y").agg(F.sum("o").alias("c"))
@@ -135,12 +144,27 @@ def cramers_v(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def associations(df: DataFrame, table_name: str, floor: float = STRONG_ASSOCIATION, max_values: int = 50) -> DataFrame:
-    """Strong associations between text columns or columns of few values, each pair once."""
-    rows = P.profile({table_name: df}, {"values"}).where((F.col("unique_count") <= max_values) | F.col("is_string")).select("column_name").collect()
-    pairs = list(combinations([r["column_name"] for r in rows], 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "column_name string, other string, cramers_v double")
-    return cramers_v(df, pairs).where(F.col("cramers_v") >= floor)
+    """Strong associations between text columns or columns of few values, each pair once.
+
+    A text column without nulls whose values are all different has one row a value, so its measure with any column of two or more values
+    is sqrt(present / rows) by the formula and is not counted. The other pairs are counted a bounded number a job; only
+    one row a pair reaches the driver.
+    """
+    rows = P.profile({table_name: df}, {"values"}).where((F.col("unique_count") <= max_values) | F.col("is_string")).select(
+        "column_name", "unique_count", "present", "row_count", "is_string").collect()
+    found, pairs = [], []
+    for a, b in combinations(rows, 2):
+        keyed = [k for k in (a, b) if k["is_string"] and k["row_count"] > 2 and k["unique_count"] == k["row_count"]]
+        other = b if keyed and keyed[0] is a else a
+        if keyed and other["present"] > 2 and other["is_string"]:
+            value = (other["present"] / other["row_count"]) ** 0.5 if other["unique_count"] > 1 else 0.0
+            found.append((a["column_name"], b["column_name"], value))
+        else:
+            pairs.append((a["column_name"], b["column_name"]))
+    for start in range(0, len(pairs), PAIRS_PER_JOB):
+        found += [(r["column_name"], r["other"], r["cramers_v"]) for r in cramers_v(df, pairs[start:start + PAIRS_PER_JOB]).collect()]
+    made = df.sparkSession.createDataFrame(found, "column_name string, other string, cramers_v double")
+    return made.where(F.col("cramers_v") >= floor)
 
 
 def schema_types(profile: DataFrame) -> DataFrame:

@@ -126,6 +126,20 @@ def test_cramers_v_against_the_full_grid(spark):
     assert found["a", "a"] == pytest.approx(1.0)
 
 
+def test_associations_with_keys_and_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    long = ["x" * 100 + str(i) for i in range(4)]
+    rows = [(f"id{i}", long[i % 4], None if i % 5 == 0 else "pq"[i % 2], int(rng.integers(0, 3)), "same", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, long string, gaps string, few int, constant string, nothing string")
+    monkeypatch.setattr(cross, "PAIRS_PER_JOB", 4)
+    found = {(r["column_name"], r["other"]): r["cramers_v"] for r in cross.associations(df, "t", 0.0).collect()}
+    pairs = [(a, b) for i, a in enumerate(df.columns) for b in df.columns[i + 1:]]
+    want = {(r["column_name"], r["other"]): r["cramers_v"] for r in cross.cramers_v(df, pairs).collect()}
+    assert found.keys() == want.keys() and len(found) == 10
+    assert all(found[k] == pytest.approx(want[k]) for k in want)
+    assert found["key", "gaps"] == pytest.approx((48 / 60) ** 0.5) and found["key", "constant"] == 0.0
+
+
 def test_composite_keys_by_brute_force(spark):
     df = spark.createDataFrame([(i // 10, i % 10, i % 3) for i in range(100)], "a int, b int, c int")
     assert [sorted(r["columns"]) for r in cross.composite_keys(df, "t").collect()] == [["a", "b"]]
