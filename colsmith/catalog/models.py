@@ -45,6 +45,13 @@ def _(load):
     return model.score(rows.where("test")).select("doc_id", "model_action", r("model_confidence").alias("model_confidence"))
 
 
+@query("m2_boosted_vote")
+def _(load):
+    rows = _rows(load)
+    model = M.train_boosted(rows.where(~F.col("test")), FEATURES, rounds=8, shapes=((4, 0.2), (2, 0.4)))
+    return model.score(rows.where("test")).select("doc_id", "model_action", r("model_confidence").alias("model_confidence"))
+
+
 @query("m3_batch_scoring")
 def _(load):
     model, rows = _trained(load)

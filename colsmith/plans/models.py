@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -41,12 +41,7 @@ class ActionModel:
         """Adds ``model_action``, ``model_confidence`` and the map ``probabilities``."""
         scored = self.linear.transform(self.forest.transform(_clean(df, self.features)))
         mean = F.zip_with(vector_to_array("forest_probability"), vector_to_array("linear_probability"), lambda a, b: (a + b) / 2)
-        names = F.lit(self.labels)
-        best = F.array_max("__mean")
-        place = F.array_position("__mean", best)
-        return scored.withColumn("__mean", mean).withColumns({
-            "model_confidence": best, "model_action": F.element_at(names, place.cast("int")), "probabilities": F.map_from_arrays(names, F.col("__mean")),
-        }).drop("__mean", "vector", *[f"{m}_{c}" for m in ("forest", "linear") for c in ("raw", "probability", "prediction")])
+        return _voted(scored, mean, self.labels).drop("vector", *[f"{m}_{c}" for m in ("forest", "linear") for c in ("raw", "probability", "prediction")])
 
     def importances(self, spark, top: int = 10) -> DataFrame:
         weights = self.forest.stages[-1].featureImportances
@@ -54,6 +49,16 @@ class ActionModel:
         return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def _voted(scored: DataFrame, mean: Column, labels: list[str]) -> DataFrame:
+    """The likeliest label by an array of probabilities; the first one in a tie."""
+    names = F.lit(labels)
+    best = F.array_max("__mean")
+    place = F.array_position("__mean", best)
+    return scored.withColumn("__mean", mean).withColumns({
+        "model_confidence": best, "model_action": F.element_at(names, place.cast("int")), "probabilities": F.map_from_arrays(names, F.col("__mean")),
+    }).drop("__mean")
+
+
 def _clean(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features})
 
@@ -72,6 +77,77 @@ def train(rows: DataFrame, features: list[str], label: str = "label", trees: int
                        PipelineModel([linear.fit(vectors)]))
 
 
+@dataclass
+class BoostedModel:
+    """Soft vote of boosted tree ensembles that differ in depth and step; scores like ``ActionModel``.
+
+    Spark boosts two classes, so a member holds one ensemble for each label against the others; their
+    probabilities are brought to a sum of one before members are averaged.
+    """
+
+    features: list[str]
+    labels: list[str]
+    members: list[list[GBTClassificationModel]]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Adds ``model_action``, ``model_confidence`` and the map ``probabilities``; null and NaN features count as 0."""
+        scored = VectorAssembler(inputCols=self.features, outputCol="__vector").transform(_clean(df, self.features))
+        votes, made = [], []
+        for m, member in enumerate(self.members):
+            chances = []
+            for i, model in enumerate(member):
+                name = f"__boosted_{m}_{i}"
+                outputs = {model.featuresCol: "__vector", model.probabilityCol: name, model.rawPredictionCol: "", model.predictionCol: ""}
+                scored = model.transform(scored, outputs)
+                chances.append(F.get(vector_to_array(name), F.lit(1)))
+                made.append(name)
+            votes.append(_shares(F.array(*chances)) if chances else F.array(F.lit(1.0)))
+        mean = votes[0]
+        for other in votes[1:]:
+            mean = F.zip_with(mean, other, lambda a, b: a + b)
+        mean = F.transform(mean, lambda v: v / len(votes))
+        return _voted(scored, mean, self.labels).drop("__vector", *made)
+
+    def importances(self, spark, top: int = 10) -> DataFrame:
+        """Mean importance of each feature over all ensembles."""
+        models = [m for member in self.members for m in member]
+        total = [sum(float(m.featureImportances[i]) for m in models) / max(1, len(models)) for i in range(len(self.features))]
+        rows = sorted(zip(self.features, total), key=lambda r: (-r[1], r[0]))[:top]
+        return spark.createDataFrame(rows, "feature string, importance double")
+
+
+def _shares(chances: Column) -> Column:
+    total = F.aggregate(chances, F.lit(0.0), lambda t, v: t + v)
+    return F.transform(chances, lambda v: F.when(total > 0, v / total).otherwise(1.0 / F.size(chances)))
+
+
+def train_boosted(rows: DataFrame, features: list[str], label: str = "label", weight: str | None = None, rounds: int = 20,
+                  shapes: tuple[tuple[int, float], ...] = ((5, 0.1), (3, 0.3)), subsample: float = 0.8, seed: int = 42) -> BoostedModel:
+    """One member for each (depth, step) of ``shapes``; ``subsample`` is the share of rows that a tree sees.
+
+    Rows without a label are left out. Each round is a few distributed jobs over the prepared rows, which are kept in memory or on disk; a single label
+    needs no ensemble and no rows an error, as nothing could be predicted.
+    """
+    columns = [*features, label, *([weight] if weight else [])]
+    data = _clean(rows.where(F.col(label).isNotNull()).select(*dict.fromkeys(columns)), features)
+    labels = sorted(r[0] for r in data.select(F.col(label).cast("string")).distinct().collect())
+    if not labels:
+        raise ValueError("no labelled rows to learn from")
+    if len(labels) == 1:
+        return BoostedModel(list(features), labels, [[] for _ in shapes])
+    vectors = VectorAssembler(inputCols=features, outputCol="__vector").transform(data).select(
+        "__vector", F.col(label).cast("string").alias("__name"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__weight")).persist()
+    try:
+        members = []
+        for depth, step in shapes:
+            boosted = GBTClassifier(featuresCol="__vector", labelCol="__own", weightCol="__weight", maxIter=rounds, maxDepth=depth, stepSize=step,
+                                    subsamplingRate=subsample, featureSubsetStrategy="all", seed=seed)
+            members.append([boosted.fit(vectors.withColumn("__own", (F.col("__name") == name).cast("double"))) for name in labels])
+    finally:
+        vectors.unpersist()
+    return BoostedModel(list(features), labels, members)
+
+
 def evaluate(scored: DataFrame, label: str = "label") -> DataFrame:
     """Accuracy, accuracy within the best three, and mean confidence."""
     entries = F.array_sort(F.map_entries("probabilities"), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).otherwise(0))
