@@ -59,12 +59,14 @@ def count_dictionary(df: DataFrame, column: str, limit: int = BROADCAST_ROWS) ->
 
 
 class Counted:
-    """Value counts of several columns from one job; dictionaries are made from them on demand."""
+    """Value counts of several columns from one job, with the target's mean beside each if one is named; dictionaries are made from them on demand."""
 
-    def __init__(self, df: DataFrame, columns: list[str], limit: int = BROADCAST_ROWS):
+    def __init__(self, df: DataFrame, columns: list[str], limit: int = BROADCAST_ROWS, target: str | None = None):
         cells = [F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)]
-        long = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
-        self._counts = checkpoint(long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n")))
+        aim = [F.col(f"`{target}`").alias("aim")] if target else []
+        long = df.select(*aim, F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+        means = [F.avg("aim").alias("mean")] if target else []
+        self._counts = checkpoint(long.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"), *means))
         self._place, self._limit = {c: i for i, c in enumerate(columns)}, limit
         self._facts = {r["k"]: r for r in self._counts.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).collect()}
 
@@ -83,6 +85,13 @@ class Counted:
         table = own.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rows)], "value string, n long, share double, code long")
         return Dictionary(table, size, True)
 
+    def means(self, column: str) -> Dictionary:
+        """Mean target per value."""
+        own, size = self._counts.where(F.col("k") == self._place[column]).select("value", "mean"), self.size(column)
+        if size > self._limit:
+            return Dictionary(own, size, False)
+        return Dictionary(own.sparkSession.createDataFrame(own.collect(), own.schema), size, True)
+
 
 def target_dictionary(df: DataFrame, column: str, target: str, limit: int = BROADCAST_ROWS) -> Dictionary:
     value = F.col(column).cast("string").alias("value")

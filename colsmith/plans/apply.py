@@ -219,8 +219,10 @@ def _learn(df: DataFrame, fitted: Fitted, steps: list[ColumnStep]) -> list[Colum
         if step.action == "target_encode" and fitted.target:
             requests[f"{i}|overall"] = F.avg(fitted.target)
     row = df.agg(*[v.alias(k) for k, v in requests.items()]).first().asDict()
+    aimed = [s.column for s in steps if s.action == "target_encode" and fitted.target]
     wanted = [s.column for s in steps if (s.action in DICTIONARY and not s.parameters.get("order")) or s.action in ("drop_if_constant", "drop_if_all_unique")]
-    counted = encode.Counted(df, list(dict.fromkeys(wanted))) if wanted else None
+    columns = list(dict.fromkeys(wanted + aimed))
+    counted = encode.Counted(df, columns, target=fitted.target if aimed else None) if columns else None
     retry = []
     quantiles: dict[int, tuple[float, ...]] = {}
     for i, step in enumerate(steps):
@@ -291,7 +293,7 @@ def _check(df: DataFrame, fitted: Fitted, step: ColumnStep, counted: encode.Coun
     elif a == "target_encode":
         if not fitted.target:
             raise UnfitForAction("no target column")
-        step.dictionary = encode.target_dictionary(df, c, fitted.target)
+        step.dictionary = counted.means(c)
     elif a in CONDITIONAL_DROP:
         _decide_drop(step, counted)
     elif a in ORDERED and not fitted.order_by:

@@ -174,3 +174,14 @@ def test_target_encoding_out_of_fold(spark):
     df = spark.createDataFrame([(i, f"k{i}", float(i)) for i in range(50)], "i int, k string, target double")
     done = fit(df, {"k": ("target_encode", {"folds": 5, "key": "i"})}, target="target").transform(df)
     assert done.select("k").distinct().count() == 1  # a category that occurs once never sees its own target
+
+
+@pytest.mark.parametrize("limit", [100, 2])
+def test_target_means_of_many_columns_share_a_job(spark, limit):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", None, 3.0), ("b", "x", None), ("c", "y", 5.0), (None, "y", 7.0)], "a string, b string, t double")
+    counted = encode.Counted(df, ["a", "b"], limit, "t")
+    for c in ("a", "b"):
+        found, alone = counted.means(c), encode.target_dictionary(df, c, "t", limit)
+        assert sorted(found.table.collect()) == sorted(alone.table.collect()) and (found.size, found.small) == (alone.size, alone.small)
+    fitted = fit(df, {"a": "target_encode", "b": "target_encode"}, target="t")
+    assert [tuple(r) for r in fitted.transform(df).orderBy("t").select("a", "b").collect()][1:] == [(2.0, 1.0), (2.0, 4.0), (5.0, 6.0), (4.0, 6.0)]
