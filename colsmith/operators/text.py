@@ -59,23 +59,23 @@ class Vocabulary:
 
 def fit_vocabulary(df: DataFrame, column: str, max_features: int = 100,
                    stop_words: tuple[str, ...] = ()) -> Vocabulary:
-    """Top terms by corpus count (ties alphabetical) and their document frequencies.
+    """Top terms by corpus count (ties alphabetical) and their document frequencies, from one pass over the texts.
 
-    Term counts per row are summed before the shuffle; only the vocabulary reaches the driver.
+    Each text yields its words once as they occur and once each, so one aggregation, summed on the map side, gives both
+    counts of a term; only the vocabulary reaches the driver.
     """
-    found = tokens(F.col(column))
+    words = df.select(tokens(F.col(column)).alias("words"))
+    # The empty term stands for the row itself, so that rows are counted in the same pass.
+    both = words.select(F.posexplode(F.array("words", F.concat(F.array(F.lit("")), F.array_distinct("words")))).alias("once", "terms"))
+    terms = both.select("once", F.explode("terms").alias("term"))
     if stop_words:
-        found = F.filter(found, lambda t: ~t.isin(*stop_words))
-    uses = df.select(F.explode(found).alias("term")).groupBy("term").count()
-    terms = sorted(r["term"] for r in uses.orderBy(F.desc("count"), "term").limit(max_features).collect())
-    if not terms:
-        return Vocabulary([], [])
-    # An empty term stands for the row itself, so that rows are counted in the same pass.
-    present = F.concat(F.array(F.lit("")), F.array_intersect(found, F.lit(terms)))
-    found = {r["term"]: r["count"] for r in df.select(F.explode(present).alias("term")).groupBy("term").count().collect()}
-    rows = found[""]
-    idf = [math.log((1 + rows) / (1 + found[t])) + 1 for t in terms]
-    return Vocabulary(terms, idf)
+        terms = terms.where(~F.col("term").isin(*stop_words))
+    counted = terms.groupBy("term").agg(F.count_if(F.col("once") == 0).alias("uses"), F.count_if(F.col("once") == 1).alias("rows"))
+    found = counted.orderBy(F.col("term") != "", F.desc("uses"), "term").limit(max_features + 1).collect()
+    rows = {r["term"]: r["rows"] for r in found}
+    total = rows.pop("", 0)
+    names = sorted(rows)
+    return Vocabulary(names, [math.log((1 + total) / (1 + rows[t])) + 1 for t in names])
 
 
 def with_tfidf(df: DataFrame, column: str, vocabulary: Vocabulary, out: str) -> DataFrame:
