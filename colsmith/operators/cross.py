@@ -21,6 +21,10 @@ PAIRS_PER_JOB = 60
 # Values of more characters are counted by digest.
 DIGEST_OVER = 64
 SKETCH_ERROR = 0.02  # relative standard error of distinct-count sketches
+# Distinct values of a child column that stand for all of them in the screen of references, as expected, and what
+# their overlap may fall short of the true one: by Hoeffding's bound the chance of more is below 1e-12.
+SCREEN_VALUES = 4096
+SCREEN_MARGIN = 0.06
 
 
 def primary_keys(profile: DataFrame) -> DataFrame:
@@ -184,11 +188,58 @@ def schema_types(profile: DataFrame) -> DataFrame:
         "table_name", F.col("s.t").alias("schema_type"), F.col("s.c").alias("confidence"), "temporal_columns", "id_columns", "numeric_ratio")
 
 
+def _long(tables: dict[str, DataFrame], number: dict[tuple[str, str], int], value) -> DataFrame | None:
+    """(k, v) rows of the numbered columns of all tables without nulls; each table is read once."""
+    found = None
+    for table, df in tables.items():
+        cells = [F.struct(F.lit(i).alias("k"), value(F.col(f"`{c}`")).alias("v")) for (t, c), i in number.items() if t == table]
+        if cells:
+            part = df.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
+def possible_references(tables: dict[str, DataFrame], pairs: list[tuple], distinct: dict[tuple[str, str], int], floor: float) -> set[tuple]:
+    """Pairs of (child, parent) columns, each a (table, column), whose overlap may exceed ``floor``.
+
+    A child is judged by those of its distinct values whose hash is below a bound, set by its distinct count so that about
+    ``SCREEN_VALUES`` remain, or all when it has no more. They are broadcast, a bounded number of pairs a job, to the scans of
+    the parents, which send on nothing but hits. A child of few values is refuted for certain, one of many by a margin.
+    """
+    if not pairs:
+        return set()
+    spark = next(iter(tables.values())).sparkSession
+    number = {c: i for i, c in enumerate(dict.fromkeys(c for pair in pairs for c in pair))}
+    children = {c: number[c] for c in dict.fromkeys(c for c, _ in pairs)}
+    share = {c: min(1.0, SCREEN_VALUES / max(1, distinct[c])) for c in children}
+    bounds = F.create_map(*[F.lit(x) for c, i in children.items() for x in (i, share[c])])
+    digest = lambda c: F.when(c.isNotNull(), F.xxhash64(c.cast("string")))
+    place = F.col("v").cast("double") / 2.0 ** 64 + 0.5  # of the hash among all hashes, from 0 to 1
+    sample = checkpoint(_long(tables, children, digest).where(place <= F.element_at(bounds, F.col("k"))).distinct().withColumnRenamed("k", "child"))
+    sizes = {r["child"]: r["count"] for r in sample.groupBy("child").count().collect()}
+    kept = set()
+    for start in range(0, len(pairs), PAIRS_PER_JOB):
+        group = pairs[start:start + PAIRS_PER_JOB]
+        wanted = spark.createDataFrame([(number[c], number[p]) for c, p in group], "child int, k int")
+        probes = sample.join(F.broadcast(wanted), "child")
+        parents = _long(tables, {p: number[p] for _, p in group}, digest)
+        hits = parents.join(F.broadcast(probes), ["k", "v"]).select("child", "k", "v").distinct().groupBy("child", "k").count()
+        met = {(r["child"], r["k"]): r["count"] for r in hits.collect()}
+        for c, p in group:
+            size = sizes.get(number[c], 0)
+            margin = SCREEN_MARGIN if share[c] < 1 else 0.0
+            # Fewer values than half of those expected say nothing; the exact count decides.
+            if (share[c] < 1 and size < SCREEN_VALUES / 2) or size and met.get((number[c], number[p]), 0) / size > floor - margin:
+                kept.add((c, p))
+    return kept
+
+
 def foreign_keys(tables: dict[str, DataFrame], floor: float = 0.8, by_name: bool = True) -> DataFrame:
     """Columns whose distinct values mostly occur in a key column of the same or another table.
 
-    Name stems must contain each other unless ``by_name`` is off. All pairs are compared in one job: the distinct values of the
-    columns in question meet by value, and each pair counts what they share. A reference needs an overlap above ``floor``.
+    Name stems must contain each other unless ``by_name`` is off. Pairs that a screen refutes move no values. The others are
+    compared in one job: the distinct values of their columns meet by value, and each pair counts what they share. A
+    reference needs an overlap above ``floor``.
     """
     spark = next(iter(tables.values())).sparkSession
     rows = P.profile(tables, {"values"}).select("table_name", "column_name", "unique_ratio", "null_count", "unique_count").collect()
@@ -216,16 +267,12 @@ def foreign_keys(tables: dict[str, DataFrame], floor: float = 0.8, by_name: bool
                 continue
             asked.append((child, parent))
     out = []
+    of = lambda r: (r["table_name"], r["column_name"])
+    possible = possible_references(tables, [(of(c), of(p)) for c, p in asked], {of(r): r["unique_count"] for r in rows}, floor)
+    asked = [(c, p) for c, p in asked if (of(c), of(p)) in possible]
     if asked:
-        of = lambda r: (r["table_name"], r["column_name"])
         number = {c: i for i, c in enumerate(dict.fromkeys(of(r) for pair in asked for r in pair))}
-        values = None
-        for table, df in tables.items():
-            cells = [F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for (t, c), i in number.items() if t == table]
-            if cells:
-                part = df.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
-                values = part if values is None else values.unionByName(part)
-        values = checkpoint(values.distinct())
+        values = checkpoint(_long(tables, number, lambda c: c.cast("string")).distinct())
         wanted = spark.createDataFrame([(number[of(c)], number[of(p)]) for c, p in asked], "child int, parent int")
         left = values.withColumnRenamed("k", "child").join(F.broadcast(wanted), "child")
         met = left.join(values.withColumnRenamed("k", "parent"), ["parent", "v"]).groupBy("child", "parent").count().collect()

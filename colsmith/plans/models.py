@@ -55,10 +55,21 @@ def _voted(scored: DataFrame, mean: Column, labels: list[str]) -> DataFrame:
     best = F.array_max("__mean")
     place = F.array_position("__mean", best)
     return scored.withColumn("__mean", mean).withColumns({
-        "model_confidence": best, "model_action": F.element_at(names, place.cast("int")), "probabilities": F.map_from_arrays(names, F.col("__mean")),
+        "model_confidence": best, "model_action": F.when(best.isNotNull(), F.element_at(names, place.cast("int"))), "probabilities": F.map_from_arrays(names, F.col("__mean")),
     }).drop("__mean")
 
 
+def soft_vote(df: DataFrame, scores: list[str], labels: list[str]) -> DataFrame:
+    """The vote of any models whose probabilities stand in array columns, in the order of ``labels``.
+
+    Adds the columns that ``ActionModel.score`` adds; a row where one of the arrays is null gets nulls.
+    """
+    mean = F.col(scores[0])
+    for other in scores[1:]:
+        mean = F.zip_with(mean, other, lambda a, b: a + b)
+    return _voted(df, F.transform(mean, lambda v: v / len(scores)), labels)
+
+
 def _clean(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features})
 
