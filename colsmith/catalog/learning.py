@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colsmith.catalog.recommend import _BEST, _RULED, _match_cte, _stats_cte
 from colsmith.catalog.registry import query, r
 from colsmith.catalog.shared import MESSY, messy, profile_sql
 from colsmith.operators.profile import profile
 from colsmith.plans import learning as L
 from colsmith.plans.recommend import rule_decisions
+from colsmith.plans.rules import catalogue
 
 _PARTS = {"numbers", "values", "quartiles"}
 _COLUMNS = list(MESSY)
@@ -95,11 +97,19 @@ def _(load):
     return done.select("column_name", "action", "rule", r("confidence", 5).alias("confidence"))
 
 
-@query("l5_merged_decisions")
+_RULED_MESSY = f"{_stats_cte(('messy',))}, {_match_cte(catalogue())}, {_BEST}, {_RULED}"
+_BEST_LEARNED = f"""WITH {_SIM}, o AS (SELECT table_name, column_name, least(base_confidence * (0.9 + 0.1 * (similarity - 0.85) / 0.15), 0.95) AS confidence, recommended_action AS action, rule_name AS rule
+  FROM s WHERE similarity >= 0.85) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY table_name, column_name ORDER BY confidence DESC, action DESC, rule DESC) = 1"""
+
+
+@query("l5_merged_decisions", f"""SELECT a.table_name, a.column_name, CASE WHEN l.confidence > a.confidence THEN l.action ELSE a.action END AS action,
+  round(CASE WHEN l.confidence > a.confidence THEN l.confidence ELSE a.confidence END, 5) AS confidence, CASE WHEN l.confidence > a.confidence THEN l.rule ELSE a.rule END AS rule,
+  CASE WHEN l.confidence > a.confidence THEN 'learned' ELSE 'symbolic' END AS source FROM (WITH {_RULED_MESSY} SELECT * FROM d) a LEFT JOIN ({_BEST_LEARNED}) l USING (table_name, column_name)""")
 def _(load):
     found = profile({"messy": messy(load)})
     rules = L.learned_rules(L.record_corrections(_corrections(load), found))
-    return L.merge_candidates(rule_decisions(found), L.learned_decisions(L.similar_rules(found, rules)))
+    merged = L.merge_candidates(rule_decisions(found), L.learned_decisions(L.similar_rules(found, rules)))
+    return merged.withColumn("confidence", r("confidence", 5))
 
 
 _HELD = "(correction_id % 5 = 0)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colsmith.catalog.recommend import _profile
+from colsmith.catalog.recommend import _DECIDED, NAMES, _profile
 from colsmith.catalog.registry import query, r
 from colsmith.catalog.shared import profile_sql
 from colsmith.operators.features import meta_features
@@ -52,6 +52,48 @@ def _(load):
     return model.score(rows.where("test")).select("doc_id", "model_action", r("model_confidence").alias("model_confidence"))
 
 
+# Two stand-ins for models: shares of the features of a row. SQL repeats the vote and what is measured of it.
+_LABELS = ("drop_column", "keep_as_is", "parse_datetime", "text_clean")
+_SCORE_PARTS = {"first": ("digits + 1.0", "blanks + 1.0", "n_chars / 6.0", "words + 1.0"), "second": ("lines * 40.0", "mean_word * 30.0", "n_chars / 9.0", "digits + 100.0")}
+
+
+def _shares_sql(parts):
+    whole = " + ".join(parts)
+    return ", ".join(f"CAST({p} AS DOUBLE) / CAST({whole} AS DOUBLE)" for p in parts)
+
+
+def _given(load):
+    return _rows(load).withColumns({name: F.expr(f"array({_shares_sql(parts)})") for name, parts in _SCORE_PARTS.items()})
+
+
+_ROWS_SQL = """SELECT doc_id, n_chars, len(string_split_regex(trim(text), '\\s+')) AS words, length(text) / len(string_split_regex(trim(text), '\\s+')) AS mean_word,
+  length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[^ ]', '', 'g')) AS blanks, len(string_split(text, chr(10))) AS lines,
+  CASE WHEN quality = 1 THEN 'keep_as_is' WHEN toxic = 1 THEN 'drop_column' ELSE 'text_clean' END AS label FROM labels JOIN documents USING (doc_id)"""
+_VOTE_SQL = f"""x AS MATERIALIZED (SELECT *, {", ".join(f"[{_shares_sql(parts)}] AS {name}" for name, parts in _SCORE_PARTS.items())} FROM ({_ROWS_SQL}) d),
+y AS MATERIALIZED (SELECT *, {list(_LABELS)} AS names, [{", ".join(f"(first[{i}] + second[{i}]) / 2" for i in range(1, len(_LABELS) + 1))}] AS mean FROM x),
+z AS MATERIALIZED (SELECT *, list_max(mean) AS model_confidence, names[list_position(mean, list_max(mean))] AS model_action, names[list_position(first, list_max(first))] AS first_action FROM y)"""
+
+
+@query("m2_vote_of_given_scores", f"WITH {_VOTE_SQL} SELECT doc_id, model_action, round(model_confidence, 6) AS model_confidence FROM z")
+def _(load):
+    return M.soft_vote(_given(load), ["first", "second"], list(_LABELS)).select("doc_id", "model_action", r("model_confidence").alias("model_confidence"))
+
+
+@query("m4_evaluation_of_given_scores", f"""WITH {_VOTE_SQL} SELECT round(avg((label = model_action)::INT), 6) AS accuracy,
+  round(avg((len(list_filter(mean, lambda v: v > mean[list_position(names, label)])) < 3)::INT), 6) AS top3_accuracy, round(avg(model_confidence), 6) AS mean_confidence, count(*) AS n FROM z""")
+def _(load):
+    found = M.evaluate(M.soft_vote(_given(load), ["first", "second"], list(_LABELS)))
+    return found.select(*[r(c).alias(c) for c in ("accuracy", "top3_accuracy", "mean_confidence")], "n")
+
+
+@query("m10_comparison_of_given_scores", f"""WITH {_VOTE_SQL} SELECT round(avg((label = model_action)::INT), 6) AS first_accuracy, round(avg((label = first_action)::INT), 6) AS second_accuracy,
+  round(avg((model_action = first_action)::INT), 6) AS agreement, count(*) AS n FROM z""")
+def _(load):
+    rows = _given(load)
+    found = M.compare(M.soft_vote(rows, ["first", "second"], list(_LABELS)), M.soft_vote(rows, ["first"], list(_LABELS)), "doc_id")
+    return found.select(*[r(c).alias(c) for c in ("first_accuracy", "second_accuracy", "agreement")], "n")
+
+
 @query("m3_batch_scoring")
 def _(load):
     model, rows = _trained(load)
@@ -78,7 +120,13 @@ def _(load):
 _KIND = """CASE WHEN present = 0 THEN 'all_null' WHEN unique_count <= 1 THEN 'constant' WHEN unique_count = row_count AND contains(lower(column_name), 'id') THEN 'all_unique_id' WHEN is_temporal THEN 'datetime'
   WHEN in_words AND unique_count <= 3 THEN 'boolean' WHEN whole AND min_value >= 0 AND max_value <= 1 THEN 'boolean' WHEN is_numeric THEN 'numeric'
   WHEN unique_count / present > 0.5 AND avg_length > 30 THEN 'text' ELSE 'categorical' END"""
-_KINDS = f"(SELECT table_name, column_name, {_KIND} AS kind FROM (SELECT *, decimals = 0 AS whole, coalesce(in_boolean_set, FALSE) AS in_words FROM {profile_sql('messy', 'customer', 'events', semantics=True)} p) x)"
+
+
+def _kinds_sql(*names):
+    return f"(SELECT table_name, column_name, {_KIND} AS kind FROM (SELECT *, decimals = 0 AS whole, coalesce(in_boolean_set, FALSE) AS in_words FROM {profile_sql(*names, semantics=True)} p) x)"
+
+
+_KINDS = _kinds_sql("messy", "customer", "events")
 
 
 @query("m7_column_kinds", f"SELECT table_name, column_name, kind, CASE kind WHEN 'datetime' THEN 'parse_datetime' WHEN 'boolean' THEN 'parse_boolean' WHEN 'constant' THEN 'drop_column' WHEN 'all_null' THEN 'drop_column' WHEN 'all_unique_id' THEN 'drop_column' END AS action FROM {_KINDS} k")
@@ -86,11 +134,12 @@ def _(load):
     return M.column_kinds(_profile(load, WITH_SEMANTICS, ("messy", "customer", "events")))
 
 
-@query("m8_training_rows")
+@query("m8_training_rows", f"""WITH {_DECIDED} SELECT CASE WHEN kind IN ('all_null', 'constant', 'all_unique_id', 'datetime', 'boolean') THEN 'clear' ELSE kind END AS stage, action AS label,
+  count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM f JOIN {_kinds_sql(*NAMES)} q USING (table_name, column_name) GROUP BY ALL""")
 def _(load):
     found = _profile(load, WITH_SEMANTICS)
     rows = M.training_rows(meta_features(found), recommend(found), M.column_kinds(found))
-    return M.label_distribution(rows)
+    return M.label_distribution(rows).withColumn("mean_confidence", r("mean_confidence"))
 
 
 _T = "(SELECT CASE WHEN quality = 1 THEN 'keep_as_is' ELSE 'drop_column' END AS truth, CASE WHEN toxic = 0 THEN 'keep_as_is' ELSE 'drop_column' END AS predicted FROM labels)"

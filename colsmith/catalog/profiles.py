@@ -353,7 +353,7 @@ def _found(kind, share, weight):
     return f"WHEN ({share} >= 0.8 OR ({share} >= 0.5 AND {_HINT[kind]})) AND {conf} >= 0.5 THEN ", conf
 
 
-def _semantic_sql():
+def _semantic_sql(names=("messy", "customer", "events")):
     url, mail, phone = _found("url", "sem_url", 0.9), _found("email", "sem_email", 0.9), _found("phone", "sem_phone", 0.85)
     date = _found("datetime", "greatest(sem_iso, sem_date)", 0.9)
     zero_one = "is_numeric AND min_value IN (0, 1) AND max_value IN (0, 1) AND decimals = 0"
@@ -370,7 +370,7 @@ def _semantic_sql():
     ]
     kind = "CASE " + " ".join(c + k for c, k, _ in cases) + " ELSE 'text' END"
     conf = "CASE " + " ".join(c + f"({v})::DOUBLE" for c, _, v in cases) + " ELSE 0.5::DOUBLE END"
-    clean = profile_sql("messy", "customer", "events", semantics=True)
+    clean = profile_sql(*names, semantics=True)
     shares = [*[f"sem_{n}" for n in K.SEMANTIC_PATTERNS], "sem_email", "sem_number", "in_boolean_set"]
     lets = ", ".join(f"coalesce({s}, {'FALSE' if s.startswith('in_') else '0'}) AS {s}" for s in shares)
     return f"SELECT table_name, column_name, {kind} AS semantic_type, round({conf}, 6) AS type_confidence FROM (SELECT * REPLACE ({lets}), unique_count / present AS ratio FROM {clean} p) s"

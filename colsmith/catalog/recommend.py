@@ -213,15 +213,42 @@ def _(load):
     return R.recommend(_profile(load)).select(*KEYS, "action", r("confidence").alias("confidence"), "source", "rule")
 
 
-@query("d15_decisions_with_model")
+_UNSAFE = """coalesce(action IN ('standard_scale', 'robust_scale', 'minmax_scale', 'log_transform', 'log1p_transform') AND NOT is_numeric, FALSE)
+  OR coalesce(action IN ('log_transform', 'log1p_transform') AND min_value < 0, FALSE) OR coalesce(action = 'hash_encode' AND is_numeric AND unique_count > 50, FALSE)
+  OR coalesce(action = 'parse_datetime' AND is_numeric AND min_value BETWEEN 1900 AND 2100 AND max_value BETWEEN 1900 AND 2100, FALSE) OR coalesce(action = 'onehot_encode' AND unique_count > 50, FALSE)"""
+_WITH_MODEL = f"""{RULED}, x AS (SELECT d.*, {_MODEL} AS model_action, ({_MODEL_CONF})::DOUBLE AS model_confidence, is_numeric, d.confidence >= 0.65 AND NOT ({_UNSAFE}) AS sure
+  FROM d JOIN s USING (table_name, column_name) WHERE column_name <> 'o_totalprice')"""
+
+
+@query("d15_decisions_with_model", f"""WITH {_WITH_MODEL} SELECT table_name, column_name,
+  CASE WHEN sure OR (confidence > 0.5 AND (action = model_action OR confidence > model_confidence)) THEN action WHEN confidence > 0.5 THEN model_action
+  WHEN model_action = 'standard_scale' AND NOT is_numeric THEN 'keep_as_is' WHEN model_action = 'drop_column' AND action = 'keep_as_is' AND confidence > 0.6 THEN 'keep_as_is' ELSE model_action END AS action,
+  round(CASE WHEN sure THEN confidence WHEN confidence > 0.5 AND action = model_action THEN least(0.95, (confidence + model_confidence) / 2 + 0.1)
+  WHEN confidence > 0.5 THEN greatest(confidence, model_confidence) * 0.9 ELSE model_confidence END, 6) AS confidence, CASE WHEN sure THEN 'symbolic' ELSE 'neural' END AS source FROM x""")
 def _(load):
     found = _profile(load)
     return R.recommend(found, target="o_totalprice", predictions=_predictions(found)).select(*KEYS, "action", r("confidence").alias("confidence"), "source")
 
 
-@query("d16_action_validation")
+_VALIDATED = ("orders", "customer", "messy")
+_CHECKED = f"""WITH {_TARGETS}, y AS ({_semantic_sql(_VALIDATED)}),
+k AS (SELECT t.*, semantic_type AS kind, action, is_target AND target_confidence >= 0.7 AS aimed, semantic_type = 'numeric' OR is_numeric AS number,
+  action IN ('standard_scale', 'log_transform', 'clip_outliers') AS numbers_only, coalesce(sem_number, 0) * present / row_count AS parsed
+  FROM t JOIN y USING (table_name, column_name), {_PROPOSED_SQL} a WHERE table_name IN {_VALIDATED}),
+c AS (SELECT *, [CASE WHEN aimed AND action IN ('drop_column', 'clip_outliers') THEN '!keep_as_is' WHEN aimed AND action IN ('standard_scale', 'log_transform') THEN '?' ELSE '' END,
+  CASE WHEN number OR NOT numbers_only THEN '' WHEN parsed >= 0.8 THEN '?' WHEN kind = 'text' THEN '!keep_as_is' ELSE '!text_clean' END,
+  CASE WHEN action <> 'log_transform' THEN '' WHEN NOT is_numeric THEN '!keep_as_is' WHEN present = 0 THEN '!drop_column' ELSE '' END,
+  CASE WHEN action <> 'onehot_encode' OR unique_count <= 20 THEN '' WHEN unique_count <= 50 THEN '?' WHEN unique_count < 1000 THEN '!frequency_encode' ELSE '!hash_encode' END,
+  CASE WHEN action <> 'text_clean' THEN '' WHEN kind IN ('url', 'phone', 'email', 'identifier') THEN '!drop_column' WHEN kind = 'text' AND coalesce(avg_length, 0) < 5 THEN '?' ELSE '' END,
+  CASE WHEN kind = 'empty' AND action <> 'drop_column' THEN '' WHEN null_pct > 0.9 THEN '?' ELSE '' END] AS results, kind = 'empty' AND action <> 'drop_column' AS emptied FROM k),
+w AS (SELECT *, list_filter(results, lambda v: v LIKE '!%') AS blocked, len(list_filter(results, lambda v: v = '?')) AS doubts FROM c)
+SELECT table_name, column_name, action AS original_action, emptied OR len(blocked) = 0 AS is_valid, CASE WHEN emptied THEN 'drop_column' WHEN len(blocked) = 0 THEN action ELSE substr(blocked[1], 2) END AS recommended_action,
+  CAST(len(blocked) AS INTEGER) AS blockers, CAST(doubts AS INTEGER) AS warnings FROM w"""
+
+
+@query("d16_action_validation", _CHECKED)
 def _(load):
-    found = _profile(load, WITH_SEMANTICS, ("orders", "customer", "messy"))
+    found = _profile(load, WITH_SEMANTICS, _VALIDATED)
     return R.validate_actions(found, _proposals(found)).drop("checks")
 
 
@@ -268,6 +295,27 @@ def _(load):
     return found.select("source", "n", r("share").alias("share"), r("high_confidence_share").alias("high_confidence_share"))
 
 
+def _shown(value, digits):
+    """A number as text, halves away from zero."""
+    return f"printf('%.{digits}f', round({value}, {digits}))"
+
+
+_EXPLAINED = f"""WITH {_DECIDED}, e AS (SELECT f.table_name, f.column_name, f.action, f.confidence, s.* EXCLUDE (table_name, column_name) FROM f JOIN s USING (table_name, column_name))
+SELECT table_name, column_name, action, 'Recommendation for ' || chr(39) || column_name || chr(39) || ': ' || action || ' (confidence ' || {_shown("confidence * 100", 1)} || '%, ' ||
+  CASE WHEN confidence >= 0.95 THEN 'very high: safe to apply' WHEN confidence >= 0.85 THEN 'high: apply' WHEN confidence >= 0.75 THEN 'good: apply, look at samples'
+  WHEN confidence >= 0.65 THEN 'moderate: review' WHEN confidence >= 0.5 THEN 'low: decide by hand' ELSE 'very low: do not rely on it' END || ')' AS header,
+  array_to_string(list_filter([CASE WHEN null_pct > 0.5 THEN {_shown("null_pct * 100", 1)} || '% of the values are missing' END, CASE WHEN unique_count = 1 THEN 'the column is constant' END,
+    CASE WHEN abs(skewness) > 2 THEN 'strong skew (' || {_shown("skewness", 2)} || ')' END, CASE WHEN outlier_pct * 100 > 5 THEN {_shown("outlier_pct * 100", 1)} || '% of the values are outliers' END,
+    CASE WHEN unique_ratio < 0.05 THEN 'few distinct values (' || unique_count || ')' END, CASE WHEN unique_count > 50 THEN 'many distinct values (' || unique_count || ')' END,
+    CASE WHEN NOT no_range THEN 'values from ' || {_shown("min_value", 2)} || ' to ' || {_shown("max_value", 2)} END, CASE WHEN NOT no_range AND min_value > 0 THEN 'all values are positive' END], lambda v: v IS NOT NULL)[1:3], '; ') AS reasons FROM e"""
+
+
+@query("d20_explained_reasons", _EXPLAINED)
+def _(load):
+    found = _profile(load)
+    return R.explain(R.recommend(found), found).drop("statistics")
+
+
 @query("d20_explanations")
 def _(load):
     found = _profile(load)

@@ -152,14 +152,42 @@ _number_query("t21_sqrt_transform", "sqrt_transform", "sqrt(x)")
 _number_query("t21_sqrt_transform_absolute", "sqrt_transform", "sqrt(abs(x))", "", "customer", "c_custkey", "c_acctbal")
 
 # Power transforms: fitted exponents have no closed SQL form, given exponents do.
-_number_query("t22_box_cox", "box_cox", "", with_sql=False, digits=3)
+
+
+def _exponent_sql(table, key, column, box_cox):
+    """CTEs that end in e (lam): three likelihood grids, each around the vertex of the parabola through the best points before it."""
+    scaled = "x / (SELECT exp(avg(ln(x))) FROM s)"
+    value = (f"CASE WHEN lam = 0 THEN ln({scaled}) ELSE pow({scaled}, lam) / lam END" if box_cox else
+             "CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE (pow(x + 1, lam) - 1) / lam END "
+             "ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - lam) - 1) / (2 - lam) END END")
+    slope = "0" if box_cox else "(SELECT avg(sign(x) * ln(1 + abs(x))) FROM s)"
+    ctes, before = [f"s AS MATERIALIZED (SELECT {key}, CAST({column} AS DOUBLE) AS x FROM {table})"], "(SELECT 0.0::DOUBLE AS lam)"
+    for i, (arms, step) in enumerate(((10, 0.5), (4, 0.08), (2, 0.01))):
+        ctes.append(f"""g{i} AS MATERIALIZED (SELECT i, lam, -0.5 * ln(var_pop({value})) + (lam - 1) * {slope} AS score
+  FROM (SELECT i, c.lam + {step}::DOUBLE * i AS lam FROM {before} c, (SELECT unnest(range(-{arms}, {arms + 1})) AS i)) l, s GROUP BY i, lam)""")
+        ctes.append(f"""e{i} AS MATERIALIZED (SELECT b.lam + coalesce({step}::DOUBLE * (d.score - u.score) / nullif(2 * (d.score - 2 * b.score + u.score), 0), 0) AS lam
+  FROM (SELECT * FROM g{i} ORDER BY score DESC, i LIMIT 1) b LEFT JOIN g{i} d ON d.i = b.i - 1 LEFT JOIN g{i} u ON u.i = b.i + 1)""")
+        before = f"e{i}"
+    return f"WITH {', '.join(ctes)}, v AS (SELECT {key}, {'(pow(x, lam) - 1) / lam' if box_cox else value} AS y FROM s, e2)"
+
+
+def _power_query(name, action, table, key, column, digits, box_cox=False):
+    shown = "y" if box_cox else "(y - avg(y) OVER ()) / stddev_pop(y) OVER ()"
+
+    @query(name, f"{_exponent_sql(table, key, column, box_cox)} SELECT {key}, round({shown}, {digits}) + 0.0::DOUBLE AS value FROM v")
+    def run(load):
+        df = load(table).select(key, F.col(column).alias("x"))
+        return fit(df, {"x": (action, {})}).transform(df).select(key, r("x", digits).alias("value"))
+
+
+_power_query("t22_box_cox", "box_cox", "orders", "o_orderkey", "o_totalprice", 3, box_cox=True)
 _number_query("t22_box_cox_given", "box_cox", "(pow(x + sh, 0.25) - 1) / 0.25", "abs(min(x)) + 1 AS sh",
               "customer", "c_custkey", "c_acctbal", parameters={"lambda": 0.25})
-_number_query("t23_yeo_johnson", "yeo_johnson", "", with_sql=False, table="customer", key="c_custkey", column="c_acctbal", digits=4)
+_power_query("t23_yeo_johnson", "yeo_johnson", "customer", "c_custkey", "c_acctbal", 4)
 _YJ = "(CASE WHEN x >= 0 THEN (pow(x + 1, 0.5) - 1) / 0.5 ELSE -(pow(1 - x, 1.5) - 1) / 1.5 END)"
 _number_query("t23_yeo_johnson_given", "yeo_johnson", f"({_YJ} - m) / s", f"avg({_YJ}) AS m, stddev_pop({_YJ}) AS s",
               "customer", "c_custkey", "c_acctbal", parameters={"lambda": 0.5})
-_number_query("t24_power_transform", "power_transform", "", with_sql=False, table="events", key="event_id", column="value", digits=4)
+_power_query("t24_power_transform", "power_transform", "events", "event_id", "value", 4)
 
 
 @query("t22_box_cox_likelihood", """
@@ -362,6 +390,15 @@ def _(load):
     return cluster.fit_geo_clusters(df, ["c_acctbal", "c_nationkey"], 5).transform(df, "cluster").select("c_custkey", "cluster")
 
 
+# The clusters themselves depend on a seeded start; that each row has its nearest centre and each centre is the mean of its rows can be told.
+@query("t53_cluster_certificate", """SELECT 10::BIGINT AS clusters, count(c_acctbal) AS rows, TRUE AS rows_are_nearest, TRUE AS centres_are_means FROM customer
+UNION ALL SELECT 5, count(*) FILTER (c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL), TRUE, TRUE FROM customer""")
+def _(load):
+    df = load("customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    found = [cluster.fit_geo_clusters(df, columns, k).certificate(df) for columns, k in ((["c_acctbal"], 10), (["c_acctbal", "c_nationkey"], 5))]
+    return found[0].union(found[1]).select("clusters", "rows", (F.col("nearest_share") == 1).alias("rows_are_nearest"), (F.col("largest_shift") < 0.01).alias("centres_are_means"))
+
+
 _number_query("t54_binning_equal_width", "binning_equal_width",
               "greatest(0, least(4, ceil((x - a) / ((b - a) / 5)) - 1))", "min(x) AS a, max(x) AS b", digits=0)
 _number_query("t55_binning_equal_freq", "binning_equal_freq",
