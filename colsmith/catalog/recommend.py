@@ -69,6 +69,56 @@ def _(load):
     return found.select(*KEYS, F.explode("matches").alias("m")).select(*KEYS, "m.rule", "m.action", r("m.confidence").alias("confidence"))
 
 
+# Definitions of the rules of three families over profile columns, written apart from the catalogue (fixed values): name, action, confidence, condition.
+_SPELLED_OUT = (
+    ("DROP_IF_MOSTLY_NULL", "drop_column", "CASE WHEN null_pct >= 0.95 THEN 0.95 ELSE least(0.75, null_pct * 0.875) END", "null_pct > 0.8 OR present = 0"),
+    ("DROP_IF_CONSTANT", "drop_column", "0.75", "unique_count = 1 AND null_pct < 0.5"),
+    ("DROP_IF_ALL_UNIQUE", "drop_column", "0.65", "NOT is_numeric AND row_count > 1000 AND unique_ratio > 0.995 AND avg_length > 20"),
+    ("REMOVE_DUPLICATES", "remove_duplicates", "least(0.85, 0.6 + (row_count - unique_count) / row_count / 4)",
+     "NOT is_categorical AND row_count > 100 AND unique_ratio < 0.1 AND (row_count - unique_count) / row_count > 0.7"),
+    ("CONSERVATIVE_FALLBACK", "keep_as_is", "0.5", "null_pct < 0.3 AND unique_count > 1 AND unique_ratio < 0.99"),
+    ("KEEP_IF_PRIMARY_KEY", "keep_as_is", "0.95", "unique_ratio > 0.95 AND unique_count > 10 AND null_pct < 0.05"),
+    ("KEEP_IF_ORDINAL_OR_YEAR", "keep_as_is", "0.6", "is_numeric AND null_pct < 0.1 AND (min_value >= 1900 AND max_value <= 2100 AND unique_count <= 200 OR unique_count <= 10 AND max_value <= 10)"),
+    ("KEEP_IF_ALREADY_NORMALIZED", "keep_as_is", "0.92", "is_numeric AND null_pct < 0.05 AND mean BETWEEN -0.5 AND 0.5 AND std BETWEEN 0.8 AND 1.2 AND skew BETWEEN -0.5 AND 0.5"),
+    ("KEEP_IF_GOOD_DISTRIBUTION", "keep_as_is", "0.6", "is_numeric AND null_pct < 0.05 AND abs(skew) < 1 AND outlier_count = 0 AND coalesce(cv, 100) < 2"),
+    ("KEEP_IF_CATEGORICAL_CLEAN", "keep_as_is", "0.85", "is_categorical AND null_pct < 0.05 AND unique_count BETWEEN 2 AND 50 AND unique_ratio < 0.8"),
+    ("KEEP_IF_NO_QUALITY_ISSUES", "keep_as_is", "0.55", "null_pct = 0 AND unique_ratio > 0.05 AND unique_ratio < 0.95 AND coalesce(outlier_count, 0) = 0"),
+    ("FILL_NULL_MEDIAN_NUMERIC", "fill_null_median", "0.85", "is_numeric AND null_pct > 0.05 AND null_pct < 0.3 AND outlier_count > 0"),
+    ("FILL_NULL_MEAN_NUMERIC", "fill_null_mean", "0.9", "is_numeric AND null_pct > 0.05 AND null_pct < 0.3 AND outlier_count = 0 AND abs(skew) < 1"),
+    ("FILL_NULL_MODE_CATEGORICAL", "fill_null_mode", "0.85", "is_categorical AND null_pct > 0.05 AND null_pct < 0.3"),
+    ("FILL_NULL_FORWARD_TIMESERIES", "fill_null_forward", "0.88", "is_temporal AND null_pct < 0.2"),
+    ("DROP_IF_HIGH_NULL_NO_PATTERN", "drop_column", "0.75", "null_pct > 0.4 AND null_pct <= 0.6"),
+    ("KEEP_IF_LOW_NULL_GOOD_QUALITY", "keep_as_is", "0.7", "null_pct < 0.05 AND unique_ratio > 0.1 AND unique_ratio < 0.9"),
+    ("PARSE_DATETIME_ISO", "parse_datetime", "least(0.98, matches_iso_datetime)", "is_string AND matches_iso_datetime > 0.8"),
+    ("PARSE_DATETIME_COMMON", "parse_datetime", "least(0.95, matches_date_pattern)", "is_string AND matches_date_pattern > 0.85"),
+    ("PARSE_BOOLEAN_TF", "parse_boolean", "0.98", "unique_count <= 3 AND matches_boolean_tf > 0.9"),
+    ("PARSE_BOOLEAN_YN", "parse_boolean", "0.98", "unique_count <= 3 AND matches_boolean_yn > 0.9"),
+    ("PARSE_BOOLEAN_01", "parse_boolean", "0.85", "unique_count <= 3 AND matches_boolean_01 > 0.9"),
+    ("PARSE_NUMERIC_STRING", "parse_numeric", "least(0.95, matches_numeric_pattern)", "is_string AND matches_numeric_pattern > 0.9"),
+    ("PARSE_JSON_STRUCTURE", "parse_json", "least(0.92, matches_json)", "is_string AND matches_json > 0.85"),
+    ("PARSE_CATEGORICAL_LOW_CARDINALITY", "parse_categorical", "0.88", "is_string AND unique_count < 50 AND unique_ratio < 0.5"),
+    ("LOG_TRANSFORM_HIGH_SKEW", "log_transform", "least(0.95, 0.6 + skew / 20)", "is_numeric AND skew > 2 AND min_value > 0 AND max_value - min_value > 100"),
+    ("LOG1P_TRANSFORM_WITH_ZEROS", "log1p_transform", "0.92", "is_numeric AND skew > 2 AND min_value >= 0 AND zeros > 0 AND max_value - min_value > 100"),
+    ("BOX_COX_MODERATE_SKEW", "box_cox", "0.88", "is_numeric AND skew > 1.5 AND skew < 2 AND min_value > 0"),
+    ("YEO_JOHNSON_NEGATIVE_VALUES", "yeo_johnson", "0.85", "is_numeric AND abs(skew) > 1.5 AND min_value <= 0"),
+    ("CLIP_OUTLIERS_HIGH_PERCENTAGE", "clip_outliers", "least(0.9, 0.6 + 0.3 * outlier_count / present)", "is_numeric AND outlier_count / present > 0.1"),
+    ("WINSORIZE_MODERATE_OUTLIERS", "winsorize", "0.85", "is_numeric AND outlier_count / present > 0.05 AND outlier_count / present <= 0.1"),
+    ("STANDARD_SCALE_NORMAL", "standard_scale", "0.9", "is_numeric AND abs(skew) < 0.5 AND coalesce(outlier_count / present, 0) < 0.05 AND NOT scaled"),
+    ("ROBUST_SCALE_WITH_OUTLIERS", "robust_scale", "0.92", "is_numeric AND outlier_count / present >= 0.05 AND outlier_count / present < 0.1 AND NOT scaled"),
+    ("MINMAX_SCALE_BOUNDED", "minmax_scale", "0.85", "is_numeric AND min_value >= 0 AND max_value <= 100 AND outlier_count / present < 0.02"),
+    ("QUANTILE_TRANSFORM_BIMODAL", "quantile_transform", "0.8", "is_numeric AND kurtosis < -1"),
+)
+_SPELLED_BASE = f"""a AS MATERIALIZED (SELECT *, coalesce(skewness, 0) AS skew, coalesce(abs(mean) < 0.1 AND std > 0.8 AND std < 1.2, FALSE) AS scaled FROM {profile_sql(*NAMES)} p)"""
+
+
+@query("d4_spelled_out_rules", f"WITH {_SPELLED_BASE} " + " UNION ALL ".join(
+    f"SELECT table_name, column_name, '{n}' AS rule, '{a}' AS action, round(CAST({c} AS DOUBLE), 6) AS confidence FROM a WHERE {w}" for n, a, c, w in _SPELLED_OUT))
+def _(load):
+    rules = [x for x in catalogue() if x.family in ("data_quality", "type_detection", "statistical")]
+    found = R.match_rules(R.rule_statistics(_profile(load)), rules)
+    return found.select(*KEYS, F.explode("matches").alias("m")).select(*KEYS, "m.rule", "m.action", r("m.confidence").alias("confidence"))
+
+
 def _family_query(family):
     rules = [x for x in catalogue() if x.family == family.__name__]
 
