@@ -1,9 +1,10 @@
 """Column profiles: one row of statistics per column of a table.
 
-Three distributed jobs serve all columns: a wide aggregation (moments, patterns), a count per
-distinct value (distinct values, entropy, top value, ordinal scales) and a count outside the
-quartile fences. Only one row per column ever reaches the driver. Wide tables are handled in
-groups of columns so that generated code stays within limits.
+Rows are read once: they become a count per distinct value of each column, which is kept for the
+length of a profile, and everything else (moments, lengths, patterns, quartiles, fences) is
+computed from those counts. Profiles without value counts, and quartiles of columns with more
+distinct values than one task orders, read the rows. Only one row per column ever reaches the
+driver. Wide tables are handled in groups of columns so that generated code stays within limits.
 """
 
 from __future__ import annotations
@@ -192,48 +193,150 @@ def _moment_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None
             raw[f.k].update(dict.fromkeys(_NUMBER_FIELDS))
 
 
-def value_counts(fields: list[Field]) -> DataFrame:
-    """(k, whole, real, word, digest, n): how often each value of column number ``k`` occurs.
-
-    Values keep an exact key of their own type; text longer than 64 characters is keyed by its
-    digest and length so that the shuffle stays small. Counting starts on the map side, which
-    keeps a value held by a third of all rows harmless.
-    """
+def _number_counts(fields: list[Field]) -> DataFrame:
+    """(k, whole, real, n) of columns that are no texts; a row without either counts the nulls."""
     def cell(f: Field) -> Column:
         c = f.column
-        key = {"whole": F.lit(None).cast("bigint"), "real": F.lit(None).cast("double"),
-               "word": F.lit(None).cast("string"), "digest": F.lit(None).cast("string")}
+        whole, real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
         if f.kind == "boolean":
-            key["whole"] = c.cast("int").cast("bigint")
+            whole = c.cast("int").cast("bigint")
         elif f.kind in WHOLE:
-            key["whole"] = c.cast("bigint")
+            whole = c.cast("bigint")
         elif f.is_number:
-            key["real"] = c.cast("double")
+            real = c.cast("double")
         elif f.kind == "date":
-            key["whole"] = F.unix_date(c).cast("bigint")
-        elif S.is_time_type(f.kind):
-            key["whole"] = F.unix_micros(c.cast("timestamp"))
+            whole = F.unix_date(c).cast("bigint")
         else:
-            long = F.length(c) > LONG_TEXT
-            key["word"] = F.when(~long, c)
-            key["digest"] = F.when(long, F.concat_ws("#", F.md5(c), F.length(c).cast("string")))
-        return F.struct(F.lit(f.k).alias("k"), *[v.alias(name) for name, v in key.items()])
+            whole = F.unix_micros(c.cast("timestamp"))
+        return F.struct(F.lit(f.k).alias("k"), whole.alias("whole"), real.alias("real"))
+
+    return stacked(fields, cell).groupBy("k", "whole", "real").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _text_counts(fields: list[Field]) -> DataFrame:
+    """(k, word, digest, n) of text columns; a row without either counts the nulls."""
+    def cell(f: Field) -> Column:
+        c = f.column
+        long = F.length(c) > LONG_TEXT
+        digest = F.when(long, F.concat_ws("#", F.md5(c), F.length(c).cast("string")))
+        return F.struct(F.lit(f.k).alias("k"), F.when(~long, c).alias("word"), digest.alias("digest"))
+
+    return stacked(fields, cell).groupBy("k", "word", "digest").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counts(fields: list[Field]) -> list[DataFrame]:
+    """Counts of numbers and times, then of texts, as far as there are any. Keys of numbers alone are counted much faster than mixed ones."""
+    texts, others = [f for f in fields if f.is_text], [f for f in fields if not f.is_text]
+    return [make(own) for make, own in ((_number_counts, others), (_text_counts, texts)) if own]
+
+
+def value_counts(fields: list[Field]) -> DataFrame:
+    """(k, whole, real, word, digest, n): how often each value of column number ``k`` occurs.
+
+    Values keep an exact key of their own type; text longer than 64 characters is keyed by its
+    digest and length so that the shuffle stays small. Counting starts on the map side, which
+    keeps a value held by a third of all rows harmless.
+    """
+    parts = [c.where(_known(c)) for c in _counts(fields)]
+    if len(parts) == 1:
+        kinds = {"whole": "bigint", "real": "double", "word": "string", "digest": "string"}
+        parts = [parts[0].withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in parts[0].columns})]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select("k", "whole", "real", "word", "digest", "n")
+
+
+def _known(counted: DataFrame) -> Column:
+    return S.any_of([F.col(c).isNotNull() for c in counted.columns if c not in ("k", "n")])
+
+
+def _is_one(fields: list[Field]) -> Column:
+    """Whether a row of value counts belongs to one of the columns."""
+    return F.col("k").isin(*[f.k for f in fields]) if fields else F.lit(False)
+
+
+def _deviation(total: int, squares: int, n: int) -> float | None:
+    """Sample deviation from exact sums of whole numbers."""
+    return math.sqrt((n * squares - total * total) / (n * (n - 1))) if n > 1 else None
+
+
+_SUMS = ("sized", "length_sum", "length_squares")
+
 
-    known = S.any_of([F.col(c).isNotNull() for c in ("whole", "real", "word", "digest")])
-    return stacked(fields, cell).where(known).groupBy("k", "whole", "real", "word", "digest").agg(F.count(F.lit(1)).alias("n"))
+def _length_sums(size: Column, n: Column) -> list[Column]:
+    """Exact sums for the mean and the deviation of lengths that occur ``n`` times each."""
+    size = size.cast("bigint")
+    return [F.sum(F.when(size.isNotNull(), n)).alias("sized"), F.sum(size * n).alias("length_sum"),
+            F.sum((size * size).cast("decimal(20,0)") * n.cast("decimal(20,0)")).alias("length_squares")]
+
+
+def _lengths(row) -> dict:
+    n, total, squares = row["sized"], row["length_sum"], row["length_squares"]
+    return {"avg_length": total / n if n else None, "length_std": _deviation(int(total), int(squares), n) if n else None}
+
+
+def _numbers_of(fields: list[Field]) -> Column:
+    """The value as double in a row of value counts; null for columns that are no numbers."""
+    return F.when(_is_one([f for f in fields if f.is_number]), F.coalesce(F.col("whole").cast("double"), F.col("real")))
+
+
+def _all_ordinal(value=lambda c: c) -> Column:
+    """Whether all values are steps of one ordinal scale, or digits; ``value`` leaves out the nulls where they are counted too."""
+    word, short = F.lower("word"), F.col("word").isNotNull()
+    every = lambda c: F.coalesce(F.bool_and(value(short & c)), F.lit(False))
+    return S.any_of([every(word.isin(*scale)) for scale in K.ORDINAL_SCALES]) | every(F.col("word").rlike(r"^\d+$"))
 
 
 def value_aggregates() -> list[Column]:
-    word = F.lower("word")
-    short = F.col("word").isNotNull()
-    ordinal = S.any_of([F.coalesce(F.bool_and(short & word.isin(*scale)), F.lit(False)) for scale in K.ORDINAL_SCALES])
-    digits = F.coalesce(F.bool_and(short & F.col("word").rlike(r"^\d+$")), F.lit(False))
+    """Distinct values, entropy, top value and ordinal scales from value counts without nulls."""
     return [
         F.count(F.lit(1)).alias("unique_count"), F.max("n").alias("top_count"),
-        F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("sum_n_log"), (ordinal | digits).alias("all_ordinal"),
+        F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("sum_n_log"), _all_ordinal().alias("all_ordinal"),
+    ]
+
+
+def _value_aggregates(known: Column) -> list[Column]:
+    """Rows, distinct values, entropy and top value from value counts; ``known`` tells values from nulls."""
+    n = F.col("n")
+    return [
+        F.sum(n).alias("row_count"), F.sum(F.when(known, n).otherwise(F.lit(0))).alias("present"), F.count_if(known).alias("unique_count"),
+        F.max(F.when(known, n)).alias("top_count"), F.sum(F.when(known, n * F.log2(n.cast("double")))).alias("sum_n_log"),
+    ]
+
+
+def _number_aggregates(fields: list[Field]) -> list[Column]:
+    n, x = F.col("n"), _numbers_of(fields)
+    held = lambda c: F.sum(F.when(c, n).otherwise(F.lit(0)))
+    return [
+        held(x.isNotNull()).alias("n"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), (F.sum(x * n) / F.nullif(held(x.isNotNull()), F.lit(0))).alias("mean"),
+        held(x == 0).alias("zeros"), held(x > 0).alias("positives"), held(x < 0).alias("negatives"), held(x % 1 != 0).alias("decimals"),
+        held(x.isin(*[float(v) for v in K.NULL_NUMBERS])).alias("encoded_nulls"),
     ]
 
 
+def _text_aggregates(known: Column) -> list[Column]:
+    size = F.coalesce(F.length("word"), F.substring_index("digest", "#", -1).cast("int"))
+    return [*_length_sums(size, F.col("n")), F.min(size).cast("bigint").alias("min_length"), F.max(size).cast("bigint").alias("max_length"),
+            _all_ordinal(lambda c: F.when(known, c)).alias("all_ordinal")]
+
+
+def _counted_moments(fields: list[Field], counts: list[DataFrame], parts: frozenset, raw: list[dict]) -> None:
+    """What ``_moment_pass`` finds in the rows, and distinct values, entropy and top value, from the value counts."""
+    for f in fields:
+        raw[f.k].update(row_count=0, present=0, unique_count=0, top_count=0, sum_n_log=0.0, all_ordinal=False)
+    for counted in counts:
+        text = "word" in counted.columns
+        made = _value_aggregates(_known(counted))
+        if text:
+            made += _text_aggregates(_known(counted))
+        elif "numbers" in parts:
+            made += _number_aggregates(fields)
+        for row in counted.groupBy("k").agg(*made).collect():
+            found = row.asDict() | (_lengths(row) if text else {})
+            raw[found.pop("k")].update({c: v for c, v in found.items() if c not in _SUMS and (v is not None or c not in ("top_count", "sum_n_log"))})
+    for f in fields:
+        if not f.is_number:
+            raw[f.k].update(dict.fromkeys(_NUMBER_FIELDS))
+
+
 _PROBS = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
@@ -255,28 +358,18 @@ def _quartile_aggregates(counted: DataFrame, ranks: dict[int, int]) -> DataFrame
     return upto.groupBy("k").agg(*picked)
 
 
-def _value_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
-    """Distinct values, entropy and top value of all columns, and quartiles of short ones.
-
-    Both come from one shuffle of value counts, which the planner reuses.
-    """
-    counted = value_counts(fields)
-    summary = counted.groupBy("k").agg(*value_aggregates())
-    ranks = {f.k: raw[f.k]["present"] for f in fields
-             if f.is_number and 0 < raw[f.k]["present"] <= DIRECT_ROWS and "quartiles" in parts}
-    if ranks:
-        summary = summary.join(F.broadcast(_quartile_aggregates(counted, ranks)), "k", "left")
-    for row in summary.collect():
+def _counted_quartiles(fields: list[Field], counts: list[DataFrame], raw: list[dict]) -> None:
+    """Quartiles of number columns of any length whose distinct values one task can order."""
+    ranks = {f.k: raw[f.k]["present"] for f in fields if f.is_number and 0 < raw[f.k]["unique_count"] <= DIRECT_ROWS}
+    if not ranks:
+        return
+    counted = counts[0].where(_known(counts[0]))
+    for row in _quartile_aggregates(counted, ranks).collect():
         found = raw[row["k"]]
-        found.update({n: row[n] for n, _ in _VALUE_SCHEMA})
-        if row["k"] in ranks:
-            for name, p in _PROBS.items():
-                position = (ranks[row["k"]] - 1) * p
-                lo, hi = row[f"{name}_lo"], row[f"{name}_hi"]
-                found[name] = lo + (hi - lo) * (position - math.floor(position))
-    for f in fields:
-        if "unique_count" not in raw[f.k]:
-            raw[f.k].update(unique_count=0, top_count=0, sum_n_log=0.0, all_ordinal=False)
+        for name, p in _PROBS.items():
+            position = (ranks[row["k"]] - 1) * p
+            lo, hi = row[f"{name}_lo"], row[f"{name}_hi"]
+            found[name] = lo + (hi - lo) * (position - math.floor(position))
 
 
 def json_depth(x: Column) -> Column:
@@ -331,9 +424,9 @@ def extra_aggregates(x: Column, n: Column) -> dict[str, Column]:
     return found
 
 
-def weighted_texts(fields: list[Field], raw: list[dict]) -> DataFrame:
+def weighted_texts(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> DataFrame:
     """(k, x, n): every distinct short value with its count, every long value as it is."""
-    counted = value_counts(fields).where(F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
+    counted = (_counts(fields) if counts is None else counts)[-1].where(F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
     long = [f for f in fields if (raw[f.k].get("max_length") or 0) > LONG_TEXT]
     if not long:
         return counted
@@ -341,7 +434,7 @@ def weighted_texts(fields: list[Field], raw: list[dict]) -> DataFrame:
     return counted.unionByName(rows.where(F.length("x") > LONG_TEXT))
 
 
-def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
+def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: list[DataFrame] | None = None) -> None:
     """Patterns are tried once per distinct short value and once per long value."""
     texts = [f for f in fields if f.is_text]
     if not texts:
@@ -349,7 +442,7 @@ def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
     made = text_aggregates(F.col("x"), F.col("n")) if "text" in parts else {}
     if "semantics" in parts:
         made |= extra_aggregates(F.col("x"), F.col("n"))
-    weighted = weighted_texts(texts, raw)
+    weighted = weighted_texts(texts, raw, counts)
     for row in weighted.groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
         raw[row["k"]].update({n: row[n] for n in made})
     if "semantics" in parts:
@@ -358,17 +451,17 @@ def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
             raw[row["k"]].update(unique_lower=row["unique_lower"])
 
 
-def _digit_pass(fields: list[Field], raw: list[dict]) -> None:
+def _digit_pass(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> None:
     """What whole numbers look like as text: their length, and whether they read as phone numbers."""
     whole = [f for f in fields if f.kind in WHOLE]
     if not whole:
         return
-    size = F.length("x")
-    made = {"avg_length": F.avg(size), "length_std": F.stddev_samp(size), "sem_phone": S.share(F.col("x").rlike(r"^\d{10,15}$")),
-            "sem_alnum": S.share(F.col("x").rlike(r"^\d+$"))}
-    cells = stacked(whole, lambda f: F.struct(F.lit(f.k).alias("k"), f.column.cast("bigint").cast("string").alias("x")))
-    for row in cells.groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
-        raw[row["k"]].update({n: row[n] for n in made})
+    counted = (_counts(whole) if counts is None else counts)[0]
+    x, n = F.col("whole").cast("string"), F.col("n")
+    part = lambda c: F.sum(F.when(c, n).otherwise(F.lit(0))) / F.sum(n)
+    made = [*_length_sums(F.length(x), n), part(x.rlike(r"^\d{10,15}$")).alias("sem_phone"), part(x.rlike(r"^\d+$")).alias("sem_alnum")]
+    for row in counted.where(_is_one(whole) & F.col("whole").isNotNull()).groupBy("k").agg(*made).collect():
+        raw[row["k"]].update(_lengths(row), sem_phone=row["sem_phone"], sem_alnum=row["sem_alnum"])
 
 
 def _missing_quartiles(fields: list[Field], raw: list[dict]) -> None:
@@ -383,7 +476,7 @@ def _missing_quartiles(fields: list[Field], raw: list[dict]) -> None:
                 raw[f.k].update(dict(zip(_PROBS, found[f"c{f.k}"])))
 
 
-def _centred_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
+def _centred_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: list[DataFrame] | None = None) -> None:
     """Moments around the mean and values outside the quartile fences, in one pass.
 
     With the mean known, three plain sums give deviation, skewness and kurtosis.
@@ -397,29 +490,33 @@ def _centred_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> Non
     if not known:
         return
 
-    def outside(f: Field, width: float) -> Column:
+    def fences(f: Field, width: float) -> tuple:
         if raw[f.k].get("q25") is None:
-            return F.lit(False)
+            return None, None
         spread = width * (raw[f.k]["q75"] - raw[f.k]["q25"])
-        return (f.number < raw[f.k]["q25"] - spread) | (f.number > raw[f.k]["q75"] + spread)
-
-    def cell(f: Field) -> Column:
-        mean = raw[f.k].get("mean")
-        gap = f.number - mean if mean is not None else F.lit(None).cast("double")
-        return F.struct(F.lit(f.k).alias("k"), gap.alias("g"), outside(f, 1.5).alias("near"), outside(f, 3.0).alias("far"))
-
-    g = F.col("g")
-    made = [F.count_if("near").alias("near"), F.count_if("far").alias("far"), F.sum(g * g).alias("s2"), F.sum(g * g * g).alias("s3"),
-            F.sum(g * g * g * g).alias("s4")]
-    for row in stacked(known, cell).groupBy("k").agg(*made).collect():
-        found, n = raw[row["k"]], raw[row["k"]]["present"]
+        return raw[f.k]["q25"] - spread, raw[f.k]["q75"] + spread
+
+    if counts is None:
+        values = stacked(known, lambda f: F.struct(F.lit(f.k).alias("k"), f.number.alias("x"), F.lit(1).cast("bigint").alias("n")))
+    else:
+        values = counts[0].where(_is_one(known)).select("k", _numbers_of(known).alias("x"), "n")
+    facts = [(f.k, raw[f.k].get("mean"), *fences(f, 1.5), *fences(f, 3.0)) for f in known]
+    side = known[0].frame.sparkSession.createDataFrame(facts, "k int, mean double, low double, high double, far_low double, far_high double")
+    # One row a column; the values are not shuffled.
+    cells = values.join(F.broadcast(side), "k").withColumn("g", F.col("x") - F.col("mean"))
+    g, x, n = F.col("g"), F.col("x"), F.col("n")
+    outside = lambda low, high: F.sum(F.when((x < F.col(low)) | (x > F.col(high)), n).otherwise(F.lit(0)))
+    made = [outside("low", "high").alias("near"), outside("far_low", "far_high").alias("far"), F.sum(n * (g * g)).alias("s2"),
+            F.sum(n * (g * g * g)).alias("s3"), F.sum(n * (g * g * g * g)).alias("s4")]
+    for row in cells.groupBy("k").agg(*made).collect():
+        found, size = raw[row["k"]], raw[row["k"]]["present"]
         if "quartiles" in parts:
             found.update(outlier_count=row["near"], far_outlier_count=row["far"])
         s2 = row["s2"]
         if s2 is not None:
-            found["std"] = math.sqrt(s2 / (n - 1)) if n > 1 else None
+            found["std"] = math.sqrt(s2 / (size - 1)) if size > 1 else None
             if s2 > 0:
-                found.update(skew_pop=math.sqrt(n) * row["s3"] / s2 ** 1.5, kurt_pop=n * row["s4"] / (s2 * s2) - 3)
+                found.update(skew_pop=math.sqrt(size) * row["s3"] / s2 ** 1.5, kurt_pop=size * row["s4"] / (s2 * s2) - 3)
 
 
 def fields_of(tables: dict[str, DataFrame]) -> list[Field]:
@@ -437,15 +534,24 @@ def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PART
     parts = frozenset(parts)
     fields = fields_of(tables)
     raw: list[dict] = [{} for _ in fields]
-    _moment_pass(fields, parts, raw)
-    if "values" in parts:
-        _value_pass(fields, parts, raw)
-    if parts & {"text", "semantics"}:
-        _text_pass(fields, parts, raw)
-    if "semantics" in parts:
-        _digit_pass(fields, raw)
-    if parts & {"quartiles", "numbers"}:
-        _centred_pass(fields, parts, raw)
+    counts = _counts(fields) if "values" in parts else None
+    kept = [c.persist() for c in counts or [] if parts != {"values"}]  # several passes follow
+    try:
+        if counts is None:
+            _moment_pass(fields, parts, raw)
+        else:
+            _counted_moments(fields, counts, parts, raw)
+            if "quartiles" in parts:
+                _counted_quartiles(fields, counts, raw)
+        if parts & {"text", "semantics"}:
+            _text_pass(fields, parts, raw, counts)
+        if "semantics" in parts:
+            _digit_pass(fields, raw, counts)
+        if parts & {"quartiles", "numbers"}:
+            _centred_pass(fields, parts, raw, counts)
+    finally:
+        for c in kept:
+            c.unpersist()
     places: dict[str, int] = {}
     rows = []
     for f in fields:

@@ -90,16 +90,19 @@ def exact_quantiles(
 
 def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     """One narrowing round: approximate cut points, then counts that prove them."""
-    cuts = []
-    for i, b in enumerate(brackets):
+    probs, places = {}, []  # brackets over the same values share one summary of them
+    for b in brackets:
         centre = (b.low_rank - b.below + 0.5) / b.inside
-        lo, hi = max(0.0, centre - b.slack), min(1.0, centre + b.slack)
-        inside = F.when(b.condition(), F.col(b.column))
-        cuts.append(F.percentile_approx(inside, [lo, hi], ACCURACY).alias(f"q{i}"))
-    row = df.agg(*cuts).first()
+        asked = probs.setdefault((b.column, b.low, b.high), (b, []))[1]
+        places.append(((b.column, b.low, b.high), len(asked)))
+        asked += [max(0.0, centre - b.slack), min(1.0, centre + b.slack)]
+    row = df.agg(*[F.percentile_approx(F.when(b.condition(), F.col(b.column)), asked, ACCURACY).alias(f"q{j}")
+                   for j, (b, asked) in enumerate(probs.values())]).first()
+    order = {key: j for j, key in enumerate(probs)}
+    found = [row[f"q{order[key]}"][at:at + 2] for key, at in places]
     tests = []
     for i, b in enumerate(brackets):
-        lo, hi = row[f"q{i}"]
+        lo, hi = found[i]
         value = F.col(b.column)
         tests.append(F.count_if(value < lo).alias(f"below{i}"))
         tests.append(F.count_if(value.between(lo, hi)).alias(f"inside{i}"))
@@ -107,7 +110,7 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     for i, b in enumerate(brackets):
         below, inside = proof[f"below{i}"], proof[f"inside{i}"]
         if b.holds(below, inside) and inside < b.inside:
-            b.low, b.high = row[f"q{i}"]
+            b.low, b.high = found[i]
             b.below, b.inside = below, inside
         else:
             b.slack *= 8

@@ -151,3 +151,39 @@ def test_correlations_and_references(spark):
     child = spark.createDataFrame([(i % 20,) for i in range(100)], "city_id int")
     parent = spark.createDataFrame([(i,) for i in range(30)], "city_id int")
     assert cross.foreign_keys({"visits": child, "cities": parent}).first()["other_table"] == "cities"
+
+
+def test_long_columns_of_few_values_take_quartiles_from_their_counts(spark, monkeypatch):
+    from colsmith.operators import profile as P
+
+    def refuse(*_):
+        raise AssertionError("the rows were read again")
+
+    monkeypatch.setattr(P, "DIRECT_ROWS", 50)
+    monkeypatch.setattr(P, "exact_quantiles", refuse)
+    rows = [(None if i % 10 == 0 else i % 7, float(i % 3) / 4, i % 5 == 0, None if i % 4 == 0 else "x" * (i % 3 * 40), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b double, c boolean, t string, own int")
+    found = rows_of(profile({"t": df.drop("own")}, WITH_SEMANTICS))
+    for name, column in (("a", 0), ("b", 1), ("c", 2)):
+        x = np.array([float(r[column]) for r in rows if r[column] is not None])
+        r = found[name]
+        assert (r["row_count"], r["present"], r["unique_count"]) == (400, len(x), len(set(x)))
+        assert [r["q25"], r["median"], r["q75"]] == pytest.approx(list(np.quantile(x, [0.25, 0.5, 0.75])))
+        assert (r["mean"], r["std"], r["zeros"]) == (pytest.approx(x.mean()), pytest.approx(x.std(ddof=1)), int((x == 0).sum()))
+        assert r["skew_pop"] == pytest.approx(((x - x.mean()) ** 3).mean() / x.std() ** 3)
+    digits = np.array([len(str(r[0])) for r in rows if r[0] is not None])
+    assert (found["a"]["avg_length"], found["a"]["length_std"]) == (digits.mean(), digits.std())
+    sizes = np.array([len(r[3]) for r in rows if r[3] is not None])
+    t = found["t"]
+    assert (t["min_length"], t["max_length"], t["unique_count"], t["null_count"]) == (0, 80, 3, 100)
+    assert (t["avg_length"], t["length_std"]) == (pytest.approx(sizes.mean()), pytest.approx(sizes.std(ddof=1)))
+    with pytest.raises(AssertionError, match="read again"):  # only columns of more distinct values go back to their rows
+        profile({"t": df.select("own")})
+
+
+def test_json_is_told_by_its_start(spark):
+    values = ['{"a": 1}', " \t[1, 2]", "\r\n-1.5", "true", "nothing", '"x"', "", " ", "+1", "x{", "null", "NaN", None]
+    from colsmith.functions.scalar import is_json
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    plain = F.try_parse_json("v").isNotNull()
+    assert [tuple(r) for r in df.where(is_json(F.col("v")) != plain).collect()] == []
