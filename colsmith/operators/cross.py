@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +21,8 @@ STRONG_ASSOCIATION = 0.5
 PAIRS_PER_JOB = 60
 # Values of more characters are counted by digest.
 DIGEST_OVER = 64
-SKETCH_ERROR = 0.02  # relative standard error of distinct-count sketches
+SKETCH_BITS, SKETCH_ERROR = 15, 0.00575  # of distinct-count sketches, and their relative standard error when merged
+CELLS_PER_TASK = 2_000_000  # keys of combinations that one task counts
 # Distinct values of a child column that stand for all of them in the screen of references, as expected, and what
 # their overlap may fall short of the true one: by Hoeffding's bound the chance of more is below 1e-12.
 SCREEN_VALUES = 4096
@@ -36,11 +38,10 @@ def composite_keys(df: DataFrame, table_name: str, max_size: int = 3, include_su
     """Null-free combinations of two or three columns that are (nearly) unique.
 
     A combination can only reach the bar when the product of its columns' distinct counts
-    does, which the profile knows. What remains is counted by digest, all combinations of
-    one size in one shuffle; supersets of keys already found are keys anyway and are skipped
-    unless asked for.
+    does, which the profile knows. What remains is sketched, and what is near the bar is counted
+    exactly. Supersets of keys already found are keys anyway and are skipped unless asked for.
     """
-    rows = P.profile({table_name: df}, {"values"}).select("column_name", "row_count", "null_count", "unique_count", "unique_ratio").collect()
+    rows = P.profile({table_name: df}, {"values"}).select("column_name", "row_count", "null_count", "unique_count", "unique_ratio", "top_count").collect()
     full = [r for r in rows if r["null_count"] == 0 and r["row_count"]]
     distinct = {r["column_name"]: r["unique_count"] for r in full}
     n = full[0]["row_count"] if full else 0
@@ -57,23 +58,57 @@ def composite_keys(df: DataFrame, table_name: str, max_size: int = 3, include_su
                 most *= distinct[name]
             if most >= KEY_SHARE * n:
                 candidates.append(names)
+        near = []
         for start in range(0, len(candidates), PAIRS_PER_JOB):
             group = candidates[start:start + PAIRS_PER_JOB]
             # A sketch of every candidate in one pass; only those near the bar are counted exactly.
-            sketches = plain.agg(*[F.approx_count_distinct(F.xxhash64(*[F.col(f"`{c}`") for c in names]), SKETCH_ERROR).alias(f"s{i}") for i, names in enumerate(group)]).first()
-            group = [names for i, names in enumerate(group) if sketches[f"s{i}"] >= (KEY_SHARE - 6 * SKETCH_ERROR) * n]
-            if not group:
-                continue
-            cells = [F.struct(F.lit(i).alias("k"), F.md5(F.concat_ws("\u0001", *[F.col(f"`{c}`").cast("string") for c in names])).alias("v"))
-                     for i, names in enumerate(group)]
-            counted = plain.select(F.inline(F.array(*cells))).groupBy("k", "v").agg(F.lit(1).alias("one")).groupBy("k").agg(F.count("one").alias("d"))
-            for r in counted.collect():
-                if r["d"] / n >= KEY_SHARE:
-                    found.append((table_name, list(group[r["k"]]), r["d"] / n))
-                    keys.append(set(group[r["k"]]))
+            sketches = plain.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(SKETCH_BITS))).alias(f"s{i}")
+                                   for i, names in enumerate(group)]).first()
+            near += [names for i, names in enumerate(group) if sketches[f"s{i}"] >= (KEY_SHARE - 6 * SKETCH_ERROR) * n]
+        for names, d in _distinct_combinations(plain, near, n, {r["column_name"]: r["top_count"] for r in full}).items():
+            if d / n >= KEY_SHARE:
+                found.append((table_name, list(names), d / n))
+                keys.append(set(names))
     return df.sparkSession.createDataFrame(found, "table_name string, columns array<string>, unique_ratio double")
 
 
+def _distinct_combinations(plain: DataFrame, wanted: list[tuple], n: int, tops: dict[str, int]) -> dict[tuple, int]:
+    """Exact distinct counts of combinations of columns without nulls, nearly all of whose rows differ.
+
+    Equal combinations agree in each of their columns, so the rows are shuffled once by a column that many combinations
+    share and no value of which holds many rows, and all these combinations are counted where the rows meet. Others
+    are shuffled one digest a row. Either way a task counts a bounded number of keys.
+    """
+    def cell(i: int, names: tuple) -> Column:
+        columns = [F.col(f"`{c}`") for c in names]
+        return F.struct(F.lit(i).alias("__k"), F.xxhash64(*columns).alias("__a"), F.xxhash64(F.lit(1), *columns).alias("__b"))
+
+    groups, left = [], list(wanted)
+    while left:
+        most = CELLS_PER_TASK // min(len(left), PAIRS_PER_JOB)
+        shared = {c: [w for w in left if c in w][:PAIRS_PER_JOB] for c in {c for w in left for c in w} if tops[c] <= most // 4}
+        anchor = max(sorted(shared), key=lambda c: len(shared[c]), default=None)
+        if anchor is None or len(shared[anchor]) < 2:
+            groups += [(None, left[i:i + PAIRS_PER_JOB]) for i in range(0, len(left), PAIRS_PER_JOB)]
+            break
+        groups.append((anchor, shared[anchor]))
+        left = [w for w in left if w not in shared[anchor]]
+    found = {}
+    for anchor, group in groups:
+        tasks = max(1, math.ceil(n * len(group) / CELLS_PER_TASK))
+        cells = F.inline(F.array(*[cell(i, names) for i, names in enumerate(group)]))
+        if anchor is None:
+            met = plain.select(cells).repartition(tasks, "__k", "__a", "__b")
+            by = ["__k", "__a", "__b"]
+        else:
+            used = dict.fromkeys(c for names in group for c in names)
+            by = [F.col(f"`{anchor}`"), "__k", "__a", "__b"]
+            met = plain.select(*[F.col(f"`{c}`") for c in used]).repartition(tasks, F.col(f"`{anchor}`")).select(F.col(f"`{anchor}`"), cells)
+        counted = met.groupBy(*by).agg(F.lit(1).alias("one")).groupBy("__k").agg(F.count("one").alias("d"))
+        found |= {group[r["__k"]]: r["d"] for r in counted.collect()}
+    return found
+
+
 def correlations(df: DataFrame, table_name: str, floor: float = STRONG_CORRELATION) -> DataFrame:
     """Pearson correlations of all pairs of number columns, both ways, strongest first per column.
 

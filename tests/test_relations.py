@@ -58,3 +58,19 @@ def test_soft_vote_of_given_scores(spark):
     assert rows[1]["model_action"] == "keep" and rows[1]["model_confidence"] == pytest.approx(0.55)
     assert rows[2]["model_action"] == "drop"
     assert rows[3]["model_action"] is None and rows[3]["model_confidence"] is None
+
+
+def test_combinations_meet_by_a_shared_column(spark, monkeypatch):
+    """Rows go through the shuffle once for all combinations with a column, and one by one where none holds few rows a value."""
+    from itertools import combinations
+
+    rows = [(i // 4, i * 7 % 1000, i % 4 if i % 300 else 0, float(i % 5), "ab"[i % 2]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a long, b int, c int, d double, e string")
+    wanted = [w for w in combinations("abcde", 3) if set("ab") & set(w)]
+    expected = {w: len({tuple(r["abcde".index(c)] for c in w) for r in rows}) for w in wanted}
+    tops = {"a": 4, "b": 1, "c": 250, "d": 200, "e": 500}
+    assert cross._distinct_combinations(df, wanted, 1000, tops) == expected
+    monkeypatch.setattr(cross, "CELLS_PER_TASK", 300)  # no value may hold so few rows: digests, many tasks
+    assert cross._distinct_combinations(df, wanted, 1000, {c: 900 for c in "abcde"}) == expected
+    # b is a key alone, and a with c or d; their supersets are skipped.
+    assert {tuple(r["columns"]) for r in cross.composite_keys(df, "t").collect()} == {("a", "c"), ("a", "d")}
