@@ -23,8 +23,12 @@ def _events(load):
     return load("events").withColumns({"confidence": F.least(F.lit(1.0), F.col("value") / 100), "ts": F.col("ts").cast("timestamp")})
 
 
-def _stream(df, name):
-    return df.sparkSession.readStream.schema(df.schema).parquet(_copy(df, name))
+def _stream(df, name, last=None):
+    """The table as a stream, with the row ``last`` at its end."""
+    path = _copy(df, name)
+    if last is not None:
+        last.write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 def _run(df, mode="append", keys=()):
@@ -67,10 +71,11 @@ def _(load):
     return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "decisions", "overrides", r("duration_seconds", 6).alias("duration_seconds"))
 
 
-@query("r2_sessions_stream", f"{_SESSIONS} HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+@query("r2_sessions_stream", _SESSIONS)
 def _(load):
-    """Sessions that the watermark has closed, in append mode."""
-    found = _run(W.user_sessions(_stream(_events(load), "events"), "ts", "user_id", F.col("event_type") == "error"))
+    """All sessions, in append mode: the watermark closes them, and the end of the stream those that are still open."""
+    events = _events(load)
+    found = _run(W.user_sessions(_stream(events, "events", W.closing_row(events, "ts")), "ts", "user_id", F.col("event_type") == "error"))
     return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "decisions", "overrides", r("duration_seconds", 6).alias("duration_seconds"))
 
 

@@ -40,6 +40,16 @@ def user_sessions(decisions: DataFrame, ts: str, user: str, overridden: Column,
         ((F.unix_micros("last") - F.unix_micros("s.start")) / 1e6).alias("duration_seconds"))
 
 
+def closing_row(decisions: DataFrame, ts: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """One row, null but for its event time, to be sent after the last decision of a stream that has ended.
+
+    It takes the watermark past the end of every session of ``user_sessions``, so that all are written. Its own session stays open and is not.
+    """
+    ahead = F.expr(f"INTERVAL {gap}") + F.expr(f"INTERVAL {late}") + F.expr("INTERVAL 1 SECOND")  # watermarks are whole milliseconds
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in decisions.schema.fields if f.name != ts]
+    return decisions.agg((F.max(ts) + ahead).alias(ts)).select(*[F.col(ts), *nulls]).select(*decisions.columns)
+
+
 def transformed(stream: DataFrame, fitted: Fitted) -> DataFrame:
     """A fitted transform on a stream: projections and stream-static lookups only."""
     return fitted.transform(stream)

@@ -35,3 +35,15 @@ def test_closed_sessions_leave_the_state(spark, tmp_path):
     found = sorted((r["user"], int((r["session_start"] - minute(0)).total_seconds() // 60), r["decisions"], r["overrides"], r["duration_seconds"]) for r in spark.read.parquet(sink).collect())
     assert found == [("a", 0, 2, 1, 1200.0), ("a", 200, 1, 1, 0.0), ("b", 10, 1, 0, 0.0), ("b", 205, 2, 1, 600.0)]
     assert held == 1  # only the session of c is open
+
+
+def test_the_end_of_a_stream_closes_all_sessions(spark, folder):
+    from __spark_entry__ import queries
+
+    streamed, batch = (sorted(tuple(r) for r in queries()[q](spark, folder).collect()) for q in ("r2_sessions_stream", "r2_sessions"))
+    assert streamed == batch and streamed
+
+
+def test_closing_row_of_no_decisions(spark):
+    empty = spark.createDataFrame([], "user string, ts timestamp")
+    assert [tuple(r) for r in W.closing_row(empty, "ts").collect()] == [(None, None)]
