@@ -99,12 +99,15 @@ def _(load):
 
 _RULED_MESSY = f"{_stats_cte(('messy',))}, {_match_cte(catalogue())}, {_BEST}, {_RULED}"
 _BEST_LEARNED = f"""WITH {_SIM}, o AS (SELECT table_name, column_name, least(base_confidence * (0.9 + 0.1 * (similarity - 0.85) / 0.15), 0.95) AS confidence, recommended_action AS action, rule_name AS rule
-  FROM s WHERE similarity >= 0.85) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY table_name, column_name ORDER BY confidence DESC, action DESC, rule DESC) = 1"""
+  FROM s WHERE similarity >= 0.85) SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY table_name, column_name ORDER BY round(confidence, 9) DESC, action DESC, rule DESC) = 1"""
 
 
-@query("l5_merged_decisions", f"""SELECT a.table_name, a.column_name, CASE WHEN l.confidence > a.confidence THEN l.action ELSE a.action END AS action,
-  round(CASE WHEN l.confidence > a.confidence THEN l.confidence ELSE a.confidence END, 5) AS confidence, CASE WHEN l.confidence > a.confidence THEN l.rule ELSE a.rule END AS rule,
-  CASE WHEN l.confidence > a.confidence THEN 'learned' ELSE 'symbolic' END AS source FROM (WITH {_RULED_MESSY} SELECT * FROM d) a LEFT JOIN ({_BEST_LEARNED}) l USING (table_name, column_name)""")
+_SURER = "round(l.confidence, 9) > round(a.confidence, 9)"
+
+
+@query("l5_merged_decisions", f"""SELECT a.table_name, a.column_name, CASE WHEN {_SURER} THEN l.action ELSE a.action END AS action,
+  round(CASE WHEN {_SURER} THEN l.confidence ELSE a.confidence END, 5) AS confidence, CASE WHEN {_SURER} THEN l.rule ELSE a.rule END AS rule,
+  CASE WHEN {_SURER} THEN 'learned' ELSE 'symbolic' END AS source FROM (WITH {_RULED_MESSY} SELECT * FROM d) a LEFT JOIN ({_BEST_LEARNED}) l USING (table_name, column_name)""")
 def _(load):
     found = profile({"messy": messy(load)})
     rules = L.learned_rules(L.record_corrections(_corrections(load), found))

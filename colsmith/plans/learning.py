@@ -17,6 +17,7 @@ from colsmith.session import BROADCAST_ROWS
 
 MIN_SUPPORT = 10
 SIMILARITY = 0.85
+CONFIDENCE_DIGITS = 9  # decimals in which confidences differ at all
 RANGE_KEYS = ("null_pct", "unique_ratio", "skewness", "kurtosis", "mean", "std")
 FLAG_KEYS = ("is_numeric", "is_categorical", "is_temporal", "has_outliers")
 
@@ -172,10 +173,16 @@ def learned_decisions(similarities: DataFrame, threshold: float = SIMILARITY) ->
 
 
 def merge_candidates(rule_decisions: DataFrame, learned: DataFrame) -> DataFrame:
-    """The surer of the catalogue's decision and the best learned candidate of each column."""
-    best = learned.groupBy("table_name", "column_name").agg(F.max(F.struct("confidence", "action", "rule")).alias("l"))
+    """The surer of the catalogue's decision and the best learned candidate of each column.
+
+    Confidences are compared to nine decimals, as rules of one pattern have equal means but for the last bits of their sums. Of equal
+    candidates the greatest action and then rule name wins; the catalogue wins against an equal candidate.
+    """
+    sure = lambda c: F.round(c, CONFIDENCE_DIGITS)
+    ranked = F.struct(sure(F.col("confidence")).alias("sure"), "action", "rule", "confidence")
+    best = learned.groupBy("table_name", "column_name").agg(F.max(ranked).alias("l"))
     joined = rule_decisions.join(best, ["table_name", "column_name"], "left")
-    better = F.col("l.confidence") > F.col("confidence")
+    better = F.col("l.sure") > sure(F.col("confidence"))
     return joined.select("table_name", "column_name", *[F.when(better, F.col(f"l.{c}")).otherwise(F.col(c)).alias(c) for c in ("action", "confidence", "rule")],
                          F.when(better, "learned").otherwise("symbolic").alias("source"))
 

@@ -196,3 +196,13 @@ def test_scale_free_rules_spare_bounded_columns(spark):
     plain = R.rule_decisions(found).first()["action"]
     free = R.rule_decisions(found, rules=catalogue(scale_free=True)).first()["action"]
     assert plain == "drop_column" and free != "drop_column"
+
+
+def test_last_bits_do_not_decide_between_equal_candidates(spark):
+    ruled = spark.createDataFrame([("t", "a", "keep_as_is", 0.6, "R", ["x"]), ("t", "b", "keep_as_is", 0.9, "R", ["x"])],
+                                  "table_name string, column_name string, action string, confidence double, rule string, alternatives array<string>")
+    learned = spark.createDataFrame([("t", c, action, confidence, f"L_{action}") for c in "ab" for action, confidence in
+                                     (("log_transform", 0.9), ("label_encode", 0.9000000000000001), ("drop_column", 0.8))],
+                                    "table_name string, column_name string, action string, confidence double, rule string")
+    found = {r["column_name"]: (r["action"], r["rule"], r["source"]) for r in L.merge_candidates(ruled, learned).collect()}
+    assert found == {"a": ("log_transform", "L_log_transform", "learned"), "b": ("keep_as_is", "R", "symbolic")}
