@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
@@ -22,7 +25,8 @@ PAIRS_PER_JOB = 60
 # Values of more characters are counted by digest.
 DIGEST_OVER = 64
 SKETCH_BITS, SKETCH_ERROR = 15, 0.00575  # of distinct-count sketches, and their relative standard error when merged
-CELLS_PER_TASK = 2_000_000  # keys of combinations that one task counts
+CELLS_PER_TASK = 2_000_000  # keys of combinations that one task counts, and four times the rows of a task that holds many combinations
+FEW_VALUES = 4096  # a column with no more values is shuffled as a few bits of digests that tell them apart
 # Distinct values of a child column that stand for all of them in the screen of references, as expected, and what
 # their overlap may fall short of the true one: by Hoeffding's bound the chance of more is below 1e-12.
 SCREEN_VALUES = 4096
@@ -37,75 +41,160 @@ def primary_keys(profile: DataFrame) -> DataFrame:
 def composite_keys(df: DataFrame, table_name: str, max_size: int = 3, include_supersets: bool = False) -> DataFrame:
     """Null-free combinations of two or three columns that are (nearly) unique.
 
-    A combination can only reach the bar when the product of its columns' distinct counts
-    does, which the profile knows. What remains is sketched, and what is near the bar is counted
-    exactly. Supersets of keys already found are keys anyway and are skipped unless asked for.
+    A combination can only reach the bar when the product of its columns' distinct counts does, which the profile
+    knows, or a sketch of two of its columns times the others. Pairs that their sketches leave are counted exactly, and
+    with them all larger combinations that have a column by which these rows meet anyway; only the others are sketched too.
+    Supersets of keys already found are keys anyway and are skipped unless asked for.
     """
     rows = P.profile({table_name: df}, {"values"}).select("column_name", "row_count", "null_count", "unique_count", "unique_ratio", "top_count").collect()
     full = [r for r in rows if r["null_count"] == 0 and r["row_count"]]
     distinct = {r["column_name"]: r["unique_count"] for r in full}
+    tops = {r["column_name"]: r["top_count"] for r in full}
     n = full[0]["row_count"] if full else 0
     keys = [{r["column_name"]} for r in full if r["unique_ratio"] >= KEY_SHARE]
     plain = P.standardise(df)
-    found = []
-    for size in range(2, max_size + 1):
-        candidates = []
-        for names in combinations(distinct, size):
-            if not include_supersets and any(k <= set(names) for k in keys):
-                continue
-            most = 1
-            for name in names:
-                most *= distinct[name]
-            if most >= KEY_SHARE * n:
-                candidates.append(names)
-        near = []
-        for start in range(0, len(candidates), PAIRS_PER_JOB):
-            group = candidates[start:start + PAIRS_PER_JOB]
+    most = {}  # of distinct rows that a pair can have
+
+    def reach(names: tuple) -> float:
+        product = math.prod(distinct[c] for c in names)
+        return min([product, *[most.get(pair, product) * product // math.prod(distinct[c] for c in pair) for pair in combinations(names, 2)]])
+
+    def candidates(size: int) -> list[tuple]:
+        return [names for names in combinations(distinct, size) if (include_supersets or not any(k <= set(names) for k in keys)) and reach(names) >= KEY_SHARE * n]
+
+    def near(wanted: list[tuple]) -> list[tuple]:
+        kept = []
+        for start in range(0, len(wanted), PAIRS_PER_JOB):
+            group = wanted[start:start + PAIRS_PER_JOB]
             # A sketch of every candidate in one pass; only those near the bar are counted exactly.
             sketches = plain.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(SKETCH_BITS))).alias(f"s{i}")
                                    for i, names in enumerate(group)]).first()
-            near += [names for i, names in enumerate(group) if sketches[f"s{i}"] >= (KEY_SHARE - 6 * SKETCH_ERROR) * n]
-        for names, d in _distinct_combinations(plain, near, n, {r["column_name"]: r["top_count"] for r in full}).items():
-            if d / n >= KEY_SHARE:
-                found.append((table_name, list(names), d / n))
-                keys.append(set(names))
+            most.update((names, math.ceil(sketches[f"s{i}"] * (1 + 6 * SKETCH_ERROR))) for i, names in enumerate(group))
+            kept += [names for i, names in enumerate(group) if sketches[f"s{i}"] >= (KEY_SHARE - 6 * SKETCH_ERROR) * n]
+        return kept
+
+    wanted = near(candidates(2)) if max_size > 1 else []
+    pairs, anchors = list(wanted), {anchor for anchor, group in _meetings(wanted, tops) if len(group) > 1}
+    for size in range(3, max_size + 1):
+        larger = candidates(size)
+        counted = {names for names in larger if anchors & set(names) or any(set(pair) < set(names) for pair in pairs)}
+        wanted += [*counted, *near([names for names in larger if names not in counted])]
+    counts = _distinct_combinations(plain, wanted, n, tops, distinct)
+    found = []
+    for names in sorted(counts, key=lambda w: (len(w), [*distinct].index(w[0]), w)):
+        if counts[names] / n >= KEY_SHARE and (include_supersets or not any(k < set(names) for k in keys)):
+            found.append((table_name, list(names), counts[names] / n))
+            keys.append(set(names))
     return df.sparkSession.createDataFrame(found, "table_name string, columns array<string>, unique_ratio double")
 
 
-def _distinct_combinations(plain: DataFrame, wanted: list[tuple], n: int, tops: dict[str, int]) -> dict[tuple, int]:
-    """Exact distinct counts of combinations of columns without nulls, nearly all of whose rows differ.
+def _meetings(wanted: list[tuple], tops: dict[str, int]) -> list[tuple[str | None, list[tuple]]]:
+    """Combinations by the column that makes their rows meet: few columns, no value of which holds many rows; None for the rest."""
+    groups, left = [], sorted(set(wanted))
+    while left:
+        shared = {c: [w for w in left if c in w] for c in {c for w in left for c in w} if tops[c] <= CELLS_PER_TASK // 16}
+        anchor = max(sorted(shared), key=lambda c: len(shared[c]), default=None)
+        groups.append((anchor, left if anchor is None else shared[anchor]))
+        left = [w for w in left if w not in groups[-1][1]]
+    return groups
+
+
+def _distinct_rows(group: list[tuple], columns: dict[str, tuple[int, int, int]]) -> Callable:
+    """Counts of distinct rows of each combination among the rows of one task; ``columns`` has the place of each column and its bits there."""
+    order = list(columns)
+    places = [[order.index(c) for c in names] for names in group]
+
+    def coded(rows: pa.Table, place: int, shift: int, bits: int) -> tuple[np.ndarray, int]:
+        values = rows.column(place).combine_chunks()
+        if bits:
+            values = pa.array(values.to_numpy(zero_copy_only=False) >> shift & (1 << bits) - 1)
+        codes = values.dictionary_encode(null_encoding="encode")
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        return codes.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(codes.dictionary)
+
+    def run(batches):
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        found = []
+        if rows is not None and rows.num_rows:
+            codes, sizes = zip(*[coded(rows, *spot) for spot in columns.values()])
+            for place in places:
+                key, size = codes[place[0]], sizes[place[0]]
+                for i in place[1:]:
+                    if size * sizes[i] >= 1 << 63:
+                        values, key = np.unique(key, return_inverse=True)
+                        size = len(values)
+                    key, size = key * sizes[i] + codes[i], size * sizes[i]
+                key = np.sort(key)
+                found.append(1 + int(np.count_nonzero(key[1:] != key[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found, pa.int64())], ["k", "d"])
+
+    return run
+
+
+def _few_bits(plain: DataFrame, values: dict[str, Column], distinct: dict[str, int]) -> dict[str, int]:
+    """As many bits of each column's digests as keep all its values apart, for columns of few values."""
+    small = [c for c in values if distinct.get(c, FEW_VALUES + 1) <= FEW_VALUES]
+    if not small:
+        return {}
+    digests: dict[int, set] = {}
+    cells = [F.struct(F.lit(i).alias("k"), F.xxhash64(values[c]).alias("h")) for i, c in enumerate(small)]
+    for r in plain.select(F.inline(F.array(*cells))).distinct().collect():
+        digests.setdefault(r["k"], set()).add(r["h"])
+    enough = {c: [b for b in range(1, 33) if len({h & (1 << b) - 1 for h in digests.get(i, ())}) == distinct[c]] for i, c in enumerate(small)}
+    return {c: bits[0] for c, bits in enough.items() if bits}
+
+
+def _packed(values: dict[str, Column], bits: dict[str, int], anchor: str) -> tuple[list[Column], dict[str, tuple[int, int, int]]]:
+    """The anchor first, then the other columns, those of few values as bits of shared words; and where each column is."""
+    wide = [anchor, *[c for c in values if c != anchor and c not in bits]]
+    made, places = [values[c] for c in wide], {c: (i, 0, 0) for i, c in enumerate(wide)}
+    used = 64
+    for c in values:
+        if c not in places:
+            if used + bits[c] > 63:
+                made.append(F.lit(0).cast("bigint"))
+                used = 0
+            made[-1] = made[-1].bitwiseOR(F.shiftleft(F.xxhash64(values[c]).bitwiseAND(F.lit((1 << bits[c]) - 1)), used))
+            places[c], used = (len(made) - 1, used, bits[c]), used + bits[c]
+    return made, places
+
+
+def _distinct_combinations(plain: DataFrame, wanted: list[tuple], n: int, tops: dict[str, int], distinct: dict[str, int] | None = None) -> dict[tuple, int]:
+    """Exact distinct counts of combinations of columns without nulls.
 
     Equal combinations agree in each of their columns, so the rows are shuffled once by a column that many combinations
-    share and no value of which holds many rows, and all these combinations are counted where the rows meet. Others
-    are shuffled one digest a row. Either way a task counts a bounded number of keys.
+    share and no value of which holds many rows, and all these combinations are counted where the rows meet, by sorting
+    codes of a bounded number of rows. Columns that have few values by ``distinct`` share words of a few bits each. Other
+    combinations are shuffled one digest a row.
     """
+    kinds = dict(plain.dtypes)
+
+    def value(c: str) -> Column:
+        column = F.col(f"`{c}`")
+        if S.is_text_type(kinds[c]):
+            return _short(column)
+        return column + F.lit(0.0) if kinds[c] == "double" else column  # one zero
+
     def cell(i: int, names: tuple) -> Column:
         columns = [F.col(f"`{c}`") for c in names]
         return F.struct(F.lit(i).alias("__k"), F.xxhash64(*columns).alias("__a"), F.xxhash64(F.lit(1), *columns).alias("__b"))
 
-    groups, left = [], list(wanted)
-    while left:
-        most = CELLS_PER_TASK // min(len(left), PAIRS_PER_JOB)
-        shared = {c: [w for w in left if c in w][:PAIRS_PER_JOB] for c in {c for w in left for c in w} if tops[c] <= most // 4}
-        anchor = max(sorted(shared), key=lambda c: len(shared[c]), default=None)
-        if anchor is None or len(shared[anchor]) < 2:
-            groups += [(None, left[i:i + PAIRS_PER_JOB]) for i in range(0, len(left), PAIRS_PER_JOB)]
-            break
-        groups.append((anchor, shared[anchor]))
-        left = [w for w in left if w not in shared[anchor]]
+    meetings = _meetings(wanted, tops)
+    bits = _few_bits(plain, {c: value(c) for c in dict.fromkeys(c for anchor, group in meetings if anchor for names in group for c in names)}, distinct or {})
     found = {}
-    for anchor, group in groups:
-        tasks = max(1, math.ceil(n * len(group) / CELLS_PER_TASK))
-        cells = F.inline(F.array(*[cell(i, names) for i, names in enumerate(group)]))
-        if anchor is None:
-            met = plain.select(cells).repartition(tasks, "__k", "__a", "__b")
+    for anchor, group in meetings:
+        if anchor is not None:
+            columns, places = _packed({c: value(c) for c in dict.fromkeys(c for names in group for c in names)}, bits, anchor)
+            met = plain.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).repartition(max(1, math.ceil(4 * n / CELLS_PER_TASK)), "c0")
+            counted = met.mapInArrow(_distinct_rows(group, places), "k int, d long").groupBy("k").agg(F.sum("d").alias("d"))
+            found |= {group[r["k"]]: r["d"] for r in counted.collect()}
+            continue
+        for start in range(0, len(group), PAIRS_PER_JOB):
+            some = group[start:start + PAIRS_PER_JOB]
             by = ["__k", "__a", "__b"]
-        else:
-            used = dict.fromkeys(c for names in group for c in names)
-            by = [F.col(f"`{anchor}`"), "__k", "__a", "__b"]
-            met = plain.select(*[F.col(f"`{c}`") for c in used]).repartition(tasks, F.col(f"`{anchor}`")).select(F.col(f"`{anchor}`"), cells)
-        counted = met.groupBy(*by).agg(F.lit(1).alias("one")).groupBy("__k").agg(F.count("one").alias("d"))
-        found |= {group[r["__k"]]: r["d"] for r in counted.collect()}
+            met = plain.select(F.inline(F.array(*[cell(i, names) for i, names in enumerate(some)]))).repartition(max(1, math.ceil(n * len(some) / CELLS_PER_TASK)), *by)
+            counted = met.groupBy(*by).agg(F.lit(1).alias("one")).groupBy("__k").agg(F.count("one").alias("d"))
+            found |= {some[r["__k"]]: r["d"] for r in counted.collect()}
     return found
 
 

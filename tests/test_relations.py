@@ -74,3 +74,23 @@ def test_combinations_meet_by_a_shared_column(spark, monkeypatch):
     assert cross._distinct_combinations(df, wanted, 1000, {c: 900 for c in "abcde"}) == expected
     # b is a key alone, and a with c or d; their supersets are skipped.
     assert {tuple(r["columns"]) for r in cross.composite_keys(df, "t").collect()} == {("a", "c"), ("a", "d")}
+
+
+def test_pairs_and_triples_meet_in_one_shuffle(spark, monkeypatch):
+    """Rows are shuffled once for all pairs and triples with a column, nulls and both zeros count as values of their own kind."""
+    from itertools import combinations
+
+    rows = [(i // 4, i % 4 // 2, i % 2, float(i % 2) * (-1) ** (i // 2), "x" * (64 + i % 2)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a long, b int, c int, d double, e string")
+    asked = []
+    real = cross._distinct_combinations
+    monkeypatch.setattr(cross, "_distinct_combinations", lambda plain, wanted, n, tops, distinct: asked.append((list(wanted), cross._meetings(wanted, tops))) or real(plain, wanted, n, tops, distinct))
+    found = {tuple(r["columns"]): r["unique_ratio"] for r in cross.composite_keys(df, "t").collect()}
+    share = {w: len({tuple(r["abcde".index(c)] for c in w) for r in rows}) / 4000 for size in (2, 3) for w in combinations("abcde", size)}
+    pairs = {w: s for w, s in share.items() if len(w) == 2 and s >= 0.995}
+    assert found == pairs | {w: s for w, s in share.items() if len(w) == 3 and s >= 0.995 and not any(set(p) < set(w) for p in pairs)}
+    assert any(len(w) == 3 for w in found)
+    assert len(asked) == 1 and [anchor for anchor, _ in asked[0][1]] == ["a"]
+    tops = {"a": 4, "b": 2000, "e": 2000}
+    assert real(df.withColumn("b", F.nullif("b", F.lit(0))), [("a", "b"), ("a", "b", "e")], 4000, tops) == {
+        w: len({tuple(r["abcde".index(c)] for c in w) for r in rows}) for w in [("a", "b"), ("a", "b", "e")]}
