@@ -2,9 +2,9 @@
 
 Rows are read once: they become a count per distinct value of each column, which is kept for the
 length of a profile, and everything else (moments, lengths, patterns, quartiles, fences) is
-computed from those counts. Profiles without value counts, and quartiles of columns with more
-distinct values than one task orders, read the rows. Only one row per column ever reaches the
-driver. Wide tables are handled in groups of columns so that generated code stays within limits.
+computed from those counts; patterns are tried on texts whose digits are alike. Profiles without
+value counts, and quartiles of columns with more distinct values than one task orders in a narrow
+stretch, read the rows. Only one row per column, or per step of a long one, reaches the driver. Wide tables are handled in groups of columns so that generated code stays within limits.
 """
 
 from __future__ import annotations
@@ -424,31 +424,51 @@ def extra_aggregates(x: Column, n: Column) -> dict[str, Column]:
     return found
 
 
-def weighted_texts(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> DataFrame:
-    """(k, x, n): every distinct short value with its count, every long value as it is."""
-    counted = (_counts(fields) if counts is None else counts)[-1].where(F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
+# Texts in which a digit may say more than that it is one: keys and escapes of JSON, exponents and placeholder dates.
+_EXACT_DIGITS = r'(?s)^[ \t\r\n]*+[\[{"].*(?:\\|\d[^"]*+"[ \t\r\n]*+:)|\d[eE][-+]?\d|' + "|".join(K.NULL_DATES)
+
+
+def alike(x: Column) -> Column:
+    """The text with the digits from 2 on all the same: no pattern and no list of words tells them apart, so few texts stand for many."""
+    return F.when(x.rlike(_EXACT_DIGITS), x).otherwise(F.translate(x, "23456789", "55555555"))
+
+
+def weighted_texts(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(k, x, n): every distinct short value with its count, and every long value as it is, if there are any."""
+    counted = (_counts(fields) if counts is None else counts)[-1].where(_is_one(fields) & F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
     long = [f for f in fields if (raw[f.k].get("max_length") or 0) > LONG_TEXT]
     if not long:
-        return counted
+        return counted, None
     rows = stacked(long, lambda f: F.struct(F.lit(f.k).alias("k"), f.column.alias("x"), F.lit(1).cast("bigint").alias("n")))
-    return counted.unionByName(rows.where(F.length("x") > LONG_TEXT))
+    return counted, rows.where(F.length("x") > LONG_TEXT)
 
 
 def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: list[DataFrame] | None = None) -> None:
-    """Patterns are tried once per distinct short value and once per long value."""
+    """Patterns are tried once per short value with ``alike`` digits and once per long value."""
     texts = [f for f in fields if f.is_text]
     if not texts:
         return
-    made = text_aggregates(F.col("x"), F.col("n")) if "text" in parts else {}
+    x = F.col("x")
+    made = text_aggregates(x, F.col("n")) if "text" in parts else {}
     if "semantics" in parts:
-        made |= extra_aggregates(F.col("x"), F.col("n"))
-    weighted = weighted_texts(texts, raw, counts)
-    for row in weighted.groupBy("k").agg(*[c.alias(n) for n, c in made.items()]).collect():
+        made |= extra_aggregates(x, F.col("n"))
+    short, long = weighted_texts(texts, raw, counts)
+    tried = short.groupBy("k", alike(x).alias("x")).agg(F.sum("n").alias("n"))
+    tried = tried if long is None else tried.unionByName(long)
+    capitals = set()
+    for row in tried.groupBy("k").agg(*[c.alias(n) for n, c in made.items()], F.bool_or(x != F.lower(x)).alias("capitals")).collect():
         raw[row["k"]].update({n: row[n] for n in made})
+        if row["capitals"]:
+            capitals.add(row["k"])
     if "semantics" in parts:
-        folded = weighted.select("k", F.md5(F.lower("x")).alias("x")).distinct()
-        for row in folded.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("unique_lower")).collect():
-            raw[row["k"]].update(unique_lower=row["unique_lower"])
+        for f in texts:
+            if f.k not in capitals and raw[f.k].get("unique_count"):
+                raw[f.k].update(unique_lower=raw[f.k]["unique_count"])
+        cased = [f for f in texts if f.k in capitals or "unique_count" not in raw[f.k]]
+        if cased:
+            folded = [d.select("k", F.md5(F.lower(x)).alias("x")) for d in weighted_texts(cased, raw, counts) if d is not None]
+            for row in reduce(DataFrame.unionByName, folded).distinct().groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("unique_lower")).collect():
+                raw[row["k"]].update(unique_lower=row["unique_lower"])
 
 
 def _digit_pass(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> None:
@@ -464,14 +484,18 @@ def _digit_pass(fields: list[Field], raw: list[dict], counts: list[DataFrame] |
         raw[row["k"]].update(_lengths(row), sem_phone=row["sem_phone"], sem_alnum=row["sem_alnum"])
 
 
-def _missing_quartiles(fields: list[Field], raw: list[dict]) -> None:
-    """Quartiles of the columns too long for the value counts."""
+def _missing_quartiles(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> None:
+    """Quartiles of the columns too long for the value counts as a whole; where there are counts, their narrow stretches mostly do."""
     for table in dict.fromkeys(f.table for f in fields):
         missing = [f for f in fields if f.table == table and "q25" not in raw[f.k] and raw[f.k]["present"]]
         if missing:
             plain = missing[0].frame.select(*[f.number.alias(f"c{f.k}") for f in missing])
+            held = None
+            if counts is not None:
+                values = counts[0].where(_is_one(missing)).select("k", _numbers_of(missing).alias("x"), "n").where(F.col("x").isNotNull())
+                held = values, {f"c{f.k}": (f.k, raw[f.k].get("min_value"), raw[f.k].get("max_value")) for f in missing}
             found = exact_quantiles(plain, {f"c{f.k}": list(_PROBS.values()) for f in missing},
-                                    {f"c{f.k}": raw[f.k]["present"] for f in missing})
+                                    {f"c{f.k}": raw[f.k]["present"] for f in missing}, DIRECT_ROWS, held)
             for f in missing:
                 raw[f.k].update(dict(zip(_PROBS, found[f"c{f.k}"])))
 
@@ -483,7 +507,7 @@ def _centred_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts
     """
     numbers = [f for f in fields if f.is_number]
     if "quartiles" in parts:
-        _missing_quartiles(numbers, raw)
+        _missing_quartiles(numbers, raw, counts)
         for f in numbers:
             raw[f.k].update(outlier_count=0, far_outlier_count=0)
     known = [f for f in numbers if raw[f.k]["present"]]

@@ -187,3 +187,44 @@ def test_json_is_told_by_its_start(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     plain = F.try_parse_json("v").isNotNull()
     assert [tuple(r) for r in df.where(is_json(F.col("v")) != plain).collect()] == []
+
+
+def test_patterns_see_the_same_in_texts_with_alike_digits(spark, monkeypatch):
+    """Few texts stand for many that differ in digits only; every measure is that of the texts themselves."""
+    from colsmith.operators import profile as P
+
+    texts = ["2024-03-17", "1970-01-01", "9999-12-31x", "$1,234.56", "0", "1", "7", "+12345678901", "(234) 567-8901", "4242-4242-4242-4242", "123-45-6789", "a2@b3.org", "https://x9.org/27",
+             '{"a2": 1, "a3": [2]}', '{"a2": 1, "a2": 2}', '{"a": 23, "b": 45}', '{"2\\"": 1, "3\\"": 2}', '["2", "3"]', '{"a": "2"}', '{"2" :1, "3" :2}', '"x2', "2e400", "1E5", "007", "77", "7.5%", "AB12", "ab12cd34-1234-1234-1234-123456789abc", "12/31/1999", "Jan 23, 2024", "n/a", "  3  ", "Ünï 22", "1.0",
+             "x" * 70 + "27", "X" * 70, "23 na 45", "12345-6789", None, ""]
+    columns = [[f"https://host{i % 9}.example.com/{i:06d}" for i in range(3000)], [texts[i % len(texts)] for i in range(3000)], [f"User {i % 1500}" if i % 2 else f"USER {i % 1500}" for i in range(3000)]]
+    df = spark.createDataFrame(list(zip(*columns)), "url string, mixed string, cased string")
+    found = P.raw_profiles({"t": df}, WITH_SEMANTICS)
+    fields = P.fields_of({"t": df})
+    tried = spark.createDataFrame([(u,) for u in columns[0]], "u string").select(P.alike(F.col("u"))).distinct().count()
+    assert tried <= 3 ** 5 * 3 * 4
+    payloads = spark.range(3000).select(P.alike(F.concat(F.lit('{"a": {"b": ['), F.col("id").cast("string"), F.lit("]}}"))))
+    assert payloads.distinct().count() <= 3 ** 4 + 3 ** 3 + 3 ** 2 + 3
+    monkeypatch.setattr(P, "alike", lambda x: x)
+    assert P.raw_profiles({"t": df}, WITH_SEMANTICS) == found
+    at = P._raw_names().index("unique_lower")
+    assert [r[at] for r in found] == [len({t.lower() for t in c if t is not None}) for c in columns] and len(fields) == 3
+
+
+def test_quartiles_of_long_columns_from_their_counts(spark, monkeypatch):
+    """Equal steps find the values to order; a column whose values lie in one step is read from the rows."""
+    from colsmith.operators import profile as P
+    from colsmith.operators import quantiles
+
+    monkeypatch.setattr(P, "DIRECT_ROWS", 50)
+    read = set()
+    real = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda df, brackets: read.update(b.column for b in brackets) or real(df, brackets))
+    rng = np.random.default_rng(3)
+    even, steep = rng.normal(0, 1, 4001), np.append(rng.random(4000), 1e12)
+    many = rng.integers(0, 300, 4001)
+    df = spark.createDataFrame([(float(a), float(b), int(c), None if i % 3 else i) for i, (a, b, c) in enumerate(zip(even, steep, many))], "even double, steep double, many long, gaps long")
+    found = rows_of(profile({"t": df}))
+    gaps = [i for i in range(4001) if i % 3 == 0]
+    for name, x in (("even", even), ("steep", steep), ("many", many), ("gaps", gaps)):
+        assert [found[name][q] for q in ("q25", "median", "q75")] == pytest.approx(list(np.quantile(x, [0.25, 0.5, 0.75])))
+    assert read == {"c1"}
