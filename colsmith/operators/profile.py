@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from colsmith.functions import constants as K
 from colsmith.functions import scalar as S
-from colsmith.operators.quantiles import DIRECT_ROWS, exact_quantiles
+from colsmith.operators import packed
+from colsmith.operators.quantiles import DIRECT_ROWS, exact_quantiles, stepped_quantiles
 
 COLUMNS_PER_JOB = 40
 LONG_TEXT = 64
@@ -193,26 +194,39 @@ def _moment_pass(fields: list[Field], parts: frozenset, raw: list[dict]) -> None
             raw[f.k].update(dict.fromkeys(_NUMBER_FIELDS))
 
 
+def _is_real(f: Field) -> bool:
+    return f.is_number and f.kind != "boolean" and f.kind not in WHOLE
+
+
+def _number_key(f: Field) -> Column:
+    """Numbers and times as double or bigint."""
+    if _is_real(f):
+        return f.column.cast("double")
+    if f.kind == "boolean":
+        return f.column.cast("int").cast("bigint")
+    if f.is_number:
+        return f.column.cast("bigint")
+    return F.unix_date(f.column).cast("bigint") if f.kind == "date" else F.unix_micros(f.column.cast("timestamp"))
+
+
 def _number_counts(fields: list[Field]) -> DataFrame:
     """(k, whole, real, n) of columns that are no texts; a row without either counts the nulls."""
     def cell(f: Field) -> Column:
-        c = f.column
         whole, real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
-        if f.kind == "boolean":
-            whole = c.cast("int").cast("bigint")
-        elif f.kind in WHOLE:
-            whole = c.cast("bigint")
-        elif f.is_number:
-            real = c.cast("double")
-        elif f.kind == "date":
-            whole = F.unix_date(c).cast("bigint")
-        else:
-            whole = F.unix_micros(c.cast("timestamp"))
-        return F.struct(F.lit(f.k).alias("k"), whole.alias("whole"), real.alias("real"))
+        return F.struct(F.lit(f.k).alias("k"), (whole if _is_real(f) else _number_key(f)).alias("whole"), (_number_key(f) if _is_real(f) else real).alias("real"))
 
     return stacked(fields, cell).groupBy("k", "whole", "real").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _packed_counts(fields: list[Field]) -> DataFrame:
+    """The same counts, many values a row (``packed.COUNTS``)."""
+    frames = []
+    for table in dict.fromkeys(f.table for f in fields):
+        for group in _groups([f for f in fields if f.table == table]):
+            frames.append((group[0].frame.select(*[_number_key(f).alias(f"c{f.k}") for f in group]), [f.k for f in group], [_is_real(f) for f in group]))
+    return packed.packed_counts(frames, [f.k for f in fields if f.is_number], K.NULL_NUMBERS)
+
+
 def _text_counts(fields: list[Field]) -> DataFrame:
     """(k, word, digest, n) of text columns; a row without either counts the nulls."""
     def cell(f: Field) -> Column:
@@ -230,6 +244,27 @@ def _counts(fields: list[Field]) -> list[DataFrame]:
     return [make(own) for make, own in ((_number_counts, others), (_text_counts, texts)) if own]
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Counts of the values of columns: of numbers and times packed, of texts one value a row."""
+
+    numbers: DataFrame | None
+    texts: DataFrame | None
+
+    @classmethod
+    def of(cls, fields: list[Field]) -> Counts:
+        texts, others = [f for f in fields if f.is_text], [f for f in fields if not f.is_text]
+        return cls(_packed_counts(others) if others else None, _text_counts(texts) if texts else None)
+
+    def persist(self) -> None:
+        for c in filter(None, (self.numbers, self.texts)):
+            c.persist()
+
+    def unpersist(self) -> None:
+        for c in filter(None, (self.numbers, self.texts)):
+            c.unpersist()
+
+
 def value_counts(fields: list[Field]) -> DataFrame:
     """(k, whole, real, word, digest, n): how often each value of column number ``k`` occurs.
 
@@ -258,31 +293,27 @@ def _deviation(total: int, squares: int, n: int) -> float | None:
     return math.sqrt((n * squares - total * total) / (n * (n - 1))) if n > 1 else None
 
 
-_SUMS = ("sized", "length_sum", "length_squares")
+_SUMS = ("sized", "length_sum", "length_squares", "long_squares")
 
 
 def _length_sums(size: Column, n: Column) -> list[Column]:
-    """Exact sums for the mean and the deviation of lengths that occur ``n`` times each."""
+    """Exact sums for the mean and the deviation of lengths that occur ``n`` times each; squares of short ones fit a long."""
     size = size.cast("bigint")
-    return [F.sum(F.when(size.isNotNull(), n)).alias("sized"), F.sum(size * n).alias("length_sum"),
-            F.sum((size * size).cast("decimal(20,0)") * n.cast("decimal(20,0)")).alias("length_squares")]
+    wide = (size * size).cast("decimal(20,0)") * n.cast("decimal(20,0)")
+    return [F.sum(F.when(size.isNotNull(), n)).alias("sized"), F.sum(size * n).alias("length_sum"), F.sum(F.when(size <= LONG_TEXT, size * size * n)).alias("length_squares"),
+            F.sum(F.when(size > LONG_TEXT, wide)).alias("long_squares")]
 
 
 def _lengths(row) -> dict:
-    n, total, squares = row["sized"], row["length_sum"], row["length_squares"]
-    return {"avg_length": total / n if n else None, "length_std": _deviation(int(total), int(squares), n) if n else None}
-
-
-def _numbers_of(fields: list[Field]) -> Column:
-    """The value as double in a row of value counts; null for columns that are no numbers."""
-    return F.when(_is_one([f for f in fields if f.is_number]), F.coalesce(F.col("whole").cast("double"), F.col("real")))
+    n, total, squares = row["sized"], row["length_sum"], int(row["length_squares"] or 0) + int(row["long_squares"] or 0)
+    return {"avg_length": total / n if n else None, "length_std": _deviation(int(total), squares, n) if n else None}
 
 
-def _all_ordinal(value=lambda c: c) -> Column:
+def _all_ordinal(value=lambda c: c, text: str = "word") -> Column:
     """Whether all values are steps of one ordinal scale, or digits; ``value`` leaves out the nulls where they are counted too."""
-    word, short = F.lower("word"), F.col("word").isNotNull()
+    word, short = F.lower(text), F.col(text).isNotNull() & (F.length(text) <= LONG_TEXT)
     every = lambda c: F.coalesce(F.bool_and(value(short & c)), F.lit(False))
-    return S.any_of([every(word.isin(*scale)) for scale in K.ORDINAL_SCALES]) | every(F.col("word").rlike(r"^\d+$"))
+    return S.any_of([every(word.isin(*scale)) for scale in K.ORDINAL_SCALES]) | every(F.col(text).rlike(r"^\d+$"))
 
 
 def value_aggregates() -> list[Column]:
@@ -302,35 +333,37 @@ def _value_aggregates(known: Column) -> list[Column]:
     ]
 
 
-def _number_aggregates(fields: list[Field]) -> list[Column]:
-    n, x = F.col("n"), _numbers_of(fields)
-    held = lambda c: F.sum(F.when(c, n).otherwise(F.lit(0)))
+def _number_aggregates() -> list[Column]:
+    """What ``_value_aggregates`` finds, and the moments of the numbers, from packed counts."""
+    rows, held = F.sum("present"), lambda c: F.coalesce(F.sum(c), F.lit(0))
     return [
-        held(x.isNotNull()).alias("n"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), (F.sum(x * n) / F.nullif(held(x.isNotNull()), F.lit(0))).alias("mean"),
-        held(x == 0).alias("zeros"), held(x > 0).alias("positives"), held(x < 0).alias("negatives"), held(x % 1 != 0).alias("decimals"),
-        held(x.isin(*[float(v) for v in K.NULL_NUMBERS])).alias("encoded_nulls"),
+        (rows + F.sum("nulls")).alias("row_count"), rows.alias("present"), F.sum("distinct").alias("unique_count"), F.max("top").alias("top_count"), F.sum("n_log").alias("sum_n_log"),
+        rows.alias("n"), F.min("low").alias("min_value"), F.max("high").alias("max_value"), (F.sum("total") / F.nullif(rows, F.lit(0))).alias("mean"),
+        held("zeros").alias("zeros"), held("positives").alias("positives"), held("negatives").alias("negatives"), held("decimals").alias("decimals"),
+        held("encoded").alias("encoded_nulls"),
     ]
 
 
-def _text_aggregates(known: Column) -> list[Column]:
+def _text_aggregates(known: Column, ordinal: bool) -> list[Column]:
     size = F.coalesce(F.length("word"), F.substring_index("digest", "#", -1).cast("int"))
     return [*_length_sums(size, F.col("n")), F.min(size).cast("bigint").alias("min_length"), F.max(size).cast("bigint").alias("max_length"),
-            _all_ordinal(lambda c: F.when(known, c)).alias("all_ordinal")]
+            *([_all_ordinal(lambda c: F.when(known, c)).alias("all_ordinal")] if ordinal else [])]
 
 
-def _counted_moments(fields: list[Field], counts: list[DataFrame], parts: frozenset, raw: list[dict]) -> None:
+def _counted_moments(fields: list[Field], counts: Counts, parts: frozenset, raw: list[dict]) -> None:
     """What ``_moment_pass`` finds in the rows, and distinct values, entropy and top value, from the value counts."""
     for f in fields:
         raw[f.k].update(row_count=0, present=0, unique_count=0, top_count=0, sum_n_log=0.0, all_ordinal=False)
-    for counted in counts:
-        text = "word" in counted.columns
-        made = _value_aggregates(_known(counted))
-        if text:
-            made += _text_aggregates(_known(counted))
-        elif "numbers" in parts:
-            made += _number_aggregates(fields)
-        for row in counted.groupBy("k").agg(*made).collect():
-            found = row.asDict() | (_lengths(row) if text else {})
+    if counts.numbers is not None:
+        for row in counts.numbers.groupBy("k").agg(*_number_aggregates()).collect():
+            found = {c: v for c, v in row.asDict().items() if v is not None or c not in ("top_count", "sum_n_log")}
+            k = found.pop("k")
+            raw[k].update({c: v for c, v in found.items() if "numbers" in parts or c not in _NUMBER_FIELDS}, ends=(found["min_value"], found["max_value"]))
+    if counts.texts is not None:
+        known = _known(counts.texts)
+        # Patterns come with the scales, if there are any.
+        for row in counts.texts.groupBy("k").agg(*_value_aggregates(known), *_text_aggregates(known, not parts & {"text", "semantics"})).collect():
+            found = row.asDict() | _lengths(row)
             raw[found.pop("k")].update({c: v for c, v in found.items() if c not in _SUMS and (v is not None or c not in ("top_count", "sum_n_log"))})
     for f in fields:
         if not f.is_number:
@@ -341,14 +374,10 @@ _PROBS = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
 def _quartile_aggregates(counted: DataFrame, ranks: dict[int, int]) -> DataFrame:
-    """(k, <low and high order statistic per quartile>) from the running sums of value counts."""
-    x = F.coalesce(F.col("whole").cast("double"), F.col("real")).alias("x")
+    """(k, <low and high order statistic per quartile>) from the running sums of value counts (k, x, n)."""
     frame = W.partitionBy("k").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
     total = F.create_map(*[e for k, n in ranks.items() for e in (F.lit(k), F.lit(n))])[F.col("k")]
-    upto = (
-        counted.where(F.col("k").isin(*ranks)).select("k", x, "n")
-        .withColumn("upto", F.sum("n").over(frame)).withColumn("total", total)
-    )
+    upto = counted.withColumn("upto", F.sum("n").over(frame)).withColumn("total", total)
     picked = []
     for name, p in _PROBS.items():
         low = F.floor((F.col("total") - 1) * p)
@@ -358,18 +387,23 @@ def _quartile_aggregates(counted: DataFrame, ranks: dict[int, int]) -> DataFrame
     return upto.groupBy("k").agg(*picked)
 
 
-def _counted_quartiles(fields: list[Field], counts: list[DataFrame], raw: list[dict]) -> None:
+def _counted_quartiles(fields: list[Field], counts: Counts, raw: list[dict]) -> None:
     """Quartiles of number columns of any length whose distinct values one task can order."""
-    ranks = {f.k: raw[f.k]["present"] for f in fields if f.is_number and 0 < raw[f.k]["unique_count"] <= DIRECT_ROWS}
-    if not ranks:
+    short = {f.k: f for f in fields if f.is_number and 0 < raw[f.k]["unique_count"] <= DIRECT_ROWS}
+    if not short:
         return
-    counted = counts[0].where(_known(counts[0]))
-    for row in _quartile_aggregates(counted, ranks).collect():
-        found = raw[row["k"]]
+    ranks = {k: raw[k]["present"] for k in short}
+    found = stepped_quantiles(counts.numbers, {k: (k, _is_real(f), *raw[k]["ends"]) for k, f in short.items()}, {k: list(_PROBS.values()) for k in short}, ranks, DIRECT_ROWS)
+    for k, values in found.items():
+        raw[k].update(zip(_PROBS, values))
+    left = {k: _is_real(f) for k, f in short.items() if k not in found}  # without end on one side
+    if not left:
+        return
+    for row in _quartile_aggregates(packed.value_rows(counts.numbers, left), {k: ranks[k] for k in left}).collect():
         for name, p in _PROBS.items():
             position = (ranks[row["k"]] - 1) * p
             lo, hi = row[f"{name}_lo"], row[f"{name}_hi"]
-            found[name] = lo + (hi - lo) * (position - math.floor(position))
+            raw[row["k"]][name] = lo + (hi - lo) * (position - math.floor(position))
 
 
 def json_depth(x: Column) -> Column:
@@ -425,17 +459,18 @@ def extra_aggregates(x: Column, n: Column) -> dict[str, Column]:
 
 
 # Texts in which a digit may say more than that it is one: keys and escapes of JSON, exponents and placeholder dates.
-_EXACT_DIGITS = r'(?s)^[ \t\r\n]*+[\[{"].*(?:\\|\d[^"]*+"[ \t\r\n]*+:)|\d[eE][-+]?\d|' + "|".join(K.NULL_DATES)
+_EXACT_DIGITS = (r'(?s)^[ \t\r\n]*+[\[{"].*(?:\\|\d[^"]*+"[ \t\r\n]*+:)', r"\d[eE][-+]?\d")
 
 
 def alike(x: Column) -> Column:
     """The text with the digits from 2 on all the same: no pattern and no list of words tells them apart, so few texts stand for many."""
-    return F.when(x.rlike(_EXACT_DIGITS), x).otherwise(F.translate(x, "23456789", "55555555"))
+    exact = S.any_of([*[x.contains(d) for d in K.NULL_DATES], *[x.rlike(p) for p in _EXACT_DIGITS]])
+    return F.when(exact, x).otherwise(F.translate(x, "23456789", "55555555"))
 
 
-def weighted_texts(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+def weighted_texts(fields: list[Field], raw: list[dict], counts: Counts | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(k, x, n): every distinct short value with its count, and every long value as it is, if there are any."""
-    counted = (_counts(fields) if counts is None else counts)[-1].where(_is_one(fields) & F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
+    counted = (_text_counts(fields) if counts is None else counts.texts).where(_is_one(fields) & F.col("word").isNotNull()).select("k", F.col("word").alias("x"), "n")
     long = [f for f in fields if (raw[f.k].get("max_length") or 0) > LONG_TEXT]
     if not long:
         return counted, None
@@ -443,7 +478,7 @@ def weighted_texts(fields: list[Field], raw: list[dict], counts: list[DataFrame]
     return counted, rows.where(F.length("x") > LONG_TEXT)
 
 
-def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: list[DataFrame] | None = None) -> None:
+def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: Counts | None = None) -> None:
     """Patterns are tried once per short value with ``alike`` digits and once per long value."""
     texts = [f for f in fields if f.is_text]
     if not texts:
@@ -452,6 +487,8 @@ def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: l
     made = text_aggregates(x, F.col("n")) if "text" in parts else {}
     if "semantics" in parts:
         made |= extra_aggregates(x, F.col("n"))
+    if counts is not None:
+        made["all_ordinal"] = _all_ordinal(text="x")
     short, long = weighted_texts(texts, raw, counts)
     tried = short.groupBy("k", alike(x).alias("x")).agg(F.sum("n").alias("n"))
     tried = tried if long is None else tried.unionByName(long)
@@ -471,36 +508,35 @@ def _text_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: l
                 raw[row["k"]].update(unique_lower=row["unique_lower"])
 
 
-def _digit_pass(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> None:
+def _digit_pass(fields: list[Field], raw: list[dict], counts: Counts | None = None) -> None:
     """What whole numbers look like as text: their length, and whether they read as phone numbers."""
     whole = [f for f in fields if f.kind in WHOLE]
     if not whole:
         return
-    counted = (_counts(whole) if counts is None else counts)[0]
-    x, n = F.col("whole").cast("string"), F.col("n")
-    part = lambda c: F.sum(F.when(c, n).otherwise(F.lit(0))) / F.sum(n)
-    made = [*_length_sums(F.length(x), n), part(x.rlike(r"^\d{10,15}$")).alias("sem_phone"), part(x.rlike(r"^\d+$")).alias("sem_alnum")]
-    for row in counted.where(_is_one(whole) & F.col("whole").isNotNull()).groupBy("k").agg(*made).collect():
-        raw[row["k"]].update(_lengths(row), sem_phone=row["sem_phone"], sem_alnum=row["sem_alnum"])
+    numbers = _packed_counts(whole) if counts is None else counts.numbers
+    made = [F.sum(c).alias(c) for c in ("sized", "length_sum", "length_squares", "phones", "plain")]
+    for row in packed.digit_sums(numbers, [f.k for f in whole]).groupBy("k").agg(*made, F.lit(0).alias("long_squares")).collect():
+        raw[row["k"]].update(_lengths(row), sem_phone=row["phones"] / row["sized"], sem_alnum=row["plain"] / row["sized"])
 
 
-def _missing_quartiles(fields: list[Field], raw: list[dict], counts: list[DataFrame] | None = None) -> None:
+def _missing_quartiles(fields: list[Field], raw: list[dict], counts: Counts | None = None) -> None:
     """Quartiles of the columns too long for the value counts as a whole; where there are counts, their narrow stretches mostly do."""
+    def missing(of: list[Field]) -> dict[str, Field]:
+        return {f"c{f.k}": f for f in of if "q25" not in raw[f.k] and raw[f.k]["present"]}
+
+    def found(own: dict[str, Field], held: tuple | None) -> None:
+        plain = next(iter(own.values())).frame if held else own[next(iter(own))].frame.select(*[f.number.alias(c) for c, f in own.items()])
+        for c, q in exact_quantiles(plain, {c: list(_PROBS.values()) for c in own}, {c: raw[f.k]["present"] for c, f in own.items()}, DIRECT_ROWS, held).items():
+            raw[own[c].k].update(zip(_PROBS, q))
+
+    if counts is not None and (own := missing(fields)):
+        found(own, (counts.numbers, {c: (f.k, _is_real(f), *raw[f.k]["ends"]) for c, f in own.items()}))
     for table in dict.fromkeys(f.table for f in fields):
-        missing = [f for f in fields if f.table == table and "q25" not in raw[f.k] and raw[f.k]["present"]]
-        if missing:
-            plain = missing[0].frame.select(*[f.number.alias(f"c{f.k}") for f in missing])
-            held = None
-            if counts is not None:
-                values = counts[0].where(_is_one(missing)).select("k", _numbers_of(missing).alias("x"), "n").where(F.col("x").isNotNull())
-                held = values, {f"c{f.k}": (f.k, raw[f.k].get("min_value"), raw[f.k].get("max_value")) for f in missing}
-            found = exact_quantiles(plain, {f"c{f.k}": list(_PROBS.values()) for f in missing},
-                                    {f"c{f.k}": raw[f.k]["present"] for f in missing}, DIRECT_ROWS, held)
-            for f in missing:
-                raw[f.k].update(dict(zip(_PROBS, found[f"c{f.k}"])))
-
-
-def _centred_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: list[DataFrame] | None = None) -> None:
+        if own := missing([f for f in fields if f.table == table]):
+            found(own, None)
+
+
+def _centred_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts: Counts | None = None) -> None:
     """Moments around the mean and values outside the quartile fences, in one pass.
 
     With the mean known, three plain sums give deviation, skewness and kurtosis.
@@ -520,18 +556,18 @@ def _centred_pass(fields: list[Field], parts: frozenset, raw: list[dict], counts
         spread = width * (raw[f.k]["q75"] - raw[f.k]["q25"])
         return raw[f.k]["q25"] - spread, raw[f.k]["q75"] + spread
 
+    facts = {f.k: (_is_real(f), raw[f.k].get("mean"), *fences(f, 1.5), *fences(f, 3.0)) for f in known}
     if counts is None:
-        values = stacked(known, lambda f: F.struct(F.lit(f.k).alias("k"), f.number.alias("x"), F.lit(1).cast("bigint").alias("n")))
+        values = stacked(known, lambda f: F.struct(F.lit(f.k).alias("k"), f.number.alias("x")))
+        side = known[0].frame.sparkSession.createDataFrame([(k, *fact[1:]) for k, fact in facts.items()], "k int, mean double, low double, high double, far_low double, far_high double")
+        # One row a column; the values are not shuffled.
+        cells = values.join(F.broadcast(side), "k").withColumn("g", F.col("x") - F.col("mean"))
+        g, x = F.col("g"), F.col("x")
+        made = [F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("near"), F.count_if((x < F.col("far_low")) | (x > F.col("far_high"))).alias("far"),
+                F.sum(g * g).alias("s2"), F.sum(g * g * g).alias("s3"), F.sum(g * g * g * g).alias("s4")]
     else:
-        values = counts[0].where(_is_one(known)).select("k", _numbers_of(known).alias("x"), "n")
-    facts = [(f.k, raw[f.k].get("mean"), *fences(f, 1.5), *fences(f, 3.0)) for f in known]
-    side = known[0].frame.sparkSession.createDataFrame(facts, "k int, mean double, low double, high double, far_low double, far_high double")
-    # One row a column; the values are not shuffled.
-    cells = values.join(F.broadcast(side), "k").withColumn("g", F.col("x") - F.col("mean"))
-    g, x, n = F.col("g"), F.col("x"), F.col("n")
-    outside = lambda low, high: F.sum(F.when((x < F.col(low)) | (x > F.col(high)), n).otherwise(F.lit(0)))
-    made = [outside("low", "high").alias("near"), outside("far_low", "far_high").alias("far"), F.sum(n * (g * g)).alias("s2"),
-            F.sum(n * (g * g * g)).alias("s3"), F.sum(n * (g * g * g * g)).alias("s4")]
+        cells = packed.moment_sums(counts.numbers, facts)
+        made = [F.sum(c).alias(c) for c in ("near", "far", "s2", "s3", "s4")]
     for row in cells.groupBy("k").agg(*made).collect():
         found, size = raw[row["k"]], raw[row["k"]]["present"]
         if "quartiles" in parts:
@@ -558,8 +594,9 @@ def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PART
     parts = frozenset(parts)
     fields = fields_of(tables)
     raw: list[dict] = [{} for _ in fields]
-    counts = _counts(fields) if "values" in parts else None
-    kept = [c.persist() for c in counts or [] if parts != {"values"}]  # several passes follow
+    counts = Counts.of(fields) if "values" in parts else None
+    if counts and parts != {"values"}:  # several passes follow
+        counts.persist()
     try:
         if counts is None:
             _moment_pass(fields, parts, raw)
@@ -574,8 +611,8 @@ def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PART
         if parts & {"quartiles", "numbers"}:
             _centred_pass(fields, parts, raw, counts)
     finally:
-        for c in kept:
-            c.unpersist()
+        if counts:
+            counts.unpersist()
     places: dict[str, int] = {}
     rows = []
     for f in fields:

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colsmith.operators import packed
+
 DIRECT_ROWS = 2_000_000
 ACCURACY = 10_000
-STEPS = 4096  # between the least and the greatest value of a column, to find where its ranks lie
+STEPS = 1024  # between the least and the greatest value of a column, to find where its ranks lie
 MANY = 16  # above this many quantiles of one long column, order its distinct values once
 
 
@@ -54,15 +56,13 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of numeric columns, nulls left out.
 
-    ``counts`` are the non-null counts if the caller already has them, and ``held`` the counts of the values (k, x, n) with
-    k, least and greatest value of each column; then only columns whose values lie too close together are read.
+    ``counts`` are the non-null counts if the caller already has them. ``held`` are the packed counts of the values, with the number, the
+    kind, the least and the greatest value of each column; then no row is read, and columns whose values lie too close together are left out.
     """
     if not wanted:
         return {}
     if held and counts:
-        done = _stepped_quantiles(*held, wanted, counts, direct_rows)
-        left = {c: p for c, p in wanted.items() if c not in done}
-        return done | exact_quantiles(df, left, {c: counts[c] for c in left}, direct_rows)
+        return stepped_quantiles(*held, wanted, counts, direct_rows)
     numeric = df.select(*[F.col(c).cast("double").alias(c) for c in wanted])
     if counts is None:
         row = numeric.agg(*[F.count(c).alias(c) for c in wanted]).first()
@@ -96,29 +96,29 @@ def exact_quantiles(
     return result
 
 
-def _stepped_quantiles(values: DataFrame, ends: dict[str, tuple], wanted: dict[str, list[float]], counts: dict[str, int], direct_rows: int) -> dict[str, list[float]]:
-    """Quantiles from counts of the values, of columns that spread.
+def stepped_quantiles(values: DataFrame, ends: dict[str, tuple], wanted: dict[str, list[float]], counts: dict[str, int], direct_rows: int) -> dict[str, list[float]]:
+    """Quantiles from packed counts of the values, of columns that spread; ``ends`` has the number of each column, whether it holds doubles, its least and greatest value.
 
     Counts in equal steps from the least to the greatest value tell which steps hold the wanted ranks; only the values there are ordered.
     """
-    wide = {c: e for c, e in ends.items() if counts[c] and None not in e and 0 < e[2] - e[1] < math.inf}
+    found = {c: [e[2]] * len(wanted[c]) for c, e in ends.items() if counts[c] and None not in e and e[2] == e[3]}
+    wide = {c: e for c, e in ends.items() if counts[c] and None not in e and 0 < e[3] - e[2] < math.inf}
     if not wide:
-        return {}
+        return found
     spark, names = values.sparkSession, {e[0]: c for c, e in wide.items()}
-    sizes = spark.createDataFrame([(k, low, high - low) for k, low, high in wide.values()], "k int, start double, width double")
-    step = F.least(F.floor((F.col("x") - F.col("start")) / F.col("width") * STEPS), F.lit(STEPS - 1)).cast("int")
-    placed = values.join(F.broadcast(sizes), "k").select("k", "x", "n", step.alias("step"))
+    sizes = {k: (real, low, high - low) for k, real, low, high in wide.values()}
     steps: dict[str, list] = {c: [] for c in wide}
-    for r in placed.groupBy("k", "step").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size")).collect():
+    for r in packed.step_counts(values, sizes, STEPS).collect():
         steps[names[r["k"]]].append((r["step"], r["n"], r["size"]))
     asked, fractions = [], {}
-    for c, (k, _, _) in wide.items():
+    for c, (k, *_) in wide.items():
         own = []
+        held = sorted(steps[c])
         for i, p in enumerate(wanted[c]):
             position = (counts[c] - 1) * p
             low = int(math.floor(position))
             high, before, inside = min(low + 1, counts[c] - 1), 0, []
-            for at, n, size in sorted(steps[c]):
+            for at, n, size in held:
                 if before + n > low and before <= high:
                     inside.append((at, before, size))
                 before += n
@@ -127,15 +127,18 @@ def _stepped_quantiles(values: DataFrame, ends: dict[str, tuple], wanted: dict[s
                 own.append((k, i, inside[0][0], inside[-1][0], low - inside[0][1], high - inside[0][1]))
         asked += own if len(own) == len(wanted[c]) else []
     if not asked:
-        return {}
-    side = spark.createDataFrame(asked, "k int, i int, first int, last int, low bigint, high bigint")
+        return found
+    side = spark.createDataFrame([(k, i, low, high) for k, i, _, _, low, high in asked], "k int, i int, low bigint, high bigint")
+    stretches: dict[int, list] = {}
+    for k, i, first, last, _, _ in asked:
+        stretches.setdefault(k, []).append((i, first, last))
     running = W.partitionBy("k", "i").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    upto = placed.join(F.broadcast(side), "k").where(F.col("step").between(F.col("first"), F.col("last"))).withColumn("upto", F.sum("n").over(running))
+    upto = packed.step_values(values, sizes, STEPS, stretches).withColumn("upto", F.sum("n").over(running)).join(F.broadcast(side), ["k", "i"])
 
     def at_rank(rank: str) -> Column:
         return F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank)), F.col("x")))
 
-    found = {c: [None] * len(wanted[c]) for c in {names[a[0]] for a in asked}}
+    found |= {c: [None] * len(wanted[c]) for c in {names[a[0]] for a in asked}}
     for r in upto.groupBy("k", "i").agg(at_rank("low").alias("lo"), at_rank("high").alias("hi")).collect():
         found[names[r["k"]]][r["i"]] = r["lo"] + (r["hi"] - r["lo"]) * fractions[r["k"], r["i"]]
     return found

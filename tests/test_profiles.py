@@ -228,3 +228,49 @@ def test_quartiles_of_long_columns_from_their_counts(spark, monkeypatch):
     for name, x in (("even", even), ("steep", steep), ("many", many), ("gaps", gaps)):
         assert [found[name][q] for q in ("q25", "median", "q75")] == pytest.approx(list(np.quantile(x, [0.25, 0.5, 0.75])))
     assert read == {"c1"}
+
+
+def test_number_counts_travel_packed(spark, monkeypatch):
+    """Numbers and times are counted many values a row, whatever the sizes of stretches, runs and batches; no row a cell is made."""
+    import datetime
+    from collections import Counter
+
+    from colsmith.operators import packed
+    from colsmith.operators import profile as P
+
+    def refuse(*_):
+        raise AssertionError("one row a cell")
+
+    rng = np.random.default_rng(11)
+    ends = [-2 ** 63, 2 ** 63 - 1, 0, -1, 99999, -999, 10 ** 9, 10 ** 15, 10 ** 15 - 1, -10 ** 18]
+    rows = [(int(ends[i]) if i < len(ends) else int(rng.integers(-400, 400)), None if i % 7 == 0 else float(rng.integers(-30, 30)) / 4 * (-1 if i % 2 else 1) * (i % 3), i * 37, i % 3 == 0,
+             datetime.date(2024, 1, 1) + datetime.timedelta(days=i % 50), datetime.datetime(1960, 1, 1) + datetime.timedelta(microseconds=i * 7), None, float("inf") if i == 5 else float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b double, own long, c boolean, d date, t timestamp, e int, far double").repartition(5)
+    whole = P.raw_profiles({"t": df}, WITH_SEMANTICS)
+    monkeypatch.setattr(P, "stacked", refuse)
+    monkeypatch.setattr(packed, "STRETCH_ROWS", 100)
+    monkeypatch.setattr(packed, "RUN_VALUES", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = rows_of(P.derive(P.raw_table(spark, P.raw_profiles({"t": df}, WITH_SEMANTICS))))
+        counts = P._packed_counts(P.fields_of({"t": df}))
+        assert counts.where("k = 2").count() < 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    other = rows_of(P.derive(P.raw_table(spark, whole)))
+    for place, name in enumerate(df.columns):
+        values = Counter(r[place] + 0.0 if isinstance(r[place], float) else r[place] for r in rows if r[place] is not None)
+        r, n = found[name], sum(values.values())
+        assert (r["row_count"], r["present"], r["unique_count"], r["top_count"]) == (3000, n, len(values), max(values.values(), default=0))
+        assert r["sum_n_log"] == pytest.approx(sum(m * np.log2(m) for m in values.values()))
+        if r["is_numeric"] and n:
+            x = np.array([float(v) for v in values.elements()])
+            assert (r["min_value"], r["max_value"], r["zeros"], r["negatives"]) == (x.min(), x.max(), (x == 0).sum(), (x < 0).sum())
+            assert [r["q25"], r["median"], r["q75"]] == pytest.approx(list(np.quantile(x, [0.25, 0.5, 0.75])))
+            if np.isfinite(x).all():
+                low, high = r["q25"] - 1.5 * r["iqr"], r["q75"] + 1.5 * r["iqr"]
+                assert r["mean"] == pytest.approx(x.mean()) and r["std"] == pytest.approx(x.std(ddof=1)) and r["outlier_count"] == ((x < low) | (x > high)).sum()
+        assert all(other[name][c] == pytest.approx(r[c], nan_ok=True) for c in ("mean", "std", "skew_pop", "avg_length", "length_std", "sem_phone", "sem_alnum", "encoded_nulls", "outlier_count") if r[c] is not None)
+    sizes = np.array([len(str(r[0])) for r in rows])
+    assert (found["a"]["avg_length"], found["a"]["length_std"]) == (pytest.approx(sizes.mean()), pytest.approx(sizes.std(ddof=1)))
+    assert found["a"]["sem_phone"] == pytest.approx(sum(10 <= len(str(r[0])) <= 15 and r[0] >= 0 for r in rows) / 3000)
