@@ -465,7 +465,7 @@ _EXACT_DIGITS = (r'(?s)^[ \t\r\n]*+[\[{"].*(?:\\|\d[^"]*+"[ \t\r\n]*+:)', r"\d[e
 def alike(x: Column) -> Column:
     """The text with the digits from 2 on all the same: no pattern and no list of words tells them apart, so few texts stand for many."""
     exact = S.any_of([*[x.contains(d) for d in K.NULL_DATES], *[x.rlike(p) for p in _EXACT_DIGITS]])
-    return F.when(exact, x).otherwise(F.translate(x, "23456789", "55555555"))
+    return F.when(exact, x).otherwise(F.regexp_replace(x, "[2-9]", "5"))
 
 
 def weighted_texts(fields: list[Field], raw: list[dict], counts: Counts | None = None) -> tuple[DataFrame, DataFrame | None]:
