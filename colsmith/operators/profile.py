@@ -238,6 +238,19 @@ def _text_counts(fields: list[Field]) -> DataFrame:
     return stacked(fields, cell).groupBy("k", "word", "digest").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _packed_text_counts(fields: list[Field]) -> DataFrame:
+    """The same counts, many values a row on their way (``packed.text_counts``). Digests are longer than any word."""
+    def cell(f: Field) -> Column:
+        c = f.column.cast("string")
+        return F.when(F.length(c) > LONG_TEXT, F.concat_ws("#", F.md5(c), F.lpad(F.length(c).cast("string"), 32, "0"))).otherwise(c).alias(f"c{f.k}")
+
+    frames = []
+    for table in dict.fromkeys(f.table for f in fields):
+        frames += [(group[0].frame.select(*[cell(f) for f in group]), [f.k for f in group]) for group in _groups([f for f in fields if f.table == table])]
+    v, long = F.col("v"), F.length("v") > LONG_TEXT
+    return packed.text_counts(frames).select("k", F.when(~long, v).alias("word"), F.when(long, v).alias("digest"), "n")
+
+
 def _counts(fields: list[Field]) -> list[DataFrame]:
     """Counts of numbers and times, then of texts, as far as there are any. Keys of numbers alone are counted much faster than mixed ones."""
     texts, others = [f for f in fields if f.is_text], [f for f in fields if not f.is_text]
@@ -246,7 +259,7 @@ def _counts(fields: list[Field]) -> list[DataFrame]:
 
 @dataclass(frozen=True)
 class Counts:
-    """Counts of the values of columns: of numbers and times packed, of texts one value a row."""
+    """Counts of the values of columns: of numbers and times packed, of texts one value a row. They are made from Arrow batches of many short rows (``packed.batches_of_rows``)."""
 
     numbers: DataFrame | None
     texts: DataFrame | None
@@ -254,7 +267,7 @@ class Counts:
     @classmethod
     def of(cls, fields: list[Field]) -> Counts:
         texts, others = [f for f in fields if f.is_text], [f for f in fields if not f.is_text]
-        return cls(_packed_counts(others) if others else None, _text_counts(texts) if texts else None)
+        return cls(_packed_counts(others) if others else None, _packed_text_counts(texts) if texts else None)
 
     def persist(self) -> None:
         for c in filter(None, (self.numbers, self.texts)):
@@ -589,11 +602,7 @@ def fields_of(tables: dict[str, DataFrame]) -> list[Field]:
     return found
 
 
-def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PARTS) -> list[tuple]:
-    """One tuple per column in the order of ``RAW_SCHEMA``."""
-    parts = frozenset(parts)
-    fields = fields_of(tables)
-    raw: list[dict] = [{} for _ in fields]
+def _all_passes(fields: list[Field], parts: frozenset, raw: list[dict]) -> None:
     counts = Counts.of(fields) if "values" in parts else None
     if counts and parts != {"values"}:  # several passes follow
         counts.persist()
@@ -613,6 +622,15 @@ def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PART
     finally:
         if counts:
             counts.unpersist()
+
+
+def raw_profiles(tables: dict[str, DataFrame], parts: frozenset | set = ALL_PARTS) -> list[tuple]:
+    """One tuple per column in the order of ``RAW_SCHEMA``."""
+    parts = frozenset(parts)
+    fields = fields_of(tables)
+    raw: list[dict] = [{} for _ in fields]
+    with packed.batches_of_rows(next(iter(tables.values())).sparkSession):
+        _all_passes(fields, parts, raw)
     places: dict[str, int] = {}
     rows = []
     for f in fields:

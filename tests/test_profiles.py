@@ -274,3 +274,49 @@ def test_number_counts_travel_packed(spark, monkeypatch):
     sizes = np.array([len(str(r[0])) for r in rows])
     assert (found["a"]["avg_length"], found["a"]["length_std"]) == (pytest.approx(sizes.mean()), pytest.approx(sizes.std(ddof=1)))
     assert found["a"]["sem_phone"] == pytest.approx(sum(10 <= len(str(r[0])) <= 15 and r[0] >= 0 for r in rows) / 3000)
+
+
+def test_text_counts_travel_packed(spark, monkeypatch):
+    """Texts are counted many values a row on their way, whatever the sizes of stretches, blocks and batches; no row a cell is made."""
+    from collections import Counter
+
+    from colsmith.operators import packed
+    from colsmith.operators import profile as P
+
+    def refuse(*_):
+        raise AssertionError("one row a cell")
+
+    made = lambda i: [None, "", f"user{i % 900}@mail.example.com", "ü" * 64, "ü" * 65, "a" * 65, "x" * 64 + str(i % 3), "\x00", " ", f"№{i}"][i % 10]
+    rows = [(made(i), "same", None, f"url{i}", made(i * 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string").repartition(5)
+    fields = P.fields_of({"t": df})
+    expected = P._text_counts(fields).collect()
+    monkeypatch.setattr(P, "stacked", refuse)
+    monkeypatch.setattr(packed, "STRETCH_ROWS", 100)
+    monkeypatch.setattr(packed, "BLOCK_TEXTS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = P.Counts.of(fields).texts.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = lambda d: d and (d.split("#")[0], int(d.split("#")[1]))
+    assert Counter((r.k, r.word, plain(r.digest), r.n) for r in found) == Counter((r.k, r.word, plain(r.digest), r.n) for r in expected)
+    empty = P.Counts.of(P.fields_of({"t": df.where("b is null")})).texts
+    assert empty.count() == 0
+
+
+def test_profile_counts_come_in_batches_of_rows(spark, monkeypatch):
+    """While values are counted Spark does not add up the sizes of all columns after each row; afterwards the session is as before."""
+    from colsmith.operators import packed
+    from colsmith.operators import profile as P
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+    make = P.Counts.of
+    monkeypatch.setattr(P.Counts, "of", lambda fields: seen.append(spark.conf.get(key)) or make(fields))
+    df = spark.range(10)
+    P.raw_profiles({"t": df})
+    assert seen == [str(2 ** 31 - 1)] and spark.conf.get(key) == before
+    with pytest.raises(ZeroDivisionError), packed.batches_of_rows(spark):
+        1 / 0
+    assert spark.conf.get(key) == before
