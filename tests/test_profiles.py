@@ -320,3 +320,17 @@ def test_profile_counts_come_in_batches_of_rows(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError), packed.batches_of_rows(spark):
         1 / 0
     assert spark.conf.get(key) == before
+
+
+def test_rows_of_messy_are_dealt_out(spark, tmp_path):
+    """Orders in one stretch of one file do not leave the making and counting of all texts to one task."""
+    from colsmith.catalog.shared import messy
+
+    made = spark.range(2000).selectExpr("id AS o_orderkey", "id % 100 AS o_custkey", "id / 3.0D AS o_totalprice", "timestamp'2024-01-01' AS o_orderdate")
+    made.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = messy(lambda t: spark.read.parquet(str(tmp_path / f"{t}.parquet"))).rdd.glom().map(len).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 2000 and max(sizes) < 1000
